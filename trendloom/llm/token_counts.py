@@ -7,6 +7,7 @@ worker, filled by encoding what the first tier misses. No pre-token is shuffled.
 from __future__ import annotations
 
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import regex
@@ -30,13 +31,19 @@ def special_pattern(tokenizer):
     return regex.compile("|".join(map(regex.escape, names))) if names else None
 
 
+@lru_cache(maxsize=2)
+def worker_cache(path: str, pattern: str) -> dict[str, int]:
+    """Tier two of this worker process, which later tasks find filled."""
+    return {}
+
+
 class PreTokenCounter:
     """Counts the tokens of texts for a byte-level BPE tokenizer whose pre-tokens are the matches of `pattern`."""
 
     def __init__(self, path: str, pattern: str, table: dict[str, int], cache: int = 300_000):
         self.tokenizer = load_tokenizer(path)
         self.split, self.special = regex.compile(pattern), special_pattern(self.tokenizer)
-        self.first, self.cache, self.room = table, {}, cache
+        self.first, self.cache, self.room = table, worker_cache(path, pattern), cache
 
     def lengths(self, pieces: list[str]) -> list[int]:
         return [len(e.ids) for e in self.tokenizer.encode_batch(pieces, add_special_tokens=False)]
