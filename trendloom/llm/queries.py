@@ -2,15 +2,27 @@
 
 from __future__ import annotations
 
+from trendloom.llm.bpe import op9_bpe
+from trendloom.llm.chat import OP5_SQL, op5_chat
+from trendloom.llm.decontaminate import OP1_SQL, op1_decontaminate
+from trendloom.llm.html_text import op7_html
+from trendloom.llm.jaccard import op10_jaccard
 from trendloom.llm.language import op2_language
 from trendloom.llm.quality import op4_quality
 from trendloom.llm.token_counts import op3_token_counts
+from trendloom.llm.token_files import op8_token_files
 from trendloom.llm.toxicity import op6_toxicity
 
 QUERIES = {
+    "op1_decontaminate": op1_decontaminate,
     "op2_language": op2_language,
     "op3_token_counts": op3_token_counts,
     "op4_quality": op4_quality,
+    "op5_chat": op5_chat,
     "op6_toxicity": op6_toxicity,
+    "op7_html": op7_html,
+    "op8_token_files": op8_token_files,
+    "op9_bpe": op9_bpe,
+    "op10_jaccard": op10_jaccard,
 }
-SQL: dict[str, str] = {}
+SQL = {"op1_decontaminate": OP1_SQL, "op5_chat": OP5_SQL}
