@@ -1,10 +1,70 @@
-"""The corpus pipeline: stages that each read what the one before kept."""
+"""The corpus pipeline: five stages, each over all that the one before kept.
+
+Each function takes (spark, docs, sf_dir); all but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from trendloom.llm.bpe import round_trip
+from trendloom.llm.decontaminate import contained_items
+from trendloom.llm.jaccard import jaccard_components
+from trendloom.llm.language import UNDETERMINED, predict_all
+from trendloom.llm.quality import quality_rules
+from trendloom.session import written
+
+#: Least score of a language: below, no language is ahead of all others together.
+LEAST_SCORE = 0.5
+
+
+def drop(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is not in dropped, null ids included."""
+    return docs.join(dropped.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents in which no language can be told."""
+    found = predict_all(docs)
+    return drop(docs, written(found.filter((F.col("lang_pred") == UNDETERMINED) | (F.col("score") < LEAST_SCORE)).select("doc_id"), "rejected"))
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that the quality rules reject."""
+    return drop(docs, written(quality_rules(docs).filter("not kept").select("doc_id"), "rejected"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps of each group the document with the smallest id."""
+    return drop(docs, written(jaccard_components(docs).filter("component_id != doc_id").select("doc_id"), "copies"))
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that contain a benchmark item."""
+    return drop(docs, written(contained_items(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id"), "leaks"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The ids of each text, as counts and digests, with the digest of what they decode to."""
+    return round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+STAGES = [
+    ("language_id", language),
+    ("quality_rules", quality),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontaminate),
+    ("bpe_encoding", encode),
+]
+
+#: Language scores, compression ratios and BPE have no SQL form.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
