@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trendloom.llm.common import ALNUM, id_text, map_texts
-from trendloom.llm.shingles import ShingleHasher
+from trendloom.llm.shingles import worker_hasher
 
 PAIR_SCHEMA = "doc_id long, item_id long, n_item_shingles long, n_shared long, containment double"
 _TABLE_BITS = 22
@@ -31,7 +31,7 @@ class SketchIndex:
     """The items of one block. Items of fewer than `width` words are a single shingle of all their words."""
 
     def __init__(self, items: list[tuple[int | None, str | None]], width: int, threshold: float):
-        self.threshold, self.hasher, self.items = threshold, ShingleHasher(), []
+        self.threshold, self.hasher, self.items = threshold, worker_hasher(), []
         sketches: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
         for item_id, text in items:
             words = ALNUM.findall((text or "").lower())

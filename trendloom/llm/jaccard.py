@@ -23,11 +23,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trendloom.llm.common import WORDS, hash_sample, id_text, map_texts
-from trendloom.llm.shingles import ShingleHasher
+from trendloom.llm.shingles import worker_hasher
 from trendloom.operators.components import connected_components
 from trendloom.session import written
 
-GROUPS = 64
+#: Groups of a count vector: enough to tell sets of some 20,000 elements apart at the usual thresholds.
+GROUPS = 512
+#: Counts are kept in a byte; this one stands for any number from it on.
+FULL = 255
 #: Ids that are broadcast at most, 8 bytes each; beyond, a shuffled join.
 BROADCAST_IDS = 1_000_000
 
@@ -36,7 +39,7 @@ class ShingleSets:
     """Sets of shingle hashes of texts: words are runs of anything but ASCII white space, A-Z lower-cased."""
 
     def __init__(self, width: int):
-        self.width, self.hasher = width, ShingleHasher()
+        self.width, self.hasher = width, worker_hasher()
 
     def of(self, text: str | None) -> np.ndarray:
         """Sorted and distinct. Fewer words than the width are one shingle; no words, none."""
@@ -91,7 +94,7 @@ def describe_sets(docs: DataFrame, width: int, percent: int, frequent: np.ndarra
                 late[late] = np.isin(h[late], last, assume_unique=True)
                 h = np.concatenate([h[~late], h[late]])
             signature = np.array([mixed.sum(dtype=np.uint64), (mixed * (mixed >> np.uint64(17) | np.uint64(1))).sum(dtype=np.uint64)]).view(np.int64)
-            return n, int(signature[0]), int(signature[1]), np.minimum(counts, 65_535).astype("<u2").tobytes(), h[: n - -(-percent * n // 100) + 1].view(np.int64)
+            return n, int(signature[0]), int(signature[1]), np.minimum(counts, FULL).astype(np.uint8).tobytes(), h[: n - -(-percent * n // 100) + 1].view(np.int64)
 
         def apply(ids, texts):
             return {"doc_id": ids} | dict(zip(("n", "sig1", "sig2", "counts", "keys"), zip(*[one(t) for t in texts])))
@@ -103,11 +106,10 @@ def describe_sets(docs: DataFrame, width: int, percent: int, frequent: np.ndarra
 
 def count_matrix(column: pa.Array, sizes: np.ndarray) -> np.ndarray:
     """Counts as rows; a count that did not fit stands for any number, so it becomes the size of the set."""
-    flat = np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(-1, GROUPS).astype(np.int32)
-    full = flat == 65_535
-    if full.any():
-        flat = np.where(full, sizes[:, None], flat).astype(np.int32)
-    return flat
+    flat = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, GROUPS)
+    kind = np.int16 if len(sizes) and sizes.max() < 32_768 else np.int64
+    full = flat == FULL
+    return np.where(full, sizes[:, None], flat).astype(kind) if full.any() else flat.astype(kind)
 
 
 class CountVectorTree:

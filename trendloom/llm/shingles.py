@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import xxhash
 
@@ -37,3 +39,9 @@ class ShingleHasher:
             h = h * _STEP + hashes[i : n + i]
         h = (h ^ (h >> np.uint64(31))) * _MIX
         return h ^ (h >> np.uint64(29))
+
+
+@lru_cache(maxsize=1)
+def worker_hasher() -> ShingleHasher:
+    """One for each worker process, so that later tasks know the words already."""
+    return ShingleHasher()
