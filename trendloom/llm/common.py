@@ -16,6 +16,10 @@ ALNUM = re.compile(r"[^\W_]+")
 #: Words as the corpus contracts define them: runs of anything but ASCII white space.
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
+#: Finds a character outside of Latin letters, ASCII digits, common punctuation and plain white space. In texts without
+#: one, the standard library's \\w, \\d and \\s mean letters and digits and white space exactly as Unicode's classes do.
+UNCOMMON = re.compile("[^\t-\r -~\xa0-\xb1\xb4-\xb8\xba\xbb\xbf-\u012f\u0131-\u017f\u2010-\u2027\u2030-\u205e\u20a0-\u20bf]")
+
 
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only (doc_id, text), whatever other columns there are, so that no name can clash."""

@@ -13,18 +13,19 @@ low words, high words, samples (unsigned 64 bits), ids.
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trendloom.llm.common import id_text
+from trendloom.llm.common import UNCOMMON, id_text
 from trendloom.llm.token_counts import load_tokenizer, special_pattern
 from trendloom.session import shared_path, written
 
@@ -109,54 +110,54 @@ def shard_bytes(doc_ids: list[int | None], documents: list[bytes], width: int) -
     return b"".join([MAGIC, head.tobytes(), ids.tobytes(), nulls, ef.low.tobytes(), ef.high.tobytes(), ef.samples.tobytes(), *documents])
 
 
+def byte_letters() -> dict[int, str]:
+    """The letter by which byte-level tokenizer files name each byte: printable Latin-1 characters name themselves, the
+    rest take the letters from U+0100 on, in order."""
+    named = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in set(named)]
+    return {b: chr(b) for b in named} | {b: chr(0x100 + i) for i, b in enumerate(rest)}
+
+
+class WordIds(dict):
+    """Ids of words as bytes; a word that is missing is merged by the library's model. A full table is emptied into an
+    older one, whose entries come back when used."""
+
+    def __init__(self, model, kind: str, room: int):
+        self.model, self.kind, self.room, self.older, self.letters = model, kind, room, {}, byte_letters()
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= self.room:
+            self.older = dict(self)
+            self.clear()
+        made = self.older.get(word)
+        if made is None:
+            named = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+            made = array(self.kind, [t.id for t in self.model.tokenize(named)]).tobytes()
+        self[word] = made
+        return made
+
+
 class WordEncoder:
     """Ids of texts for a tokenizer whose pre-tokens are lower-cased matches of a pattern in NFC text, each merged alone.
 
-    A word's ids come from the library once and from a bounded cache after that. Texts with characters outside Latin
-    script and punctuation, whose lower case or composition depends on more than the character, go to the library whole.
+    Texts with uncommon characters, whose lower case or composition may depend on more than the character, and texts
+    with strings of added tokens go to the library whole.
     """
 
-    #: The split of the tokenizer file.
-    PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-    PLAIN = regex.compile(r"[\x00-\x7e\xa0-įı-ſ‐-‧‰-⁞₠-₿]*")
+    #: The split of the tokenizer file, as it reads in texts of common characters.
+    SPLIT = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 
     def __init__(self, path: str, width: int, cache: int = 300_000):
-        self.tokenizer, self.kind, self.room = load_tokenizer(path), f"<u{width}", cache
-        self.split, self.special = regex.compile(self.PATTERN), special_pattern(self.tokenizer)
-        self.cache: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.tokenizer, self.kind = load_tokenizer(path), {2: "H", 4: "I"}[width]
+        self.special, self.words = special_pattern(self.tokenizer), WordIds(self.tokenizer.model, self.kind, cache)
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
-
-    def fill(self, words: list[str]) -> None:
-        """Puts words that are not in the cache there. A full cache becomes the older one, whose entries come back when used."""
-        if len(self.cache) + len(words) > self.room:
-            self.older, self.cache = self.cache, {}
-        new = []
-        for w in words:
-            known = self.older.get(w)
-            if known is None:
-                new.append(w)
-            else:
-                self.cache[w] = known
-        if new:
-            for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-                self.cache[w] = np.array(e.ids, self.kind).tobytes()
+        return array(self.kind, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def encode(self, text: str) -> bytes:
-        if not self.PLAIN.fullmatch(text) or self.special is not None and self.special.search(text):
+        if UNCOMMON.search(text) or self.special is not None and self.special.search(text):
             return self.whole(text)
-        words = self.split.findall(text.lower())
-        cache = self.cache
-        missing = {w for w in words if w not in cache}
-        if missing:
-            if len(missing) > self.room:
-                return self.whole(text)
-            self.fill(sorted(missing))
-            if self.cache is not cache:  # it was full: words that were found before are in the older one
-                self.fill(sorted({w for w in words if w not in self.cache}))
-        return b"".join(map(self.cache.__getitem__, words))
+        return b"".join(map(self.words.__getitem__, self.SPLIT.findall(text.lower())))
 
 
 @lru_cache(maxsize=2)
