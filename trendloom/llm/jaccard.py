@@ -9,8 +9,9 @@ Trees are built per cell. A set of n elements must share ceil(t n) of them with
 first n - ceil(t n) + 1 in any order that all sets use: the sets with such a prefix element in common are a cell, and no
 link is missed. The order puts the hash of an element first and elements that are very frequent (by a bounded sample;
 it changes the speed only) last, so that common passages make few cells. Equal sets are one class from the start. Before
-the trees, rounds of stars link each set of a cell with one set of the cell, which joins groups of near copies in a
-number of pairs that grows with their size, not its square; the trees then look for pairs in different components only.
+the trees, stars link each set of a cell with one set of the cell, and then those still apart with a few others, which
+joins groups of near copies in a number of pairs that grows with their size, not its square; the trees then look for
+pairs in different components only.
 """
 
 from __future__ import annotations
@@ -253,7 +254,7 @@ def linked_pairs(pairs: DataFrame, docs: DataFrame, width: int, percent: int) ->
     return rows.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, star_rounds: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, stars_later: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row: component_id is the smallest id reachable by links, itself included.
 
     Two documents link when 100 * intersection >= percent * union of their shingle sets. A null or empty text, and one
@@ -271,30 +272,32 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, star_
         "doc_id", "n", F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("doc_id")).alias("rep")), "members")
 
     by_key = Window.partitionBy("key")
-    order = [F.xxhash64("rep", F.lit(r)) for r in range(star_rounds)]
-    stars = [F.min(F.struct(o.alias("o"), "rep")).over(by_key)["rep"].alias(f"star{r}") for r, o in enumerate(order)]
-    postings = classes.select(F.explode("keys").alias("key"), "rep")
-    cells = written(postings.select("key", "rep", F.count("*").over(by_key).alias("held"), *stars).filter("held > 1").drop("held"), "cells")
+    by_size = by_key.orderBy("n")
+    near = [100 * F.lag("n").over(by_size) >= percent * F.col("n"), 100 * F.col("n") >= percent * F.lead("n").over(by_size)]
+    postings = classes.select(F.explode("keys").alias("key"), "rep", F.col("n").cast("int").alias("n"))
+    # a set whose next sizes in the cell are too far from its own has no partner there
+    cells = postings.select("key", "rep", "n", F.coalesce(near[0], F.lit(False)).alias("up"), F.coalesce(near[1], F.lit(False)).alias("down")).filter("up or down")
+    stars = [F.min(F.struct(F.xxhash64("rep", F.lit(r)).alias("o"), "rep")).over(by_key)["rep"].alias(f"star{r}") for r in range(stars_later + 1)]
+    cells = written(cells.select("key", "rep", "n", *stars), "cells")
 
     same_id = member.join(member.filter("doc_id is not null").groupBy("doc_id").agg(F.min("rep").alias("a")), "doc_id").filter("a != rep").select("a", F.col("rep").alias("b"))
-    links, tried = written(same_id, "same-id"), None
-    component = None
-    for r in range(star_rounds):
-        star = F.col(f"star{r}")
-        proposed = cells.filter(star != F.col("rep"))
+    links, tried, component = written(same_id, "same-id"), None, None
+    for names in (["star0"], [f"star{r}" for r in range(1, stars_later + 1)]):
+        proposed = cells.select("rep", F.explode(F.array(*names)).alias("star")).filter("star != rep").distinct()
         if component is not None:
-            proposed = with_components(proposed, component)
-            other = component.select(F.col("node").alias(f"star{r}"), F.col("component").alias("far"))
-            proposed = proposed.join(other, f"star{r}", "left").filter(F.col("component") != F.coalesce("far", star))
-        pairs = proposed.select(F.least(star, "rep").alias("a"), F.greatest(star, "rep").alias("b")).distinct()
-        pairs = written(bounded_pairs(pairs, points, percent), f"star-pairs-{r}")
-        links = written(links.unionByName(linked_pairs(pairs, rows, width, percent)), f"links-{r}")
+            far = component.select(F.col("node").alias("star"), F.col("component").alias("far"))
+            proposed = with_components(proposed, component).join(far, "star", "left").filter(F.col("component") != F.coalesce("far", "star"))
+        pairs = proposed.select(F.least("star", "rep").alias("a"), F.greatest("star", "rep").alias("b")).distinct()
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        pairs = written(bounded_pairs(pairs, points, percent), "star-pairs")
+        links = written(links.unionByName(linked_pairs(pairs, rows, width, percent)), "links")
         tried = pairs if tried is None else tried.unionByName(pairs)
-        component = written(connected_components(links), f"components-{r}")
+        component = written(connected_components(links), "components")
 
-    marked = with_components(cells.select("key", "rep"), component)
-    mixed = marked.select("key", "rep", "component", (F.min("component").over(by_key) != F.max("component").over(by_key)).alias("mixed")).filter("mixed")
-    found = search_cells(mixed.join(points, "rep"), percent).join(tried, ["a", "b"], "left_anti")
+    marked = with_components(cells.select("key", "rep", "n"), component)
+    mixed = marked.select("key", "rep", "component", "n", (F.min("component").over(by_key) != F.max("component").over(by_key)).alias("mixed")).filter("mixed")
+    found = search_cells(mixed.join(points.select("rep", "counts"), "rep"), percent).join(tried, ["a", "b"], "left_anti")
     found = written(found, "tree-pairs")
     links = links.unionByName(linked_pairs(found, rows, width, percent))
     component = connected_components(links)
