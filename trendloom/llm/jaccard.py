@@ -114,39 +114,44 @@ def count_matrix(column: pa.Array, sizes: np.ndarray) -> np.ndarray:
 
 
 class CountVectorTree:
-    """An R-tree over points, bulk-loaded by cutting at the median of the size, then of the widest coordinate, in turn."""
+    """An R-tree over points, bulk-loaded by cutting at the median of the size, then of the widest coordinate, in turn.
+
+    rooms: how many elements of a set stand from the cell's key on; two sets whose first common element that is cannot
+    share more than the smaller room.
+    """
 
     LEAF = 32
 
-    def __init__(self, points: np.ndarray, sizes: np.ndarray, marks: np.ndarray, percent: int):
-        self.points, self.sizes, self.marks, self.percent = points, sizes, marks, percent
+    def __init__(self, points: np.ndarray, sizes: np.ndarray, rooms: np.ndarray, marks: np.ndarray, percent: int):
+        self.points, self.sizes, self.rooms, self.marks, self.percent = points, sizes, rooms, marks.copy(), percent
         self.nodes: list[tuple] = []
         self.root = self.load(np.arange(len(points)), 0)
 
     def load(self, own: np.ndarray, depth: int) -> int:
-        """Each node: greatest counts, least and greatest size, its mark (None if mixed), and rows or two nodes."""
+        """Each node: greatest counts, least and greatest size, a row whose mark all have (None if mixed), and rows or two nodes."""
         marks = self.marks[own]
-        mark = marks[0] if (marks == marks[0]).all() else None
+        same = own[0] if (marks == marks[0]).all() else None
         below = own
         if len(own) > self.LEAF:
             by = self.sizes[own] if depth % 2 == 0 else self.points[own, np.argmax(np.ptp(self.points[own], axis=0))]
             order = own[np.argsort(by, kind="stable")]
             half = len(order) // 2
             below = (self.load(order[:half], depth + 1), self.load(order[half:], depth + 1))
-        self.nodes.append((self.points[own].max(axis=0), self.sizes[own].min(), self.sizes[own].max(), mark, below))
+        self.nodes.append((self.points[own].max(axis=0), self.sizes[own].min(), self.sizes[own].max(), same, below))
         return len(self.nodes) - 1
 
-    def pairs(self, step: int = 2048) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Rows (i, j), i < j, of different marks whose overlap bound reaches the overlap needed."""
+    def pairs(self, slack: np.ndarray | None = None, step: int = 2048) -> Iterator[tuple[np.ndarray, int]]:
+        """Rows i and a row j > i, of different marks, whose overlap bound reaches the overlap needed, with `slack` over it
+        for that of two sets at a time; marks may be joined between two results."""
         for start in range(0, len(self.points), step):
             stack = [(self.root, np.arange(start, min(start + step, len(self.points))))]
             while stack:
                 node, queries = stack.pop()
-                greatest, least_n, most_n, mark, below = self.nodes[node]
+                greatest, least_n, most_n, same, below = self.nodes[node]
                 n = self.sizes[queries]
                 ok = (100 * least_n <= 10_000 * n // self.percent) & (100 * most_n >= self.percent * n)
-                if mark is not None:
-                    ok &= self.marks[queries] != mark
+                if same is not None:
+                    ok &= self.marks[queries] != self.marks[same]
                 queries = queries[ok]
                 if not len(queries):
                     continue
@@ -160,43 +165,70 @@ class CountVectorTree:
                     continue
                 for j in below:
                     i = queries[(queries < j) & (self.marks[queries] != self.marks[j])]
+                    i = i[np.minimum(self.rooms[i], self.rooms[j]) >= needed(self.sizes[i], self.sizes[j], self.percent)]
                     if len(i):
                         bound = np.minimum(self.points[i], self.points[j]).sum(axis=1)
-                        i = i[bound >= needed(self.sizes[i], self.sizes[j], self.percent)]
+                        least = needed(self.sizes[i], self.sizes[j], self.percent)
+                        if slack is not None:
+                            least = np.minimum(least + by_chance(self.sizes[i], self.sizes[j], bound), np.minimum(self.sizes[i], self.sizes[j]))
+                        i = i[bound >= least]
                         if len(i):
-                            yield i, np.full(len(i), j)
+                            yield i, j
+
+    def forest(self) -> list[tuple[int, int]]:
+        """Pairs that very likely link and that join the marks as far as such pairs do: fewer than there are rows."""
+        found = []
+        for i, j in self.pairs(slack=self.sizes):
+            other, first = np.unique(self.marks[i], return_index=True)
+            for mark, at in zip(other, first):
+                if mark != self.marks[j]:
+                    found.append((int(i[at]), int(j)))
+                    self.marks[self.marks == mark] = self.marks[j]
+        return found
 
 
-def search_cells(cells: DataFrame, percent: int, small: int = 8) -> DataFrame:
-    """(a, b), a < b, of each pair in a cell whose components differ and whose bound holds; a pair may come more than once.
+def by_chance(n: np.ndarray, m: np.ndarray, bound: np.ndarray) -> np.ndarray:
+    """About how much of an overlap bound comes from different elements that share a group."""
+    return 1 + 2 * (n - np.minimum(n, bound)) * (m - np.minimum(m, bound)) // GROUPS
 
-    cells: (key, rep, component, n, counts). Cells of up to `small` rows are compared row with row, larger ones by a tree.
+
+def search_cells(cells: DataFrame, percent: int, forests: bool, small: int = 8) -> DataFrame:
+    """(key, a, b, stands_for), a < b, of pairs in a cell whose components differ and whose bound holds; a pair may come from
+    several cells.
+
+    cells: (key, rep, component, n, room, counts). Cells of up to `small` rows are compared row with row, larger ones by a
+    tree. With `forests` a larger cell gives first a forest of pairs that very likely link (stands_for true), and then only
+    the pairs that this forest leaves apart: if each pair of its forest links, nothing is missed.
     """
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    schema = pa.schema([("key", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("stands_for", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def search(table: pa.Table) -> pa.RecordBatch:
-            key, rep, mark, sizes = (table.column(i).to_numpy() for i in range(4))
-            points = count_matrix(table.column(4), sizes)
+            key, rep, mark, sizes, rooms = (table.column(i).to_numpy() for i in range(5))
+            points = count_matrix(table.column(5), sizes)
             starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             lengths = np.diff(np.concatenate([starts, [len(key)]]))
             little = np.repeat(lengths <= small, lengths)
-            found = []
+            found = []  # rows i, rows j, whether they are of a forest
             for d in range(1, min(small, len(key))):
                 i = np.flatnonzero((key[d:] == key[:-d]) & little[d:] & (mark[d:] != mark[:-d]))
+                i = i[np.minimum(rooms[i], rooms[i + d]) >= needed(sizes[i], sizes[i + d], percent)]
                 if len(i):
                     bound = np.minimum(points[i], points[i + d]).sum(axis=1)
                     i = i[bound >= needed(sizes[i], sizes[i + d], percent)]
-                    found.append((rep[i], rep[i + d]))
+                    found.append((i, i + d, np.zeros(len(i), bool)))
             for s, n in zip(starts[lengths > small], lengths[lengths > small]):
                 rows = slice(s, s + n)
                 if (mark[rows] == mark[s]).all():
                     continue
-                tree = CountVectorTree(points[rows], sizes[rows], mark[rows], percent)
-                found += [(rep[rows][i], rep[rows][j]) for i, j in tree.pairs()]
-            x, y = (np.concatenate([f[k] for f in found]) if found else np.empty(0, np.int64) for k in (0, 1))
-            pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0) if len(x) else np.empty((0, 2), np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].astype(np.int64)), pa.array(pairs[:, 1].astype(np.int64))], schema=schema)
+                tree = CountVectorTree(points[rows], sizes[rows], rooms[rows], mark[rows], percent)
+                if forests and (kept := tree.forest()):
+                    i, j = np.array(kept).T
+                    found.append((s + i, s + j, np.ones(len(i), bool)))
+                found += [(s + i, np.full(len(i), s + j), np.zeros(len(i), bool)) for i, j in tree.pairs()]
+            i, j, sure = (np.concatenate([f[k] for f in found]) if found else np.empty(0, np.int64) for k in range(3))
+            x, y = rep[i], rep[j]
+            return pa.RecordBatch.from_arrays([pa.array(key[i]), pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(sure.astype(bool))], schema=schema)
 
         held: list[pa.RecordBatch] = []
         for batch in batches:
@@ -211,8 +243,8 @@ def search_cells(cells: DataFrame, percent: int, small: int = 8) -> DataFrame:
         if held:
             yield search(pa.Table.from_batches(held))
 
-    dealt = cells.repartition("key").sortWithinPartitions("key", "rep").select("key", "rep", "component", "n", "counts")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    dealt = cells.repartition("key").sortWithinPartitions("key", "rep").select("key", "rep", "component", "n", "room", "counts")
+    return dealt.mapInArrow(run, "key long, a long, b long, stands_for boolean")
 
 
 def bounded_pairs(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
@@ -273,12 +305,14 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, stars
 
     by_key = Window.partitionBy("key")
     by_size = by_key.orderBy("n")
-    near = [100 * F.lag("n").over(by_size) >= percent * F.col("n"), 100 * F.col("n") >= percent * F.lead("n").over(by_size)]
-    postings = classes.select(F.explode("keys").alias("key"), "rep", F.col("n").cast("int").alias("n"))
-    # a set whose next sizes in the cell are too far from its own has no partner there
-    cells = postings.select("key", "rep", "n", F.coalesce(near[0], F.lit(False)).alias("up"), F.coalesce(near[1], F.lit(False)).alias("down")).filter("up or down")
+    postings = classes.select(F.posexplode("keys").alias("at", "key"), "rep", F.col("n").cast("int").alias("n")).withColumn("room", F.col("n") - F.col("at"))
+    # the largest set that can link with this one if the key is the first element they share; a set that no smaller one
+    # of the cell reaches, and that reaches no larger one, has no partner there
+    reach = F.floor(F.least(100 * F.col("n") / percent, (100 + percent) * F.col("room") / percent - F.col("n")))
+    reached = [F.lead("n").over(by_size) <= reach, F.max(reach).over(by_size.rowsBetween(Window.unboundedPreceding, -1)) >= F.col("n")]
+    cells = postings.select("key", "rep", "n", "room", *[F.coalesce(x, F.lit(False)).alias(f"near{i}") for i, x in enumerate(reached)]).filter("near0 or near1")
     stars = [F.min(F.struct(F.xxhash64("rep", F.lit(r)).alias("o"), "rep")).over(by_key)["rep"].alias(f"star{r}") for r in range(stars_later + 1)]
-    cells = written(cells.select("key", "rep", "n", *stars), "cells")
+    cells = written(cells.select("key", "rep", "n", "room", *stars), "cells")
 
     same_id = member.join(member.filter("doc_id is not null").groupBy("doc_id").agg(F.min("rep").alias("a")), "doc_id").filter("a != rep").select("a", F.col("rep").alias("b"))
     links, tried, component = written(same_id, "same-id"), None, None
@@ -295,12 +329,19 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, stars
         tried = pairs if tried is None else tried.unionByName(pairs)
         component = written(connected_components(links), "components")
 
-    marked = with_components(cells.select("key", "rep", "n"), component)
-    mixed = marked.select("key", "rep", "component", "n", (F.min("component").over(by_key) != F.max("component").over(by_key)).alias("mixed")).filter("mixed")
-    found = search_cells(mixed.join(points.select("rep", "counts"), "rep"), percent).join(tried, ["a", "b"], "left_anti")
-    found = written(found, "tree-pairs")
-    links = links.unionByName(linked_pairs(found, rows, width, percent))
-    component = connected_components(links)
+    for forests in (True, False):
+        marked = with_components(cells.select("key", "rep", "n", "room"), component)
+        mixed = marked.withColumn("mixed", F.min("component").over(by_key) != F.max("component").over(by_key)).filter("mixed")
+        found = written(search_cells(mixed.join(points.select("rep", "counts"), "rep"), percent, forests), "tree-pairs")
+        pairs = written(found.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "new-pairs")
+        more = written(linked_pairs(pairs, rows, width, percent), "more-links")
+        links, tried = links.unionByName(more), tried.unionByName(pairs)
+        component = written(connected_components(links), "components")
+        # cells with a pair of a forest that does not link are searched again, pair by pair
+        failed = written(found.filter("stands_for").join(more, ["a", "b"], "left_anti").select("key").distinct(), "again")
+        if failed.isEmpty():
+            break
+        cells = cells.join(failed, "key", "left_semi")
     final = member.join(component.select(F.col("node").alias("rep"), "component"), "rep", "left")
     return final.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
 
