@@ -10,6 +10,7 @@ a backslash after their first character, and backslashes are doubled, so reading
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,25 +35,30 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, r"(?s)\\(.)", "$1")
 
 
+def union_of(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
 def enumerate_paths(messages: DataFrame) -> DataFrame:
     """(conv_id, leaf, msg_id, dist) for every leaf and each message on the way to its root, dist links above the leaf.
 
     messages: (conv_id, msg_id, parent_id), msg_id unique in its conversation. A parent that does not exist makes its
     child a root. Paths that run into a circle of parents are left out, as they have no root.
     """
-    spark = messages.sparkSession
     nodes = messages.select("conv_id", "msg_id", "parent_id")
     real = nodes.join(nodes.select("conv_id", F.col("msg_id").alias("parent_id")), ["conv_id", "parent_id"], "left_semi")
     leaves = nodes.join(real.select("conv_id", F.col("parent_id").alias("msg_id")), ["conv_id", "msg_id"], "left_anti")
     most = nodes.groupBy("conv_id").count().agg(F.max("count")).first()[0] or 1
     up = real.select("conv_id", "msg_id", F.col("parent_id").alias("above"))
-    paths = leaves.select("conv_id", F.col("msg_id").alias("leaf"), "msg_id", F.lit(0).cast("long").alias("dist"))
+    # each round's rows are written, so that the plan of the next is a union of scans and no tree of joins
+    parts = [written(leaves.select("conv_id", F.col("msg_id").alias("leaf"), "msg_id", F.lit(0).cast("long").alias("dist")), "leaves")]
     for k in range(math.ceil(math.log2(most)) if most > 1 else 0):
         up = written(up, f"above-{2**k}")
-        further = paths.join(up, ["conv_id", "msg_id"]).select("conv_id", "leaf", F.col("above").alias("msg_id"), F.col("dist") + 2**k)
-        paths = paths.unionByName(further.toDF("conv_id", "leaf", "msg_id", "dist"))
+        further = union_of(parts).join(up, ["conv_id", "msg_id"]).select("conv_id", "leaf", F.col("above").alias("msg_id"), (F.col("dist") + 2**k).alias("dist"))
+        parts.append(written(further, f"paths-{2**k}"))
         twice = up.select("conv_id", F.col("msg_id").alias("above"), F.col("above").alias("top"))
         up = up.join(twice, ["conv_id", "above"]).select("conv_id", "msg_id", F.col("top").alias("above"))
+    paths = union_of(parts)
     roots = nodes.join(real.select("conv_id", "msg_id"), ["conv_id", "msg_id"], "left_anti").select("conv_id", "msg_id")
     rooted = paths.join(roots, ["conv_id", "msg_id"], "left_semi").select("conv_id", "leaf")
     return paths.join(rooted, ["conv_id", "leaf"], "left_semi")
