@@ -40,8 +40,26 @@ def hash_sample(df: DataFrame, id_col: str, bound: int, salt: int) -> DataFrame:
     return df.filter(F.pmod(F.xxhash64(F.col(id_col), F.lit(salt)), F.lit(cells)) < int(bound / total * cells))
 
 
-def map_texts(docs: DataFrame, schema: str, make: Callable[[], Callable[[list, list], dict]]) -> DataFrame:
-    """Applies a batch function to (ids, texts) in every task.
+_owner: str | None = None
+_states: dict = {}
+
+
+def worker_state(owner: str, name, make: Callable):
+    """What `make` gave when this worker process was first asked for (owner, name); later tasks find it filled.
+
+    A worker keeps the states of one owner at a time, so that the operators of a pipeline don't add up in its memory.
+    """
+    global _owner
+    if owner != _owner:
+        _states.clear()
+        _owner = owner
+    if name not in _states:
+        _states[name] = make()
+    return _states[name]
+
+
+def map_texts(docs: DataFrame, schema: str, make: Callable[[], Callable[[list, list], dict]], rows: int = 1024) -> DataFrame:
+    """Applies a batch function to (ids, texts) in every task, to `rows` rows at a time at most.
 
     `make` runs once a task and returns the function, which gets the batch's ids and texts (null text: None) and
     returns the columns of `schema` in order as lists or arrays.
@@ -54,8 +72,10 @@ def map_texts(docs: DataFrame, schema: str, make: Callable[[], Callable[[list, l
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         apply = make()
         for batch in batches:
-            if batch.num_rows:
-                out = apply(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+            for start in range(0, batch.num_rows, rows):
+                part = batch.slice(start, rows)
+                out = apply(part.column(0).to_pylist(), part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in target], schema=target)
+        pa.default_memory_pool().release_unused()
 
     return docs.mapInArrow(run, schema)

@@ -7,6 +7,7 @@ character adds nothing. The language with the highest mean over the words wins.
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter, defaultdict
 from dataclasses import dataclass, field
 
@@ -14,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trendloom.llm.common import LETTERS, crc_residue, hash_sample, id_text, map_texts
+from trendloom.llm.common import LETTERS, crc_residue, hash_sample, id_text, map_texts, worker_state
 
 UNDETERMINED = "und"
 
@@ -45,7 +46,7 @@ def word_counts(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> D
 
         return count
 
-    partial = map_texts(rows, "lang string, word string, n long", make)
+    partial = map_texts(rows, "lang string, word string, n long", make, rows=8192)
     return partial.groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
@@ -145,10 +146,10 @@ def identify_language(docs: DataFrame, model: LanguageModel, id_col: str = "doc_
     that sorts first. Repeated rows give repeated results; an empty table gives none; a null id stays null. Other
     columns are not read.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared, tag = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def make():
-        scorer = Scorer(shared.value)
+        scorer = worker_state("language", tag, lambda: Scorer(shared.value))
 
         def apply(ids, texts):
             found = [scorer.score(t) for t in texts]

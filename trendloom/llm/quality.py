@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import zstandard
 from pyspark.sql import DataFrame
 
-from trendloom.llm.common import WORDS, id_text, map_texts
+from trendloom.llm.common import WORDS, id_text, map_texts, worker_state
 
 SYMBOLS = "#*$%&|<>"
 
@@ -82,7 +82,7 @@ def quality_rules(docs: DataFrame, bands: CompressionBands = CompressionBands(),
     """
 
     def make():
-        judge = BandJudge(bands)
+        judge = worker_state("quality", bands, lambda: BandJudge(bands))
 
         def one(text):
             words = WORDS.findall(text)

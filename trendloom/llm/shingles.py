@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import xxhash
 
+from trendloom.llm.common import worker_state
+
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
@@ -41,7 +41,6 @@ class ShingleHasher:
         return h ^ (h >> np.uint64(29))
 
 
-@lru_cache(maxsize=1)
 def worker_hasher() -> ShingleHasher:
     """One for each worker process, so that later tasks know the words already."""
-    return ShingleHasher()
+    return worker_state("shingles", "hasher", ShingleHasher)

@@ -7,13 +7,12 @@ worker, filled by encoding what the first tier misses. No pre-token is shuffled.
 from __future__ import annotations
 
 from collections import Counter
-from functools import lru_cache
 
 import numpy as np
 import regex
 from pyspark.sql import DataFrame
 
-from trendloom.llm.common import hash_sample, id_text, map_texts
+from trendloom.llm.common import hash_sample, id_text, map_texts, worker_state
 
 
 def load_tokenizer(path: str):
@@ -31,10 +30,9 @@ def special_pattern(tokenizer):
     return regex.compile("|".join(map(regex.escape, names))) if names else None
 
 
-@lru_cache(maxsize=2)
 def worker_cache(path: str, pattern: str) -> dict[str, int]:
     """Tier two of this worker process, which later tasks find filled."""
-    return {}
+    return worker_state("token-lengths", (path, pattern), dict)
 
 
 class PreTokenCounter:

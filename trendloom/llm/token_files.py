@@ -18,14 +18,13 @@ import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trendloom.llm.common import UNCOMMON, id_text
+from trendloom.llm.common import UNCOMMON, id_text, worker_state
 from trendloom.llm.token_counts import load_tokenizer, special_pattern
 from trendloom.session import shared_path, written
 
@@ -160,10 +159,9 @@ class WordEncoder:
         return b"".join(map(self.words.__getitem__, self.SPLIT.findall(text.lower())))
 
 
-@lru_cache(maxsize=2)
 def word_encoder(path: str, width: int) -> WordEncoder:
     """One for each worker process, so that later tasks find the cache filled."""
-    return WordEncoder(path, width)
+    return worker_state("word-ids", (path, width), lambda: WordEncoder(path, width))
 
 
 def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int, width: int = 2, shard_ids: int = 8_000_000,

@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trendloom.llm.common import LETTERS, crc_residue, hash_sample, id_text, map_texts
+from trendloom.llm.common import LETTERS, crc_residue, hash_sample, id_text, map_texts, worker_state
 
 BUCKET_BITS = 18
 
@@ -135,7 +135,7 @@ def score_toxicity(docs: DataFrame, model: FactorizationMachine, threshold: floa
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
-        m, hasher = shared.value, TermHasher()
+        m, hasher = shared.value, worker_state("toxicity", "hasher", TermHasher)
 
         def one(text):
             ids = hasher.buckets(text)
