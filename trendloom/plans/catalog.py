@@ -1,6 +1,443 @@
-"""Registered queries and their SQL."""
+"""Registered queries and their SQL.
+
+The tables at hand hold no weather, so each operator runs on a stand-in: orders by priority are days by type with the price
+as impact, order months by customers' nations are a field on a grid of 5 x 5 cells, events are a sub-daily series, and
+embeddings are a matrix of days and cells. Floats are rounded to six places in both forms.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from trendloom.functions.calendar import shifted_day
+from trendloom.functions.statistics import area_weight, eof_weight
+from trendloom.operators import clusters, eof, fields, indices, labels, sequences
+from trendloom.operators import decompose as dec
+from trendloom.sources import stores
+
+K = 5
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def r6(c: Column | str) -> Column:
+    return F.round(c, 6) + F.lit(0.0)
+
+
+def rounded(df: DataFrame) -> DataFrame:
+    return df.select(*[r6(c).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+def order_days(spark, sf_dir) -> DataFrame:
+    """(day, type, value): order days, the priority's number, the price."""
+    return table(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("day"), (F.substring("o_orderpriority", 1, 1).cast("int") - 1).alias("type"), F.col("o_totalprice").alias("value"))
+
+
+def daily_prices(spark, sf_dir) -> DataFrame:
+    return order_days(spark, sf_dir).groupBy("day").agg(F.avg("value").alias("value"))
+
+
+def day_labels(spark, sf_dir) -> DataFrame:
+    return order_days(spark, sf_dir).groupBy("day").agg(F.min("type").alias("type"))
+
+
+def month_field(spark, sf_dir) -> DataFrame:
+    """(day, lat, lon, value): mean price by month and nation, on a grid of 5 x 5."""
+    rows = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    nation = F.col("c_nationkey")
+    return rows.groupBy(F.trunc("o_orderdate", "month").alias("day"), (-10.0 - 2 * F.floor(nation / 5)).alias("lat"), (90.0 + 3 * (nation % 5)).alias("lon")).agg(F.avg("o_totalprice").alias("value"))
+
+
+def user_events(spark, sf_dir) -> DataFrame:
+    """(user_id, event_id, type): each user's events are a sequence; types in a fixed order of names."""
+    return labels.encode(table(spark, sf_dir, "events").select("user_id", "event_id", F.col("event_type").alias("label")), None)
+
+
+def embedding_rows(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("day"), F.col("label").alias("type"), F.col("embedding").cast("array<double>").alias("features"))
+
+
+def embedding_matrix(spark, sf_dir) -> DataFrame:
+    return embedding_rows(spark, sf_dir).select("day", F.posexplode("features").alias("cell", "value"))
+
+
+def label_centroids(spark, sf_dir) -> DataFrame:
+    rows = embedding_rows(spark, sf_dir).select("type", F.posexplode("features").alias("cell", "value"))
+    means = rows.groupBy("type", "cell").agg(F.round(F.avg("value"), 9).alias("value"))
+    return means.groupBy("type").agg(F.array_sort(F.collect_list(F.struct("cell", "value"))).alias("x")).select("type", F.transform("x", lambda c: c["value"]).alias("centre"))
+
+
+def price_table(spark, sf_dir) -> DataFrame:
+    return dec.yearly_table(order_days(spark, sf_dir), K)
+
+
+def price_index(spark, sf_dir) -> DataFrame:
+    """(year, value): a stand-in for a climate index, the mean quantity shipped by year."""
+    rows = table(spark, sf_dir, "lineitem").select(F.to_date("l_shipdate").alias("day"), F.col("l_quantity").alias("value"))
+    return indices.seasonal_mean(rows)
+
+
+DAYS = "days AS (SELECT CAST(o_orderdate AS DATE) AS day, CAST(substr(o_orderpriority, 1, 1) AS INT) - 1 AS type, o_totalprice AS value FROM orders)"
+SEASONED = """seasoned AS (
+  SELECT 'all' AS season, CAST(year(day) AS INT) AS year, day, type, value FROM days
+  UNION ALL SELECT 'cool', CAST(year(day) AS INT), day, type, value FROM days WHERE month(day) BETWEEN 4 AND 10
+  UNION ALL SELECT 'warm', CAST(year(day) + CASE WHEN month(day) >= 11 THEN 1 ELSE 0 END AS INT), day, type, value FROM days WHERE month(day) IN (11, 12, 1, 2, 3)),
+years AS (SELECT season, year, count(*) AS of_year FROM seasoned GROUP BY season, year HAVING season <> 'warm' OR count(DISTINCT day) > 100),
+yearly AS (
+  SELECT y.season, y.year, t.type, count(s.type) / any_value(y.of_year) AS frequency, avg(s.value) AS type_mean, count(s.type) AS n
+  FROM years y CROSS JOIN (SELECT CAST(range AS INT) AS type FROM range(5)) t
+  LEFT JOIN seasoned s ON s.season = y.season AND s.year = y.year AND s.type = t.type GROUP BY y.season, y.year, t.type)"""
+TRENDS = """trends AS (
+  SELECT season, type, CASE WHEN regr_count(frequency, year) >= 3 THEN regr_slope(frequency, year) END AS freq_trend,
+    CASE WHEN regr_count(type_mean, year) >= 3 THEN regr_slope(type_mean, year) END AS mean_trend, avg(frequency) AS mean_frequency, avg(type_mean) AS mean_type_mean
+  FROM yearly GROUP BY season, type),
+totals AS (
+  SELECT season, CASE WHEN count(*) >= 3 THEN regr_slope(regional, year) END AS total
+  FROM (SELECT season, year, sum(frequency * coalesce(type_mean, 0)) AS regional FROM yearly GROUP BY season, year) GROUP BY season),
+terms AS (
+  SELECT season, total, coalesce(sum(freq_trend * mean_type_mean), 0) AS frequency_term, coalesce(sum(mean_frequency * mean_trend), 0) AS intensity_term,
+    coalesce(sum(freq_trend * mean_trend), 0) AS cross_term FROM totals JOIN trends USING (season) GROUP BY season, total)"""
+FIELD = """field AS (
+  SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS day, CAST(-10 - 2 * (c_nationkey // 5) AS DOUBLE) AS lat, CAST(90 + 3 * (c_nationkey % 5) AS DOUBLE) AS lon, avg(o_totalprice) AS value
+  FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL)"""
+WEIGHT = "greatest(cos(radians(lat)), 0)"
+EVENTS = """coded AS (
+  SELECT user_id, event_id, CAST((SELECT count(DISTINCT o.event_type) FROM events o WHERE o.event_type < e.event_type) AS INT) AS type FROM events e)"""
+INDEX = "ix AS (SELECT CAST(year(l_shipdate) AS INT) AS year, avg(l_quantity) AS x FROM lineitem GROUP BY ALL)"
+CELLS = """cells AS (SELECT vec_id AS day, label AS type, unnest(range(len(embedding))) AS cell, CAST(unnest(embedding) AS DOUBLE) AS value FROM embeddings)"""
+CENTRES = "centres AS (SELECT type, cell, round(avg(value), 9) AS centre FROM cells GROUP BY ALL)"
+NEAREST = """far AS (SELECT day, c.type, sum((value - centre) * (value - centre)) AS d FROM cells JOIN centres c USING (cell) GROUP BY day, c.type),
+nearest AS (SELECT day, arg_min(type, (d, type)) AS type, min(d) AS distance2 FROM far GROUP BY day)"""
+
+
+@query(f"WITH {DAYS}, {SEASONED}, {TRENDS} SELECT season, round(total, 6) + 0.0 AS total, round(frequency_term, 6) + 0.0 AS frequency_term, round(intensity_term, 6) + 0.0 AS intensity_term, round(cross_term, 6) + 0.0 AS cross_term FROM terms")
+def decompose_orders(spark, sf_dir):
+    rows = order_days(spark, sf_dir)
+    tables = clusters.union_all([dec.yearly_table(rows, K, s) for s in ("all", "cool", "warm")])
+    return rounded(dec.decompose(tables).select("season", "total", "frequency_term", "intensity_term", "cross_term"))
+
+
+@query(f"WITH {DAYS}, {SEASONED} SELECT season, year, type, round(frequency, 6) + 0.0 AS frequency, round(type_mean, 6) + 0.0 AS type_mean, n FROM yearly")
+def yearly_table_orders(spark, sf_dir):
+    rows = order_days(spark, sf_dir)
+    return rounded(clusters.union_all([dec.yearly_table(rows, K, s) for s in ("all", "cool", "warm")]))
+
+
+@query(f"WITH {DAYS}, {SEASONED}, {TRENDS} SELECT season, type, round(freq_trend, 9) + 0.0 AS freq_trend, round(mean_trend, 6) + 0.0 AS mean_trend, round(mean_frequency, 6) + 0.0 AS mean_frequency, round(mean_type_mean, 6) + 0.0 AS mean_type_mean FROM trends WHERE season = 'all'")
+def type_trends_orders(spark, sf_dir):
+    found = dec.type_trends(price_table(spark, sf_dir))
+    return found.select("season", "type", (F.round("freq_trend", 9) + 0.0).alias("freq_trend"), *[r6(c).alias(c) for c in ("mean_trend", "mean_frequency", "mean_type_mean")])
+
+
+@query("""SELECT t.type, round(avg(l_quantity), 6) AS type_mean, count(l_quantity) AS n FROM (SELECT CAST(range AS INT) AS type FROM range(4)) t
+LEFT JOIN (SELECT CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 WHEN 'R' THEN 2 END AS type, l_quantity FROM lineitem) USING (type) GROUP BY t.type""")
+def type_means_lineitem(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("label"), F.col("l_quantity").alias("value"))
+    return rounded(dec.type_means(labels.encode(rows, ["A", "N", "R"]), 4))
+
+
+@query(f"WITH {DAYS} SELECT t.type, round(count(d.type) / (SELECT count(*) FROM days), 6) AS frequency FROM (SELECT CAST(range AS INT) AS type FROM range(6)) t LEFT JOIN days d ON d.type = t.type GROUP BY t.type")
+def frequencies_orders(spark, sf_dir):
+    return rounded(dec.frequencies(order_days(spark, sf_dir), 6))
+
+
+@query(f"WITH {DAYS}, {SEASONED} SELECT season, year, type, round(regr_intercept(frequency, year) OVER w + regr_slope(frequency, year) OVER w * year, 6) + 0.0 AS freq_fit, round(frequency - (regr_intercept(frequency, year) OVER w + regr_slope(frequency, year) OVER w * year), 6) + 0.0 AS freq_residual FROM yearly WHERE season = 'all' WINDOW w AS (PARTITION BY season, type)")
+def fitted_lines_orders(spark, sf_dir):
+    return rounded(dec.fitted_lines(price_table(spark, sf_dir)).select("season", "year", "type", "freq_fit", "freq_residual"))
+
+
+@query()
+def bootstrap_orders(spark, sf_dir):
+    return rounded(dec.intervals(dec.block_bootstrap(price_table(spark, sf_dir), draws=200, block=3)))
+
+
+@query(f"WITH {DAYS}, {SEASONED}, {TRENDS} SELECT round(avg(total), 6) AS mean, round(stddev_samp(total), 6) AS sd, round(min(total), 6) AS least, round(max(total), 6) AS greatest, min(total) > 0 OR max(total) < 0 AS sign_stable FROM terms")
+def across_partitions_orders(spark, sf_dir):
+    rows = order_days(spark, sf_dir)
+    return rounded(dec.across_partitions(dec.decompose(clusters.union_all([dec.yearly_table(rows, K, s) for s in ("all", "cool", "warm")])), "total"))
+
+
+@query(f"WITH {DAYS}, {SEASONED}, {TRENDS} SELECT season, round(abs(frequency_term) / (abs(frequency_term) + abs(intensity_term)), 6) AS frequency_share FROM terms")
+def frequency_share_orders(spark, sf_dir):
+    rows = order_days(spark, sf_dir)
+    shares = dec.frequency_share(dec.decompose(clusters.union_all([dec.yearly_table(rows, K, s) for s in ("all", "cool", "warm")])))
+    return rounded(shares.select("season", "frequency_share"))
+
+
+@query("SELECT split_part(o_orderpriority, '-', 1) AS regime, CAST(substr(o_orderpriority, 1, 1) AS INT) - 1 AS type, count(*) AS n FROM orders GROUP BY ALL")
+def regimes_orders(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select(labels.regime(F.col("o_orderpriority")).alias("label"))
+    return labels.encode(rows, ["1", "2", "3", "4", "5"]).groupBy(F.col("label").alias("regime"), "type").agg(F.count("*").alias("n"))
+
+
+@query("SELECT CAST(l_shipdate AS DATE) AS day, round(avg(l_quantity), 6) AS value FROM lineitem WHERE CAST(l_shipdate AS DATE) IN (SELECT CAST(o_orderdate AS DATE) FROM orders) GROUP BY 1")
+def aligned_shipments(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select(F.to_date("l_shipdate").alias("day"), F.col("l_quantity").alias("value"))
+    return rounded(labels.align_to(rows.groupBy("day").agg(F.avg("value").alias("value")), order_days(spark, sf_dir)))
+
+
+@query("SELECT CAST(ts AS DATE) AS day, event_type, round(avg(value), 6) AS value FROM events GROUP BY ALL")
+def daily_mean_events(spark, sf_dir):
+    return rounded(fields.daily_mean(table(spark, sf_dir, "events"), ["event_type"], "ts"))
+
+
+@query("SELECT CAST(ts - INTERVAL 9 HOUR AS DATE) AS day, count(*) AS n FROM events WHERE hour(ts) IN (0, 6, 12, 18) GROUP BY 1")
+def shifted_hours_events(spark, sf_dir):
+    rows = fields.at_hours(table(spark, sf_dir, "events"), [0, 6, 12, 18], "ts")
+    return rows.groupBy(shifted_day(F.col("ts"), -9).alias("day")).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {FIELD} SELECT day, lat, lon, round(value, 6) AS value, round({WEIGHT}, 6) AS area, round(sqrt({WEIGHT}), 6) AS root FROM field WHERE lat BETWEEN -16 AND -12 AND lon BETWEEN 93 AND 99")
+def box_weights(spark, sf_dir):
+    return rounded(fields.in_box(month_field(spark, sf_dir), -16, -12, 93, 99).withColumns({"area": area_weight(F.col("lat")), "root": eof_weight(F.col("lat"))}).select("day", "lat", "lon", "value", "area", "root"))
+
+
+@query(f"""WITH {FIELD}, whole AS (SELECT lat, lon FROM field GROUP BY lat, lon HAVING count(value) = (SELECT count(DISTINCT day) FROM field))
+SELECT day, round(sum(value * {WEIGHT}) / sum({WEIGHT}), 6) AS value FROM field JOIN whole USING (lat, lon) GROUP BY day""")
+def regional_mean_months(spark, sf_dir):
+    return rounded(fields.regional_mean(month_field(spark, sf_dir)))
+
+
+@query(f"WITH {FIELD} SELECT day, round(sum(value * {WEIGHT}) / sum({WEIGHT}), 6) AS value FROM field GROUP BY day")
+def spatial_mean_months(spark, sf_dir):
+    return rounded(fields.spatial_mean(month_field(spark, sf_dir)))
+
+
+@query(f"""WITH {FIELD}, a AS (SELECT lat, (row_number() OVER (ORDER BY lat) - 1) // 2 AS b FROM (SELECT DISTINCT lat FROM field)), o AS (SELECT lon, (row_number() OVER (ORDER BY lon) - 1) // 2 AS b FROM (SELECT DISTINCT lon FROM field)),
+an AS (SELECT lat, avg(lat) OVER w AS new_lat, count(*) OVER w AS n FROM a WINDOW w AS (PARTITION BY b)), lo AS (SELECT lon, avg(lon) OVER w AS new_lon, count(*) OVER w AS n FROM o WINDOW w AS (PARTITION BY b))
+SELECT day, new_lat AS lat, new_lon AS lon, round(avg(value), 6) AS value FROM field JOIN an USING (lat) JOIN lo USING (lon) WHERE an.n = 2 AND lo.n = 2 GROUP BY ALL""")
+def coarsened_months(spark, sf_dir):
+    return rounded(fields.coarsen(month_field(spark, sf_dir), 2))
+
+
+@query(f"WITH {FIELD} SELECT day, lat, lon, round(value / stddev_pop(value) OVER (PARTITION BY lat, lon), 6) AS value FROM field")
+def standardised_months(spark, sf_dir):
+    return rounded(fields.standardise_cells(month_field(spark, sf_dir)).select("day", "lat", "lon", "value"))
+
+
+@query(f"WITH {FIELD} SELECT 'price' AS variable, round(stddev_pop(value), 6) AS scale FROM field")
+def variable_scale_months(spark, sf_dir):
+    return rounded(fields.variable_scales(month_field(spark, sf_dir).withColumn("variable", F.lit("price"))))
+
+
+@query(f"""WITH {FIELD}, x AS (SELECT *, date_diff('day', DATE '1970-01-01', day) / 365.25 AS x FROM field), l AS (SELECT lat, lon, regr_slope(value, x) AS b, regr_intercept(value, x) AS a FROM x GROUP BY lat, lon)
+SELECT day, lat, lon, round(value - (a + b * x), 4) + 0.0 AS value FROM x JOIN l USING (lat, lon)""")
+def detrended_months(spark, sf_dir):
+    return fields.detrend(month_field(spark, sf_dir)).select("day", "lat", "lon", (F.round("value", 4) + 0.0).alias("value"))
+
+
+@query()
+def anomalies_months(spark, sf_dir):
+    return rounded(fields.detrend(fields.anomaly(month_field(spark, sf_dir), 2)).select("day", "lat", "lon", "value"))
+
+
+@query(f"""WITH {FIELD}, s AS (SELECT day, lat, lon, coalesce(lead(value) OVER w, value) - coalesce(lag(value) OVER w, value) AS rise, coalesce(lead(lon) OVER w, lon) - coalesce(lag(lon) OVER w, lon) AS run FROM field WINDOW w AS (PARTITION BY day, lat ORDER BY lon))
+SELECT day, lat, lon, round(rise / nullif(run, 0) / (111320.0 * cos(radians(lat)) * 2 * 7.2921e-5 * sin(radians(lat))), 6) AS wind FROM s""")
+def gradient_wind_months(spark, sf_dir):
+    return rounded(fields.gradient_wind(month_field(spark, sf_dir)))
+
+
+def shifted_grid(spark) -> DataFrame:
+    """A grid between the cells, with a line outside of them."""
+    side = spark.range(5).select((-17.0 + 2 * F.col("id")).alias("lat"))
+    return side.join(spark.range(5).select((91.0 + 3 * F.col("id")).alias("lon")), how="cross")
+
+
+@query(f"""WITH {FIELD}, lat_pairs AS (SELECT -17.0::DOUBLE + 2 * range AS lat FROM range(5)), lon_pairs AS (SELECT 91.0::DOUBLE + 3 * range AS lon FROM range(5)), grid AS (SELECT DISTINCT day, g.lat, o.lon FROM field, lat_pairs g, lon_pairs o)
+SELECT g.day, g.lat, g.lon, round((a.value * 2 + b.value) / 6 + (c.value * 2 + d.value) / 6, 6) AS value FROM grid g
+LEFT JOIN field a ON a.day = g.day AND a.lat = g.lat - 1 AND a.lon = g.lon - 1 LEFT JOIN field b ON b.day = g.day AND b.lat = g.lat - 1 AND b.lon = g.lon + 2
+LEFT JOIN field c ON c.day = g.day AND c.lat = g.lat + 1 AND c.lon = g.lon - 1 LEFT JOIN field d ON d.day = g.day AND d.lat = g.lat + 1 AND d.lon = g.lon + 2""")
+def regridded_months(spark, sf_dir):
+    return rounded(fields.regrid(month_field(spark, sf_dir), shifted_grid(spark)))
+
+
+@query(f"""WITH {FIELD}, frame AS (SELECT DISTINCT lat, lon, CAST(range AS INT) AS type FROM field, range(4)) SELECT type, lat, lon, round(avg(value), 6) AS value FROM frame LEFT JOIN field USING (lat, lon) WHERE month(day) % 4 = type GROUP BY ALL""")
+def composite_months(spark, sf_dir):
+    field = month_field(spark, sf_dir)
+    return rounded(sequences.composite(field, field.select("day").distinct().withColumn("type", (F.month("day") % 4).cast("int")), 4))
+
+
+@query(f"WITH {DAYS} SELECT t.type, CAST(m.month AS INT) AS month, count(d.day) AS n FROM (SELECT CAST(range AS INT) AS type FROM range(5)) t CROSS JOIN (SELECT range AS month FROM range(1, 13)) m LEFT JOIN days d ON d.type = t.type AND month(d.day) = m.month GROUP BY ALL")
+def seasonal_counts_orders(spark, sf_dir):
+    return sequences.seasonal_counts(order_days(spark, sf_dir), K)
+
+
+RUNS = f"""{EVENTS}, marked AS (SELECT *, CASE WHEN lag(type) OVER w = type THEN 0 ELSE 1 END AS new FROM coded WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+numbered AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY event_id) AS run FROM marked),
+runs AS (SELECT user_id, any_value(type) AS type, min(event_id) AS start, count(*) AS length FROM numbered GROUP BY user_id, run)"""
+
+
+@query(f"WITH {RUNS} SELECT user_id, type, start, length FROM runs")
+def run_lengths_events(spark, sf_dir):
+    return sequences.run_lengths(user_events(spark, sf_dir), ["user_id"], "event_id")
+
+
+@query(f"WITH {RUNS} SELECT t.type, round(avg(length), 6) AS mean_run, median(length) AS median_run, count(length) AS runs FROM (SELECT CAST(range AS INT) AS type FROM range(6)) t LEFT JOIN runs USING (type) GROUP BY t.type")
+def persistence_events(spark, sf_dir):
+    return rounded(sequences.persistence(user_events(spark, sf_dir), 6, ["user_id"], "event_id"))
+
+
+STEPS = f"{EVENTS}, steps AS (SELECT type, lead(type) OVER (PARTITION BY user_id ORDER BY event_id) AS type_to FROM coded), frame AS (SELECT CAST(a.range AS INT) AS type, CAST(b.range AS INT) AS type_to FROM range(5) a, range(5) b), counted AS (SELECT f.type, f.type_to, count(s.type) AS n FROM frame f LEFT JOIN steps s ON s.type = f.type AND s.type_to = f.type_to GROUP BY ALL)"
+
+
+@query(f"WITH {STEPS} SELECT * FROM counted")
+def transitions_events(spark, sf_dir):
+    return sequences.transitions(user_events(spark, sf_dir), K, series=["user_id"], at="event_id")
+
+
+@query(f"WITH {STEPS} SELECT type, type_to, round(coalesce(n / nullif(sum(n) OVER (PARTITION BY type), 0), 0), 6) AS n FROM counted")
+def transition_shares_events(spark, sf_dir):
+    return rounded(sequences.transitions(user_events(spark, sf_dir), K, True, ["user_id"], "event_id"))
+
+
+@query(f"WITH {STEPS} SELECT round((sum(n) FILTER ((type_to - type + 5) % 5 = 1) - sum(n) FILTER ((type_to - type + 5) % 5 = 4)) / sum(n) FILTER ((type_to - type + 5) % 5 IN (1, 4)), 6) + 0.0 AS asymmetry FROM counted")
+def cyclic_asymmetry_events(spark, sf_dir):
+    return rounded(sequences.cyclic_asymmetry(sequences.transitions(user_events(spark, sf_dir), K, series=["user_id"], at="event_id"), range(K)))
+
+
+def _z(name: str, centre: float, half: float) -> str:
+    return f"""{name}_lines AS (SELECT day, lat, avg(value) AS v FROM field WHERE abs(lat - ({centre})) <= {half} GROUP BY day, lat), {name}_days AS (SELECT day, avg(v) AS v FROM {name}_lines GROUP BY day),
+{name} AS (SELECT day, (v - avg(v) OVER ()) / stddev_pop(v) OVER () AS v FROM {name}_days)"""
+
+
+@query(f"WITH {FIELD}, {_z('a', -12.0, 1.0)}, {_z('b', -16.0, 1.0)} SELECT day, round(a.v - b.v, 6) + 0.0 AS value FROM a JOIN b USING (day)")
+def sam_proxy_months(spark, sf_dir):
+    return rounded(indices.sam_proxy(month_field(spark, sf_dir), -12.0, -16.0, 1.0))
+
+
+@query(f"WITH {FIELD}, {_z('a', -13.0, 2.0)} SELECT day, round(v, 6) + 0.0 AS value FROM a")
+def ridge_index_months(spark, sf_dir):
+    return rounded(indices.ridge_index(month_field(spark, sf_dir), -13.0, 2.0))
+
+
+@query(f"WITH {DAYS}, {SEASONED} SELECT season, year, round(avg(value), 6) AS value FROM seasoned GROUP BY season, year")
+def seasonal_mean_orders(spark, sf_dir):
+    rows = order_days(spark, sf_dir)
+    return rounded(clusters.union_all([indices.seasonal_mean(rows, s).withColumn("season", F.lit(s)) for s in ("all", "cool", "warm")]).select("season", "year", "value"))
+
+
+SHARED = f"{DAYS}, {SEASONED}, {INDEX}, shared AS (SELECT yearly.*, x FROM yearly JOIN ix USING (year) WHERE season = 'all')"
+
+
+@query(f"WITH {SHARED} SELECT type, round(regr_slope(frequency, x), 6) + 0.0 AS slope, round(covar_pop(frequency, x) / nullif(stddev_pop(frequency) * stddev_pop(x), 0), 6) + 0.0 AS r FROM shared GROUP BY type")
+def index_regression(spark, sf_dir):
+    return rounded(indices.regress_on_index(price_table(spark, sf_dir), price_index(spark, sf_dir)))
+
+
+REST = """fitted AS (SELECT *, regr_slope(frequency, x) OVER (PARTITION BY type) AS b, regr_slope(type_mean, x) OVER (PARTITION BY type) AS bm, (SELECT avg(x) FROM (SELECT DISTINCT year, x FROM shared)) AS centre FROM shared)"""
+
+
+@query(f"WITH {SHARED}, {REST} SELECT type, round(regr_slope(frequency, year), 9) + 0.0 AS before, round(regr_slope(frequency - b * (x - centre), year), 9) + 0.0 AS after FROM fitted GROUP BY type")
+def residual_trend_orders(spark, sf_dir):
+    found = indices.residual_trend(price_table(spark, sf_dir), price_index(spark, sf_dir))
+    return found.select("type", *[(F.round(c, 9) + 0.0).alias(c) for c in ("before", "after")])
+
+
+@query(f"""WITH {SHARED}, t AS (SELECT regr_slope(x, year) AS index_trend FROM ix), o AS (SELECT type, regr_slope(frequency, year) AS observed FROM yearly WHERE season = 'all' GROUP BY type), g AS (SELECT type, regr_slope(frequency, x) AS slope FROM shared GROUP BY type)
+SELECT type, round(slope * index_trend, 9) + 0.0 AS predicted_trend, round(observed, 9) + 0.0 AS observed_trend, round(CASE WHEN abs(observed) > 0.1 * max(abs(observed)) OVER () THEN slope * index_trend / observed END, 6) + 0.0 AS ratio FROM o JOIN g USING (type), t""")
+def attributable_fraction_orders(spark, sf_dir):
+    found = indices.attributable_fraction(price_table(spark, sf_dir), price_index(spark, sf_dir))
+    return found.select("type", *[(F.round(c, 9) + 0.0).alias(c) for c in ("predicted_trend", "observed_trend")], r6("ratio").alias("ratio"))
+
+
+@query(f"""WITH {SHARED}, {REST}, cut AS (SELECT year, type, greatest(frequency - b * (x - centre), 0) AS raw, type_mean - bm * (x - centre) AS type_mean FROM fitted)
+SELECT year, type, round(raw / sum(raw) OVER (PARTITION BY year), 6) AS frequency, round(type_mean, 6) AS type_mean FROM cut""")
+def index_removed_orders(spark, sf_dir):
+    return rounded(indices.remove_index(price_table(spark, sf_dir), price_index(spark, sf_dir), least_years=5).select("year", "type", "frequency", "type_mean"))
+
+
+@query(f"""WITH {DAYS}, l AS (SELECT day, min(type) AS type FROM days GROUP BY day), s AS (SELECT CAST(l_shipdate AS DATE) AS day, l_quantity AS v FROM lineitem),
+m AS (SELECT CAST(o.range AS INT) AS "offset", type, avg(v) AS m, count(*) AS n FROM l, range(-3, 4) o JOIN s ON s.day = l.day + CAST(o.range AS INT) GROUP BY ALL), c AS (SELECT "offset", sum(m * n) / sum(n) AS centre FROM m GROUP BY "offset")
+SELECT "offset", round(sqrt(sum(n * (m - centre) * (m - centre)) / sum(n)), 6) AS spread, round(max(m) - min(m), 6) AS gap FROM m JOIN c USING ("offset") GROUP BY "offset" """)
+def offset_spread_shipments(spark, sf_dir):
+    impact = table(spark, sf_dir, "lineitem").select(F.to_date("l_shipdate").alias("day"), F.col("l_quantity").alias("value"))
+    return rounded(indices.offset_spread(impact, day_labels(spark, sf_dir), range(-3, 4)))
+
+
+@query(f"""WITH {DAYS}, d AS (SELECT day, avg(value) AS value, CASE WHEN month(day) BETWEEN 4 AND 10 THEN 'cool' ELSE 'warm' END AS half FROM days GROUP BY day), q AS (SELECT half, quantile_cont(value, 0.9) AS q FROM d GROUP BY half)
+SELECT day, round(value, 6) AS value, CAST(value > q AS INT) AS hot FROM d JOIN q USING (half)""")
+def hot_days_orders(spark, sf_dir):
+    return rounded(indices.hot_days(daily_prices(spark, sf_dir)))
+
+
+@query("""WITH s AS (SELECT event_type, value, lead(value) OVER (PARTITION BY event_type ORDER BY event_id) AS next FROM events)
+SELECT event_type, round(covar_pop(value, next) / (stddev_pop(value) FILTER (next IS NOT NULL) * stddev_pop(next)), 6) + 0.0 AS r FROM s WHERE next IS NOT NULL GROUP BY event_type""")
+def lag_correlation_events(spark, sf_dir):
+    return rounded(indices.lag_correlation(table(spark, sf_dir, "events"), ["event_type"], "event_id"))
+
+
+@query("SELECT c_mktsegment FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1 HAVING count(DISTINCT o_orderpriority) = (SELECT count(DISTINCT o_orderpriority) FROM orders)")
+def segments_with_all_priorities(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders")
+    rows = orders.join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).select("c_mktsegment", "o_orderpriority")
+    names = [r[0] for r in orders.select("o_orderpriority").distinct().collect()]
+    return stores.having_all(rows, "c_mktsegment", "o_orderpriority", names)
+
+
+@query("SELECT DISTINCT p_type FROM part WHERE contains(lower(p_type), 'eco') OR contains(lower(p_type), 'mo')")
+def part_types_by_name(spark, sf_dir):
+    return stores.find_variables(table(spark, sf_dir, "part"), ["Eco", "mo"], "p_type")
+
+
+@query(f"WITH {FIELD} SELECT min(day) AS start, max(day) AS stop, count(DISTINCT day) AS moments, count(DISTINCT (lat, lon)) AS cells, count(*) AS rows, count(*) * 4 / 1e9 AS gigabytes FROM field")
+def describe_months(spark, sf_dir):
+    return stores.describe(month_field(spark, sf_dir).withColumnRenamed("day", "time"))
+
+
+@query(f"WITH {CELLS} SELECT cell, round(var_samp(value), 6) AS variance FROM cells GROUP BY cell")
+def cell_variances_embeddings(spark, sf_dir):
+    return rounded(eof.centred(embedding_matrix(spark, sf_dir)).groupBy("cell").agg(F.var_samp("value").alias("variance")))
+
+
+@query()
+def spectrum_embeddings(spark, sf_dir):
+    matrix = embedding_matrix(spark, sf_dir)
+    spectrum, _, _ = eof.components(matrix, 10)
+    return rounded(eof.separable(eof.cumulative(spectrum), table(spark, sf_dir, "embeddings").count()))
+
+
+@query(f"WITH {CELLS}, {CENTRES}, means AS (SELECT cell, avg(value) AS mean FROM cells GROUP BY cell) SELECT day, c.type AS mode, round(sum((value - mean) * centre), 6) + 0.0 AS pc FROM cells JOIN means USING (cell) JOIN centres c USING (cell) GROUP BY ALL")
+def projection_embeddings(spark, sf_dir):
+    patterns = label_centroids(spark, sf_dir).select(F.col("type").alias("mode"), F.posexplode("centre").alias("cell", "loading"))
+    return rounded(eof.project(embedding_matrix(spark, sf_dir), patterns))
+
+
+@query(f"WITH {CELLS}, {CENTRES}, {NEAREST} SELECT day, type, round(distance2, 6) AS distance2 FROM nearest")
+def assigned_embeddings(spark, sf_dir):
+    return rounded(clusters.assign(embedding_rows(spark, sf_dir).drop("type"), label_centroids(spark, sf_dir)))
+
+
+@query(f"WITH {CELLS}, {CENTRES}, {NEAREST} SELECT n.type, e.label AS type_to, count(*) AS n FROM nearest n JOIN embeddings e ON e.vec_id = n.day GROUP BY ALL")
+def contingency_embeddings(spark, sf_dir):
+    rows = embedding_rows(spark, sf_dir)
+    return clusters.contingency(clusters.assign(rows.drop("type"), label_centroids(spark, sf_dir)), rows)
+
+
+@query(f"""WITH {CELLS}, {CENTRES}, {NEAREST}, f AS (SELECT type, count(*) / (SELECT count(*) FROM embeddings) AS f FROM nearest GROUP BY type), g AS (SELECT label AS type, count(*) / (SELECT count(*) FROM embeddings) AS g FROM embeddings GROUP BY label)
+SELECT CAST(t.range AS INT) AS type, round(coalesce(f, 0) - coalesce(g, 0), 6) + 0.0 AS bias FROM range(10) t LEFT JOIN f ON f.type = t.range LEFT JOIN g ON g.type = t.range""")
+def frequency_bias_embeddings(spark, sf_dir):
+    rows = embedding_rows(spark, sf_dir)
+    return rounded(clusters.frequency_bias(clusters.assign(rows.drop("type"), label_centroids(spark, sf_dir)), rows, 10))
+
+
+@query()
+def partition_embeddings(spark, sf_dir):
+    found, _ = clusters.best_partition(embedding_rows(spark, sf_dir).drop("type"), 4, starts=3)
+    return found
