@@ -13,12 +13,11 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-from functools import lru_cache
 
 import regex
 from pyspark.sql import DataFrame
 
-from trendloom.llm.common import UNCOMMON, id_text, map_texts
+from trendloom.llm.common import UNCOMMON, id_text, map_texts, worker_state
 
 #: A public split pattern, and what it means in texts of common characters, for the standard library's faster engine.
 KNOWN_SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -44,8 +43,8 @@ def merge_bytes(data: bytes, ranks: dict[bytes, int]) -> list[bytes]:
 class Transducer:
     """Encodes pre-tokens. encode(piece) is the tuple of ids, as rank-ordered merges give them."""
 
-    def __init__(self, ranks: dict[bytes, int], max_moves: int = 400_000):
-        self.ranks, self.max_moves = ranks, max_moves
+    def __init__(self, ranks: dict[bytes, int], max_moves: int = 400_000, max_fits: int = 500_000):
+        self.ranks, self.max_moves, self.max_fits = ranks, max_moves, max_fits
         self.names = {r: t for t, r in ranks.items()}
         self.children: list[dict[int, int]] = [{}]
         self.token = [-1]
@@ -60,7 +59,7 @@ class Transducer:
                 node = below
             self.token[node] = r
         self.formed: dict[int, bool] = {}
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: dict[int, bool] = {}
         self.restart()
 
     def restart(self) -> None:
@@ -75,16 +74,16 @@ class Transducer:
             ok = self.formed[token] = len(merge_bytes(self.names[token], self.ranks)) == 1
         if not ok or before < 0:
             return ok
-        fit = self.fits.get((before, token))
+        fit = self.fits.get(before << 32 | token)
         if fit is None:
-            if len(self.fits) > 500_000:
+            if len(self.fits) > self.max_fits:
                 self.fits.clear()
             left, right = self.names[before], self.names[token]
-            fit = self.fits[before, token] = merge_bytes(left + right, self.ranks) == [left, right]
+            fit = self.fits[before << 32 | token] = merge_bytes(left + right, self.ranks) == [left, right]
         return fit
 
-    def move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        """Makes the move from a state on a byte: (next state, tokens written)."""
+    def move(self, state: int, byte: int) -> int | tuple[int, tuple[int, ...]]:
+        """Makes the move from a state on a byte: the next state, with the tokens written if there are any."""
         places, here = [], None
         for node, before, waiting in self.states[state]:
             below = self.children[node].get(byte)
@@ -107,7 +106,7 @@ class Transducer:
         if number is None:
             number = self.number[following] = len(self.states)
             self.states.append(following)
-        made = self.moves[state << 8 | byte] = (number, here[2][:agreed])
+        made = self.moves[state << 8 | byte] = (number, here[2][:agreed]) if agreed else number
         return made
 
     def encode(self, piece: bytes) -> tuple[int, ...]:
@@ -121,8 +120,10 @@ class Transducer:
             made = get(state << 8 | byte)
             if made is None:
                 made = self.move(state, byte)
-            state, wrote = made
-            if wrote:
+            if made.__class__ is int:
+                state = made
+            else:
+                state, wrote = made
                 out += wrote
         return (*out, *self.states[state][-1][2])
 
@@ -160,17 +161,11 @@ class Utf8Stream:
         return held
 
 
-@lru_cache(maxsize=2)
-def transducer(path: str) -> Transducer:
-    """One for each worker process and vocabulary."""
-    return Transducer(load_ranks(path))
-
-
 class TextEncoder:
     """Encodes texts: splits them by the pattern, looks pieces up in a bounded cache, and runs the transducer on the rest."""
 
-    def __init__(self, path: str, pattern: str, cache: int = 300_000):
-        self.machine, self.split, self.room = transducer(path), regex.compile(pattern), cache
+    def __init__(self, path: str, pattern: str, cache: int = 200_000, max_moves: int = 400_000):
+        self.machine, self.split, self.room = Transducer(load_ranks(path), max_moves, max_moves), regex.compile(pattern), cache
         self.common = re.compile(COMMON_SPLIT) if pattern == KNOWN_SPLIT else None
         self.cache: dict[str, str] = {}
         self.older: dict[str, str] = {}
@@ -191,10 +186,9 @@ class TextEncoder:
         return " ".join([self.cache.get(p) or self.piece(p) for p in split.findall(text)])
 
 
-@lru_cache(maxsize=2)
-def text_encoder(path: str, pattern: str) -> TextEncoder:
+def text_encoder(*how) -> TextEncoder:
     """One for each worker process, so that later tasks find the cache filled."""
-    return TextEncoder(path, pattern)
+    return worker_state("bpe", how, lambda: TextEncoder(*how))
 
 
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -209,12 +203,14 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
     return map_texts(id_text(docs, id_col, text_col), "doc_id long, ids array<int>", make)
 
 
-def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", step: int = 4096) -> DataFrame:
+def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", step: int = 4096,
+               cache: int = 200_000, max_moves: int = 400_000) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): encodes as encode_documents does, decodes the ids again in steps of
-    `step`, and gives the digests of the decimal ids joined by one space and of the decoded bytes."""
+    `step`, and gives the digests of the decimal ids joined by one space and of the decoded bytes. cache and max_moves bound
+    a worker's memory: pieces in each of two generations, and moves of the transducer; smaller ones cost time only."""
 
     def make():
-        encoder = text_encoder(ranks_path, pattern)
+        encoder = text_encoder(ranks_path, pattern, cache, max_moves)
         names = encoder.machine.names
 
         def one(text):

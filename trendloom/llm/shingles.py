@@ -14,7 +14,7 @@ _MIX = np.uint64(0xBF58476D1CE4E5B9)
 class ShingleHasher:
     """64-bit hashes of runs of words, the same in every process. Words are remembered up to a bound."""
 
-    def __init__(self, cache: int = 400_000):
+    def __init__(self, cache: int = 100_000):
         self.seen, self.room = {}, cache
 
     def words(self, words: list[str]) -> np.ndarray:
