@@ -167,6 +167,7 @@ class TextEncoder:
     def __init__(self, path: str, pattern: str, cache: int = 200_000, max_moves: int = 400_000):
         self.machine, self.split, self.room = Transducer(load_ranks(path), max_moves, max_moves), regex.compile(pattern), cache
         self.common = re.compile(COMMON_SPLIT) if pattern == KNOWN_SPLIT else None
+        self.names = {str(i): t for i, t in self.machine.names.items()}  # by decimal id, as this encoder writes them
         self.cache: dict[str, str] = {}
         self.older: dict[str, str] = {}
 
@@ -211,11 +212,11 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
 
     def make():
         encoder = text_encoder(ranks_path, pattern, cache, max_moves)
-        names = encoder.machine.names
+        names = encoder.names
 
         def one(text):
             joined = encoder.encode(text)
-            ids = list(map(int, joined.split(" "))) if joined else []
+            ids = joined.split(" ") if joined else []
             stream, digest = Utf8Stream(names), hashlib.sha256()
             for start in range(0, len(ids), step):
                 digest.update(stream.feed(ids[start : start + step]))
