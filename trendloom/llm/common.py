@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 from collections.abc import Callable, Iterator
 
@@ -44,6 +45,15 @@ _owner: str | None = None
 _states: dict = {}
 
 
+def give_back_memory() -> None:
+    """Returns freed memory to the system, so that a worker doesn't stay as large as its largest task so far."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library than glibc
+        pass
+
+
 def worker_state(owner: str, name, make: Callable):
     """What `make` gave when this worker process was first asked for (owner, name); later tasks find it filled.
 
@@ -52,7 +62,7 @@ def worker_state(owner: str, name, make: Callable):
     global _owner
     if owner != _owner:
         _states.clear()
-        pa.default_memory_pool().release_unused()
+        give_back_memory()
         _owner = owner
     if name not in _states:
         _states[name] = make()
@@ -77,6 +87,6 @@ def map_texts(docs: DataFrame, schema: str, make: Callable[[], Callable[[list, l
                 part = batch.slice(start, rows)
                 out = apply(part.column(0).to_pylist(), part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in target], schema=target)
-        pa.default_memory_pool().release_unused()
+        give_back_memory()
 
     return docs.mapInArrow(run, schema)
