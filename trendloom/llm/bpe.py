@@ -29,12 +29,16 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
+#: Above every rank: no such pair.
+NEVER = 1 << 60
+
+
 def merge_bytes(data: bytes, ranks: dict[bytes, int]) -> list[bytes]:
     """The parts that the merges leave of data: the adjacent pair of least rank is joined, leftmost first, until none can be."""
     parts = [data[i : i + 1] for i in range(len(data))]
     while len(parts) > 1:
-        rank, at = min((ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1))
-        if rank == 1 << 60:
+        rank, at = min((ranks.get(parts[i] + parts[i + 1], NEVER), i) for i in range(len(parts) - 1))
+        if rank == NEVER:
             break
         parts[at : at + 2] = [parts[at] + parts[at + 1]]
     return parts
@@ -43,7 +47,7 @@ def merge_bytes(data: bytes, ranks: dict[bytes, int]) -> list[bytes]:
 class Transducer:
     """Encodes pre-tokens. encode(piece) is the tuple of ids, as rank-ordered merges give them."""
 
-    def __init__(self, ranks: dict[bytes, int], max_moves: int = 400_000, max_fits: int = 500_000):
+    def __init__(self, ranks: dict[bytes, int], max_moves: int = 400_000, max_fits: int = 65_536):
         self.ranks, self.max_moves, self.max_fits = ranks, max_moves, max_fits
         self.names = {r: t for t, r in ranks.items()}
         self.children: list[dict[int, int]] = [{}]
@@ -58,7 +62,7 @@ class Transducer:
                     self.token.append(-1)
                 node = below
             self.token[node] = r
-        self.formed: dict[int, bool] = {}
+        self.edges: dict[int, tuple | None] = {}
         self.fits: dict[int, bool] = {}
         self.restart()
 
@@ -67,20 +71,67 @@ class Transducer:
         start = ((0, -1, ()),)
         self.states, self.number, self.moves = [start], {start: 0}, {}
 
+    def edge(self, token: int) -> tuple | None:
+        """(first, last): the tokens that stand in turn at the first and at the last byte while the merges form `token`, with
+        the ranks at which each gives way to the next. None if the merges do not form it."""
+        if token in self.edges:
+            return self.edges[token]
+        name = self.names[token]
+        parts, first, last, made = [name[i : i + 1] for i in range(len(name))], [], [], None
+        first.append(self.ranks[parts[0]])
+        last.append(self.ranks[parts[-1]])
+        so_far, ascending = -1, True
+        while len(parts) > 1:
+            rank, at = min((self.ranks.get(parts[i] + parts[i + 1], NEVER), i) for i in range(len(parts) - 1))
+            if rank == NEVER:
+                break
+            ascending &= rank >= so_far
+            so_far = rank
+            if at == 0:
+                first.append(rank)
+            if at == len(parts) - 2:
+                last.append(rank)
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        if len(parts) == 1:
+            made = (tuple(first), tuple(last), ascending)
+        self.edges[token] = made
+        return made
+
     def follows(self, before: int, token: int) -> bool:
-        """Whether the merges form `token`, and leave it beside `before` (-1: nothing) rather than join across."""
-        ok = self.formed.get(token)
-        if ok is None:
-            ok = self.formed[token] = len(merge_bytes(self.names[token], self.ranks)) == 1
-        if not ok or before < 0:
-            return ok
-        fit = self.fits.get(before << 32 | token)
-        if fit is None:
-            if len(self.fits) > self.max_fits:
+        """As `fit` tells, from what is kept of it."""
+        known = self.fits.get(before << 32 | token)
+        if known is None:
+            if len(self.fits) >= self.max_fits:
                 self.fits.clear()
-            left, right = self.names[before], self.names[token]
-            fit = self.fits[before << 32 | token] = merge_bytes(left + right, self.ranks) == [left, right]
-        return fit
+            known = self.fits[before << 32 | token] = self.fit(before, token)
+        return known
+
+    def fit(self, before: int, token: int) -> bool:
+        """Whether the merges form `token`, and leave it beside `before` (-1: nothing) rather than join across.
+
+        Where the merges inside of both run in the order of their ranks, as far as one side is formed by the time of a rank
+        is told by its edge, so only the pairs that meet at the seam are looked at.
+        """
+        right = self.edge(token)
+        if right is None or before < 0:
+            return right is not None
+        left, names, get = self.edge(before), self.names, self.ranks.get
+        if not (left[2] and right[2]):
+            return merge_bytes(names[before] + names[token], self.ranks) == [names[before], names[token]]
+        a, b = left[1], right[0]
+        i = j = 0
+        while True:
+            next_a = a[i + 1] if i + 1 < len(a) else NEVER
+            next_b = b[j + 1] if j + 1 < len(b) else NEVER
+            across = get(names[a[i]] + names[b[j]], NEVER)
+            if across < next_a and across <= next_b:  # of equal ranks the leftmost is joined first
+                return False
+            if next_a <= next_b:
+                if next_a == NEVER:
+                    return True
+                i += 1
+            else:
+                j += 1
 
     def move(self, state: int, byte: int) -> int | tuple[int, tuple[int, ...]]:
         """Makes the move from a state on a byte: the next state, with the tokens written if there are any."""
@@ -97,11 +148,12 @@ class Transducer:
         if here is None:
             raise ValueError("the vocabulary lacks a single byte")
         places.append(here)
-        agreed = 0
-        shortest = min(len(p[2]) for p in places)
-        while agreed < shortest and all(p[2][agreed] == here[2][agreed] for p in places):
+        waits = [p[2] for p in places]
+        agreed, least, most = 0, min(waits), max(waits)  # what the first and the last in order agree on, all do
+        shortest = min(len(least), len(most))
+        while agreed < shortest and least[agreed] == most[agreed]:
             agreed += 1
-        following = tuple((node, before, waiting[agreed:]) for node, before, waiting in places)
+        following = tuple([(node, before, waiting[agreed:]) for node, before, waiting in places] if agreed else places)
         number = self.number.get(following)
         if number is None:
             number = self.number[following] = len(self.states)
@@ -165,7 +217,7 @@ class TextEncoder:
     """Encodes texts: splits them by the pattern, looks pieces up in a bounded cache, and runs the transducer on the rest."""
 
     def __init__(self, path: str, pattern: str, cache: int = 200_000, max_moves: int = 400_000):
-        self.machine, self.split, self.room = Transducer(load_ranks(path), max_moves, max_moves), regex.compile(pattern), cache
+        self.machine, self.split, self.room = Transducer(load_ranks(path), max_moves), regex.compile(pattern), cache
         self.common = re.compile(COMMON_SPLIT) if pattern == KNOWN_SPLIT else None
         self.names = {str(i): t for i, t in self.machine.names.items()}  # by decimal id, as this encoder writes them
         self.cache: dict[str, str] = {}
