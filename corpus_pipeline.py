@@ -48,8 +48,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of each text, as counts and digests, with the digest of what they decode to."""
-    # smaller caches than alone: the executors still hold the memory of the stages before
-    return round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, cache=60_000, max_moves=120_000)
+    # fewer moves kept than alone: the executors still hold the memory of the stages before
+    return round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, cache=200_000, max_moves=120_000)
 
 
 STAGES = [
