@@ -13,7 +13,7 @@ from trendloom.llm.bpe import round_trip
 from trendloom.llm.decontaminate import contained_items
 from trendloom.llm.jaccard import jaccard_components
 from trendloom.llm.language import UNDETERMINED, predict_all
-from trendloom.llm.quality import quality_rules
+from trendloom.llm.quality import learn_limits, quality_rules
 from trendloom.session import written
 
 #: Least score of a language: below, no language is ahead of all others together.
@@ -32,8 +32,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that the quality rules reject."""
-    return drop(docs, written(quality_rules(docs).filter("not kept").select("doc_id"), "rejected"))
+    """Drops documents that the quality rules reject, by limits learned from all documents."""
+    limits = learn_limits(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return drop(docs, written(quality_rules(docs, limits=limits).filter("not kept").select("doc_id"), "rejected"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

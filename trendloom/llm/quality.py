@@ -2,53 +2,115 @@
 
 zstandard's ratio (compressed bytes to bytes) over the whole text and over fixed chunks of it: repetitive text
 compresses far more than prose of its length, random text far less. The limits depend on the length, since short texts
-of any kind compress little.
+of any kind compress little, and on the script, since letters of several bytes compress more. They are learned from the
+ratios of all documents: what lies far outside the middle half of its length and script is rejected.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from dataclasses import dataclass
+from itertools import accumulate
 
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from trendloom.llm.common import WORDS, id_text, map_texts, worker_state
+from trendloom.session import written
 
 SYMBOLS = "#*$%&|<>"
 
 
+#: Least bytes of the length bands, half an octave each.
+LENGTHS = (0, 256, 362, 512, 724, 1024, 1448, 2048, 2896, 4096, 5793, 8192, 11585, 16384, 23170, 32768, 65536)
+#: The bytes a character from which the next class of scripts starts: Latin; Greek, Cyrillic and the like; the rest.
+SCRIPTS = (1.3, 2.3)
+#: Stands for the chunks, of whatever text, in place of a length band.
+CHUNKS = -1
+
+
 @dataclass(frozen=True)
 class CompressionBands:
-    """bands: (least bytes, lowest ratio, highest ratio), ascending; the last whose least bytes a text has applies to it.
+    """How limits are learned for each script and length band, and once a script for chunks of chunk_bytes.
 
-    chunk_limits hold for each full chunk of chunk_bytes; a text with more than max_bad_chunks of its chunks outside is
-    rejected. The limits are wide: prose of any length in alphabetic scripts stays well inside.
+    From ratios with quartiles q1 and q3 the limits are q1 - below * (q3 - q1) and q3 + above * (q3 - q1), and at least
+    `margin` from the quartile. Equal texts count once. With under `least` ratios the limits are those of `wide`, (least
+    bytes, lowest ratio, highest ratio), or wide_chunks. A text with more than max_bad_chunks of its full chunks outside is
+    rejected.
     """
 
-    bands: tuple[tuple[int, float, float], ...] = ((0, 0.20, 1.60), (256, 0.25, 0.90), (1024, 0.22, 0.75), (4096, 0.18, 0.68), (32768, 0.12, 0.65))
-    chunk_bytes: int = 4096
-    chunk_limits: tuple[float, float] = (0.18, 0.70)
+    wide: tuple[tuple[int, float, float], ...] = ((0, 0.20, 1.60), (256, 0.25, 0.90), (1024, 0.22, 0.75), (4096, 0.18, 0.68), (32768, 0.12, 0.65))
+    wide_chunks: tuple[float, float] = (0.18, 0.75)
+    chunk_bytes: int = 1024
     max_bad_chunks: float = 0.25
+    below: float = 2.0
+    above: float = 3.0
+    margin: float = 0.02
+    least: int = 40
     level: int = 3
 
 
-class BandJudge:
+class RatioMeter:
     def __init__(self, bands: CompressionBands):
         self.bands, self.packer = bands, zstandard.ZstdCompressor(level=bands.level)
 
     def ratio(self, data: bytes) -> float:
         return len(self.packer.compress(data)) / len(data) if data else 1.0
 
-    def judge(self, data: bytes) -> tuple[float, float, bool]:
-        """The whole ratio, the share of chunks outside the limits (0 without a full chunk), and whether the text is kept."""
-        b = self.bands
-        whole = self.ratio(data)
-        _, low, high = next(x for x in reversed(b.bands) if len(data) >= x[0])
-        starts = range(0, len(data) - b.chunk_bytes + 1, b.chunk_bytes)
-        outside = sum(not b.chunk_limits[0] <= self.ratio(data[s : s + b.chunk_bytes]) <= b.chunk_limits[1] for s in starts)
-        share = outside / len(starts) if len(starts) else 0.0
-        return whole, share, low <= whole <= high and share <= b.max_bad_chunks
+    def measure(self, text: str) -> tuple[int, int, float, list[int]]:
+        """The script class, the length band, the whole ratio, and the ratio of each full chunk in thousandths."""
+        data, size = text.encode("utf-8", "surrogatepass"), self.bands.chunk_bytes
+        chunks = [round(1000 * self.ratio(data[s : s + size])) for s in range(0, len(data) - size + 1, size)]
+        return bisect_right(SCRIPTS, len(data) / max(len(text), 1)), bisect_right(LENGTHS, len(data)) - 1, self.ratio(data), chunks
+
+
+Limits = dict[tuple[int, int], tuple[float, float]]
+
+
+def learned_limits(measured: DataFrame, bands: CompressionBands) -> Limits:
+    """The limits of each script and length band, or CHUNKS, from rows (digest, script, band, ratio, chunks)."""
+    once = measured.filter("digest is not null").select("digest", "script", "band", F.round(F.col("ratio") * 1000).cast("int").alias("r"), "chunks").distinct()
+    each = once.select("script", F.explode(F.concat(F.array(F.struct("band", "r")), F.transform("chunks", lambda c: F.struct(F.lit(CHUNKS).alias("band"), c.alias("r"))))).alias("x"))
+    counts: dict[tuple[int, int], list[tuple[int, int]]] = {}  # a row a thousandth at most
+    for script, band, r, n in each.groupBy("script", "x.band", "x.r").count().collect():
+        counts.setdefault((script, band), []).append((r, n))
+    limits = {}
+    for script in range(len(SCRIPTS) + 1):
+        for band in range(CHUNKS, len(LENGTHS)):
+            found = sorted(counts.get((script, band), []))
+            total = sum(n for _, n in found)
+            if total < bands.least:
+                limits[script, band] = bands.wide_chunks if band == CHUNKS else next(x[1:] for x in reversed(bands.wide) if LENGTHS[band] >= x[0])
+                continue
+            upto = list(accumulate(n for _, n in found))
+            q1, q3 = (found[bisect_left(upto, total * q)][0] / 1000 for q in (0.25, 0.75))
+            limits[script, band] = (q1 - max(bands.below * (q3 - q1), bands.margin), q3 + max(bands.above * (q3 - q1), bands.margin))
+    return limits
+
+
+def learn_limits(docs: DataFrame, bands: CompressionBands = CompressionBands(), id_col: str = "doc_id", text_col: str = "text") -> Limits:
+    """Limits from all of docs, to judge others by."""
+
+    def make():
+        meter = worker_state("quality", bands, lambda: RatioMeter(bands))
+
+        def apply(ids, texts):
+            found = [meter.measure(t or "") for t in texts]
+            return {"digest": [digest(t) for t in texts]} | dict(zip(("script", "band", "ratio", "chunks"), zip(*found)))
+
+        return apply
+
+    return learned_limits(map_texts(id_text(docs, id_col, text_col), MEASURES, make), bands)
+
+
+MEASURES = "digest long, script int, band int, ratio double, chunks array<int>"
+
+
+def digest(text: str | None) -> int | None:
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63) if text else None
 
 
 def repeated_words(words: list[str]) -> int:
@@ -73,34 +135,42 @@ def repeated_lines(text: str) -> int:
     return len(lines) - len(set(lines))
 
 
-def quality_rules(docs: DataFrame, bands: CompressionBands = CompressionBands(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def quality_rules(docs: DataFrame, bands: CompressionBands = CompressionBands(), limits: Limits | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, ratio, bad_chunks) for every row.
 
-    A null text counts as empty: no words, all counts 0, base_failed, not kept. base_failed: under 50 words, or more
-    than half of the words repeated. Repeated rows give repeated results, an empty table none; a null id stays null.
-    Other columns are not read.
+    Without limits they are learned from docs. A null text counts as empty: no words, all counts 0, base_failed, not kept.
+    base_failed: under 50 words, or more than half of the words repeated. bad_chunks: the share of full chunks outside the
+    limits, 0 without a full chunk. Repeated rows give repeated results, an empty table none; a null id stays null. Other
+    columns are not read.
     """
 
     def make():
-        judge = worker_state("quality", bands, lambda: BandJudge(bands))
+        meter = worker_state("quality", bands, lambda: RatioMeter(bands))
 
         def one(text):
             words = WORDS.findall(text)
             repeat = repeated_words(words)
             failed = len(words) < 50 or 100 * repeat > 50 * len(words)
-            ratio, bad, good = judge.judge(text.encode("utf-8", "surrogatepass"))
-            return (len(words), sum(map(len, words)), sum(map(text.count, SYMBOLS)), repeated_lines(text), repeat, failed, good and not failed, ratio, bad)
+            return (len(words), sum(map(len, words)), sum(map(text.count, SYMBOLS)), repeated_lines(text), repeat, failed, digest(text), *meter.measure(text))
 
-        names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "ratio", "bad_chunks")
+        names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "digest", "script", "band", "ratio", "chunks")
 
         def apply(ids, texts):
             return {"doc_id": ids} | dict(zip(names, zip(*[one(t or "") for t in texts])))
 
         return apply
 
-    schema = ("doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
-              "base_failed boolean, kept boolean, ratio double, bad_chunks double")
-    return map_texts(id_text(docs, id_col, text_col), schema, make)
+    schema = f"doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, {MEASURES}"
+    rows = map_texts(id_text(docs, id_col, text_col), schema, make)
+    if limits is None:
+        rows = written(rows, "measured")  # numbers only; the texts are read once
+        limits = learned_limits(rows, bands)
+    table = F.broadcast(docs.sparkSession.createDataFrame([(s, b, *map(float, x), *map(float, limits[s, CHUNKS])) for (s, b), x in limits.items()],
+                                                          "script int, band int, low double, high double, chunk_low double, chunk_high double"))
+    outside = F.size(F.filter("chunks", lambda c: ~(c / 1000).between(F.col("chunk_low"), F.col("chunk_high"))))
+    rows = rows.join(table, ["script", "band"]).withColumn("bad_chunks", F.when(F.size("chunks") > 0, outside / F.size("chunks")).otherwise(0.0))
+    kept = ~F.col("base_failed") & F.col("ratio").between(F.col("low"), F.col("high")) & (F.col("bad_chunks") <= bands.max_bad_chunks)
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "ratio", "bad_chunks")
 
 
 def op4_quality(spark, sf_dir: str) -> DataFrame:
