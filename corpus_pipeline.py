@@ -16,6 +16,9 @@ from trendloom.llm.language import UNDETERMINED, predict_all
 from trendloom.llm.quality import learn_limits, quality_rules
 from trendloom.session import written
 
+#: Near copies in a corpus: shingles of five words, similarity in percent. The query op10_jaccard has its own, 4 and 85.
+NEAR_WIDTH, NEAR_PERCENT = 5, 80
+
 #: Least score of a language: below, no language is ahead of all others together.
 LEAST_SCORE = 0.5
 
@@ -39,7 +42,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps of each group the document with the smallest id."""
-    return drop(docs, written(jaccard_components(docs).filter("component_id != doc_id").select("doc_id"), "copies"))
+    return drop(docs, written(jaccard_components(docs, NEAR_WIDTH, NEAR_PERCENT).filter("component_id != doc_id").select("doc_id"), "copies"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
