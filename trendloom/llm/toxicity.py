@@ -82,14 +82,43 @@ def telling_buckets(rows: list[np.ndarray], labels: np.ndarray, size: int, least
     return (n >= least_rows) & (chi2 >= least_chi2)
 
 
+def telling_pairs(rows: list[np.ndarray], labels: np.ndarray, size: int, least_rows: int, least_chi2: float, least_share: float = 0.015,
+                  step: int = 512) -> np.ndarray:
+    """Which buckets are in a pair that is toxic more often, by a chi-squared test, than each of its two alone; whether they
+    tell on their own does not count. The pair has to be in `least_rows` toxic rows and in `least_share` of them, so that
+    the number of pairs does not grow with the rows."""
+    flat, each = np.concatenate(rows), np.repeat(labels, [len(r) for r in rows])
+    n, toxic = np.bincount(flat, minlength=size), np.bincount(flat, each, minlength=size)
+    least_rows = max(least_rows, least_share * labels.sum())
+    terms, found = np.flatnonzero(toxic >= least_rows), np.zeros(size, bool)
+    rate, place = toxic[terms] / n[terms], np.full(size, -1)
+    place[terms] = np.arange(len(terms))
+    for start in range(0, len(terms), step):
+        end = min(start + step, len(terms))
+        both, bad = (np.zeros((end - start, len(terms)), np.float32) for _ in range(2))
+        for at in range(0, len(rows), step):
+            own, y = rows[at : at + step], labels[at : at + step].astype(np.float32)
+            held = np.zeros((len(own), len(terms)), np.float32)
+            for i, r in enumerate(own):
+                held[i, place[r][place[r] >= 0]] = 1
+            part = held[:, start:end].T
+            both += part @ held
+            bad += (part * y) @ held
+        expected = np.maximum(both * np.maximum(rate[start:end, None], rate), 1e-9)
+        chi2 = (bad - expected) ** 2 * (1 / expected + 1 / np.maximum(both - expected, 1e-9))
+        a, b = np.nonzero((bad >= least_rows) & (bad > expected + 0.01) & (chi2 >= least_chi2))
+        found[terms[start + a]] = found[terms[b]] = True
+    return found
+
+
 def fit_machine(rows: list[np.ndarray], labels: np.ndarray, rank: int = 4, epochs: int = 12, batch: int = 128, rate: float = 0.3,
-                decay: float = 1e-5, least_rows: int = 5, least_chi2: float = 20.0, seed: int = 6, bits: int = BUCKET_BITS) -> FactorizationMachine:
+                decay: float = 1e-5, least_rows: int = 5, least_chi2: float = 20.0, least_pair_chi2: float = 40.0, seed: int = 6, bits: int = BUCKET_BITS) -> FactorizationMachine:
     """Logistic loss by AdaGrad in minibatches; the same rows give the same model. Without both labels it scores everything 0."""
     size, rng = 1 << bits, np.random.default_rng(seed)
     w, v = np.zeros(size), rng.normal(0, 0.01, (size, rank))
     if not len(rows) or labels.min() == labels.max():
         return FactorizationMachine(-20.0, w.astype(np.float32), np.zeros((size, rank), np.float32))
-    telling = telling_buckets(rows, labels, size, least_rows, least_chi2)
+    telling = telling_buckets(rows, labels, size, least_rows, least_chi2) | telling_pairs(rows, labels, size, least_rows, least_pair_chi2)
     rows = [r[telling[r]] for r in rows]
     v[~telling] = 0
     bias = float(np.log(labels.mean() / (1 - labels.mean())))
