@@ -26,9 +26,13 @@ def build_session(master: str = "local[8]", app: str = "trendloom", shuffle_part
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where that is unset (tests, one machine), a new local one, which is then set."""
+    """The folder of spark.checkpoint.dir. Where that is unset, a new local one, which is then set, if the session runs on this
+    machine alone (local[...], as in tests); on a cluster an error, for executors would write to disks of their own."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
         root = "file://" + tempfile.mkdtemp(prefix="trendloom-shared-")
         spark.sparkContext.setCheckpointDir(root)
         root = spark.sparkContext.getCheckpointDir()
@@ -42,7 +46,46 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cuts lineage: writes df as Parquet in the shared folder and reads it back, so a lost executor costs no recomputation."""
-    spark = df.sparkSession
-    path = shared_path(spark, name)
+    return write_to(df, shared_path(df.sparkSession, name))
+
+
+def write_to(df: DataFrame, path: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of any file system that Spark reaches."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+class Workspace:
+    """The intermediate tables of one run of an operator: `written` in a folder of their own, which goes when the run ends.
+
+    The result has to be written outside of it before that, by `finish`; a run that fails deletes its folder too.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.name, self.folder = spark, name, shared_path(spark, name)
+        self.tables: list[tuple[DataFrame, str]] = []
+
+    def __enter__(self) -> Workspace:
+        return self
+
+    def __exit__(self, *failed) -> None:
+        remove(self.spark, self.folder)
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{self.folder}/{len(self.tables)}-{name}"
+        self.tables.append((write_to(df, path), path))
+        return self.tables[-1][0]
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Deletes tables that nothing later reads."""
+        for table, path in self.tables:
+            if any(table is t for t in tables):
+                remove(self.spark, path)
+
+    def finish(self, df: DataFrame) -> DataFrame:
+        return written(df, self.name)
