@@ -7,15 +7,17 @@ character adds nothing. The language with the highest mean over the words wins.
 
 from __future__ import annotations
 
-import uuid
+import hashlib
+import pickle
 from collections import Counter, defaultdict
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trendloom.llm.common import LETTERS, crc_residue, hash_sample, id_text, map_texts, worker_state
+from trendloom.llm.common import crc_residue, hash_sample, id_text, keep_rows, letter_runs, map_texts, worker_state
+from trendloom.session import Workspace
 
 UNDETERMINED = "und"
 
@@ -32,15 +34,14 @@ class LanguageModel:
     max_n: int = 5
 
 
-def word_counts(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
-    """(lang, word, n) over the given labelled texts; counted within each batch before the shuffle."""
-    rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
+def word_counts(rows: DataFrame) -> DataFrame:
+    """(lang, word, n) over rows (lang, text); counted within each batch before the shuffle."""
 
     def make():
         def count(langs, texts):
             found = defaultdict(Counter)
             for lang, text in zip(langs, texts):
-                found[lang].update(LETTERS.findall((text or "").lower()))
+                found[lang].update(letter_runs(text or ""))
             flat = [(lang, word, n) for lang, c in found.items() for word, n in c.items()]
             return dict(zip(("lang", "word", "n"), map(list, zip(*flat)))) if flat else {"lang": [], "word": [], "n": []}
 
@@ -50,47 +51,55 @@ def word_counts(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> D
     return partial.groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
+def gram_counts(words: DataFrame, max_n: int) -> DataFrame:
+    """(lang, size, gram, n) over the n-grams of words (lang, word, n), of one to max_n characters, a space on either side."""
+    padded = F.concat(F.lit(" "), "word", F.lit(" "))
+    sizes = words.select("lang", "n", padded.alias("w"), F.explode(F.sequence(F.lit(1), F.lit(max_n))).alias("size")).filter(F.length("w") >= F.col("size"))
+    starts = F.explode(F.sequence(F.lit(1), F.length("w") - F.col("size") + 1)).alias("at")
+    grams = sizes.select("lang", "n", "size", "w", starts).select("lang", "size", F.expr("substring(w, at, size)").alias("gram"), "n")
+    return grams.filter("trim(gram) != ''").groupBy("lang", "size", "gram").agg(F.sum("n").alias("n"))
+
+
+def most_frequent(counts: DataFrame, name: str, most: int) -> DataFrame:
+    """The `most` most frequent of each language; counts are of a bounded sample."""
+    return counts.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), name))).filter(F.col("place") <= most).drop("place")
+
+
 def log_frequencies(counts: dict[str, np.ndarray], totals: np.ndarray) -> np.ndarray:
     """Of each key in each language, with half a count for what was not seen."""
     table = np.array(list(counts.values()), dtype=np.float64).reshape(len(counts), len(totals))
     return np.log((table + 0.5) / (totals + 0.5 * max(1, len(counts)))).astype(np.float32)
 
 
+def by_name(rows, at: dict[str, int], name: str) -> dict[str, np.ndarray]:
+    out: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(len(at)))
+    for r in rows:
+        out[r[name]][at[r.lang]] += r.n
+    return dict(sorted(out.items()))
+
+
 def learn_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-                    max_docs: int = 20_000, max_words: int = 100_000, max_grams: int = 100_000, max_n: int = 5) -> LanguageModel:
-    """Learns from every row with a text and a language, or from about `max_docs` of them picked by a hash of the id.
+                    docs_a_language: int = 5_000, words_a_language: int = 25_000, grams_a_language: int = 25_000, max_n: int = 5) -> LanguageModel:
+    """Learns from every row with a text and a language, or from about `docs_a_language` of each language picked by a hash.
 
-    The `max_words` most frequent (language, word) pairs are kept, and the `max_grams` most frequent n-grams of those
-    words, so the model that is broadcast has a fixed size bound. Without labelled rows the model knows no language.
+    Of each language the `words_a_language` most frequent words are kept, and of the n-grams of those words the
+    `grams_a_language` most frequent, so a small language keeps its own words, and the model that is broadcast is bounded by
+    the number of languages. Without labelled rows the model knows no language.
     """
-    known = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
-    counts = word_counts(hash_sample(known, id_col, max_docs, salt=2), id_col, text_col, lang_col)
-    kept = counts.orderBy(F.desc("n"), "lang", "word").limit(max_words).collect()
+    known = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).filter("lang is not null and text is not null")
+    with Workspace(docs.sparkSession, "language") as space:
+        words = space.written(most_frequent(word_counts(hash_sample(known, docs_a_language, salt=2, by="lang")), "word", words_a_language), "words")
+        grams = space.written(gram_counts(words, max_n), "grams")
+        chosen, kept = most_frequent(grams, "gram", grams_a_language).collect(), words.collect()  # bounded a language
+        totals = grams.groupBy("size", "lang").agg(F.sum("n").alias("n")).collect()
     languages = sorted({r.lang for r in kept})
     at = {x: i for i, x in enumerate(languages)}
-    words: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(len(languages)))
-    for r in kept:
-        words[r.word][at[r.lang]] += r.n
-    by_order: list[dict[str, np.ndarray]] = [defaultdict(lambda: np.zeros(len(languages))) for _ in range(max_n)]
-    for word, n in words.items():
-        padded = f" {word} "
-        for order in range(1, max_n + 1):
-            grams = by_order[order - 1]
-            for i in range(len(padded) - order + 1):
-                grams[padded[i : i + order]] += n
-    most = sorted(((float(n.sum()), g) for grams in by_order for g, n in grams.items() if g.strip()), key=lambda x: (-x[0], x[1]))[:max_grams]
-    chosen = {g for _, g in most}
-    gram_names, gram_rows = [], []
-    for grams in by_order:
-        own = {g: n for g, n in sorted(grams.items()) if g in chosen}
-        totals = sum(grams.values(), np.zeros(len(languages)))
+    counts, gram_names, gram_rows = by_name(kept, at, "word"), [], [np.zeros((0, len(languages)), np.float32)]
+    for size in range(1, max_n + 1):
+        own = by_name([r for r in chosen if r["size"] == size], at, "gram")
         gram_names += own
-        if own:
-            gram_rows.append(log_frequencies(own, totals))
-    words = dict(sorted(words.items()))
-    empty = np.zeros((0, len(languages)), np.float32)
-    return LanguageModel(languages, list(words), log_frequencies(words, sum(words.values(), np.zeros(len(languages)))) if words else empty,
-                         gram_names, np.concatenate(gram_rows) if gram_rows else empty, max_n)
+        gram_rows.append(log_frequencies(own, by_name([r for r in totals if r["size"] == size], at, "size").get(size, np.zeros(len(languages)))))
+    return LanguageModel(languages, list(counts), log_frequencies(counts, sum(counts.values(), np.zeros(len(languages)))), gram_names, np.concatenate(gram_rows), max_n)
 
 
 class Scorer:
@@ -101,7 +110,8 @@ class Scorer:
         self.grams = {g: i for i, g in enumerate(model.grams)}
         self.base, self.room = len(model.words), cache
         self.table = np.zeros((self.base + cache, len(model.languages)), np.float32)
-        self.table[: self.base] = model.word_scores
+        if self.base:
+            self.table[: self.base] = model.word_scores
         self.rows = dict(self.known)
 
     def backoff(self, word: str) -> np.ndarray | None:
@@ -122,7 +132,7 @@ class Scorer:
         return at
 
     def score(self, text: str | None) -> tuple[str, float]:
-        words = LETTERS.findall((text or "").lower())
+        words = letter_runs(text or "")
         if not words or not self.model.languages:
             return UNDETERMINED, 0.0
         total, start = np.zeros(len(self.model.languages)), 0
@@ -138,6 +148,12 @@ class Scorer:
         return self.model.languages[best], float(1 / np.exp(margin).sum())
 
 
+def scorer_maker(docs: DataFrame, model: LanguageModel):
+    """Gives each worker one scorer of the model, which it keeps until it is asked for another."""
+    shared, owner = docs.sparkSession.sparkContext.broadcast(model), ("language", hashlib.sha256(pickle.dumps(model)).hexdigest())
+    return lambda: worker_state(owner, "scorer", lambda: Scorer(shared.value))
+
+
 def identify_language(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, lang_pred, score) for every row.
 
@@ -146,13 +162,13 @@ def identify_language(docs: DataFrame, model: LanguageModel, id_col: str = "doc_
     that sorts first. Repeated rows give repeated results; an empty table gives none; a null id stays null. Other
     columns are not read.
     """
-    shared, tag = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
+    scorer = scorer_maker(docs, model)
 
     def make():
-        scorer = worker_state("language", tag, lambda: Scorer(shared.value))
+        score = scorer().score
 
         def apply(ids, texts):
-            found = [scorer.score(t) for t in texts]
+            found = [score(t) for t in texts]
             return {"doc_id": ids, "lang_pred": [x[0] for x in found], "score": [x[1] for x in found]}
 
         return apply
@@ -160,11 +176,25 @@ def identify_language(docs: DataFrame, model: LanguageModel, id_col: str = "doc_
     return map_texts(id_text(docs, id_col, text_col), "doc_id long, lang_pred string, score double", make)
 
 
+def keep_known_languages(docs: DataFrame, model: LanguageModel, least_score: float, text_col: str = "text") -> DataFrame:
+    """The rows whose language can be told with a score from least_score on, all columns; each row by its own text."""
+    scorer = scorer_maker(docs, model)
+
+    def make():
+        score = scorer().score
+        return lambda texts: [x[0] != UNDETERMINED and x[1] >= least_score for x in map(score, texts)]
+
+    return keep_rows(docs, make, text_col)
+
+
+def learn_outside_fold(docs: DataFrame, folds: int = 5) -> LanguageModel:
+    return learn_languages(docs.filter(crc_residue(F.col("doc_id"), folds) != 0))
+
+
 def predict_all(docs: DataFrame, folds: int = 5) -> DataFrame:
     """Learns from the documents outside fold 0 and predicts all; adds held_out, true in fold 0 (false for a null id)."""
-    model = learn_languages(docs.filter(crc_residue(F.col("doc_id"), folds) != 0))
     held_out = F.coalesce(crc_residue(F.col("doc_id"), folds) == 0, F.lit(False))
-    return identify_language(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+    return identify_language(docs, learn_outside_fold(docs, folds)).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
 def op2_language(spark, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ worker, filled by encoding what the first tier misses. No pre-token is shuffled.
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -14,6 +15,9 @@ from pyspark.sql import DataFrame
 
 from trendloom.llm.common import hash_sample, id_text, map_texts, worker_state
 
+#: Tasks that count the pre-tokens of the sample; each sends the counts of its most frequent ones to the driver.
+SAMPLE_TASKS = 8
+
 
 def load_tokenizer(path: str):
     import os
@@ -30,18 +34,13 @@ def special_pattern(tokenizer):
     return regex.compile("|".join(map(regex.escape, names))) if names else None
 
 
-def worker_cache(path: str, pattern: str) -> dict[str, int]:
-    """Tier two of this worker process, which later tasks find filled."""
-    return worker_state("token-lengths", (path, pattern), dict)
-
-
 class PreTokenCounter:
     """Counts the tokens of texts for a byte-level BPE tokenizer whose pre-tokens are the matches of `pattern`."""
 
     def __init__(self, path: str, pattern: str, table: dict[str, int], cache: int = 300_000):
         self.tokenizer = load_tokenizer(path)
         self.split, self.special = regex.compile(pattern), special_pattern(self.tokenizer)
-        self.first, self.cache, self.room = table, worker_cache(path, pattern), cache
+        self.first, self.cache, self.room = table, {}, cache  # tier one, tier two and its bound
 
     def lengths(self, pieces: list[str]) -> list[int]:
         return [len(e.ids) for e in self.tokenizer.encode_batch(pieces, add_special_tokens=False)]
@@ -77,14 +76,29 @@ class PreTokenCounter:
 def frequent_lengths(docs: DataFrame, path: str, pattern: str, sample_docs: int = 2_000, size: int = 50_000) -> tuple[str, np.ndarray]:
     """The table for tier one, of the most frequent pre-tokens in about `sample_docs` documents: names joined by NUL, and lengths.
 
-    It changes the speed only, never a count, so a bounded sample of documents is enough; `size` bounds the broadcast.
+    The sampled texts are dealt to SAMPLE_TASKS tasks, each of which counts its own and sends its `size` most frequent, so one
+    job gives a bounded answer whatever the number of partitions, and no pre-token is shuffled. The table changes the speed
+    only, never a count, so a sample is enough; `size` bounds the broadcast.
     """
-    split, found = regex.compile(pattern), Counter()
-    for row in hash_sample(docs, "doc_id", sample_docs, salt=3).select("text").toLocalIterator():
-        found.update(split.findall(row.text or ""))
-    names = [p for p, _ in found.most_common(size) if "\0" not in p]
-    counter = PreTokenCounter(path, pattern, {})
-    return "\0".join(names), np.array(counter.lengths(names), np.int32)
+
+    def make():
+        split = regex.compile(pattern)
+
+        def count(ids, texts):
+            top = Counter()
+            for t in texts:
+                top.update(split.findall(t or ""))
+            top = top.most_common(size)
+            return {"piece": [p for p, _ in top], "n": [n for _, n in top]}
+
+        return count
+
+    texts = hash_sample(docs.select("doc_id", "text"), sample_docs, salt=3).repartition(SAMPLE_TASKS)
+    found = Counter()
+    for piece, n in map_texts(texts, "piece string, n long", make, rows=1 << 30).collect():
+        found[piece] += n
+    names = [p for p, _ in sorted(found.items(), key=lambda x: (-x[1], x[0]))[:size] if "\0" not in p]
+    return "\0".join(names), np.array(PreTokenCounter(path, pattern, {}).lengths(names), np.int32)
 
 
 def count_tokens(docs: DataFrame, tokenizer_path: str, pattern: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -96,11 +110,15 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, pattern: str, limit: int
     executor.
     """
     rows = id_text(docs, id_col, text_col)
-    shared = docs.sparkSession.sparkContext.broadcast(frequent_lengths(rows, tokenizer_path, pattern))
+    table = frequent_lengths(rows, tokenizer_path, pattern)
+    shared, owner = docs.sparkSession.sparkContext.broadcast(table), ("token-lengths", tokenizer_path, pattern, zlib.crc32(table[0].encode()))
 
-    def make():
+    def counter_of_worker():
         names, lengths = shared.value
-        counter = PreTokenCounter(tokenizer_path, pattern, dict(zip(names.split("\0"), lengths.tolist())) if len(lengths) else {})
+        return PreTokenCounter(tokenizer_path, pattern, dict(zip(names.split("\0"), lengths.tolist())) if len(lengths) else {})
+
+    def make():
+        counter = worker_state(owner, "counter", counter_of_worker)  # later tasks find both tiers filled
 
         def apply(ids, texts):
             texts = [t or "" for t in texts]
