@@ -1,14 +1,16 @@
 """Benchmark decontamination by MinHash containment search over size partitions.
 
-A text contains an item if it holds a share of `threshold` or more of the item's distinct word shingles. An item of q
-shingles can lose q - ceil(threshold q) of them, so of its smallest q - ceil(threshold q) + 1 shingle hashes (its MinHash
-sketch) a containing text holds at least one: items are partitioned by size, and each size has its own sketch length.
-The sketches are looked up among all shingle hashes of a text, however long, and each hit is verified by exact shingles.
-So no containing pair is missed, and none is reported that is not.
+A text contains an item if it holds a share of `threshold` or more of the item's distinct word shingles. Items are
+partitioned by size, a class for each power of two of their number of shingles. An item of q shingles can lose
+q - ceil(threshold q) of them, so of its smallest q - ceil(threshold q) + 1 shingle hashes (its MinHash sketch) a containing
+text holds at least one. The greatest hash in the sketches of a class bounds the class: of a text, however long, only the
+hashes up to that bound, the text's own sketch for the class, are looked up in the class's index. Each hit is verified by
+exact shingles, so no containing pair is missed, and none is reported that is not.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections import defaultdict
 
@@ -16,94 +18,153 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trendloom.llm.common import ALNUM, id_text, map_texts
-from trendloom.llm.shingles import worker_hasher
+from trendloom.llm.common import ALNUM, id_text, keep_rows, map_texts, worker_state
+from trendloom.llm.shingles import ShingleHasher
+from trendloom.session import written
 
-PAIR_SCHEMA = "doc_id long, item_id long, n_item_shingles long, n_shared long, containment double"
-_TABLE_BITS = 22
+PAIR_SCHEMA = "doc_id long, item long, n_item_shingles long, n_shared long, containment double"
+_TABLE_BITS = 20
 
 
 def exact_shingles(words: list[str], k: int) -> set[tuple[str, ...]]:
     return set(zip(*[words[i:] for i in range(k)]))
 
 
+def item_words(text: str | None) -> list[str]:
+    return ALNUM.findall((text or "").lower())
+
+
+class SizeClass:
+    """The index of the items of one shingle width and size class: sketch hashes in order, and the item of each."""
+
+    def __init__(self, hashes: np.ndarray, owners: np.ndarray):
+        order = np.argsort(hashes, kind="stable")
+        self.hashes, self.owners = hashes[order], owners[order]
+        self.bound = self.hashes[-1]
+        self.table = np.zeros(1 << _TABLE_BITS, bool)
+        self.table[self.hashes >> np.uint64(64 - _TABLE_BITS)] = True
+
+    def candidates(self, runs: np.ndarray) -> np.ndarray:
+        """Items with a sketch hash among the text's hashes up to the bound."""
+        sketch = runs[runs <= self.bound]
+        sketch = np.unique(sketch[self.table[sketch >> np.uint64(64 - _TABLE_BITS)]])
+        start, end = np.searchsorted(self.hashes, sketch, "left"), np.searchsorted(self.hashes, sketch, "right")
+        return np.unique(np.concatenate([self.owners[a:b] for a, b in zip(start[end > start], end[end > start])] or [np.empty(0, np.int64)]))
+
+
 class SketchIndex:
-    """The items of one block. Items of fewer than `width` words are a single shingle of all their words."""
-
-    def __init__(self, items: list[tuple[int | None, str | None]], width: int, threshold: float):
-        self.threshold, self.hasher, self.items = threshold, worker_hasher(), []
-        sketches: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
-        for item_id, text in items:
-            words = ALNUM.findall((text or "").lower())
-            if words:
-                k = min(width, len(words))
-                shingles = exact_shingles(words, k)
-                hashes = np.unique(self.hasher.runs(self.hasher.words(words), k))
-                least = math.ceil(threshold * len(hashes) - 1e-9)
-                for h in hashes[: len(hashes) - least + 1].tolist():
-                    sketches[k][h].append(len(self.items))
-                self.items.append((item_id, k, shingles))
-        self.by_width = {}
-        for k, found in sketches.items():
-            keys = np.array(sorted(found), np.uint64)
-            table = np.zeros(1 << _TABLE_BITS, bool)
-            table[keys >> np.uint64(64 - _TABLE_BITS)] = True
-            self.by_width[k] = (keys, table, [found[h] for h in keys.tolist()])
-
-    def search(self, text: str | None) -> list[tuple[int | None, int, int]]:
-        """(item_id, shingles of the item, shared shingles) of each item that the text contains."""
-        words = ALNUM.findall((text or "").lower())
-        hashes, found = self.hasher.words(words), []
-        for k, (keys, table, owners) in self.by_width.items():
-            runs = self.hasher.runs(hashes, k)
-            runs = np.unique(runs[table[runs >> np.uint64(64 - _TABLE_BITS)]])
-            at = np.minimum(np.searchsorted(keys, runs), len(keys) - 1)
-            hits = sorted({i for a in at[keys[at] == runs].tolist() for i in owners[a]})
-            if hits:
-                own = exact_shingles(words, k)
-                for i in hits:
-                    item_id, _, shingles = self.items[i]
-                    shared = len(shingles & own)
-                    if shared >= self.threshold * len(shingles) - 1e-9:
-                        found.append((item_id, len(shingles), shared))
+    """The items of one block, (item, words joined by a space). Items of fewer than `width` words are a single shingle."""
+
+    def __init__(self, items: list[tuple[int, str]], width: int, threshold: float):
+        self.threshold, self.hasher, self.items = threshold, ShingleHasher(), []
+        sketches: dict[tuple[int, int], list[tuple[np.ndarray, int]]] = defaultdict(list)
+        for item, joined in items:
+            words = joined.split(" ")
+            k = min(width, len(words))
+            hashes = np.unique(self.hasher.runs(self.hasher.words(words), k))
+            sketch = hashes[: len(hashes) - math.ceil(threshold * len(hashes) - 1e-9) + 1]
+            sketches[k, len(hashes).bit_length()].append((sketch, len(self.items)))
+            self.items.append((item, k, joined))
+        self.classes = {key: SizeClass(np.concatenate([s for s, _ in own]), np.repeat([i for _, i in own], [len(s) for s, _ in own]))
+                        for key, own in sorted(sketches.items())}
+
+    def search(self, text: str | None, first_only: bool = False) -> list[tuple[int, int, int]]:
+        """(item, shingles of the item, shared shingles) of each item that the text contains, or of one of them."""
+        words = item_words(text)
+        hashes, found, runs, own = self.hasher.words(words), [], {}, {}
+        for (k, _), index in self.classes.items():
+            if k not in runs:
+                runs[k] = self.hasher.runs(hashes, k)
+            for i in index.candidates(runs[k]).tolist():
+                if k not in own:
+                    own[k] = exact_shingles(words, k)
+                item, _, joined = self.items[i]
+                shingles = exact_shingles(joined.split(" "), k)
+                shared = len(shingles & own[k])
+                if shared >= self.threshold * len(shingles) - 1e-9:
+                    found.append((item, len(shingles), shared))
+                    if first_only:
+                        return found
         return found
 
 
+def distinct_items(items: DataFrame, item_id_col: str, item_text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(item, words) of the distinct word sequences of all items, and (item, item_id) of every row with a word."""
+    own = items.select(items[item_id_col].cast("long").alias("doc_id"), items[item_text_col].cast("string").alias("text"))
+    make = lambda: lambda ids, texts: {"item_id": ids, "words": [" ".join(item_words(t)) for t in texts]}
+    rows = map_texts(own, "item_id long, words string", make).filter("words != ''").withColumn("item", F.xxhash64("words"))
+    rows = written(rows, "items")
+    return rows.groupBy("item").agg(F.min("words").alias("words")), rows.select("item", "item_id")
+
+
+def item_blocks(spark, distinct: DataFrame, block_items: int, block_bytes: int) -> list:
+    """Broadcasts of the items in blocks of about block_items rows and block_bytes characters at most; the sizes are counted
+    before anything is sent, and the blocks doubled until each is in bounds or one item by itself."""
+    n, size = distinct.agg(F.count("*"), F.coalesce(F.sum(F.length("words")), F.lit(0))).first()
+    blocks = max(1, math.ceil(n / block_items), math.ceil(size / block_bytes))
+    while True:
+        block = F.pmod(F.xxhash64("item", F.lit(blocks)), F.lit(blocks))
+        largest = distinct.groupBy(block.alias("block")).agg(F.count("*").alias("n"), F.sum(F.length("words")).alias("size")).agg(
+            F.max(F.when(F.col("n") > 1, F.greatest(F.col("n") / block_items, F.col("size") / block_bytes)))).first()[0]
+        if largest is None or largest <= 1.5:
+            break
+        blocks *= 2
+    out = []
+    for b in range(blocks):
+        rows = sorted((r.item, r.words) for r in distinct.filter(block == b).collect())  # bounded by the block
+        if rows:
+            out.append((spark.sparkContext.broadcast(rows), hashlib.sha256(repr(rows).encode()).hexdigest()))
+    return out
+
+
+def index_of_worker(block, width: int, threshold: float):
+    """Gives each worker one index of the block, which later tasks find made."""
+    shared, digest = block
+    return lambda: worker_state(("items", digest, width, threshold), "index", lambda: SketchIndex(shared.value, width, threshold))
+
+
 def contained_items(docs: DataFrame, items: DataFrame, threshold: float = 0.8, width: int = 5, id_col: str = "doc_id", text_col: str = "text",
-                    item_id_col: str = "item_id", item_text_col: str = "text", block_items: int = 20_000, block_bytes: int = 16_000_000) -> DataFrame:
+                    item_id_col: str = "item_id", item_text_col: str = "text", block_items: int = 100_000, block_bytes: int = 32_000_000) -> DataFrame:
     """(doc_id, item_id, n_item_shingles, n_shared, containment) for each text and each item that it contains.
 
     Words are runs of letters and digits, lower-cased. A null text, a text without words and an item without words
     match nothing; an item of fewer than `width` words matches where its words stand in a row. Repeated rows give
-    repeated pairs; an empty table on either side gives none. Other columns are not read. Items are taken in blocks of
-    about block_items rows and block_bytes characters at most, each of which is one broadcast and one pass over the texts;
-    an item longer than that is a block of its own.
+    repeated pairs; an empty table on either side gives none. Other columns are not read. Items of equal words are searched
+    once and joined to their ids after. Distinct items are taken in blocks of about block_items rows and block_bytes
+    characters, each of which is one broadcast and one pass over the texts; an item longer than that is a block of its own.
     """
     spark = docs.sparkSession
-    own = items.select(items[item_id_col].cast("long").alias("item_id"), items[item_text_col].cast("string").alias("text"))
-    n, size = own.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
-    blocks = max(1, math.ceil(n / block_items), math.ceil(size / block_bytes))
-    if blocks > 1:
-        blocks *= 2  # hashed blocks are uneven
-    texts = id_text(docs, id_col, text_col)
-    result = None
-    for b in range(blocks):
-        block = own if blocks == 1 else own.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
-        shared = spark.sparkContext.broadcast([(r.item_id, r.text) for r in block.collect()])  # bounded by the block
+    distinct, ids = distinct_items(items, item_id_col, item_text_col)
+    texts, found = id_text(docs, id_col, text_col), spark.createDataFrame([], PAIR_SCHEMA)
+    for block in item_blocks(spark, distinct, block_items, block_bytes):
 
-        def make(shared=shared):
-            index = SketchIndex(shared.value, width, threshold)
+        def make(index_of=index_of_worker(block, width, threshold)):
+            index = index_of()
 
             def apply(ids, texts):
                 flat = [(i, item, q, s, s / q) for i, t in zip(ids, texts) for item, q, s in index.search(t)]
-                names = ("doc_id", "item_id", "n_item_shingles", "n_shared", "containment")
+                names = ("doc_id", "item", "n_item_shingles", "n_shared", "containment")
                 return dict(zip(names, map(list, zip(*flat)))) if flat else {x: [] for x in names}
 
             return apply
 
-        found = map_texts(texts, PAIR_SCHEMA, make)
-        result = found if result is None else result.unionByName(found)
-    return result
+        found = found.unionByName(map_texts(texts, PAIR_SCHEMA, make))
+    return found.join(ids, "item").select("doc_id", "item_id", "n_item_shingles", "n_shared", "containment")
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.8, width: int = 5, text_col: str = "text", item_id_col: str = "item_id",
+                      item_text_col: str = "text", block_items: int = 100_000, block_bytes: int = 32_000_000) -> DataFrame:
+    """The rows whose text contains no item, all columns; each row by its own text. Between two blocks of items the rows that
+    are left are written, so that a worker holds one index at a time."""
+    distinct, _ = distinct_items(items, item_id_col, item_text_col)
+    for n, block in enumerate(item_blocks(docs.sparkSession, distinct, block_items, block_bytes)):
+
+        def make(index_of=index_of_worker(block, width, threshold)):
+            index = index_of()
+            return lambda texts: [not index.search(t, first_only=True) for t in texts]
+
+        docs = keep_rows(written(docs, "left") if n else docs, make, text_col)
+    return docs
 
 
 def op1_decontaminate(spark, sf_dir: str) -> DataFrame:
