@@ -1,6 +1,7 @@
 """Quality rules by compression bands.
 
-zstandard's ratio (compressed bytes to bytes) over the whole text and over fixed chunks of it: repetitive text
+zstandard's ratio (compressed bytes to bytes) over the whole text and over fixed chunks of it, the last of which ends with
+the text, so that every byte of a text from one chunk on is judged in a chunk and a shorter text as a whole: repetitive text
 compresses far more than prose of its length, random text far less. The limits depend on the length, since short texts
 of any kind compress little, and on the script, since letters of several bytes compress more. They are learned from the
 ratios of all documents: what lies far outside the middle half of its length and script is rejected.
@@ -18,8 +19,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trendloom.llm.common import WORDS, id_text, map_texts, worker_state
-from trendloom.session import written
+from trendloom.llm.common import WORDS, id_text, keep_rows, map_texts, worker_state
+from trendloom.session import Workspace
 
 SYMBOLS = "#*$%&|<>"
 
@@ -38,7 +39,7 @@ class CompressionBands:
 
     From ratios with quartiles q1 and q3 the limits are q1 - below * (q3 - q1) and q3 + above * (q3 - q1), and at least
     `margin` from the quartile. Equal texts count once. With under `least` ratios the limits are those of `wide`, (least
-    bytes, lowest ratio, highest ratio), or wide_chunks. A text with more than max_bad_chunks of its full chunks outside is
+    bytes, lowest ratio, highest ratio), or wide_chunks. A text with more than max_bad_chunks of its chunks outside is
     rejected.
     """
 
@@ -61,9 +62,13 @@ class RatioMeter:
         return len(self.packer.compress(data)) / len(data) if data else 1.0
 
     def measure(self, text: str) -> tuple[int, int, float, list[int]]:
-        """The script class, the length band, the whole ratio, and the ratio of each full chunk in thousandths."""
+        """The script class, the length band, the whole ratio, and the ratio of each chunk in thousandths; chunks stand one
+        after another, but the last is moved back so that it ends with the text."""
         data, size = text.encode("utf-8", "surrogatepass"), self.bands.chunk_bytes
-        chunks = [round(1000 * self.ratio(data[s : s + size])) for s in range(0, len(data) - size + 1, size)]
+        starts = [*range(0, len(data) - size + 1, size)]
+        if starts and len(data) % size:
+            starts.append(len(data) - size)
+        chunks = [round(1000 * self.ratio(data[s : s + size])) for s in starts]
         return bisect_right(SCRIPTS, len(data) / max(len(text), 1)), bisect_right(LENGTHS, len(data)) - 1, self.ratio(data), chunks
 
 
@@ -135,12 +140,37 @@ def repeated_lines(text: str) -> int:
     return len(lines) - len(set(lines))
 
 
+def base_counts(text: str) -> tuple[int, int, int, int, int, bool]:
+    """Words, their characters, symbols, repeated lines, repeated words, and whether the base rule fails."""
+    words = WORDS.findall(text)
+    repeat = repeated_words(words)
+    return len(words), sum(map(len, words)), sum(map(text.count, SYMBOLS)), repeated_lines(text), repeat, len(words) < 50 or 100 * repeat > 50 * len(words)
+
+
+def within(limits: Limits, bands: CompressionBands, script: int, band: int, ratio: float, chunks: list[int]) -> bool:
+    """The verdict of the bands, as quality_rules has it in columns."""
+    (low, high), (chunk_low, chunk_high) = limits[script, band], limits[script, CHUNKS]
+    bad = sum(not chunk_low <= c / 1000 <= chunk_high for c in chunks)
+    return low <= ratio <= high and bad <= bands.max_bad_chunks * len(chunks)
+
+
+def keep_good(docs: DataFrame, bands: CompressionBands = CompressionBands(), limits: Limits | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows that quality_rules keeps, all columns; each row by its own text. Without limits they are learned from docs."""
+    limits = learn_limits(docs, bands, id_col, text_col) if limits is None else limits
+
+    def make():
+        meter = worker_state("quality", bands, lambda: RatioMeter(bands))
+        return lambda texts: [not base_counts(t or "")[5] and within(limits, bands, *meter.measure(t or "")) for t in texts]
+
+    return keep_rows(docs, make, text_col)
+
+
 def quality_rules(docs: DataFrame, bands: CompressionBands = CompressionBands(), limits: Limits | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, ratio, bad_chunks) for every row.
 
     Without limits they are learned from docs. A null text counts as empty: no words, all counts 0, base_failed, not kept.
-    base_failed: under 50 words, or more than half of the words repeated. bad_chunks: the share of full chunks outside the
-    limits, 0 without a full chunk. Repeated rows give repeated results, an empty table none; a null id stays null. Other
+    base_failed: under 50 words, or more than half of the words repeated. bad_chunks: the share of chunks outside the limits, 0 for
+    a text under a chunk, which its whole ratio judges. Repeated rows give repeated results, an empty table none; a null id stays null. Other
     columns are not read.
     """
 
@@ -148,10 +178,7 @@ def quality_rules(docs: DataFrame, bands: CompressionBands = CompressionBands(),
         meter = worker_state("quality", bands, lambda: RatioMeter(bands))
 
         def one(text):
-            words = WORDS.findall(text)
-            repeat = repeated_words(words)
-            failed = len(words) < 50 or 100 * repeat > 50 * len(words)
-            return (len(words), sum(map(len, words)), sum(map(text.count, SYMBOLS)), repeated_lines(text), repeat, failed, digest(text), *meter.measure(text))
+            return (*base_counts(text), digest(text), *meter.measure(text))
 
         names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "digest", "script", "band", "ratio", "chunks")
 
@@ -162,11 +189,16 @@ def quality_rules(docs: DataFrame, bands: CompressionBands = CompressionBands(),
 
     schema = f"doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, {MEASURES}"
     rows = map_texts(id_text(docs, id_col, text_col), schema, make)
-    if limits is None:
-        rows = written(rows, "measured")  # numbers only; the texts are read once
-        limits = learned_limits(rows, bands)
-    table = F.broadcast(docs.sparkSession.createDataFrame([(s, b, *map(float, x), *map(float, limits[s, CHUNKS])) for (s, b), x in limits.items()],
-                                                          "script int, band int, low double, high double, chunk_low double, chunk_high double"))
+    if limits is not None:
+        return judged(rows, limits, bands)
+    with Workspace(docs.sparkSession, "quality") as space:
+        rows = space.written(rows, "measured")  # numbers only; the texts are read once
+        return space.finish(judged(rows, learned_limits(rows, bands), bands))
+
+
+def judged(rows: DataFrame, limits: Limits, bands: CompressionBands) -> DataFrame:
+    table = F.broadcast(rows.sparkSession.createDataFrame([(s, b, *map(float, x), *map(float, limits[s, CHUNKS])) for (s, b), x in limits.items()],
+                                                          "script int, band int, low double, high double, chunk_low double, chunk_high double"))  # a row a band
     outside = F.size(F.filter("chunks", lambda c: ~(c / 1000).between(F.col("chunk_low"), F.col("chunk_high"))))
     rows = rows.join(table, ["script", "band"]).withColumn("bad_chunks", F.when(F.size("chunks") > 0, outside / F.size("chunks")).otherwise(0.0))
     kept = ~F.col("base_failed") & F.col("ratio").between(F.col("low"), F.col("high")) & (F.col("bad_chunks") <= bands.max_bad_chunks)
