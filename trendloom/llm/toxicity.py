@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trendloom.llm.common import LETTERS, crc_residue, hash_sample, id_text, map_texts, worker_state
+from trendloom.llm.common import crc_residue, hash_sample, id_text, letter_runs, map_texts, worker_state
 
 BUCKET_BITS = 18
 
@@ -35,7 +35,7 @@ class TermHasher:
         self.mask, self.room, self.seen = (1 << bits) - 1, cache, {}
 
     def buckets(self, text: str | None) -> np.ndarray:
-        words = set(LETTERS.findall((text or "").lower()))
+        words = set(letter_runs(text or ""))
         seen, get = self.seen, self.seen.get
         if len(seen) + len(words) > self.room:
             seen.clear()
@@ -49,11 +49,12 @@ class TermHasher:
 
 
 def labelled_buckets(docs: DataFrame, labels: DataFrame, max_rows: int, id_col: str, text_col: str, label_id: str, label_col: str):
-    """(bucket arrays, labels) of about max_rows labelled documents, in order of a hash of the id."""
+    """(bucket arrays, labels) of about max_rows labelled documents, in order of the id."""
     own = labels.select(labels[label_id].cast("long").alias("doc_id"), labels[label_col].cast("int").alias("label"))
     own = own.filter("doc_id is not null and label in (0, 1)").groupBy("doc_id").agg(F.max("label").alias("label"))
-    chosen = hash_sample(own, "doc_id", max_rows, salt=6)
+    chosen = hash_sample(own, max_rows, salt=6)
     rows = id_text(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id")  # bounded by max_rows
+    rows = rows.groupBy("doc_id", "label").agg(F.min("text").alias("text"))  # one text an id, however often it is repeated
 
     def make():
         hasher = TermHasher()
@@ -63,11 +64,10 @@ def labelled_buckets(docs: DataFrame, labels: DataFrame, max_rows: int, id_col:
 
         return apply
 
-    keyed = rows.select((F.col("doc_id") * 2 + F.col("label")).alias("key"), "text")
-    found = map_texts(keyed, "key long, buckets array<int>", make).toArrow()
-    order = np.argsort(found["key"].to_numpy(), kind="stable")
-    keys, arrays = found["key"].to_numpy(), found["buckets"].to_pylist()
-    return [np.array(arrays[i], np.int32) for i in order], (keys[order] & 1).astype(np.float64)
+    found = map_texts(rows.select(F.concat_ws(" ", "doc_id", "label").alias("key"), "text"), "key string, buckets array<int>", make).toArrow()
+    read = sorted((*map(int, key.split()), at) for at, key in enumerate(found["key"].to_pylist()))
+    arrays = found["buckets"].to_pylist()
+    return [np.array(arrays[at], np.int32) for _, _, at in read], np.array([label for _, label, _ in read], np.float64)
 
 
 def telling_buckets(rows: list[np.ndarray], labels: np.ndarray, size: int, least_rows: int, least_chi2: float) -> np.ndarray:
@@ -84,41 +84,51 @@ def telling_buckets(rows: list[np.ndarray], labels: np.ndarray, size: int, least
 
 def telling_pairs(rows: list[np.ndarray], labels: np.ndarray, size: int, least_rows: int, least_chi2: float, least_share: float = 0.015,
                   step: int = 512) -> np.ndarray:
-    """Which buckets are in a pair that is toxic more often, by a chi-squared test, than each of its two alone; whether they
-    tell on their own does not count. The pair has to be in `least_rows` toxic rows and in `least_share` of them, so that
-    the number of pairs does not grow with the rows."""
+    """Which buckets are in a pair that is toxic more often, or less often, by a chi-squared test, than each of its two alone;
+    whether they tell on their own does not count. A pair toxic more often has to be in `least_rows` toxic rows and in
+    `least_share` of them, one less often to miss so many, so that the number of pairs does not grow with the rows."""
     flat, each = np.concatenate(rows), np.repeat(labels, [len(r) for r in rows])
     n, toxic = np.bincount(flat, minlength=size), np.bincount(flat, each, minlength=size)
     least_rows = max(least_rows, least_share * labels.sum())
     terms, found = np.flatnonzero(toxic >= least_rows), np.zeros(size, bool)
     rate, place = toxic[terms] / n[terms], np.full(size, -1)
     place[terms] = np.arange(len(terms))
+
+    def together(own: list[np.ndarray], start: int, end: int) -> np.ndarray:
+        """In how many rows each of terms[start:end] stands with each term from `start` on."""
+        counts = np.zeros((end - start, len(terms) - start), np.float32)
+        for at in range(0, len(own), step):
+            held = np.zeros((min(step, len(own) - at), len(terms) - start), np.float32)
+            for i, r in enumerate(own[at : at + step]):
+                held[i, place[r][place[r] >= start] - start] = 1
+            counts += held[:, : end - start].T @ held
+        return counts
+
+    toxic_rows = [r for r, y in zip(rows, labels) if y]
     for start in range(0, len(terms), step):
         end = min(start + step, len(terms))
-        both, bad = (np.zeros((end - start, len(terms)), np.float32) for _ in range(2))
-        for at in range(0, len(rows), step):
-            own, y = rows[at : at + step], labels[at : at + step].astype(np.float32)
-            held = np.zeros((len(own), len(terms)), np.float32)
-            for i, r in enumerate(own):
-                held[i, place[r][place[r] >= 0]] = 1
-            part = held[:, start:end].T
-            both += part @ held
-            bad += (part * y) @ held
-        expected = np.maximum(both * np.maximum(rate[start:end, None], rate), 1e-9)
+        both, bad = together(rows, start, end), together(toxic_rows, start, end)
+        high, low = (both * f(rate[start:end, None], rate[start:]) for f in (np.maximum, np.minimum))
+        more, less = (bad > high + 0.01) & (bad >= least_rows), (bad < low - 0.01) & (low - bad >= least_rows)
+        expected = np.maximum(np.where(more, high, low), 1e-9)
         chi2 = (bad - expected) ** 2 * (1 / expected + 1 / np.maximum(both - expected, 1e-9))
-        a, b = np.nonzero((bad >= least_rows) & (bad > expected + 0.01) & (chi2 >= least_chi2))
-        found[terms[start + a]] = found[terms[b]] = True
+        a, b = np.nonzero((more | less) & (chi2 >= least_chi2))
+        found[terms[start + a]] = found[terms[start + b]] = True
     return found
 
 
 def fit_machine(rows: list[np.ndarray], labels: np.ndarray, rank: int = 4, epochs: int = 12, batch: int = 128, rate: float = 0.3,
-                decay: float = 1e-5, least_rows: int = 5, least_chi2: float = 20.0, least_pair_chi2: float = 40.0, seed: int = 6, bits: int = BUCKET_BITS) -> FactorizationMachine:
-    """Logistic loss by AdaGrad in minibatches; the same rows give the same model. Without both labels it scores everything 0."""
+                decay: float = 1e-5, least_rows: int = 5, least_chi2: float = 10.0, least_pair_chi2: float = 80.0, seed: int = 6, bits: int = BUCKET_BITS) -> FactorizationMachine:
+    """Logistic loss by AdaGrad in minibatches; the same rows give the same model. Without both labels it scores everything 0.
+
+    Buckets that tell neither alone nor in a pair stay at 0. With rank 0 the model is linear.
+    """
     size, rng = 1 << bits, np.random.default_rng(seed)
     w, v = np.zeros(size), rng.normal(0, 0.01, (size, rank))
     if not len(rows) or labels.min() == labels.max():
         return FactorizationMachine(-20.0, w.astype(np.float32), np.zeros((size, rank), np.float32))
-    telling = telling_buckets(rows, labels, size, least_rows, least_chi2) | telling_pairs(rows, labels, size, least_rows, least_pair_chi2)
+    once = sorted({(r.tobytes(), y): i for i, (r, y) in enumerate(zip(rows, labels))}.values())  # all pairs of a text that has copies would tell
+    telling = telling_buckets(rows, labels, size, least_rows, least_chi2) | telling_pairs([rows[i] for i in once], labels[once], size, least_rows, least_pair_chi2)
     rows = [r[telling[r]] for r in rows]
     v[~telling] = 0
     bias = float(np.log(labels.mean() / (1 - labels.mean())))
@@ -132,13 +142,13 @@ def fit_machine(rows: list[np.ndarray], labels: np.ndarray, rank: int = 4, epoch
             doc = np.repeat(np.arange(len(own)), counts)
             terms, at = np.unique(flat, return_inverse=True)
             vt = v[terms]
-            sums = np.stack([np.bincount(doc, vt[at, f], len(own)) for f in range(rank)], 1)
+            sums = np.array([np.bincount(doc, vt[at, f], len(own)) for f in range(rank)]).reshape(rank, len(own)).T
             squares = np.bincount(doc, (vt**2).sum(1)[at], len(own))
             z = bias + np.bincount(doc, w[terms][at], len(own)) + 0.5 * ((sums**2).sum(1) - squares)
             g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels[own]) / len(own)
             gd = g[doc]
             gw = np.bincount(at, gd, len(terms)) + decay * w[terms]
-            gv = np.stack([np.bincount(at, gd * sums[doc, f], len(terms)) for f in range(rank)], 1) - vt * np.bincount(at, gd, len(terms))[:, None] + decay * vt
+            gv = np.array([np.bincount(at, gd * sums[doc, f], len(terms)) for f in range(rank)]).reshape(rank, len(terms)).T - vt * np.bincount(at, gd, len(terms))[:, None] + decay * vt
             seen_w[terms] += gw**2
             seen_v[terms] += gv**2
             seen_b += g.sum() ** 2
@@ -151,7 +161,8 @@ def fit_machine(rows: list[np.ndarray], labels: np.ndarray, rank: int = 4, epoch
 def learn_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, id_col: str = "doc_id", text_col: str = "text",
                    label_id: str = "doc_id", label_col: str = "toxic") -> FactorizationMachine:
     """Fits on about max_rows labelled rows picked by a hash of the id (all, if fewer). Rows with a null id or a label other
-    than 0 and 1 are left out; a repeated id counts once, as toxic if any of its labels is."""
+    than 0 and 1 are left out; a repeated id counts once, as toxic if any of its labels is, and with the first of its texts
+    in order."""
     return fit_machine(*labelled_buckets(docs, labels, max_rows, id_col, text_col, label_id, label_col))
 
 
