@@ -12,6 +12,7 @@ low words, high words, samples (unsigned 64 bits), ids.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import uuid
@@ -67,14 +68,6 @@ class EliasFano:
         low = int.from_bytes(self.low[start // 64 : start // 64 + 2].tobytes(), "little") >> start % 64
         return high << self.low_bits | low & (1 << self.low_bits) - 1
 
-    def all(self) -> np.ndarray:
-        bits = np.unpackbits(self.high.view(np.uint8), bitorder="little")
-        out = (np.flatnonzero(bits)[: self.n] - np.arange(self.n)).astype(np.int64) << self.low_bits
-        low = np.unpackbits(self.low.view(np.uint8), bitorder="little").astype(np.int64)
-        for b in range(self.low_bits):
-            out |= low[np.arange(self.n) * self.low_bits + b] << b
-        return out
-
 
 class Shard:
     """The bytes of one shard, read in place."""
@@ -140,21 +133,37 @@ class WordEncoder:
     """Ids of texts for a tokenizer whose pre-tokens are lower-cased matches of a pattern in NFC text, each merged alone.
 
     Texts with uncommon characters, whose lower case or composition may depend on more than the character, and texts
-    with strings of added tokens go to the library whole.
+    with strings of added tokens go to the library whole; so do all texts if the tokenizer file does not say that it works
+    this way.
     """
 
-    #: The split of the tokenizer file, as it reads in texts of common characters.
+    #: The normalizer and split of a tokenizer file for which lower() and SPLIT stand.
+    FILE_NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+    FILE_SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"""
+    #: That split as it reads in texts of common characters.
     SPLIT = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 
     def __init__(self, path: str, width: int, cache: int = 300_000):
         self.tokenizer, self.kind = load_tokenizer(path), {2: "H", 4: "I"}[width]
         self.special, self.words = special_pattern(self.tokenizer), WordIds(self.tokenizer.model, self.kind, cache)
+        if (largest := max(self.tokenizer.get_vocab().values(), default=0)) >= 256**width:
+            raise ValueError(f"ids up to {largest} do not fit in {width} bytes")
+        with open(path, encoding="utf-8") as f:
+            self.by_words = self.works_by_words(json.load(f))
+
+    @classmethod
+    def works_by_words(cls, made: dict) -> bool:
+        """Whether a tokenizer file has the known normalizer and split, then byte-level merges of each word."""
+        split, *rest = (made.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        return ((made.get("normalizer") or {}).get("normalizers") == cls.FILE_NORMALIZER and split.get("pattern") == {"Regex": cls.FILE_SPLIT}
+                and split.get("behavior") == "Removed" and split.get("invert") is True and made["model"]["type"] == "BPE"
+                and [(x["type"], x["add_prefix_space"], x["use_regex"]) for x in rest] == [("ByteLevel", False, False)])
 
     def whole(self, text: str) -> bytes:
         return array(self.kind, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def encode(self, text: str) -> bytes:
-        if UNCOMMON.search(text) or self.special is not None and self.special.search(text):
+        if not self.by_words or UNCOMMON.search(text) or self.special is not None and self.special.search(text):
             return self.whole(text)
         return b"".join(map(self.words.__getitem__, self.SPLIT.findall(text.lower())))
 
@@ -170,11 +179,13 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
 
     Shards in order of their names hold the documents in ascending order of (doc_id, hash of the text), nulls first. A
     shard is closed when it has shard_ids ids or more, so a task holds one shard at most. A shard is written under a
-    name of its own and renamed when complete, so a task that runs again, or twice, leaves the same files.
+    name of its own and renamed when complete, in place of one that an earlier run of the task left. Rows that are repeated
+    very often are equal, so they are dealt to several ranges by their place in the input. An id that does not fit in
+    `width` bytes is an error.
     """
-    rows = id_text(docs, id_col, text_col).withColumn("tie", F.xxhash64("text"))
-    rows = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
     end = int(end_id).to_bytes(width, "little")
+    rows = id_text(docs, id_col, text_col).withColumns({"tie": F.xxhash64("text"), "place": F.monotonically_increasing_id()})
+    rows = rows.repartitionByRange("doc_id", "tie", "place").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -189,6 +200,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
             where.create_dir(base, recursive=True)
             with where.open_output_stream(draft := f"{base}/.{name}.{uuid.uuid4().hex}") as f:
                 f.write(shard_bytes(ids, documents, width))
+            if where.get_file_info(f"{base}/{name}").type != fs.FileType.NotFound:  # not every file system replaces it
+                where.delete_file(f"{base}/{name}")
             where.move(draft, f"{base}/{name}")
             made.append((name, len(documents), size // width))
 
@@ -209,21 +222,22 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
 
 
 def read_token_files(spark, folder: str, manifest: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of each document, read from the shards: start counts the ids of all documents
-    before it, ids_crc32 is over its ids as little-endian unsigned 32-bit integers."""
+    """(doc_id, start, n_tokens, ids_crc32) of each document, read from the shards by the boundaries that select gives: start
+    counts the ids of all documents before it, ids_crc32 is over its ids as little-endian unsigned 32-bit integers."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.tlef").load(folder).select("path", "content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("file", pa.string()), ("doc_id", pa.int64()), ("local", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
         for batch in batches:
             for k in range(batch.num_rows):
-                shard = Shard(batch.column(1)[k].as_py())
-                ends = shard.bounds.all()
-                wide = memoryview(shard.ids.astype("<u4").tobytes())
-                crcs = [zlib.crc32(wide[4 * a : 4 * b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([os.path.basename(batch.column(0)[k].as_py())] * len(crcs), pa.string()), pa.array(shard.doc_ids, mask=shard.nulls.astype(bool)),
-                    pa.array(ends[:-1]), pa.array(np.diff(ends)), pa.array(crcs, pa.int64())], schema=schema)
+                shard, name = Shard(batch.column(1)[k].as_py()), os.path.basename(batch.column(0)[k].as_py())
+                for first in range(0, len(shard.doc_ids), 4096):
+                    own = range(first, min(first + 4096, len(shard.doc_ids)))
+                    starts = [shard.bounds.select(i) for i in range(own.start, own.stop + 1)]
+                    crcs = [zlib.crc32(shard.ids[a:b].astype("<u4")) for a, b in zip(starts, starts[1:])]
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array([name] * len(own), pa.string()), pa.array(shard.doc_ids[own.start : own.stop], mask=shard.nulls[own.start : own.stop].astype(bool)),
+                        pa.array(starts[:-1], pa.int64()), pa.array(np.diff(starts), pa.int64()), pa.array(crcs, pa.int64())], schema=schema)
 
     found = files.mapInArrow(run, "file string, doc_id long, local long, n_tokens long, ids_crc32 long")
     before = F.sum("n_ids").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1))  # a row a shard
