@@ -5,7 +5,7 @@ that the merges give, and it ends with the one token that can follow the tokeniz
 state of the transducer is the set of places where a token that is still being read may have started: for each, the
 node of the trie, the token before it, and the tokens that are not written yet. Reading a byte moves all places at
 once; tokens on which all places agree are written. A place lives no longer than the longest token, which bounds the
-lookahead. States and moves are made when they are first needed and kept up to a bound.
+lookahead. States and moves are made when they are first needed and kept up to a bound, within a pre-token as between two.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ import base64
 import hashlib
 import re
 
+import numpy as np
 import regex
 from pyspark.sql import DataFrame
 
@@ -66,10 +67,15 @@ class Transducer:
         self.fits: dict[int, bool] = {}
         self.restart()
 
-    def restart(self) -> None:
-        """Forgets all states but the first."""
+    def restart(self, keep: tuple | None = None) -> int:
+        """Forgets all states but the first, and one to go on from; returns the number of that."""
         start = ((0, -1, ()),)
         self.states, self.number, self.moves = [start], {start: 0}, {}
+        if keep is None or keep == start:
+            return 0
+        self.states.append(keep)
+        self.number[keep] = 1
+        return 1
 
     def edge(self, token: int) -> tuple | None:
         """(first, last): the tokens that stand in turn at the first and at the last byte while the merges form `token`, with
@@ -165,12 +171,12 @@ class Transducer:
         whole = self.ranks.get(piece)
         if whole is not None:
             return (whole,)
-        if len(self.moves) > self.max_moves:
-            self.restart()
         state, out, get = 0, [], self.moves.get
         for byte in piece:
             made = get(state << 8 | byte)
             if made is None:
+                if len(self.moves) >= self.max_moves:  # also inside of a piece, which may be very long
+                    state, get = self.restart(self.states[state]), self.moves.get
                 made = self.move(state, byte)
             if made.__class__ is int:
                 state = made
@@ -257,10 +263,11 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
 
 
 def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", step: int = 4096,
-               cache: int = 200_000, max_moves: int = 400_000) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256): encodes as encode_documents does, decodes the ids again in steps of
-    `step`, and gives the digests of the decimal ids joined by one space and of the decoded bytes. cache and max_moves bound
-    a worker's memory: pieces in each of two generations, and moves of the transducer; smaller ones cost time only."""
+               cache: int = 200_000, max_moves: int = 400_000, with_ids: bool = False) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256, and with with_ids ids): encodes as encode_documents does, decodes the
+    ids again in steps of `step`, and gives the digests of the decimal ids joined by one space and of the decoded bytes. cache
+    and max_moves bound a worker's memory: pieces in each of two generations, and moves of the transducer; smaller ones cost
+    time only."""
 
     def make():
         encoder = text_encoder(ranks_path, pattern, cache, max_moves)
@@ -273,14 +280,16 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
             for start in range(0, len(ids), step):
                 digest.update(stream.feed(ids[start : start + step]))
             digest.update(stream.end())
-            return len(ids), hashlib.sha256(joined.encode()).hexdigest(), digest.hexdigest()
+            found = len(ids), hashlib.sha256(joined.encode()).hexdigest(), digest.hexdigest()
+            return (*found, np.array(ids, np.int32)) if with_ids else found
 
         def apply(ids, texts):
-            return {"doc_id": ids} | dict(zip(("n_tokens", "ids_sha256", "decoded_sha256"), zip(*[one(t or "") for t in texts])))
+            return {"doc_id": ids} | dict(zip(("n_tokens", "ids_sha256", "decoded_sha256", "ids"), zip(*[one(t or "") for t in texts])))
 
         return apply
 
-    return map_texts(id_text(docs, id_col, text_col), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", make)
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    return map_texts(id_text(docs, id_col, text_col), schema, make)
 
 
 def op9_bpe(spark, sf_dir: str) -> DataFrame:

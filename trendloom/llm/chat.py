@@ -64,18 +64,25 @@ def enumerate_paths(messages: DataFrame) -> DataFrame:
     return paths.join(rooted, ["conv_id", "leaf"], "left_semi")
 
 
-def format_paths(messages: DataFrame, paths_per_conversation: int | None = None) -> DataFrame:
+def one_row_a_message(messages: DataFrame) -> DataFrame:
+    """Of rows with the same conv_id and msg_id the first in order of parent_id, role, text and score."""
+    rest = [c for c in messages.columns if c not in ("conv_id", "msg_id")]
+    return messages.groupBy("conv_id", "msg_id").agg(F.min(F.struct(*rest)).alias("x")).select("conv_id", "msg_id", "x.*")
+
+
+def format_paths(messages: DataFrame, paths_per_conversation: int | None = None, ids_are_unique: bool = False) -> DataFrame:
     """(conv_id, leaf, path_rank, formatted) for each chosen path of each conversation.
 
     messages: conv_id, msg_id, parent_id, role, text, score; other columns are not read. A null role or text counts as
     empty, a null score as 0. Paths rank by their summed score, then by length, longest first, then by leaf. Rows with
-    a null conv_id or msg_id have no place in a tree and are left out; an empty table gives none. msg_id has to be
-    unique in its conversation. One conversation is one output string, so a path has to fit in a row.
+    a null conv_id or msg_id have no place in a tree and are left out; an empty table gives none. Of rows that repeat a
+    msg_id of their conversation one counts (one_row_a_message); ids_are_unique says that there are none. One conversation
+    is one output string, so a path has to fit in a row.
     """
     own = messages.filter("conv_id is not null and msg_id is not null").select(
         "conv_id", "msg_id", "parent_id", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"),
         F.coalesce("score", F.lit(0.0)).cast("double").alias("score"))
-    own = written(own, "messages")
+    own = written(own if ids_are_unique else one_row_a_message(own), "messages")
     steps = written(enumerate_paths(own).join(own.select("conv_id", "msg_id", "score", (F.col("role") == "assistant").alias("answers")), ["conv_id", "msg_id"]), "steps")
     order = Window.partitionBy("conv_id").orderBy(F.desc("score"), F.desc("turns"), "leaf")
     ranked = steps.groupBy("conv_id", "leaf").agg(F.sum("score").alias("score"), F.count("*").alias("turns"))
@@ -119,7 +126,7 @@ def op5_chat(spark, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     said = F.lit("</s>[INST] ok [/INST]").alias("text")
     extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said)
-    formatted = format_paths(conversations_as_trees(rows.unionByName(extra)))
+    formatted = format_paths(conversations_as_trees(rows.unionByName(extra)), ids_are_unique=True)
     read = written(formatted, "formatted").select("conv_id", "formatted", parse_turns(F.col("formatted")).alias("turns"))
     all_text = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     loss_text = F.array_join(F.transform(F.filter("turns", lambda t: t["target"]), lambda t: t["text"]), "")
