@@ -1,10 +1,13 @@
-"""The stage's own setting, five words and 80 percent, against a brute force."""
+"""The stage's own setting, five words and 80 percent, against a brute force; and cells that are cut into blocks."""
 
 import random
 
 from test_queries import components, shingle_sets
 
+import pytest
+
 import corpus_pipeline
+from trendloom.llm import jaccard
 
 
 def test_stage_compares_five_words_at_80_percent(spark):
@@ -21,3 +24,31 @@ def test_stage_compares_five_words_at_80_percent(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     kept = corpus_pipeline.near_duplicates(spark, docs, "").collect()
     assert sorted(r.doc_id for r in kept) == [i for i in want if want[i] == i]
+
+
+@pytest.mark.parametrize("chain", [False, True])
+def test_cells_cut_into_blocks_give_the_same_components(spark, monkeypatch, chain):
+    """Many sets that share one beginning: near copies of several texts, or a chain of sets each of which links with the next."""
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(4000)]
+    common, texts = rng.choices(words, k=60), []
+    if chain:
+        for i in range(220):
+            texts.append(common[:30] + [f"c{j}" for j in range(i, i + 30)])
+    else:
+        for own in range(6):
+            body = common[:40] + [f"own{own}-{i}" for i in range(40)]
+            for _ in range(50):
+                copy = body[:]
+                for at in rng.sample(range(40, 80), rng.choice([0, 1, 1, 2, 3])):
+                    copy[at] = rng.choice(words)
+                texts.append(copy)
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    rng.shuffle(rows)
+    monkeypatch.setattr(jaccard, "BLOCK", 16)
+    monkeypatch.setattr(jaccard, "SAMPLED", 1)
+    monkeypatch.setattr(jaccard, "HOT", 10)
+    monkeypatch.setattr(jaccard, "frequent_shingles", lambda docs, width: jaccard.np.empty(0, jaccard.np.uint64))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = components(shingle_sets(rows))
+    assert {r.doc_id: r.component_id for r in jaccard.jaccard_components(docs, stars_later=0).collect()} == want

@@ -11,7 +11,8 @@ link is missed. The order puts the hash of an element first and elements that ar
 it changes the speed only) last, so that common passages make few cells. Equal sets are one class from the start. Before
 the trees, stars link each set of a cell with one set of the cell, and then those still apart with a few others, which
 joins groups of near copies in a number of pairs that grows with their size, not its square; the trees then look for
-pairs in different components only.
+pairs in different components only. A cell with very many sets is cut into blocks, most of them of one component; each block
+that is not of the largest component is searched against each other block, as a task of its own.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from trendloom.llm.common import WORDS, hash_sample, id_text, map_texts
 from trendloom.llm.shingles import worker_hasher
 from trendloom.operators.components import connected_components
-from trendloom.session import written
+from trendloom.session import Workspace
 
 #: Groups of a count vector: enough to tell sets of some 20,000 elements apart at the usual thresholds.
 GROUPS = 512
@@ -34,6 +35,9 @@ GROUPS = 512
 FULL = 255
 #: Ids that are broadcast at most, 8 bytes each; beyond, a shuffled join.
 BROADCAST_IDS = 1_000_000
+#: A cell is cut into blocks of about BLOCK sets if it has HOT or more sets in one of SAMPLED parts, by a hash, of all sets. Which
+#: cells are cut changes the speed only.
+BLOCK, SAMPLED, HOT = 512, 64, 12
 
 
 class ShingleSets:
@@ -68,7 +72,7 @@ def frequent_shingles(docs: DataFrame, width: int, sample_docs: int = 4_000, lea
 
         return apply
 
-    counts = map_texts(hash_sample(docs, "doc_id", sample_docs, salt=10), "h long, n long", make).groupBy("h").agg(F.sum("n").alias("n"))
+    counts = map_texts(hash_sample(docs, sample_docs, salt=10), "h long, n long", make).groupBy("h").agg(F.sum("n").alias("n"))
     top = counts.filter(F.col("n") >= least).orderBy(F.desc("n"), "h").limit(size).toPandas()
     return np.sort(top["h"].to_numpy(np.int64).view(np.uint64))
 
@@ -117,15 +121,17 @@ class CountVectorTree:
     """An R-tree over points, bulk-loaded by cutting at the median of the size, then of the widest coordinate, in turn.
 
     rooms: how many elements of a set stand from the cell's key on; two sets whose first common element that is cannot
-    share more than the smaller room.
+    share more than the smaller room. sides: if any is 1, only the rows of side 1 stand in the tree, and those of side 0 ask.
     """
 
     LEAF = 32
 
-    def __init__(self, points: np.ndarray, sizes: np.ndarray, rooms: np.ndarray, marks: np.ndarray, percent: int):
+    def __init__(self, points: np.ndarray, sizes: np.ndarray, rooms: np.ndarray, marks: np.ndarray, sides: np.ndarray, percent: int):
         self.points, self.sizes, self.rooms, self.marks, self.percent = points, sizes, rooms, marks.copy(), percent
+        self.crossing = bool(sides.any())
+        self.asking = np.flatnonzero(sides == 0)
         self.nodes: list[tuple] = []
-        self.root = self.load(np.arange(len(points)), 0)
+        self.root = self.load(np.flatnonzero(sides == self.crossing), 0)
 
     def load(self, own: np.ndarray, depth: int) -> int:
         """Each node: greatest counts, least and greatest size, a row whose mark all have (None if mixed), and rows or two nodes."""
@@ -140,11 +146,11 @@ class CountVectorTree:
         self.nodes.append((self.points[own].max(axis=0), self.sizes[own].min(), self.sizes[own].max(), same, below))
         return len(self.nodes) - 1
 
-    def pairs(self, slack: np.ndarray | None = None, step: int = 2048) -> Iterator[tuple[np.ndarray, int]]:
-        """Rows i and a row j > i, of different marks, whose overlap bound reaches the overlap needed, with `slack` over it
-        for that of two sets at a time; marks may be joined between two results."""
-        for start in range(0, len(self.points), step):
-            stack = [(self.root, np.arange(start, min(start + step, len(self.points))))]
+    def pairs(self, slack: bool = False, step: int = 2048) -> Iterator[tuple[np.ndarray, int]]:
+        """Rows i and a row j, of different marks, whose overlap bound reaches the overlap needed, with `slack` and what may come
+        by chance over it; j > i unless the sides cross. Marks may be joined between two results."""
+        for start in range(0, len(self.asking), step):
+            stack = [(self.root, self.asking[start : start + step])]
             while stack:
                 node, queries = stack.pop()
                 greatest, least_n, most_n, same, below = self.nodes[node]
@@ -164,12 +170,12 @@ class CountVectorTree:
                     stack += [(below[0], queries), (below[1], queries)]
                     continue
                 for j in below:
-                    i = queries[(queries < j) & (self.marks[queries] != self.marks[j])]
+                    i = queries[(self.crossing | (queries < j)) & (self.marks[queries] != self.marks[j])]
                     i = i[np.minimum(self.rooms[i], self.rooms[j]) >= needed(self.sizes[i], self.sizes[j], self.percent)]
                     if len(i):
                         bound = np.minimum(self.points[i], self.points[j]).sum(axis=1)
                         least = needed(self.sizes[i], self.sizes[j], self.percent)
-                        if slack is not None:
+                        if slack:
                             least = np.minimum(least + by_chance(self.sizes[i], self.sizes[j], bound), np.minimum(self.sizes[i], self.sizes[j]))
                         i = i[bound >= least]
                         if len(i):
@@ -178,7 +184,7 @@ class CountVectorTree:
     def forest(self) -> list[tuple[int, int]]:
         """Pairs that very likely link and that join the marks as far as such pairs do: fewer than there are rows."""
         found = []
-        for i, j in self.pairs(slack=self.sizes):
+        for i, j in self.pairs(slack=True):
             other, first = np.unique(self.marks[i], return_index=True)
             for mark, at in zip(other, first):
                 if mark != self.marks[j]:
@@ -193,35 +199,37 @@ def by_chance(n: np.ndarray, m: np.ndarray, bound: np.ndarray) -> np.ndarray:
 
 
 def search_cells(cells: DataFrame, percent: int, forests: bool, small: int = 8) -> DataFrame:
-    """(key, a, b, stands_for), a < b, of pairs in a cell whose components differ and whose bound holds; a pair may come from
-    several cells.
+    """(key, a, b, stands_for), a < b, of pairs in a group whose components differ and whose bound holds; a pair may come from
+    several groups.
 
-    cells: (key, rep, component, n, room, counts). Cells of up to `small` rows are compared row with row, larger ones by a
-    tree. With `forests` a larger cell gives first a forest of pairs that very likely link (stands_for true), and then only
-    the pairs that this forest leaves apart: if each pair of its forest links, nothing is missed.
+    cells: (key, group, side, rep, component, n, room, counts); a group is a cell, all of side 0, or two blocks of one. Groups
+    of up to `small` rows are compared row with row, larger ones by a tree. With `forests` a larger group gives first a forest
+    of pairs that very likely link (stands_for true), and then only the pairs that this forest leaves apart: if each pair of
+    its forest links, nothing is missed.
     """
     schema = pa.schema([("key", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("stands_for", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def search(table: pa.Table) -> pa.RecordBatch:
-            key, rep, mark, sizes, rooms = (table.column(i).to_numpy() for i in range(5))
-            points = count_matrix(table.column(5), sizes)
-            starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            lengths = np.diff(np.concatenate([starts, [len(key)]]))
-            little = np.repeat(lengths <= small, lengths)
+            group, key, side, rep, mark, sizes, rooms = (table.column(i).to_numpy() for i in range(7))
+            points = count_matrix(table.column(7), sizes)
+            starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+            lengths = np.diff(np.concatenate([starts, [len(group)]]))
+            crossing = np.add.reduceat(side, starts) > 0
+            little = np.repeat((lengths <= small) & ~crossing, lengths)
             found = []  # rows i, rows j, whether they are of a forest
-            for d in range(1, min(small, len(key))):
-                i = np.flatnonzero((key[d:] == key[:-d]) & little[d:] & (mark[d:] != mark[:-d]))
+            for d in range(1, min(small, len(group))):
+                i = np.flatnonzero((group[d:] == group[:-d]) & little[d:] & (mark[d:] != mark[:-d]))
                 i = i[np.minimum(rooms[i], rooms[i + d]) >= needed(sizes[i], sizes[i + d], percent)]
                 if len(i):
                     bound = np.minimum(points[i], points[i + d]).sum(axis=1)
                     i = i[bound >= needed(sizes[i], sizes[i + d], percent)]
                     found.append((i, i + d, np.zeros(len(i), bool)))
-            for s, n in zip(starts[lengths > small], lengths[lengths > small]):
+            for s, n in zip(starts[(lengths > small) | crossing], lengths[(lengths > small) | crossing]):
                 rows = slice(s, s + n)
-                if (mark[rows] == mark[s]).all():
+                if (mark[rows] == mark[s]).all() or (side[rows] == 1).all():
                     continue
-                tree = CountVectorTree(points[rows], sizes[rows], rooms[rows], mark[rows], percent)
+                tree = CountVectorTree(points[rows], sizes[rows], rooms[rows], mark[rows], side[rows], percent)
                 if forests and (kept := tree.forest()):
                     i, j = np.array(kept).T
                     found.append((s + i, s + j, np.ones(len(i), bool)))
@@ -234,8 +242,8 @@ def search_cells(cells: DataFrame, percent: int, forests: bool, small: int = 8)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key = batch.column(0).to_numpy()
-            cut = int(np.searchsorted(key, key[-1]))  # the last key may go on in the next batch
+            group = batch.column(0).to_numpy()
+            cut = int(np.searchsorted(group, group[-1]))  # the last group may go on in the next batch
             if cut:
                 yield search(pa.Table.from_batches([*held, batch.slice(0, cut)]))
                 held = []
@@ -243,10 +251,32 @@ def search_cells(cells: DataFrame, percent: int, forests: bool, small: int = 8)
         if held:
             yield search(pa.Table.from_batches(held))
 
-    dealt = cells.repartition("key").sortWithinPartitions("key", "rep").select("key", "rep", "component", "n", "room", "counts")
+    dealt = cells.repartition("group").sortWithinPartitions("group", "rep").select("group", "key", "side", "rep", "component", "n", "room", "counts")
     return dealt.mapInArrow(run, "key long, a long, b long, stands_for boolean")
 
 
+def block_pairs(cells: DataFrame) -> DataFrame:
+    """Large cells as groups for search_cells, of two blocks or one block each; cells of a single component give none.
+
+    cells: (key, rep, component, n, room, counts). A component of BLOCK / 2 rows or more is dealt to blocks of its own by a hash
+    of the row, smaller ones share blocks by a hash of the component. Blocks of a cell's largest component are not paired with
+    each other, nor searched alone: the number of pairs is that of blocks times that of the rest's blocks.
+    """
+    size = cells.groupBy("key", "component").agg(F.count("*").alias("rows"))
+    large = F.col("rows") >= BLOCK // 2
+    of_key = size.groupBy("key").agg(F.count("*").alias("components"), F.max(F.struct("rows", "component"))["component"].alias("largest"),
+                                     F.sum(F.when(large, 0).otherwise(F.col("rows"))).alias("in_small")).filter("components > 1")
+    dealt = cells.join(size, ["key", "component"]).join(of_key, "key")
+    part = lambda value, rows: F.pmod(F.xxhash64(value), F.ceil(rows / BLOCK))
+    block = F.when(large, F.xxhash64("component", part("rep", F.col("rows")))).otherwise(F.xxhash64(F.lit("shared"), part("component", F.col("in_small"))))
+    dealt = dealt.select("key", "rep", "component", "n", "room", "counts", block.alias("block"), (large & (F.col("component") == F.col("largest"))).alias("main"))
+    blocks = dealt.select("key", "block", "main").distinct()
+    asks = blocks.filter("not main").select("key", F.col("block").alias("asks"))
+    pairs = asks.join(blocks, "key").filter("main or asks <= block").withColumn("group", F.xxhash64("key", "asks", "block"))
+    sides = [pairs.select("key", "group", F.col("asks").alias("block"), F.lit(0).alias("side")), pairs.filter("asks != block").select("key", "group", "block", F.lit(1).alias("side"))]
+    return dealt.drop("main").join(sides[0].unionByName(sides[1]), ["key", "block"]).drop("block")
+
+
 def bounded_pairs(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
     """The pairs whose overlap bound holds."""
     left = points.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("counts").alias("cb"))
@@ -263,11 +293,11 @@ def bounded_pairs(pairs: DataFrame, points: DataFrame, percent: int) -> DataFram
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
-def linked_pairs(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+def linked_pairs(space: Workspace, pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs whose exact sets link."""
-    ids = written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ids")
+    ids = space.written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ids")
     texts = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
-    texts = written(texts, "texts")
+    texts = space.written(texts, "texts")
     rows = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -295,27 +325,46 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, stars
     columns are not read.
     """
     rows = id_text(docs, id_col, text_col)
-    sets = written(describe_sets(rows, width, percent, frequent_shingles(rows, width)), "sets")
-    real = sets.filter("n > 0 and doc_id is not null")
-    classes = written(real.groupBy("sig1", "sig2").agg(F.min(F.struct("doc_id", "n", "counts", "keys")).alias("x")).select(
-        "sig1", "sig2", F.col("x.doc_id").alias("rep"), "x.n", "x.counts", "x.keys"), "classes")
-    points = classes.select("rep", "n", "counts")
-    member = written(sets.join(classes.select("sig1", "sig2", "rep"), ["sig1", "sig2"], "left").select(
-        "doc_id", "n", F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("doc_id")).alias("rep")), "members")
+    with Workspace(docs.sparkSession, "jaccard") as space:
+        return space.finish(components_of(space, rows, width, percent, stars_later))
 
+
+def cells_of(classes: DataFrame, percent: int, stars: int) -> DataFrame:
+    """(key, rep, n, room, large, star0, star1, ...): the sets of each cell that may have a partner there, and of the cell one
+    set for each star. `large` cells are those that a sample of the sets shows to be; they are never sorted as a whole."""
     by_key = Window.partitionBy("key")
     by_size = by_key.orderBy("n")
-    postings = classes.select(F.posexplode("keys").alias("at", "key"), "rep", F.col("n").cast("int").alias("n")).withColumn("room", F.col("n") - F.col("at"))
+    own = lambda sets: sets.select(F.posexplode("keys").alias("at", "key"), "rep", F.col("n").cast("int").alias("n")).withColumn("room", F.col("n") - F.col("at")).drop("at")
+    sample = own(classes.filter(F.pmod(F.xxhash64("rep", F.lit("sample")), F.lit(SAMPLED)) == 0))
+    hot = [r.key for r in sample.groupBy("key").count().filter(F.col("count") >= HOT).orderBy(F.desc("count"), "key").limit(BROADCAST_IDS).select("key").collect()]
+    hot = F.broadcast(classes.sparkSession.createDataFrame([(k,) for k in hot], "key long"))  # BROADCAST_IDS at most
+    postings = own(classes)
     # the largest set that can link with this one if the key is the first element they share; a set that no smaller one
     # of the cell reaches, and that reaches no larger one, has no partner there
     reach = F.floor(F.least(100 * F.col("n") / percent, (100 + percent) * F.col("room") / percent - F.col("n")))
     reached = [F.lead("n").over(by_size) <= reach, F.max(reach).over(by_size.rowsBetween(Window.unboundedPreceding, -1)) >= F.col("n")]
-    cells = postings.select("key", "rep", "n", "room", *[F.coalesce(x, F.lit(False)).alias(f"near{i}") for i, x in enumerate(reached)]).filter("near0 or near1")
-    stars = [F.min(F.struct(F.xxhash64("rep", F.lit(r)).alias("o"), "rep")).over(by_key)["rep"].alias(f"star{r}") for r in range(stars_later + 1)]
-    cells = written(cells.select("key", "rep", "n", "room", *stars), "cells")
+    star = lambda r: F.min(F.struct(F.xxhash64("rep", F.lit(r)).alias("o"), "rep"))
+    names = [f"star{r}" for r in range(stars)]
+    cold = postings.join(hot, "key", "left_anti").select("key", "rep", "n", "room", *[F.coalesce(x, F.lit(False)).alias(f"near{i}") for i, x in enumerate(reached)]).filter("near0 or near1")
+    cold = cold.select("key", "rep", "n", "room", F.lit(False).alias("large"), *[star(r).over(by_key)["rep"].alias(x) for r, x in enumerate(names)])
+    large = postings.join(hot, "key", "left_semi")
+    chosen = large.groupBy("key").agg(*[star(r)["rep"].alias(x) for r, x in enumerate(names)])
+    return cold.unionByName(large.join(chosen, "key").select("key", "rep", "n", "room", F.lit(True).alias("large"), *names))
+
+
+def components_of(space: Workspace, rows: DataFrame, width: int, percent: int, stars_later: int) -> DataFrame:
+    sets = space.written(describe_sets(rows, width, percent, frequent_shingles(rows, width)), "sets")
+    real = sets.filter("n > 0 and doc_id is not null")
+    classes = space.written(real.groupBy("sig1", "sig2").agg(F.min(F.struct("doc_id", "n", "counts", "keys")).alias("x")).select(
+        "sig1", "sig2", F.col("x.doc_id").alias("rep"), "x.n", "x.counts", "x.keys"), "classes")
+    points = classes.select("rep", "n", "counts")
+    member = space.written(sets.join(classes.select("sig1", "sig2", "rep"), ["sig1", "sig2"], "left").select(
+        "doc_id", "n", F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("doc_id")).alias("rep")), "members")
+    space.drop(sets)
+    cells = space.written(cells_of(classes, percent, stars_later + 1), "cells")
 
     same_id = member.join(member.filter("doc_id is not null").groupBy("doc_id").agg(F.min("rep").alias("a")), "doc_id").filter("a != rep").select("a", F.col("rep").alias("b"))
-    links, tried, component = written(same_id, "same-id"), None, None
+    links, tried, component = space.written(same_id, "same-id"), None, None
     for names in (["star0"], [f"star{r}" for r in range(1, stars_later + 1)]):
         proposed = cells.select("rep", F.explode(F.array(*names)).alias("star")).filter("star != rep").distinct()
         if component is not None:
@@ -324,21 +373,25 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, stars
         pairs = proposed.select(F.least("star", "rep").alias("a"), F.greatest("star", "rep").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = written(bounded_pairs(pairs, points, percent), "star-pairs")
-        links = written(links.unionByName(linked_pairs(pairs, rows, width, percent)), "links")
+        pairs = space.written(bounded_pairs(pairs, points, percent), "star-pairs")
+        links = space.written(links.unionByName(linked_pairs(space, pairs, rows, width, percent)), "links")
         tried = pairs if tried is None else tried.unionByName(pairs)
-        component = written(connected_components(links), "components")
+        component = connected_components(links)
 
     for forests in (True, False):
-        marked = with_components(cells.select("key", "rep", "n", "room"), component)
-        mixed = marked.withColumn("mixed", F.min("component").over(by_key) != F.max("component").over(by_key)).filter("mixed")
-        found = written(search_cells(mixed.join(points.select("rep", "counts"), "rep"), percent, forests), "tree-pairs")
-        pairs = written(found.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "new-pairs")
-        more = written(linked_pairs(pairs, rows, width, percent), "more-links")
+        marked = with_components(cells.select("key", "rep", "n", "room", "large"), component)
+        by_key = Window.partitionBy("key")
+        mixed = marked.filter("not large").withColumn("mixed", F.min("component").over(by_key) != F.max("component").over(by_key)).filter("mixed").drop("large", "mixed")
+        whole = mixed.join(points.select("rep", "counts"), "rep").withColumns({"group": F.col("key"), "side": F.lit(0)})
+        large = space.written(marked.filter("large").drop("large").join(points.select("rep", "counts"), "rep"), "large")
+        found = space.written(search_cells(whole.unionByName(block_pairs(large)), percent, forests), "tree-pairs")
+        space.drop(large)
+        pairs = space.written(found.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "new-pairs")
+        more = space.written(linked_pairs(space, pairs, rows, width, percent), "more-links")
         links, tried = links.unionByName(more), tried.unionByName(pairs)
-        component = written(connected_components(links), "components")
+        component = connected_components(links)
         # cells with a pair of a forest that does not link are searched again, pair by pair
-        failed = written(found.filter("stands_for").join(more, ["a", "b"], "left_anti").select("key").distinct(), "again")
+        failed = space.written(found.filter("stands_for").join(more, ["a", "b"], "left_anti").select("key").distinct(), "again")
         if failed.isEmpty():
             break
         cells = cells.join(failed, "key", "left_semi")
