@@ -52,6 +52,52 @@ def test_token_counts_are_the_library_s(spark, sf, docs):
         assert (r["n_bytes"], r["n_tokens"]) == want[r["doc_id"]] and r["over_limit"] == (r["n_tokens"] > 512)
 
 
+def brute_force_kept(texts):
+    """The verdict of the bands recomputed: limits from the ratios of all distinct texts, by script and half octave of length."""
+    from bisect import bisect_right
+
+    from trendloom.llm.quality import CHUNKS, LENGTHS, SCRIPTS, CompressionBands
+
+    bands, ratios, measured = CompressionBands(), {}, {}
+    ratio = lambda data: len(zstandard.ZstdCompressor(level=3).compress(data)) / len(data) if data else 1.0
+    for text in set(texts.values()):
+        data = text.encode()
+        script, band = bisect_right(SCRIPTS, len(data) / max(len(text), 1)), bisect_right(LENGTHS, len(data)) - 1
+        starts = list(range(0, len(data) - 1023, 1024)) + ([len(data) - 1024] if len(data) > 1024 and len(data) % 1024 else [])
+        measured[text] = script, band, ratio(data), [round(1000 * ratio(data[s : s + 1024])) for s in starts]
+    for text, (script, band, whole, chunks) in measured.items():
+        if text:
+            ratios.setdefault((script, band), []).append(round(1000 * whole))
+            ratios.setdefault((script, CHUNKS), []).extend(chunks)
+    limits = {}
+    for script in range(3):
+        for band in range(CHUNKS, len(LENGTHS)):
+            found = sorted(ratios.get((script, band), []))
+            if len(found) < 40:
+                limits[script, band] = bands.wide_chunks if band == CHUNKS else [x[1:] for x in bands.wide if LENGTHS[band] >= x[0]][-1]
+            else:
+                q1, q3 = (found[-(-len(found) * q // 4) - 1] / 1000 for q in (1, 3))
+                limits[script, band] = q1 - max(2 * (q3 - q1), 0.02), q3 + max(3 * (q3 - q1), 0.02)
+
+    def kept(text):
+        words = re.findall(r"[^\x20\x09-\x0D]+", text)
+        windows = {}
+        for i in range(len(words) - 2):
+            windows.setdefault(tuple(words[i : i + 3]), []).append(i)
+        repeated = {i + k for at in windows.values() if len(at) > 1 for i in at for k in range(3)}
+        script, band, whole, chunks = measured[text]
+        (low, high), (chunk_low, chunk_high) = limits[script, band], limits[script, CHUNKS]
+        bad = sum(not chunk_low <= c / 1000 <= chunk_high for c in chunks)
+        return len(words) >= 50 and 2 * len(repeated) <= len(words) and low <= whole <= high and bad <= 0.25 * len(chunks)
+
+    return {i: kept(t) for i, t in texts.items()}
+
+
+def test_quality_verdict_of_every_text(spark, docs, sf):
+    want = brute_force_kept({d["doc_id"]: d["text"] or "" for d in docs})
+    assert {r["doc_id"]: r["kept"] for r in rows_of(spark, sf, "op4_quality")} == want
+
+
 def test_quality_counts(spark, sf, docs):
     texts = {d["doc_id"]: d["text"] or "" for d in docs}
     rows = rows_of(spark, sf, "op4_quality")
@@ -96,17 +142,6 @@ def test_toxicity_on_held_out_documents(spark):
     assert sum((h > x) + (h == x) / 2 for h in high for x in low) >= 0.93 * len(high) * len(low)
 
 
-def test_html_keeps_articles_whole(spark, sf):
-    pages = {r["page_id"]: r for r in table(sf, "pages")}
-    rows = rows_of(spark, sf, "op7_html")
-    assert len(rows) == len(pages)
-    for r in rows:
-        html = pages[r["page_id"]]["html"]
-        article = re.search(r"<article>(.*?)(?:</article>|$)", html, re.S)[1]
-        blocks = [" ".join(__import__("html").unescape(re.sub(r"<br>", " ", re.sub(r"</?(?:b|i|a|em|strong|span)\b[^>]*>", "", b))).split()) for b in re.split(r"</?(?:p|h1|h2|ul|li|div)\b[^>]*>", article)]
-        assert r["text"] == "\n".join(b for b in blocks if b) and r["n_chars"] == len(r["text"])
-
-
 def test_token_files_hold_the_library_s_ids(spark, sf, docs):
     from tokenizers import Tokenizer
 
@@ -180,9 +215,9 @@ def test_pipeline_is_its_stages(spark, sf, docs):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "quality_rules", "near_duplicates", "decontamination", "bpe_encoding"]
     lang = {r["doc_id"]: r for r in rows_of(spark, sf, "op2_language")}
     kept = [d for d in docs if lang[d["doc_id"]]["lang_pred"] != "und" and lang[d["doc_id"]]["score"] >= corpus_pipeline.LEAST_SCORE]
-    good = {r["doc_id"] for r in rows_of(spark, sf, "op4_quality") if r["kept"]}
-    kept = [d for d in kept if d["doc_id"] in good]
-    group = components(shingle_sets((d["doc_id"], d["text"]) for d in kept))
+    good = brute_force_kept({d["doc_id"]: d["text"] or "" for d in kept})
+    kept = [d for d in kept if good[d["doc_id"]]]
+    group = components(shingle_sets(((d["doc_id"], d["text"]) for d in kept), corpus_pipeline.NEAR_WIDTH), corpus_pipeline.NEAR_PERCENT)
     kept = [d for d in kept if group[d["doc_id"]] == d["doc_id"]]
 
     def shingles(text):
@@ -193,4 +228,29 @@ def test_pipeline_is_its_stages(spark, sf, docs):
     kept = [d for d in kept if not any(q and len(q & own) >= 0.8 * len(q) for own in [shingles(d["text"])] for q in items)]
     got = {r.doc_id: r for r in corpus_pipeline.run(spark, sf).collect()}
     assert set(got) == {d["doc_id"] for d in kept}
-    assert all(got[d["doc_id"]].decoded_sha256 == hashlib.sha256(d["text"].encode()).hexdigest() for d in kept)
+    for d in kept:
+        row = got[d["doc_id"]]
+        assert row.decoded_sha256 == hashlib.sha256(d["text"].encode()).hexdigest()
+        assert row.ids_sha256 == hashlib.sha256(" ".join(map(str, row.ids)).encode()).hexdigest() and row.n_tokens == len(row.ids)
+
+
+def test_stages_judge_each_row_by_itself(spark, sf):
+    """Null and repeated ids: each row goes or stays by its own text; of exact copies one row stays, whatever the ids."""
+    import corpus_pipeline
+
+    source = spark.read.parquet(f"{sf}/documents.parquet")
+    good = [r.text for r in corpus_pipeline.quality(spark, source, sf).orderBy("doc_id").limit(6).collect()]
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").orderBy("item_id").first().text
+    rows = [(None, good[0]), (None, ""), (None, good[1]), (1, good[2]), (1, "1 2 3"), (1, good[2]), (2, good[2]), (None, good[2]), (3, None), (4, good[3] + " " + item)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], source.schema)
+    stage = dict(corpus_pipeline.STAGES)
+    rows_in = lambda rows: sorted((i or -1, t or "") for i, t in rows)
+    texts = lambda df: rows_in((r.doc_id, r.text) for r in df.collect())
+    kept = corpus_pipeline.keep_known_languages(docs, corpus_pipeline.learn_outside_fold(source), corpus_pipeline.LEAST_SCORE)
+    assert texts(kept) == rows_in(r for r in rows if r[1] and r[1] != "1 2 3") and kept.columns == source.columns
+    kept = texts(corpus_pipeline.keep_good(docs))
+    assert (1, "1 2 3") not in kept and (-1, "") not in kept and kept.count((1, good[2])) == 2
+    kept = stage["near_duplicates"](spark, docs, sf)
+    assert texts(kept) == rows_in([(None, good[0]), (None, ""), (None, good[1]), (1, good[2]), (1, "1 2 3"), (3, None), (4, good[3] + " " + item)]) and kept.columns == source.columns
+    assert texts(stage["decontamination"](spark, docs, sf)) == rows_in(r for r in rows if r[0] != 4)
+    assert all(f(spark, docs.limit(0), sf).collect() == [] for f in stage.values())
