@@ -10,11 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trendloom.llm.bpe import round_trip
-from trendloom.llm.decontaminate import contained_items
+from trendloom.llm.decontaminate import drop_contaminated
 from trendloom.llm.jaccard import jaccard_components
-from trendloom.llm.language import UNDETERMINED, predict_all
-from trendloom.llm.quality import learn_limits, quality_rules
-from trendloom.session import written
+from trendloom.llm.language import keep_known_languages, learn_outside_fold
+from trendloom.llm.quality import keep_good
+from trendloom.session import Workspace, remove, shared_path, write_to, written
 
 #: Near copies in a corpus: shingles of five words, similarity in percent. The query op10_jaccard has its own, 4 and 85.
 NEAR_WIDTH, NEAR_PERCENT = 5, 80
@@ -23,37 +23,39 @@ NEAR_WIDTH, NEAR_PERCENT = 5, 80
 LEAST_SCORE = 0.5
 
 
-def drop(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is not in dropped, null ids included."""
-    return docs.join(dropped.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
-
-
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents in which no language can be told."""
-    found = predict_all(docs)
-    return drop(docs, written(found.filter((F.col("lang_pred") == UNDETERMINED) | (F.col("score") < LEAST_SCORE)).select("doc_id"), "rejected"))
+    """Drops rows in which no language can be told, each by its own text."""
+    return keep_known_languages(docs, learn_outside_fold(docs), LEAST_SCORE)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that the quality rules reject, by limits learned from all documents."""
-    limits = learn_limits(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return drop(docs, written(quality_rules(docs, limits=limits).filter("not kept").select("doc_id"), "rejected"))
+    """Drops rows that the quality rules reject, each by its own text, by limits learned from all of docs."""
+    return keep_good(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group the document with the smallest id."""
-    return drop(docs, written(jaccard_components(docs, NEAR_WIDTH, NEAR_PERCENT).filter("component_id != doc_id").select("doc_id"), "copies"))
+    """Keeps of each group of near copies one row, of those with the smallest id; null ids come after all others.
+
+    Rows are told apart by a number of their own, so rows that share an id, or have none, are compared as any others.
+    """
+    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    with Workspace(spark, "copies") as space:
+        found = space.written(jaccard_components(rows, NEAR_WIDTH, NEAR_PERCENT, id_col="_row").withColumnRenamed("doc_id", "_row"), "components")
+        own = found.join(rows.select("_row", "doc_id"), "_row")
+        first = own.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("x"))
+        gone = space.finish(found.select("_row").join(first.select(F.col("x._row").alias("_row")), "_row", "left_anti"))
+    return rows.join(gone, "_row", "left_anti").select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that contain a benchmark item."""
-    return drop(docs, written(contained_items(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id"), "leaks"))
+    """Drops rows that contain a benchmark item, each by its own text."""
+    return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The ids of each text, as counts and digests, with the digest of what they decode to."""
+    """The ids of each text, with their number and the digests of them and of what they decode to."""
     # fewer moves kept than alone: the executors still hold the memory of the stages before
-    return round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, cache=200_000, max_moves=120_000)
+    return round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, cache=200_000, max_moves=120_000, with_ids=True)
 
 
 STAGES = [
@@ -69,7 +71,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        path = shared_path(spark, name)
+        docs = write_to(stage(spark, docs, sf_dir), path)
+        if before:
+            remove(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
