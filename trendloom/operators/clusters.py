@@ -17,14 +17,19 @@ from trendloom.operators.sequences import matrix
 
 
 def assign(rows: DataFrame, centroids: DataFrame, key: str = "day", scale: float = 1.0) -> DataFrame:
-    """(key, type, distance2): the nearest of the centroids (type, centre), the lowest type at a tie; rows: (key, features).
+    """(key, type, distance2) for each row (key, features): the nearest of the centroids (type, centre), the lowest type at a tie.
 
-    The centroids are a row a type. Leading features are used if a centre is shorter.
+    The centroids are a row a type, so they go to each task as one array; rows are not shuffled, and rows that share a key
+    stay apart. Leading features are used if a centre is shorter.
     """
-    squares = F.zip_with(F.slice("features", 1, F.size("centre")), "centre", lambda x, c: (x.cast("double") / scale - c) * (x.cast("double") / scale - c))
-    far = F.aggregate(squares, F.lit(0.0), lambda total, s: total + s)
-    pairs = rows.join(F.broadcast(centroids), how="cross").select(key, F.struct(far.alias("distance2"), "type").alias("at"))
-    return pairs.groupBy(key).agg(F.min("at").alias("at")).select(key, "at.type", "at.distance2")
+    known = centroids.agg(F.collect_list(F.struct("type", "centre")).alias("known"))  # one row
+
+    def far(c):
+        squares = F.zip_with(F.slice("features", 1, F.size(c["centre"])), c["centre"], lambda x, y: (x.cast("double") / scale - y) * (x.cast("double") / scale - y))
+        return F.struct(F.aggregate(squares, F.lit(0.0), lambda total, s: total + s).alias("distance2"), c["type"].alias("type"))
+
+    nearest = rows.join(F.broadcast(known), how="cross").select(key, F.array_min(F.transform("known", far)).alias("at"))
+    return nearest.select(key, "at.type", "at.distance2")
 
 
 def fit_once(rows: DataFrame, k: int, seed: int, key: str = "day"):
@@ -34,10 +39,11 @@ def fit_once(rows: DataFrame, k: int, seed: int, key: str = "day"):
     return model.transform(vectors).select(key, "type"), model.clusterCenters(), model.summary.trainingCost
 
 
-def best_partition(rows: DataFrame, k: int, seed: int = 0, starts: int = 10, key: str = "day") -> tuple[DataFrame, DataFrame]:
+def best_partition(rows: DataFrame, k: int, seed: int = 0, starts: int = 50, key: str = "day") -> tuple[DataFrame, DataFrame]:
     """(labels, centroids) of the start with the least cost; types are numbered by size, largest first."""
     rows = rows.persist()
     labels, centres, _ = min((fit_once(rows, k, seed + s, key) for s in range(starts)), key=lambda x: x[2])
+    rows.unpersist()
     sizes = labels.groupBy("type").count()
     place = sizes.select("type", (F.row_number().over(Window.orderBy(F.desc("count"), "type")) - 1).alias("place"))  # a row a type
     found = labels.join(F.broadcast(place), "type").select(key, F.col("place").alias("type"))
@@ -69,11 +75,46 @@ def agreement(a: DataFrame, b: DataFrame, k: int, key: str = "day") -> float:
     return best_matching(counts) / counts.sum() if counts.sum() else 0.0
 
 
-def classifiability(rows: DataFrame, k: int, seeds: int = 10, seed: int = 0, key: str = "day") -> float:
-    """The mean agreement between partitions from single starts."""
-    rows = rows.persist()
-    found = [fit_once(rows, k, seed + s, key)[0] for s in range(seeds)]
-    return float(np.mean([agreement(a, b, k, key) for i, a in enumerate(found) for b in found[i + 1 :]]))
+def single_start(x: np.ndarray, k: int, seed: int, rounds: int = 300) -> np.ndarray:
+    """The types of one k-means start over a series of days that a task holds: far centres first, then means until they stay."""
+    rng = np.random.default_rng(seed)
+    centres = x[rng.integers(len(x))][None]
+    while len(centres) < min(k, len(x)):
+        far = ((x[:, None] - centres) ** 2).sum(2).min(1)
+        centres = np.vstack([centres, x[rng.choice(len(x), p=far / far.sum()) if far.sum() else rng.integers(len(x))]])
+    for _ in range(rounds):
+        types = ((x[:, None] - centres) ** 2).sum(2).argmin(1)
+        means = np.array([x[types == t].mean(0) if (types == t).any() else centres[t] for t in range(len(centres))])
+        if np.allclose(means, centres, rtol=0, atol=1e-10):
+            break
+        centres = means
+    return types
+
+
+def mean_agreement(x: np.ndarray, k: int, seeds: int, seed: int) -> float:
+    found = [single_start(x, k, seed + s) for s in range(seeds)]
+    counts = lambda a, b: np.bincount(a * k + b, minlength=k * k).reshape(k, k)
+    return float(np.mean([best_matching(counts(a, b)) / len(x) for i, a in enumerate(found) for b in found[i + 1 :]]))
+
+
+def classifiability_of(series: DataFrame, ks: Sequence[int], seeds: int = 20, seed: int = 0, by: Sequence[str] = ("surrogate",), at: str = "at") -> DataFrame:
+    """(*by, k, score): the mean agreement between partitions from single starts of each series (*by, at, mode, pc), for each k.
+
+    One group is a series and a k: a row a day and mode, as the recurrence that makes a surrogate has to be run in order too.
+    """
+    grid = series.sparkSession.createDataFrame([(int(k),) for k in ks], "k int")
+    types = dict(series.dtypes)
+
+    def score(group: pd.DataFrame) -> pd.DataFrame:
+        x, k = group.pivot(index=at, columns="mode", values="pc").to_numpy(), int(group["k"].iloc[0])
+        return pd.DataFrame([{**{b: group[b].iloc[0] for b in by}, "k": k, "score": mean_agreement(x, k, seeds, seed)}])
+
+    return series.join(F.broadcast(grid), how="cross").groupBy(*by, "k").applyInPandas(score, ", ".join(f"{b} {types[b]}" for b in by) + ", k int, score double")
+
+
+def classifiability(pcs: DataFrame, k: int, seeds: int = 20, seed: int = 0, at: str = "at") -> float:
+    """The mean agreement between partitions of pcs (at, mode, pc) from single starts."""
+    return classifiability_of(pcs.withColumn("surrogate", F.lit(-1)), [k], seeds, seed, at=at).first()["score"]
 
 
 def red_noise(pcs: DataFrame, surrogates: int, seed: int = 0) -> DataFrame:
@@ -82,7 +123,7 @@ def red_noise(pcs: DataFrame, surrogates: int, seed: int = 0) -> DataFrame:
     One group is a mode of a surrogate: a series of days, whose recurrence has to be run in order.
     """
     copies = pcs.sparkSession.range(surrogates).select(F.col("id").cast("int").alias("surrogate"))
-    rows = pcs.join(F.broadcast(copies), how="cross")
+    rows = pcs.join(F.broadcast(copies), how="cross")  # a row a surrogate
 
     def make(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("at")
@@ -107,18 +148,17 @@ def as_features(pcs: DataFrame, key: str = "at", n_modes: int | None = None) ->
     return rows.select(key, F.transform("x", lambda c: c["pc"]).alias("features"))
 
 
-def compare_with_red_noise(pcs: DataFrame, k: int, seeds: int = 5, surrogates: int = 20, seed: int = 0) -> dict[str, float]:
-    """The observed classifiability against that of red noise: its mean and 95th percentile, and whether the first exceeds the last."""
-    observed = classifiability(as_features(pcs), k, seeds, seed, "at")
-    noise = red_noise(pcs, surrogates, seed).persist()
-    scores = [classifiability(as_features(noise.filter(F.col("surrogate") == s)), k, seeds, seed, "at") for s in range(surrogates)]
-    limit = float(np.percentile(scores, 95))
-    return {"k": k, "observed": observed, "surrogate_mean": float(np.mean(scores)), "surrogate_p95": limit, "margin": observed - limit, "exceeds": observed > limit}
-
-
-def sweep(pcs: DataFrame, ks: Sequence[int], **how) -> DataFrame:
-    rows = [compare_with_red_noise(pcs, k, **how) for k in ks]
-    return pcs.sparkSession.createDataFrame(pd.DataFrame(rows))
+def sweep(pcs: DataFrame, ks: Sequence[int], seeds: int = 20, surrogates: int = 50, seed: int = 0, n_modes: int | None = None) -> DataFrame:
+    """(k, observed, surrogate_mean, surrogate_p95, scores, margin, exceeds) for each k: how well the starts agree on pcs (at,
+    mode, pc) against red noise with the same variances and lag-1 correlations. All k and surrogates are one Spark job."""
+    own = (pcs if n_modes is None else pcs.filter(F.col("mode") < n_modes)).select(F.col("at").cast("long").alias("at"), F.col("mode").cast("int").alias("mode"), "pc")
+    every = own.withColumn("surrogate", F.lit(-1)).unionByName(red_noise(own, surrogates, seed))
+    scores = classifiability_of(every, ks, seeds, seed)
+    noise = F.col("surrogate") >= 0
+    found = scores.groupBy("k").agg(
+        F.max(F.when(~noise, F.col("score"))).alias("observed"), F.avg(F.when(noise, F.col("score"))).alias("surrogate_mean"),
+        F.percentile(F.when(noise, F.col("score")), 0.95).alias("surrogate_p95"), F.sort_array(F.collect_list(F.when(noise, F.col("score")))).alias("scores"))
+    return found.withColumns({"margin": F.col("observed") - F.col("surrogate_p95"), "exceeds": F.col("observed") > F.col("surrogate_p95")})
 
 
 def frequency_bias(model: DataFrame, observed: DataFrame, k: int) -> DataFrame:

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trendloom.functions.calendar import in_season, season_name, season_year
-from trendloom.functions.statistics import clean, intercept, slope
+from trendloom.functions.calendar import SEASONS, in_season, season_name, season_year
+from trendloom.functions.statistics import clean, correlation, slope
 
 
 def codes(spark, k: int) -> DataFrame:
@@ -29,25 +28,30 @@ def frequencies(labels: DataFrame, k: int) -> DataFrame:
     return codes(labels.sparkSession, k).join(found, "type", "left").select("type", F.coalesce("frequency", F.lit(0.0)).alias("frequency"))
 
 
-def yearly_table(rows: DataFrame, k: int, season: str | None = None, min_days: int = 100) -> DataFrame:
-    """(season, year, type, frequency, type_mean, n), dense over the years there are and the codes 0 to k - 1.
+def yearly_tables(rows: DataFrame, k: int, seasons: Sequence[str | None] = tuple(SEASONS), min_days: int = 100) -> DataFrame:
+    """(season, year, type, frequency, type_mean, n) of each season, dense over its years and the codes 0 to k - 1.
 
     rows: (day, type, value). A frequency is a share of all rows of its year, other codes included. A warm season of
-    min_days distinct days or fewer is left out. One aggregation by year and type does the work; all later steps are
-    over years times types.
+    min_days distinct days or fewer is left out. The rows are read once: days and types are summed first, and those sums are
+    dealt to the seasons they belong to, so all later steps are over years times types.
     """
-    season = season_name(season)
+    names = [season_name(s) for s in seasons]
     day = F.to_date("day")
-    kept = rows.filter(in_season(day, season)).select(season_year(day, season).alias("year"), "type", clean(F.col("value")).alias("value"), day.alias("day"))
-    daily = kept.groupBy("year", "type", "day").agg(F.count("*").alias("n"), F.sum("value").alias("total"), F.count("value").alias("valued"))
-    if season == "warm":
-        long_enough = daily.groupBy("year").agg(F.count_distinct("day").alias("days")).filter(F.col("days") > min_days)
-        daily = daily.join(F.broadcast(long_enough.select("year")), "year", "left_semi")  # a row a year
-    counts = daily.groupBy("year", "type").agg(F.sum("n").alias("n"), F.try_divide(F.sum("total"), F.sum("valued")).alias("type_mean"))
-    totals = counts.groupBy("year").agg(F.sum("n").alias("of_year"))
-    dense = totals.join(F.broadcast(codes(rows.sparkSession, k)), how="cross")
-    return dense.join(counts, ["year", "type"], "left").select(
-        F.lit(season).alias("season"), "year", "type", (F.coalesce("n", F.lit(0)) / F.col("of_year")).alias("frequency"), "type_mean", F.coalesce("n", F.lit(0)).alias("n"))
+    daily = rows.select("type", clean(F.col("value")).alias("value"), day.alias("day")).groupBy("day", "type").agg(
+        F.count("*").alias("n"), F.sum("value").alias("total"), F.count("value").alias("valued"))
+    own = [F.when(in_season(F.col("day"), s), F.struct(F.lit(s).alias("season"), season_year(F.col("day"), s).alias("year"))) for s in dict.fromkeys(names)]
+    daily = daily.withColumn("of", F.explode(F.array_compact(F.array(*own)))).select("of.season", "of.year", "day", "type", "n", "total", "valued")
+    counts = daily.groupBy("season", "year", "type").agg(F.sum("n").alias("n"), F.try_divide(F.sum("total"), F.sum("valued")).alias("type_mean"))
+    totals = daily.groupBy("season", "year").agg(F.sum("n").alias("of_year"), F.count_distinct("day").alias("days"))
+    totals = totals.filter((F.col("season") != "warm") | (F.col("days") > min_days))
+    dense = totals.join(F.broadcast(codes(rows.sparkSession, k)), how="cross")  # a row a type
+    return dense.join(counts, ["season", "year", "type"], "left").select(
+        "season", "year", "type", (F.coalesce("n", F.lit(0)) / F.col("of_year")).alias("frequency"), "type_mean", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def yearly_table(rows: DataFrame, k: int, season: str | None = None, min_days: int = 100) -> DataFrame:
+    """yearly_tables of one season."""
+    return yearly_tables(rows, k, [season], min_days)
 
 
 def type_trends(table: DataFrame, by: Sequence[str] = ("season",)) -> DataFrame:
@@ -64,8 +68,7 @@ def type_trends(table: DataFrame, by: Sequence[str] = ("season",)) -> DataFrame:
 def decompose(table: DataFrame, by: Sequence[str] = ("season",)) -> DataFrame:
     """(*by, total, frequency_term, intensity_term, cross_term, explained, residual), slopes per year. A type without a slope adds nothing."""
     none = F.lit(0.0)
-    yearly = table.groupBy(*by, "year").agg(F.sum(F.col("frequency") * F.coalesce("type_mean", none)).alias("regional"))
-    total = yearly.groupBy(*by).agg(slope(F.col("regional"), F.col("year").cast("double")).alias("total"))
+    total = regional_series(table, by).groupBy(*by).agg(slope(F.col("value"), F.col("year").cast("double")).alias("total"))
     terms = type_trends(table, by).groupBy(*by).agg(*[F.coalesce(F.sum(t), none).alias(t) for t in ("frequency_term", "intensity_term", "cross_term")])
     explained = F.col("frequency_term") + F.col("intensity_term") + F.col("cross_term")
     return total.join(terms, list(by)).withColumn("explained", explained).withColumn("residual", F.col("total") - explained)
@@ -81,6 +84,11 @@ class Decomposition:
     intensity_term: float
     cross_term: float
 
+    @classmethod
+    def of(cls, rows: DataFrame) -> list[Decomposition]:
+        """Of each season, a row a season."""
+        return [cls(*r) for r in rows.select("season", "total", "frequency_term", "intensity_term", "cross_term").orderBy("season").collect()]
+
     @property
     def explained(self) -> float:
         return self.frequency_term + self.intensity_term + self.cross_term
@@ -156,5 +164,20 @@ def kept_percent(before: Column, after: Column) -> Column:
     return F.when(F.abs(before) > 1e-12, 100 * after / before)
 
 
-def block_count(years: int, block: int) -> int:
-    return math.ceil(years / block)
+def kept_after_removal(before: DataFrame, after: DataFrame, by: Sequence[str] = ("season",), terms: Sequence[str] = ("total", "frequency_term", "intensity_term", "cross_term")) -> DataFrame:
+    """(*by, term, before, after, kept, sign_flips) of two decompositions: what is left of each term, in per cent, and whether it
+    has turned its sign."""
+    long = lambda rows, name: rows.select(*by, F.explode(F.array(*[F.struct(F.lit(t).alias("term"), F.col(t).alias(name)) for t in terms])).alias("x")).select(*by, "x.*")
+    both = long(before, "before").join(long(after, "after"), [*by, "term"])
+    return both.withColumns({"kept": kept_percent(F.col("before"), F.col("after")), "sign_flips": F.coalesce(F.col("before") * F.col("after") < 0, F.lit(False))})
+
+
+def regional_series(table: DataFrame, by: Sequence[str] = ("season",)) -> DataFrame:
+    """(*by, year, value): what the types of each year deliver together."""
+    return table.groupBy(*by, "year").agg(F.sum(F.col("frequency") * F.coalesce("type_mean", F.lit(0.0))).alias("value"))
+
+
+def index_correlation(table: DataFrame, index: DataFrame, by: Sequence[str] = ("season",)) -> DataFrame:
+    """(*by, r): the correlation of the regional series with an index (year, value), over the years that both have."""
+    both = regional_series(table, by).join(index.select("year", F.col("value").alias("x")), "year")
+    return both.groupBy(*by).agg(correlation(F.col("value"), F.col("x")).alias("r"))

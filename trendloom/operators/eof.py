@@ -3,25 +3,49 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import PCA
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector
+from pyspark.mllib.linalg import Vectors as OldVectors
+from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trendloom.functions.statistics import eof_weight
-from trendloom.operators.fields import coarsen, variable_scales
+from trendloom.operators.fields import anomaly, coarsen, daily_mean, detrend, regrid, variable_scales
 
 #: Columns that Spark's PCA takes at most.
 MOST_CELLS = 65_535
 
 
-def prepare(field: DataFrame, factor: int = 1) -> tuple[DataFrame, DataFrame, DataFrame]:
+def check_same_keys(field: DataFrame) -> None:
+    """An error unless all variables have the same days and cells, told by one sum over the keys of each."""
+    key = F.xxhash64("day", F.col("lat").cast("double"), F.col("lon").cast("double")).cast("decimal(38,0)")
+    sums = field.groupBy("variable").agg(F.sum(key).alias("keys"), F.count("*").alias("n")).collect()  # a row a variable
+    if len({(r.keys, r.n) for r in sums}) > 1:
+        raise ValueError(f"the variables {', '.join(sorted(r.variable for r in sums))} differ in their days or cells")
+
+
+def prepare_like_observations(steps: DataFrame, grid: DataFrame, scales: DataFrame, factor: int = 1, detrended: bool = False, harmonics: int = 3) -> tuple[DataFrame, DataFrame]:
+    """(matrix, cells) of a model's steps (variable, time, lat, lon, value), made like the observations that it is held against:
+    regridded to their grid (lat, lon), daily means, anomalies of the model's own cycle, coarsened, and divided by the scales
+    (variable, scale) observed, not by its own."""
+    keys = ("variable", "lat", "lon")
+    field = daily_mean(regrid(steps, grid, ("variable", "time")), keys)
+    field = anomaly(field, harmonics, keys)
+    matrix, cells, _ = prepare(detrend(field, keys) if detrended else field, factor, scales)
+    return matrix, cells
+
+
+def prepare(field: DataFrame, factor: int = 1, scales: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(matrix, cells, scales) of a field (variable, day, lat, lon, value): coarsened, one scale a variable, weighted by area.
 
-    matrix: (day, cell, value); cells: (cell, variable, lat, lon) in order of variable, latitude and longitude.
+    matrix: (day, cell, value); cells: (cell, variable, lat, lon) in order of variable, latitude and longitude. Without scales
+    (variable, scale) the field's own are taken. Variables that differ in their days or cells are an error.
     """
+    check_same_keys(field)
     field = coarsen(field, factor, ("variable", "day"))
-    scales = variable_scales(field)
+    scales = variable_scales(field) if scales is None else scales
     cells = field.select("variable", "lat", "lon").distinct()
     cells = cells.withColumn("cell", F.row_number().over(Window.orderBy("variable", "lat", "lon")) - 1)  # a row a cell
     value = F.col("value") / F.col("scale") * eof_weight(F.col("lat"))
@@ -34,31 +58,35 @@ def centred(matrix: DataFrame, key: str = "day") -> DataFrame:
     return matrix.join(means, "cell").select(key, "cell", (F.col("value") - F.col("mean")).alias("value"))
 
 
-def components(matrix: DataFrame, n_modes: int = 50, key: str = "day") -> tuple[DataFrame, DataFrame, DataFrame]:
+def components(matrix: DataFrame, n_modes: int = 50, key: str = "day", most_cells: int = MOST_CELLS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(spectrum, pcs, patterns) of a dense matrix (key, cell, value).
 
-    spectrum: (mode, eigenvalue, fraction); pcs: (key, mode, pc); patterns: (mode, cell, loading). The covariance is summed
-    in the executors and solved on the driver, whose share is cells squared; beyond MOST_CELLS coarsen first.
+    spectrum: (mode, eigenvalue, fraction); pcs: (key, mode, pc); patterns: (mode, cell, loading). Up to most_cells cells the
+    covariance is summed in the executors and solved on the driver, whose share is cells squared: 0.8 GB at 10,000 cells, so
+    take most_cells to fit the driver. Beyond, Lanczos steps over the distributed rows need cells times modes on the driver.
     """
-    rows = centred(matrix, key)
-    n, cells = rows.select(key).distinct().count(), rows.select("cell").distinct().count()
-    if n < 2 or rows.count() != n * cells:
+    rows = centred(matrix, key).persist()
+    known = rows.agg(F.count_distinct(key).alias("n"), F.count_distinct("cell").alias("cells"), F.count("*").alias("rows"), F.sum(F.col("value") * F.col("value")).alias("squares")).first()
+    n, cells = known.n, known.cells
+    if n < 2 or known.rows != n * cells:
+        rows.unpersist()
         raise ValueError("the matrix has to be two-dimensional and without gaps")
-    if cells > MOST_CELLS:
-        raise ValueError(f"{cells} cells; coarsen to {MOST_CELLS} or fewer")
-    n_modes = min(n_modes, n, cells)
+    total, n_modes, spark = known.squares / (n - 1), min(n_modes, n, cells), matrix.sparkSession
+    order = [r[0] for r in rows.select("cell").distinct().orderBy("cell").collect()]  # a number a cell, as the loadings have
     vectors = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("cell", "value"))).alias("x"))
     vectors = vectors.select(key, array_to_vector(F.transform("x", lambda c: c["value"])).alias("x"))
-    model = PCA(k=n_modes, inputCol="x", outputCol="y").fit(vectors)
-    total = rows.agg(F.sum(F.col("value") * F.col("value")) / (n - 1)).first()[0]
-    spark = matrix.sparkSession
-    fraction = model.explainedVariance.toArray()
-    spectrum = spark.createDataFrame([(i, float(f * total), float(f)) for i, f in enumerate(fraction)], "mode int, eigenvalue double, fraction double")
-    order = [r[0] for r in rows.select("cell").distinct().orderBy("cell").collect()]
-    loadings = model.pc.toArray()
-    patterns = spark.createDataFrame([(m, int(c), float(loadings[i, m])) for m in range(n_modes) for i, c in enumerate(order)], "mode int, cell long, loading double")
-    scored = model.transform(vectors).select(key, F.posexplode(vector_to_array("y")).alias("mode", "pc"))
-    return spectrum, scored, patterns
+    if cells <= most_cells:
+        model = PCA(k=n_modes, inputCol="x", outputCol="y").fit(vectors)
+        eigenvalues, loadings = model.explainedVariance.toArray() * total, model.pc.toArray()
+    else:
+        found = RowMatrix(vectors.select("x").rdd.map(lambda r: OldVectors.fromML(r.x))).computeSVD(n_modes)
+        eigenvalues, loadings = found.s.toArray() ** 2 / (n - 1), found.V.toArray()
+    rows.unpersist()
+    n_modes = len(eigenvalues)
+    spectrum = spark.createDataFrame([(i, float(e), float(e / total)) for i, e in enumerate(eigenvalues)], "mode int, eigenvalue double, fraction double")
+    flat = pa.table({"mode": pa.array(np.repeat(np.arange(n_modes), len(order)), pa.int32()), "cell": pa.array(np.tile(np.array(order, np.int64), n_modes)), "loading": pa.array(loadings.T.ravel())})
+    patterns = spark.createDataFrame(flat)
+    return spectrum, project(matrix, patterns, key), patterns
 
 
 def cumulative(spectrum: DataFrame) -> DataFrame:

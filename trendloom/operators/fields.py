@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trendloom.functions.calendar import DEFAULT_YEAR_DAYS, shifted_day
+from trendloom.functions.calendar import DEFAULT_YEAR_DAYS, shifted_day, year_length
 from trendloom.functions.statistics import area_weight, clean, eof_weight, intercept, slope, weighted_mean
 
 #: Standard gravity, metres per second squared; Earth's radius in metres a degree, and its rotation in radians a second.
@@ -56,7 +56,7 @@ def coarsen(field: DataFrame, factor: int, keys: Sequence[str] = ("day",)) -> Da
         return points.select(name, F.avg(name).over(sizes).alias(f"new_{name}"), F.count("*").over(sizes).alias("size")).filter(F.col("size") == factor).drop("size")
 
     joined = field.join(F.broadcast(axis("lat")), "lat").join(F.broadcast(axis("lon")), "lon")
-    return joined.groupBy(*keys, F.col("new_lat").alias("lat"), F.col("new_lon").alias("lon")).agg(F.avg("value").alias("value"))
+    return joined.groupBy(*keys, F.col("new_lat").alias("lat"), F.col("new_lon").alias("lon")).agg(F.avg(clean(F.col("value"))).alias("value"))
 
 
 def spatial_mean(field: DataFrame, keys: Sequence[str] = ("day",)) -> DataFrame:
@@ -66,19 +66,21 @@ def spatial_mean(field: DataFrame, keys: Sequence[str] = ("day",)) -> DataFrame:
 def regional_mean(field: DataFrame, keys: Sequence[str] = ("day",)) -> DataFrame:
     """The area-weighted mean over cells that have a value at every moment; the others count nowhere."""
     field = field.withColumn("value", clean(F.col("value")))
-    moments = field.select(*keys).distinct().count()
-    whole = field.groupBy("lat", "lon").agg(F.count("value").alias("n")).filter(F.col("n") == moments).select("lat", "lon")
+    moments = field.select(*keys).distinct().agg(F.count("*").alias("moments"))
+    whole = field.groupBy("lat", "lon").agg(F.count("value").alias("n")).join(F.broadcast(moments), F.col("n") == F.col("moments")).select("lat", "lon")  # one row
     return spatial_mean(field.join(whole, ["lat", "lon"], "left_semi"), keys)
 
 
 def standardise_cells(field: DataFrame) -> DataFrame:
-    """Each cell by its own standard deviation; a constant cell becomes null."""
-    return field.withColumn("value", F.try_divide("value", F.stddev_pop("value").over(Window.partitionBy("lat", "lon"))))
+    """Each cell by its own standard deviation; a constant cell becomes null. The deviations are summed before the shuffle."""
+    field = field.withColumn("value", clean(F.col("value")))
+    scales = field.groupBy("lat", "lon").agg(F.stddev_pop("value").alias("_scale"))
+    return field.join(scales, ["lat", "lon"]).withColumn("value", F.try_divide("value", "_scale")).select(*field.columns)
 
 
 def variable_scales(field: DataFrame) -> DataFrame:
     """(variable, scale): one standard deviation over all moments and cells of a variable."""
-    scales = field.groupBy("variable").agg(F.stddev_pop("value").alias("scale"))
+    scales = field.groupBy("variable").agg(F.stddev_pop(clean(F.col("value"))).alias("scale"))
     if not scales.filter("scale is null or scale = 0").isEmpty():
         raise ValueError("a variable without variance cannot be standardised")
     return scales
@@ -93,7 +95,7 @@ def harmonic_terms(day_of_year: Column, harmonics: int, year_days: Column | floa
 def _fit(field: DataFrame, terms: list[Column], keys: Sequence[str]) -> DataFrame:
     """(*keys, beta): normal equations from one aggregation, solved where the sums of a cell are; gaps count per cell."""
     n = len(terms)
-    named = field.filter(F.col("value").isNotNull()).select(*keys, "value", *[t.alias(f"_x{i}") for i, t in enumerate(terms)])
+    named = field.withColumn("value", clean(F.col("value"))).filter(F.col("value").isNotNull()).select(*keys, "value", *[t.alias(f"_x{i}") for i, t in enumerate(terms)])
     sums = [F.sum(F.col(f"_x{i}") * F.col(f"_x{j}")) for i in range(n) for j in range(i, n)] + [F.sum(F.col(f"_x{i}") * F.col("value")) for i in range(n)]
     moments = named.groupBy(*keys).agg(F.array(*sums).alias("sums"))
 
@@ -114,13 +116,17 @@ def _fitted(terms: list[Column]) -> Column:
     return sum((F.col("beta")[i] * t for i, t in enumerate(terms)), F.lit(0.0))
 
 
-def climatology(field: DataFrame, harmonics: int = 3, keys: Sequence[str] = ("lat", "lon"), year_days: Column | float = DEFAULT_YEAR_DAYS) -> DataFrame:
-    """The field with its fitted annual cycle in `climatology`."""
-    terms = harmonic_terms(F.dayofyear("day"), harmonics, year_days)
+def climatology(field: DataFrame, harmonics: int = 3, keys: Sequence[str] = ("lat", "lon"), year_days: Column | float | None = None) -> DataFrame:
+    """The field with its fitted annual cycle in `climatology`. A field of a calendar without real dates has a column `doy`, the
+    day of the year, and one `calendar`, from which the length of its year follows."""
+    if year_days is None:
+        year_days = year_length(F.col("calendar")) if "calendar" in field.columns else DEFAULT_YEAR_DAYS
+    terms = harmonic_terms(F.col("doy") if "doy" in field.columns else F.dayofyear("day"), harmonics, year_days)
+    field = field.withColumn("value", clean(F.col("value")))
     return field.join(_fit(field, terms, keys), list(keys), "left").withColumn("climatology", _fitted(terms)).drop("beta")
 
 
-def anomaly(field: DataFrame, harmonics: int = 3, keys: Sequence[str] = ("lat", "lon"), year_days: Column | float = DEFAULT_YEAR_DAYS) -> DataFrame:
+def anomaly(field: DataFrame, harmonics: int = 3, keys: Sequence[str] = ("lat", "lon"), year_days: Column | float | None = None) -> DataFrame:
     """The value less its cell's annual cycle."""
     return climatology(field, harmonics, keys, year_days).withColumn("value", F.col("value") - F.col("climatology")).drop("climatology")
 
@@ -128,6 +134,7 @@ def anomaly(field: DataFrame, harmonics: int = 3, keys: Sequence[str] = ("lat",
 def detrend(field: DataFrame, keys: Sequence[str] = ("lat", "lon"), degree: int = 1) -> DataFrame:
     """The value less its cell's polynomial in time; time counts in years from the middle of the record."""
     x = F.unix_date("day") / DEFAULT_YEAR_DAYS
+    field = field.withColumn("value", clean(F.col("value")))
     if degree == 1:
         lines = field.groupBy(*keys).agg(slope(F.col("value"), x, 2).alias("_b"), intercept(F.col("value"), x, 2).alias("_a"))
         return field.join(lines, list(keys), "left").withColumn("value", F.col("value") - (F.col("_a") + F.col("_b") * x)).drop("_a", "_b")
@@ -168,7 +175,7 @@ def regrid(field: DataFrame, grid: DataFrame, keys: Sequence[str] = ("day",)) ->
     spread = field.join(F.broadcast(axes[0]), "lat").join(F.broadcast(axes[1]), "lon").withColumn("w", F.col("w_lat") * F.col("w_lon"))
     made = spread.groupBy(*keys, F.col("to_lat").alias("lat"), F.col("to_lon").alias("lon")).agg(
         F.when(F.abs(F.sum(F.when(F.col("value").isNotNull(), F.col("w"))) - 1) < 1e-9, F.sum(F.col("value") * F.col("w"))).alias("value"))
-    frame = field.select(*keys).distinct().join(F.broadcast(grid.select("lat", "lon").distinct()), how="cross")
+    frame = field.select(*keys).distinct().join(grid.select("lat", "lon").distinct(), how="cross")  # a row a cell of the result; Spark sends the smaller side
     return frame.join(made, [*keys, "lat", "lon"], "left")
 
 

@@ -46,46 +46,53 @@ def seasonal_mean(index: DataFrame, season: str | None = None) -> DataFrame:
 
 
 def _shared(table: DataFrame, index: DataFrame) -> DataFrame:
+    """The rows of a yearly table in years that the index has too, with its value as x; a table without seasons is one season."""
+    if "season" not in table.columns:
+        table = table.withColumn("season", F.lit("all"))
     return table.join(index.select("year", F.col("value").alias("x")), "year")
 
 
+def _centre(rows: DataFrame) -> DataFrame:
+    """(season, centre): the mean of the index over the shared years of each season."""
+    return rows.select("season", "year", "x").distinct().groupBy("season").agg(F.avg("x").alias("centre"))
+
+
 def regress_on_index(table: DataFrame, index: DataFrame) -> DataFrame:
-    """(type, slope, r) of frequencies on an index, over the years that both have; r is null where a type never changes."""
+    """(season, type, slope, r) of frequencies on an index, over the years that both have; r is null where a type never changes."""
     y, x = F.col("frequency"), F.col("x")
-    return _shared(table, index).groupBy("type").agg(slope(y, x).alias("slope"), F.when(F.regr_count(y, x) >= 3, correlation(y, x)).alias("r"))
+    return _shared(table, index).groupBy("season", "type").agg(slope(y, x).alias("slope"), F.when(F.regr_count(y, x) >= 3, correlation(y, x)).alias("r"))
 
 
 def residual_trend(table: DataFrame, index: DataFrame) -> DataFrame:
-    """(type, before, after): the trend of a frequency, and what is left of it without its response to the index."""
-    of_type, year = Window.partitionBy("type"), F.col("year").cast("double")
+    """(season, type, before, after): the trend of a frequency, and what is left of it without its response to the index."""
+    of_type, year = Window.partitionBy("season", "type"), F.col("year").cast("double")
     rows = _shared(table, index)
-    centre = rows.select("year", "x").distinct().agg(F.avg("x").alias("centre"))
-    rows = rows.join(F.broadcast(centre), how="cross")  # one row
+    rows = rows.join(F.broadcast(_centre(rows)), "season")  # a row a season
     b = F.when(F.regr_count("frequency", "x").over(of_type) >= 3, F.regr_slope("frequency", "x").over(of_type))
     rows = rows.withColumn("rest", F.col("frequency") - b * (F.col("x") - F.col("centre")))
-    return rows.groupBy("type").agg(slope(F.col("frequency"), year).alias("before"), slope(F.col("rest"), year).alias("after"))
+    return rows.groupBy("season", "type").agg(slope(F.col("frequency"), year).alias("before"), slope(F.col("rest"), year).alias("after"))
 
 
 def attributable_fraction(table: DataFrame, index: DataFrame) -> DataFrame:
-    """(type, slope, r, index_trend, predicted_trend, observed_trend, ratio); no ratio where the observed trend is under a
-    tenth of the largest. The index trend is over all years of the index."""
+    """(season, type, slope, r, index_trend, predicted_trend, observed_trend, ratio); no ratio where the observed trend is under a
+    tenth of the season's largest. The index trend is over all years of the index."""
     year = F.col("year").cast("double")
     trend = index.agg(slope(F.col("value"), year).alias("index_trend"))
-    observed = table.groupBy("type").agg(slope(F.col("frequency"), year).alias("observed_trend"))
-    rows = regress_on_index(table, index).join(observed, "type").join(F.broadcast(trend), how="cross")  # one row
+    table = table if "season" in table.columns else table.withColumn("season", F.lit("all"))
+    observed = table.groupBy("season", "type").agg(slope(F.col("frequency"), year).alias("observed_trend"))
+    rows = regress_on_index(table, index).join(observed, ["season", "type"]).join(F.broadcast(trend), how="cross")  # one row
     predicted, seen = F.col("slope") * F.col("index_trend"), F.abs("observed_trend")
-    ratio = F.when(seen > 0.1 * F.max(seen).over(everything()), predicted / F.col("observed_trend"))
-    return rows.select("type", "slope", "r", "index_trend", predicted.alias("predicted_trend"), "observed_trend", ratio.alias("ratio"))
+    ratio = F.when(seen > 0.1 * F.max(seen).over(Window.partitionBy("season")), predicted / F.col("observed_trend"))
+    return rows.select("season", "type", "slope", "r", "index_trend", predicted.alias("predicted_trend"), "observed_trend", ratio.alias("ratio"))
 
 
 def remove_index(table: DataFrame, index: DataFrame, least_years: int = 10) -> DataFrame:
     """The yearly table without the linear response of both series to an index; frequencies cut at 0 and summing to 1 again."""
     rows = _shared(table, index)
-    years = rows.select("year", "x").distinct()
-    if years.count() < least_years:
+    if rows.select("year").distinct().count() < least_years:
         raise ValueError(f"fewer than {least_years} shared years")
     of_type = Window.partitionBy("season", "type")
-    rows = rows.join(F.broadcast(years.agg(F.avg("x").alias("centre"))), how="cross")  # one row
+    rows = rows.join(F.broadcast(_centre(rows)), "season")  # a row a season
 
     def rest(name: str) -> Column:
         b = F.when(F.regr_count(name, "x").over(of_type) >= 3, F.regr_slope(name, "x").over(of_type))

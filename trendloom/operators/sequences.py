@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from trendloom.functions.statistics import clean
 from trendloom.operators.decompose import codes
 
 
@@ -15,7 +16,7 @@ def composite(field: DataFrame, labels: DataFrame, k: int) -> DataFrame:
     """(type, lat, lon, value): the mean field of each type, dense over the codes; a day of the field without a label is an error."""
     if not field.select("day").distinct().join(labels, "day", "left_anti").isEmpty():
         raise ValueError("the field has days without a label")
-    found = field.join(labels.select("day", "type"), "day").groupBy("type", "lat", "lon").agg(F.avg("value").alias("value"))
+    found = field.join(labels.select("day", "type"), "day").groupBy("type", "lat", "lon").agg(F.avg(clean(F.col("value"))).alias("value"))
     frame = field.select("lat", "lon").distinct().join(F.broadcast(codes(field.sparkSession, k)), how="cross")
     return frame.join(found, ["type", "lat", "lon"], "left").select("type", "lat", "lon", "value")
 

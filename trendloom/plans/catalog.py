@@ -58,11 +58,11 @@ def day_labels(spark, sf_dir) -> DataFrame:
     return order_days(spark, sf_dir).groupBy("day").agg(F.min("type").alias("type"))
 
 
-def month_field(spark, sf_dir) -> DataFrame:
+def month_field(spark, sf_dir, period: str = "month") -> DataFrame:
     """(day, lat, lon, value): mean price by month and nation, on a grid of 5 x 5."""
     rows = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     nation = F.col("c_nationkey")
-    return rows.groupBy(F.trunc("o_orderdate", "month").alias("day"), (-10.0 - 2 * F.floor(nation / 5)).alias("lat"), (90.0 + 3 * (nation % 5)).alias("lon")).agg(F.avg("o_totalprice").alias("value"))
+    return rows.groupBy(F.trunc("o_orderdate", period).alias("day"), (-10.0 - 2 * F.floor(nation / 5)).alias("lat"), (90.0 + 3 * (nation % 5)).alias("lon")).agg(F.avg("o_totalprice").alias("value"))
 
 
 def user_events(spark, sf_dir) -> DataFrame:
@@ -88,6 +88,10 @@ def price_table(spark, sf_dir) -> DataFrame:
     return dec.yearly_table(order_days(spark, sf_dir), K)
 
 
+def price_tables(spark, sf_dir) -> DataFrame:
+    return dec.yearly_tables(order_days(spark, sf_dir), K)
+
+
 def price_index(spark, sf_dir) -> DataFrame:
     """(year, value): a stand-in for a climate index, the mean quantity shipped by year."""
     rows = table(spark, sf_dir, "lineitem").select(F.to_date("l_shipdate").alias("day"), F.col("l_quantity").alias("value"))
@@ -130,14 +134,14 @@ nearest AS (SELECT day, arg_min(type, (d, type)) AS type, min(d) AS distance2 FR
 @query(f"WITH {DAYS}, {SEASONED}, {TRENDS} SELECT season, round(total, 6) + 0.0 AS total, round(frequency_term, 6) + 0.0 AS frequency_term, round(intensity_term, 6) + 0.0 AS intensity_term, round(cross_term, 6) + 0.0 AS cross_term FROM terms")
 def decompose_orders(spark, sf_dir):
     rows = order_days(spark, sf_dir)
-    tables = clusters.union_all([dec.yearly_table(rows, K, s) for s in ("all", "cool", "warm")])
+    tables = dec.yearly_tables(rows, K)
     return rounded(dec.decompose(tables).select("season", "total", "frequency_term", "intensity_term", "cross_term"))
 
 
 @query(f"WITH {DAYS}, {SEASONED} SELECT season, year, type, round(frequency, 6) + 0.0 AS frequency, round(type_mean, 6) + 0.0 AS type_mean, n FROM yearly")
 def yearly_table_orders(spark, sf_dir):
     rows = order_days(spark, sf_dir)
-    return rounded(clusters.union_all([dec.yearly_table(rows, K, s) for s in ("all", "cool", "warm")]))
+    return rounded(dec.yearly_tables(rows, K))
 
 
 @query(f"WITH {DAYS}, {SEASONED}, {TRENDS} SELECT season, type, round(freq_trend, 9) + 0.0 AS freq_trend, round(mean_trend, 6) + 0.0 AS mean_trend, round(mean_frequency, 6) + 0.0 AS mean_frequency, round(mean_type_mean, 6) + 0.0 AS mean_type_mean FROM trends WHERE season = 'all'")
@@ -165,19 +169,19 @@ def fitted_lines_orders(spark, sf_dir):
 
 @query()
 def bootstrap_orders(spark, sf_dir):
-    return rounded(dec.intervals(dec.block_bootstrap(price_table(spark, sf_dir), draws=200, block=3)))
+    return rounded(dec.intervals(dec.block_bootstrap(price_table(spark, sf_dir), block=3)))
 
 
 @query(f"WITH {DAYS}, {SEASONED}, {TRENDS} SELECT round(avg(total), 6) AS mean, round(stddev_samp(total), 6) AS sd, round(min(total), 6) AS least, round(max(total), 6) AS greatest, min(total) > 0 OR max(total) < 0 AS sign_stable FROM terms")
 def across_partitions_orders(spark, sf_dir):
     rows = order_days(spark, sf_dir)
-    return rounded(dec.across_partitions(dec.decompose(clusters.union_all([dec.yearly_table(rows, K, s) for s in ("all", "cool", "warm")])), "total"))
+    return rounded(dec.across_partitions(dec.decompose(dec.yearly_tables(rows, K)), "total"))
 
 
 @query(f"WITH {DAYS}, {SEASONED}, {TRENDS} SELECT season, round(abs(frequency_term) / (abs(frequency_term) + abs(intensity_term)), 6) AS frequency_share FROM terms")
 def frequency_share_orders(spark, sf_dir):
     rows = order_days(spark, sf_dir)
-    shares = dec.frequency_share(dec.decompose(clusters.union_all([dec.yearly_table(rows, K, s) for s in ("all", "cool", "warm")])))
+    shares = dec.frequency_share(dec.decompose(dec.yearly_tables(rows, K)))
     return rounded(shares.select("season", "frequency_share"))
 
 
@@ -209,10 +213,11 @@ def box_weights(spark, sf_dir):
     return rounded(fields.in_box(month_field(spark, sf_dir), -16, -12, 93, 99).withColumns({"area": area_weight(F.col("lat")), "root": eof_weight(F.col("lat"))}).select("day", "lat", "lon", "value", "area", "root"))
 
 
-@query(f"""WITH {FIELD}, whole AS (SELECT lat, lon FROM field GROUP BY lat, lon HAVING count(value) = (SELECT count(DISTINCT day) FROM field))
+@query(f"""WITH {FIELD.replace("'month'", "'quarter'")}, whole AS (SELECT lat, lon FROM field GROUP BY lat, lon HAVING count(value) = (SELECT count(DISTINCT day) FROM field))
 SELECT day, round(sum(value * {WEIGHT}) / sum({WEIGHT}), 6) AS value FROM field JOIN whole USING (lat, lon) GROUP BY day""")
 def regional_mean_months(spark, sf_dir):
-    return rounded(fields.regional_mean(month_field(spark, sf_dir)))
+    """By quarters: the smallest tables have some cells with a value in each of them, and some without."""
+    return rounded(fields.regional_mean(month_field(spark, sf_dir, "quarter")))
 
 
 @query(f"WITH {FIELD} SELECT day, round(sum(value * {WEIGHT}) / sum({WEIGHT}), 6) AS value FROM field GROUP BY day")
@@ -268,10 +273,11 @@ def regridded_months(spark, sf_dir):
     return rounded(fields.regrid(month_field(spark, sf_dir), shifted_grid(spark)))
 
 
-@query(f"""WITH {FIELD}, frame AS (SELECT DISTINCT lat, lon, CAST(range AS INT) AS type FROM field, range(4)) SELECT type, lat, lon, round(avg(value), 6) AS value FROM frame LEFT JOIN field USING (lat, lon) WHERE month(day) % 4 = type GROUP BY ALL""")
+@query(f"""WITH {FIELD}, frame AS (SELECT DISTINCT lat, lon, CAST(range AS INT) AS type FROM field, range(4)) SELECT f.type, f.lat, f.lon, round(avg(value), 6) AS value FROM frame f LEFT JOIN field x ON x.lat = f.lat AND x.lon = f.lon AND month(x.day) % 3 = f.type GROUP BY ALL""")
 def composite_months(spark, sf_dir):
+    """Three types of four, so that the dense maps of the last are empty."""
     field = month_field(spark, sf_dir)
-    return rounded(sequences.composite(field, field.select("day").distinct().withColumn("type", (F.month("day") % 4).cast("int")), 4))
+    return rounded(sequences.composite(field, field.select("day").distinct().withColumn("type", (F.month("day") % 3).cast("int")), 4))
 
 
 @query(f"WITH {DAYS} SELECT t.type, CAST(m.month AS INT) AS month, count(d.day) AS n FROM (SELECT CAST(range AS INT) AS type FROM range(5)) t CROSS JOIN (SELECT range AS month FROM range(1, 13)) m LEFT JOIN days d ON d.type = t.type AND month(d.day) = m.month GROUP BY ALL")
@@ -333,34 +339,35 @@ def seasonal_mean_orders(spark, sf_dir):
     return rounded(clusters.union_all([indices.seasonal_mean(rows, s).withColumn("season", F.lit(s)) for s in ("all", "cool", "warm")]).select("season", "year", "value"))
 
 
-SHARED = f"{DAYS}, {SEASONED}, {INDEX}, shared AS (SELECT yearly.*, x FROM yearly JOIN ix USING (year) WHERE season = 'all')"
+SHARED = f"{DAYS}, {SEASONED}, {INDEX}, shared AS (SELECT yearly.*, x FROM yearly JOIN ix USING (year))"
 
 
-@query(f"WITH {SHARED} SELECT type, round(regr_slope(frequency, x), 6) + 0.0 AS slope, round(covar_pop(frequency, x) / nullif(stddev_pop(frequency) * stddev_pop(x), 0), 6) + 0.0 AS r FROM shared GROUP BY type")
+@query(f"WITH {SHARED} SELECT season, type, round(regr_slope(frequency, x), 6) + 0.0 AS slope, round(covar_pop(frequency, x) / nullif(stddev_pop(frequency) * stddev_pop(x), 0), 6) + 0.0 AS r FROM shared GROUP BY season, type")
 def index_regression(spark, sf_dir):
-    return rounded(indices.regress_on_index(price_table(spark, sf_dir), price_index(spark, sf_dir)))
+    return rounded(indices.regress_on_index(price_tables(spark, sf_dir), price_index(spark, sf_dir)))
 
 
-REST = """fitted AS (SELECT *, regr_slope(frequency, x) OVER (PARTITION BY type) AS b, regr_slope(type_mean, x) OVER (PARTITION BY type) AS bm, (SELECT avg(x) FROM (SELECT DISTINCT year, x FROM shared)) AS centre FROM shared)"""
+REST = """fitted AS (SELECT *, regr_slope(frequency, x) OVER (PARTITION BY season, type) AS b, regr_slope(type_mean, x) OVER (PARTITION BY season, type) AS bm FROM shared
+  JOIN (SELECT season, avg(x) AS centre FROM (SELECT DISTINCT season, year, x FROM shared) GROUP BY season) USING (season))"""
 
 
-@query(f"WITH {SHARED}, {REST} SELECT type, round(regr_slope(frequency, year), 9) + 0.0 AS before, round(regr_slope(frequency - b * (x - centre), year), 9) + 0.0 AS after FROM fitted GROUP BY type")
+@query(f"WITH {SHARED}, {REST} SELECT season, type, round(regr_slope(frequency, year), 9) + 0.0 AS before, round(regr_slope(frequency - b * (x - centre), year), 9) + 0.0 AS after FROM fitted GROUP BY season, type")
 def residual_trend_orders(spark, sf_dir):
-    found = indices.residual_trend(price_table(spark, sf_dir), price_index(spark, sf_dir))
-    return found.select("type", *[(F.round(c, 9) + 0.0).alias(c) for c in ("before", "after")])
+    found = indices.residual_trend(price_tables(spark, sf_dir), price_index(spark, sf_dir))
+    return found.select("season", "type", *[(F.round(c, 9) + 0.0).alias(c) for c in ("before", "after")])
 
 
-@query(f"""WITH {SHARED}, t AS (SELECT regr_slope(x, year) AS index_trend FROM ix), o AS (SELECT type, regr_slope(frequency, year) AS observed FROM yearly WHERE season = 'all' GROUP BY type), g AS (SELECT type, regr_slope(frequency, x) AS slope FROM shared GROUP BY type)
-SELECT type, round(slope * index_trend, 9) + 0.0 AS predicted_trend, round(observed, 9) + 0.0 AS observed_trend, round(CASE WHEN abs(observed) > 0.1 * max(abs(observed)) OVER () THEN slope * index_trend / observed END, 6) + 0.0 AS ratio FROM o JOIN g USING (type), t""")
+@query(f"""WITH {SHARED}, t AS (SELECT regr_slope(x, year) AS index_trend FROM ix), o AS (SELECT season, type, regr_slope(frequency, year) AS observed FROM yearly GROUP BY season, type), g AS (SELECT season, type, regr_slope(frequency, x) AS slope FROM shared GROUP BY season, type)
+SELECT season, type, round(slope * index_trend, 9) + 0.0 AS predicted_trend, round(observed, 9) + 0.0 AS observed_trend, round(CASE WHEN abs(observed) > 0.1 * max(abs(observed)) OVER (PARTITION BY season) THEN slope * index_trend / observed END, 6) + 0.0 AS ratio FROM o JOIN g USING (season, type), t""")
 def attributable_fraction_orders(spark, sf_dir):
-    found = indices.attributable_fraction(price_table(spark, sf_dir), price_index(spark, sf_dir))
-    return found.select("type", *[(F.round(c, 9) + 0.0).alias(c) for c in ("predicted_trend", "observed_trend")], r6("ratio").alias("ratio"))
+    found = indices.attributable_fraction(price_tables(spark, sf_dir), price_index(spark, sf_dir))
+    return found.select("season", "type", *[(F.round(c, 9) + 0.0).alias(c) for c in ("predicted_trend", "observed_trend")], r6("ratio").alias("ratio"))
 
 
-@query(f"""WITH {SHARED}, {REST}, cut AS (SELECT year, type, greatest(frequency - b * (x - centre), 0) AS raw, type_mean - bm * (x - centre) AS type_mean FROM fitted)
-SELECT year, type, round(raw / sum(raw) OVER (PARTITION BY year), 6) AS frequency, round(type_mean, 6) AS type_mean FROM cut""")
+@query(f"""WITH {SHARED}, {REST}, cut AS (SELECT season, year, type, greatest(frequency - b * (x - centre), 0) AS raw, type_mean - bm * (x - centre) AS type_mean FROM fitted)
+SELECT season, year, type, round(raw / sum(raw) OVER (PARTITION BY season, year), 6) AS frequency, round(type_mean, 6) AS type_mean FROM cut""")
 def index_removed_orders(spark, sf_dir):
-    return rounded(indices.remove_index(price_table(spark, sf_dir), price_index(spark, sf_dir), least_years=5).select("year", "type", "frequency", "type_mean"))
+    return rounded(indices.remove_index(price_tables(spark, sf_dir), price_index(spark, sf_dir), least_years=5).select("season", "year", "type", "frequency", "type_mean"))
 
 
 @query(f"""WITH {DAYS}, l AS (SELECT day, min(type) AS type FROM days GROUP BY day), s AS (SELECT CAST(l_shipdate AS DATE) AS day, l_quantity AS v FROM lineitem),
@@ -439,5 +446,67 @@ def frequency_bias_embeddings(spark, sf_dir):
 
 @query()
 def partition_embeddings(spark, sf_dir):
-    found, _ = clusters.best_partition(embedding_rows(spark, sf_dir).drop("type"), 4, starts=3)
+    found, _ = clusters.best_partition(embedding_rows(spark, sf_dir).drop("type"), 4)
     return found
+
+
+@query(f"""WITH {DAYS}, {SEASONED}, regional AS (SELECT season, year, sum(frequency * coalesce(type_mean, 0)) AS value FROM yearly GROUP BY season, year), {INDEX}
+SELECT season, round(covar_pop(value, x) / nullif(stddev_pop(value) * stddev_pop(x), 0), 6) + 0.0 AS r FROM regional JOIN ix USING (year) GROUP BY season""")
+def index_correlation_orders(spark, sf_dir):
+    return rounded(dec.index_correlation(price_tables(spark, sf_dir), price_index(spark, sf_dir)))
+
+
+@query(f"""WITH {SHARED}, {REST}, cut AS (SELECT season, year, type, greatest(frequency - b * (x - centre), 0) AS raw, type_mean - bm * (x - centre) AS type_mean FROM fitted),
+rest AS (SELECT season, year, type, raw / sum(raw) OVER (PARTITION BY season, year) AS frequency, type_mean FROM cut),
+totals AS (SELECT 'before' AS of, season, year, sum(frequency * coalesce(type_mean, 0)) AS v FROM yearly GROUP BY season, year UNION ALL SELECT 'after', season, year, sum(frequency * coalesce(type_mean, 0)) FROM rest GROUP BY season, year),
+t AS (SELECT season, regr_slope(v, year) FILTER (of = 'before') AS before, regr_slope(v, year) FILTER (of = 'after') AS after FROM totals GROUP BY season)
+SELECT season, 'total' AS term, round(before, 6) + 0.0 AS before, round(after, 6) + 0.0 AS after, round(CASE WHEN abs(before) > 1e-12 THEN 100 * after / before END, 6) + 0.0 AS kept, before * after < 0 AS sign_flips FROM t""")
+def kept_without_index_orders(spark, sf_dir):
+    tables = price_tables(spark, sf_dir)
+    after = dec.decompose(indices.remove_index(tables, price_index(spark, sf_dir), least_years=5))
+    return rounded(dec.kept_after_removal(dec.decompose(tables), after, terms=("total",)))
+
+
+@query(f"""WITH {CELLS}, {CENTRES}, {NEAREST}, d AS (SELECT abs(coalesce(f, 0) - coalesce(g, 0)) AS d FROM (SELECT type, count(*) / (SELECT count(*) FROM embeddings) AS f FROM nearest GROUP BY type) FULL JOIN
+(SELECT label AS type, count(*) / (SELECT count(*) FROM embeddings) AS g FROM embeddings GROUP BY label) USING (type)) SELECT round(sum(d) / 2, 6) AS total_bias FROM d""")
+def total_bias_embeddings(spark, sf_dir):
+    rows = embedding_rows(spark, sf_dir)
+    return rounded(clusters.total_bias(clusters.frequency_bias(clusters.assign(rows.drop("type"), label_centroids(spark, sf_dir)), rows, 10)))
+
+
+@query("""SELECT CAST(ts AS DATE) AS day, hour(ts) AS hour, event_type, round(value / 9.80665, 6) AS height FROM events WHERE ts >= '2024-01-10' AND ts < '2024-01-21'""")
+def heights_between_days_events(spark, sf_dir):
+    rows = fields.between_days(table(spark, sf_dir, "events"), "2024-01-10", "2024-01-20", "ts")
+    return rows.select(F.to_date("ts").alias("day"), F.hour("ts").alias("hour"), "event_type", r6(fields.geopotential_height(F.col("value"))).alias("height"))
+
+
+@query(f"WITH {FIELD} SELECT day, lat, lon, round(value * sqrt({WEIGHT}), 6) AS value FROM field WHERE lat BETWEEN -14.5 - 2 AND -14 + 2 AND lon BETWEEN 95 - 2 AND 99 + 2")
+def weighted_margin_months(spark, sf_dir):
+    return rounded(fields.weighted(fields.in_box(month_field(spark, sf_dir), -14.5, -14, 95, 99, margin=2.0)).select("day", "lat", "lon", "value"))
+
+
+@query("""SELECT CAST(o_orderdate AS DATE) + 1 AS day, CAST(substr(o_orderpriority, 1, 1) AS INT) - 1 AS type, count(*) AS n FROM orders WHERE CAST(o_orderdate AS DATE) + 1 BETWEEN DATE '1996-01-01' AND DATE '1997-12-31' GROUP BY ALL""")
+def loaded_labels_orders(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderdate").alias("ts"), F.col("o_orderpriority").alias("label"))
+    found = labels.load_labels(rows, "regime", ["1", "2", "3", "4", "5"], "1996-01-01", "1997-12-31", shift_days=1)
+    return found.groupBy("day", "type").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {DAYS}, l AS (SELECT day, min(type) AS type FROM days GROUP BY day), v AS (SELECT day, avg(value) AS value FROM days GROUP BY day) SELECT day, type, round(value, 6) AS value FROM v JOIN l USING (day)""")
+def looked_up_orders(spark, sf_dir):
+    return rounded(labels.look_up(daily_prices(spark, sf_dir), day_labels(spark, sf_dir)))
+
+
+@query(f"""WITH {CELLS}, f AS (SELECT stddev_samp(value) AS s, stddev_pop(value) AS p FROM cells WHERE cell = 0) SELECT day, cell AS mode, round(value / s, 6) + 0.0 AS pc, round(p / s, 6) AS ratio FROM cells, f WHERE cell < 3""")
+def scaled_components_embeddings(spark, sf_dir):
+    pcs = embedding_matrix(spark, sf_dir).select("day", F.col("cell").alias("mode"), F.col("value").alias("pc")).filter("mode < 3")
+    return rounded(eof.scaled_pcs(pcs).join(F.broadcast(eof.amplitude_ratio(pcs, pcs)), how="cross").select("day", "mode", "pc", "ratio"))  # one row
+
+
+@query(f"""WITH {DAYS}, l AS (SELECT day, min(type) AS type FROM days GROUP BY day), s AS (SELECT CAST(l_shipdate AS DATE) AS day, l_quantity AS v FROM lineitem),
+m AS (SELECT CAST(o.range AS INT) AS o, type, avg(v) AS m, count(*) AS n FROM l, range(-3, 4) o JOIN s ON s.day = l.day + CAST(o.range AS INT) GROUP BY ALL), c AS (SELECT o, sum(m * n) / sum(n) AS centre FROM m GROUP BY o),
+d AS (SELECT o, round(sqrt(sum(n * (m - centre) * (m - centre)) / sum(n)), 9) AS spread FROM m JOIN c USING (o) GROUP BY o) SELECT o AS "offset" FROM d ORDER BY spread DESC, o LIMIT 1""")
+def best_offset_shipments(spark, sf_dir):
+    impact = table(spark, sf_dir, "lineitem").select(F.to_date("l_shipdate").alias("day"), F.col("l_quantity").alias("value"))
+    spreads = indices.offset_spread(impact, day_labels(spark, sf_dir), range(-3, 4))
+    return indices.best_offset(spreads.withColumn("spread", F.round("spread", 9)))

@@ -23,6 +23,8 @@ def write_years(field: DataFrame, path: str, time: str = "time", mode: str = "ov
 def read_years(spark: SparkSession, path: str, start: int, end: int) -> DataFrame:
     """The field of all years from start to end. An error names each missing year, or the years whose grid differs."""
     rows = spark.read.parquet(path).filter(F.col("year").between(start, end))
+    if "value" not in rows.columns:
+        raise KeyError(f"{path} has no column value")
     grids = rows.select("year", "lat", "lon").distinct().groupBy("year").agg(
         F.sum(F.xxhash64(F.col("lat").cast("double"), F.col("lon").cast("double")).cast("decimal(38,0)")).alias("grid"))
     found = {r.year: r.grid for r in grids.collect()}  # a row a year
@@ -34,24 +36,31 @@ def read_years(spark: SparkSession, path: str, start: int, end: int) -> DataFram
 
 
 def harmonised(rows: DataFrame) -> DataFrame:
-    """Only (time, lat, lon, value), coordinates as double, NaN as null; `latitude` and `longitude` are taken for lat and lon."""
-    for old, new in (("latitude", "lat"), ("longitude", "lon"), ("valid_time", "time")):
+    """Only (time, [level,] lat, lon, value), coordinates as double, NaN as null; `latitude`, `longitude`, `valid_time` and
+    `pressure_level` are taken for lat, lon, time and level. Any other column is left out."""
+    for old, new in (("latitude", "lat"), ("longitude", "lon"), ("valid_time", "time"), ("pressure_level", "level")):
         if old in rows.columns and new not in rows.columns:
             rows = rows.withColumnRenamed(old, new)
-    return rows.select("time", F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"), clean(F.col("value")).alias("value"))
+    return rows.select("time", *[c for c in ("level",) if c in rows.columns], F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"), clean(F.col("value")).alias("value"))
 
 
 def normalise_download(rows: DataFrame, variable: str = "z", to_height: bool = True) -> DataFrame:
     """A field from (valid_time, [pressure_level, expver,] latitude, longitude, variable): versions of one value collapse to the
-    greatest that is not missing."""
+    greatest that is not missing. Values of several levels stay apart; a level that every row has is no column of the result."""
+    if variable not in rows.columns:
+        raise KeyError(f"no variable {variable}")
     rows = harmonised(rows.withColumnRenamed(variable, "value"))
-    rows = rows.groupBy("time", "lat", "lon").agg(F.max("value").alias("value"))
+    if "level" in rows.columns and rows.agg(F.count_distinct("level")).first()[0] <= 1:
+        rows = rows.drop("level")
+    rows = rows.groupBy(*[c for c in rows.columns if c != "value"]).agg(F.max("value").alias("value"))
     return rows.withColumn("value", geopotential_height(F.col("value"))) if to_height else rows
 
 
 def slice_year(field: DataFrame, year: int, box: tuple[float, float, float, float], hours: Sequence[int], level: int | None = None, to_height: bool = False) -> DataFrame:
     """One year of a store, in a box (south, north, west, east) and at some hours; empty outside of what the store covers."""
-    rows = field.filter(F.year("time") == year)
+    rows = field.filter((F.col("time") >= F.make_timestamp_ltz(F.lit(year), *map(F.lit, (1, 1, 0, 0, 0)))) & (F.col("time") < F.make_timestamp_ltz(F.lit(year + 1), *map(F.lit, (1, 1, 0, 0, 0)))))
+    if "year" in field.columns:  # the folders of a store
+        rows = rows.filter(F.col("year") == year)
     if level is not None:
         rows = rows.filter(F.col("level") == level)
     rows = at_hours(in_box(rows, *box), hours)
@@ -129,3 +138,48 @@ def read_labels(spark: SparkSession, path: str, column: str = "label") -> DataFr
 def type_order(spark: SparkSession, path: str) -> DataFrame:
     """(code, name) from the stored order of the types."""
     return spark.read.parquet(path).select(F.posexplode("names").alias("code", "name"))
+
+
+def tagged(work: str, name: str, tag: str = "") -> str:
+    """The folder of a made store, of a variant where a tag is given."""
+    return f"{work.rstrip('/')}/{name}{tag and '-' + tag}"
+
+
+def write_tables(tables: dict[str, DataFrame], folder: str) -> None:
+    """A store of several tables; each replaces the one of its name."""
+    for name, rows in tables.items():
+        rows.write.mode("overwrite").parquet(f"{folder}/{name}")
+
+
+def read_tables(spark: SparkSession, folder: str, names: Sequence[str]) -> dict[str, DataFrame]:
+    return {name: spark.read.parquet(f"{folder}/{name}") for name in names}
+
+
+#: The tables of each made store.
+EOF, TYPES, MODEL = ("spectrum", "pcs", "patterns", "cells", "scales"), ("labels", "centroids"), ("labels", "frequencies", "unexplained")
+COMPOSITES = ("maps", "seasonal_counts", "transitions", "runs")
+
+
+def write_anomalies(field: DataFrame, work: str, variable: str) -> None:
+    """The daily anomalies (day, lat, lon, value) of a variable, by year; replaces what was there."""
+    write_years(field, f"{tagged(work, 'anomalies')}/{variable}", "day")
+
+
+def read_anomalies(spark: SparkSession, work: str, variable: str) -> DataFrame:
+    return spark.read.parquet(f"{tagged(work, 'anomalies')}/{variable}").select("day", "lat", "lon", "value")
+
+
+def write_eof(work: str, tag: str = "", **tables: DataFrame) -> None:
+    write_tables({n: tables[n] for n in EOF}, tagged(work, "eof", tag))
+
+
+def write_types(work: str, tag: str = "", **tables: DataFrame) -> None:
+    write_tables({n: tables[n] for n in TYPES}, tagged(work, "types", tag))
+
+
+def write_composites(work: str, tag: str = "", **tables: DataFrame) -> None:
+    write_tables({n: tables[n] for n in COMPOSITES}, tagged(work, "composites", tag))
+
+
+def write_model(work: str, source: str, tag: str = "", **tables: DataFrame) -> None:
+    write_tables({n: tables[n] for n in MODEL}, f"{tagged(work, 'models', tag)}/{source}")
