@@ -79,9 +79,11 @@ def single_start(x: np.ndarray, k: int, seed: int, rounds: int = 300) -> np.ndar
     """The types of one k-means start over a series of days that a task holds: far centres first, then means until they stay."""
     rng = np.random.default_rng(seed)
     centres = x[rng.integers(len(x))][None]
-    while len(centres) < min(k, len(x)):
+    while len(centres) < min(k, len(x)):  # of a few days drawn by their distance the one that leaves least
         far = ((x[:, None] - centres) ** 2).sum(2).min(1)
-        centres = np.vstack([centres, x[rng.choice(len(x), p=far / far.sum()) if far.sum() else rng.integers(len(x))]])
+        drawn = rng.choice(len(x), 2 + int(np.log(k)), p=far / far.sum() if far.sum() else None)
+        left = np.minimum(far[:, None], ((x[:, None] - x[drawn]) ** 2).sum(2)).sum(0)
+        centres = np.vstack([centres, x[drawn[left.argmin()]]])
     for _ in range(rounds):
         types = ((x[:, None] - centres) ** 2).sum(2).argmin(1)
         means = np.array([x[types == t].mean(0) if (types == t).any() else centres[t] for t in range(len(centres))])
