@@ -10,12 +10,11 @@ a backslash after their first character, and backslashes are doubled, so reading
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trendloom.session import written
+from trendloom.session import Workspace
 
 START, CONTEXT, TARGET, END = "<|start|>", "<|message|>", "<|target|>", "<|end|>"
 #: Control strings of this and other public templates, as they may not stand in a text.
@@ -35,11 +34,7 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, r"(?s)\\(.)", "$1")
 
 
-def union_of(parts: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)
-
-
-def enumerate_paths(messages: DataFrame) -> DataFrame:
+def enumerate_paths(messages: DataFrame, space: Workspace) -> DataFrame:
     """(conv_id, leaf, msg_id, dist) for every leaf and each message on the way to its root, dist links above the leaf.
 
     messages: (conv_id, msg_id, parent_id), msg_id unique in its conversation. A parent that does not exist makes its
@@ -50,15 +45,18 @@ def enumerate_paths(messages: DataFrame) -> DataFrame:
     leaves = nodes.join(real.select("conv_id", F.col("parent_id").alias("msg_id")), ["conv_id", "msg_id"], "left_anti")
     most = nodes.groupBy("conv_id").count().agg(F.max("count")).first()[0] or 1
     up = real.select("conv_id", "msg_id", F.col("parent_id").alias("above"))
-    # each round's rows are written, so that the plan of the next is a union of scans and no tree of joins
-    parts = [written(leaves.select("conv_id", F.col("msg_id").alias("leaf"), "msg_id", F.lit(0).cast("long").alias("dist")), "leaves")]
+    # each round's rows are written, so that the plan of the next is a scan and no tree of joins
+    parts = [space.written(leaves.select("conv_id", F.col("msg_id").alias("leaf"), "msg_id", F.lit(0).cast("long").alias("dist")), "leaves")]
+    links = None
     for k in range(math.ceil(math.log2(most)) if most > 1 else 0):
-        up = written(up, f"above-{2**k}")
-        further = union_of(parts).join(up, ["conv_id", "msg_id"]).select("conv_id", "leaf", F.col("above").alias("msg_id"), (F.col("dist") + 2**k).alias("dist"))
-        parts.append(written(further, f"paths-{2**k}"))
-        twice = up.select("conv_id", F.col("msg_id").alias("above"), F.col("above").alias("top"))
-        up = up.join(twice, ["conv_id", "above"]).select("conv_id", "msg_id", F.col("top").alias("above"))
-    paths = union_of(parts)
+        before, links = links, space.written(up, f"above-{2**k}")
+        if before is not None:
+            space.drop(before)
+        further = space.together(*parts).join(links, ["conv_id", "msg_id"]).select("conv_id", "leaf", F.col("above").alias("msg_id"), (F.col("dist") + 2**k).alias("dist"))
+        parts.append(space.written(further, f"paths-{2**k}"))
+        twice = links.select("conv_id", F.col("msg_id").alias("above"), F.col("above").alias("top"))
+        up = links.join(twice, ["conv_id", "above"]).select("conv_id", "msg_id", F.col("top").alias("above"))
+    paths = space.together(*parts)
     roots = nodes.join(real.select("conv_id", "msg_id"), ["conv_id", "msg_id"], "left_anti").select("conv_id", "msg_id")
     rooted = paths.join(roots, ["conv_id", "msg_id"], "left_semi").select("conv_id", "leaf")
     return paths.join(rooted, ["conv_id", "leaf"], "left_semi")
@@ -79,11 +77,17 @@ def format_paths(messages: DataFrame, paths_per_conversation: int | None = None,
     msg_id of their conversation one counts (one_row_a_message); ids_are_unique says that there are none. One conversation
     is one output string, so a path has to fit in a row.
     """
+    with Workspace(messages.sparkSession, "formatted") as space:
+        return space.finish(chosen_paths(messages, paths_per_conversation, ids_are_unique, space))
+
+
+def chosen_paths(messages: DataFrame, paths_per_conversation: int | None, ids_are_unique: bool, space: Workspace) -> DataFrame:
+    """What format_paths returns, not yet written; its own tables stand in `space`."""
     own = messages.filter("conv_id is not null and msg_id is not null").select(
         "conv_id", "msg_id", "parent_id", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"),
         F.coalesce("score", F.lit(0.0)).cast("double").alias("score"))
-    own = written(own if ids_are_unique else one_row_a_message(own), "messages")
-    steps = written(enumerate_paths(own).join(own.select("conv_id", "msg_id", "score", (F.col("role") == "assistant").alias("answers")), ["conv_id", "msg_id"]), "steps")
+    own = space.written(own if ids_are_unique else one_row_a_message(own), "messages")
+    steps = space.written(enumerate_paths(own, space).join(own.select("conv_id", "msg_id", "score", (F.col("role") == "assistant").alias("answers")), ["conv_id", "msg_id"]), "steps")
     order = Window.partitionBy("conv_id").orderBy(F.desc("score"), F.desc("turns"), "leaf")
     ranked = steps.groupBy("conv_id", "leaf").agg(F.sum("score").alias("score"), F.count("*").alias("turns"))
     ranked = ranked.select("conv_id", "leaf", F.row_number().over(order).alias("path_rank"))
@@ -127,7 +131,7 @@ def op5_chat(spark, sf_dir: str) -> DataFrame:
     said = F.lit("</s>[INST] ok [/INST]").alias("text")
     extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said)
     formatted = format_paths(conversations_as_trees(rows.unionByName(extra)), ids_are_unique=True)
-    read = written(formatted, "formatted").select("conv_id", "formatted", parse_turns(F.col("formatted")).alias("turns"))
+    read = formatted.select("conv_id", "formatted", parse_turns(F.col("formatted")).alias("turns"))
     all_text = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     loss_text = F.array_join(F.transform(F.filter("turns", lambda t: t["target"]), lambda t: t["text"]), "")
     return read.select(
