@@ -352,15 +352,46 @@ def cells_of(classes: DataFrame, percent: int, stars: int) -> DataFrame:
     return cold.unionByName(large.join(chosen, "key").select("key", "rep", "n", "room", F.lit(True).alias("large"), *names))
 
 
-def components_of(space: Workspace, rows: DataFrame, width: int, percent: int, stars_later: int) -> DataFrame:
+def classes_of(space: Workspace, rows: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(rep, n, counts, keys, ...) of each distinct set, rep its smallest id, and (doc_id, n, rep) of every row; rows without a set,
+    or of a null id, stand for themselves."""
     sets = space.written(describe_sets(rows, width, percent, frequent_shingles(rows, width)), "sets")
     real = sets.filter("n > 0 and doc_id is not null")
     classes = space.written(real.groupBy("sig1", "sig2").agg(F.min(F.struct("doc_id", "n", "counts", "keys")).alias("x")).select(
         "sig1", "sig2", F.col("x.doc_id").alias("rep"), "x.n", "x.counts", "x.keys"), "classes")
-    points = classes.select("rep", "n", "counts")
     member = space.written(sets.join(classes.select("sig1", "sig2", "rep"), ["sig1", "sig2"], "left").select(
         "doc_id", "n", F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("doc_id")).alias("rep")), "members")
     space.drop(sets)
+    return classes, member
+
+
+def jaccard_join(docs: DataFrame, width: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """All links: pairs (a, b), a < b, of class representatives, and members (doc_id, n_shingles, rep) for every row.
+
+    Rows with equal sets are one class, rep their smallest id, and link with each other without a pair; every two classes that
+    link are a pair, once. Empty sets have a null rep, as have rows with a null id, and link with nothing. An id with several
+    texts stands for all of them: it links where one of them does, and classes whose smallest id it is count as one. An empty
+    table gives two empty ones. Other columns are not read.
+
+    The number of pairs grows with the square of a group of near copies, as each of them is asked for; copies that are equal
+    don't count. Where only groups are needed, jaccard_components takes far fewer.
+    """
+    rows = id_text(docs, id_col, text_col)
+    with Workspace(docs.sparkSession, "jaccard-join") as space:
+        classes, member = classes_of(space, rows, width, percent)
+        cells = cells_of(classes, percent, 1).drop("star0").join(classes.select("rep", "counts"), "rep").withColumn("component", F.col("rep"))
+        cells = space.written(cells, "cells")
+        groups = cells.filter("not large").drop("large").withColumns({"group": F.col("key"), "side": F.lit(0)})
+        found = search_cells(groups.unionByName(block_pairs(cells.filter("large").drop("large"))), percent, forests=False)
+        pairs = space.written(found.select("a", "b").distinct(), "pairs")
+        real = (F.col("n") > 0) & F.col("doc_id").isNotNull()
+        members = space.finish(member.select("doc_id", F.col("n").alias("n_shingles"), F.when(real, F.col("rep")).alias("rep")))
+        return space.finish(linked_pairs(space, pairs, rows, width, percent).distinct()), members
+
+
+def components_of(space: Workspace, rows: DataFrame, width: int, percent: int, stars_later: int) -> DataFrame:
+    classes, member = classes_of(space, rows, width, percent)
+    points = classes.select("rep", "n", "counts")
     cells = space.written(cells_of(classes, percent, stars_later + 1), "cells")
 
     same_id = member.join(member.filter("doc_id is not null").groupBy("doc_id").agg(F.min("rep").alias("a")), "doc_id").filter("a != rep").select("a", F.col("rep").alias("b"))
