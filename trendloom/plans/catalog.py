@@ -9,13 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trendloom.functions.calendar import shifted_day
 from trendloom.functions.statistics import area_weight, eof_weight
 from trendloom.operators import clusters, eof, fields, indices, labels, sequences
 from trendloom.operators import decompose as dec
+from trendloom.session import shared_path
 from trendloom.sources import stores
 
 K = 5
@@ -510,3 +511,213 @@ def best_offset_shipments(spark, sf_dir):
     impact = table(spark, sf_dir, "lineitem").select(F.to_date("l_shipdate").alias("day"), F.col("l_quantity").alias("value"))
     spreads = indices.offset_spread(impact, day_labels(spark, sf_dir), range(-3, 4))
     return indices.best_offset(spreads.withColumn("spread", F.round("spread", 9)))
+
+
+def on_grid(spark, sf_dir) -> DataFrame:
+    """(time, level, lat, lon, value): events as steps of a field, two levels of 7 x 11 cells by user."""
+    user = F.col("user_id")
+    return table(spark, sf_dir, "events").select(F.col("ts").alias("time"), F.when(user % 2 == 0, 500).otherwise(850).alias("level"), (-(user % 7)).cast("double").alias("lat"), (140 + user % 11).cast("double").alias("lon"), "value")
+
+
+def price_variables(spark, sf_dir) -> DataFrame:
+    """(variable, day, lat, lon, value): quarterly prices and their logarithms."""
+    both = F.array(F.struct(F.lit("price").alias("variable"), F.col("value")), F.struct(F.lit("log").alias("variable"), F.ln("value").alias("value")))
+    return month_field(spark, sf_dir, "quarter").withColumn("of", F.explode(both)).select("of.variable", "day", "lat", "lon", "of.value")
+
+
+def monthly_calendar(spark, sf_dir) -> DataFrame:
+    """The field in calendars without real dates: months of 30 days, the south in a year of 360 days, the north in one of 365."""
+    return month_field(spark, sf_dir).withColumns({"doy": (F.month("day") - 1) * 30 + 1, "calendar": F.when(F.col("lat") < -13, "360_day").otherwise("noleap")})
+
+
+def variances_as_spectrum(spark, sf_dir) -> DataFrame:
+    """(mode, eigenvalue, fraction): a stand-in for a spectrum, the variances of the cells in order."""
+    found = eof.centred(embedding_matrix(spark, sf_dir)).groupBy("cell").agg(F.round(F.var_samp("value"), 9).alias("eigenvalue"))
+    order = Window.orderBy(F.desc("eigenvalue"), "cell")  # a row a cell
+    return found.select((F.row_number().over(order) - 1).alias("mode"), "eigenvalue", (F.col("eigenvalue") / F.sum("eigenvalue").over(Window.partitionBy())).alias("fraction"))
+
+
+ON_GRID = "steps AS (SELECT ts, CASE WHEN user_id % 2 = 0 THEN 500 ELSE 850 END AS level, CAST(-(user_id % 7) AS DOUBLE) AS lat, CAST(140 + user_id % 11 AS DOUBLE) AS lon, value FROM events)"
+BOTH = f"""{FIELD.replace("'month'", "'quarter'")}, both_ AS (SELECT 'price' AS variable, * FROM field UNION ALL SELECT 'log', day, lat, lon, ln(value) FROM field)"""
+# the constant, cosine and sine of each cell by Cramer's rule
+CYCLE = f"""{FIELD}, t AS (SELECT *, 2 * pi() * ((month(day) - 1) * 30 + 1) / CASE WHEN lat < -13 THEN 360 ELSE 365 END AS angle FROM field),
+m AS (SELECT lat, lon, count(*) AS n, sum(cos(angle)) AS c, sum(sin(angle)) AS s, sum(cos(angle) * cos(angle)) AS cc, sum(cos(angle) * sin(angle)) AS cs, sum(sin(angle) * sin(angle)) AS ss,
+  sum(value) AS y, sum(value * cos(angle)) AS yc, sum(value * sin(angle)) AS ys FROM t GROUP BY lat, lon),
+d AS (SELECT *, n * (cc * ss - cs * cs) - c * (c * ss - cs * s) + s * (c * cs - cc * s) AS det FROM m),
+b AS (SELECT lat, lon, (y * (cc * ss - cs * cs) - c * (yc * ss - cs * ys) + s * (yc * cs - cc * ys)) / det AS b0, (n * (yc * ss - cs * ys) - y * (c * ss - cs * s) + s * (c * ys - yc * s)) / det AS b1,
+  (n * (cc * ys - yc * cs) - c * (c * ys - yc * s) + y * (c * cs - cc * s)) / det AS b2 FROM d),
+cycle AS (SELECT day, lat, lon, value, b0 + b1 * cos(angle) + b2 * sin(angle) AS climatology FROM t JOIN b USING (lat, lon))"""
+SPECTRUM = f"""{CELLS}, v AS (SELECT cell, round(var_samp(value), 9) AS eigenvalue FROM cells GROUP BY cell),
+spectrum AS (SELECT CAST(row_number() OVER (ORDER BY eigenvalue DESC, cell) - 1 AS INT) AS mode, eigenvalue, eigenvalue / sum(eigenvalue) OVER () AS fraction FROM v),
+summed AS (SELECT *, sum(fraction) OVER (ORDER BY mode) AS cumulative FROM spectrum)"""
+
+
+@query(f"WITH {CYCLE} SELECT day, lat, lon, round(climatology, 3) + 0.0 AS climatology FROM cycle")
+def climatology_months(spark, sf_dir):
+    found = fields.climatology(monthly_calendar(spark, sf_dir), 1)
+    return found.select("day", "lat", "lon", (F.round("climatology", 3) + 0.0).alias("climatology"))
+
+
+@query(f"WITH {CYCLE} SELECT day, lat, lon, round(value - climatology, 3) + 0.0 AS value FROM cycle")
+def cycle_removed_months(spark, sf_dir):
+    found = fields.anomaly(monthly_calendar(spark, sf_dir), 1)
+    return found.select("day", "lat", "lon", (F.round("value", 3) + 0.0).alias("value"))
+
+
+@query(f"WITH {FIELD} SELECT day, lat, round(avg(value), 6) AS value FROM field WHERE year(day) BETWEEN 1996 AND 1998 GROUP BY day, lat")
+def stored_years_months(spark, sf_dir):
+    """Written by year, and three years read back."""
+    rows = month_field(spark, sf_dir).groupBy(F.col("day").cast("timestamp").alias("time"), "lat").agg(F.avg("value").alias("value")).withColumn("lon", F.lit(100.0))
+    path = shared_path(spark, "years")
+    stores.write_years(rows, path)
+    return rounded(stores.read_years(spark, path, 1996, 1998).select(F.to_date("time").alias("day"), "lat", "value"))
+
+
+@query(f"""WITH {FIELD}, x AS (SELECT *, date_diff('day', DATE '1970-01-01', day) / 365.25 AS x FROM field), l AS (SELECT lat, lon, regr_slope(value, x) AS b, regr_intercept(value, x) AS a FROM x GROUP BY lat, lon)
+SELECT day, lat, lon, round(value - (a + b * x), 4) + 0.0 AS value FROM x JOIN l USING (lat, lon)""")
+def stored_anomalies_months(spark, sf_dir):
+    work = shared_path(spark, "made")
+    stores.write_anomalies(fields.detrend(month_field(spark, sf_dir)), work, "price")
+    return stores.read_anomalies(spark, work, "price").select("day", "lat", "lon", (F.round("value", 4) + 0.0).alias("value"))
+
+
+@query(f"WITH {CELLS}, {CENTRES}, {NEAREST} SELECT day, type FROM nearest")
+def stored_types_embeddings(spark, sf_dir):
+    work, centroids = shared_path(spark, "made"), label_centroids(spark, sf_dir)
+    stores.write_types(work, "ten", labels=clusters.assign(embedding_rows(spark, sf_dir).drop("type"), centroids), centroids=centroids)
+    return stores.read_tables(spark, stores.tagged(work, "types", "ten"), stores.TYPES)["labels"].select("day", "type")
+
+
+@query("SELECT CAST(row_number() OVER (ORDER BY o_orderpriority) - 1 AS INT) AS code, o_orderpriority AS name, count(*) AS n FROM orders GROUP BY o_orderpriority")
+def stored_labels_orders(spark, sf_dir):
+    """A label series and the order of its types, each written and read back."""
+    series, order = shared_path(spark, "series"), shared_path(spark, "order")
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderdate").alias("ts"), F.col("o_orderpriority").alias("label"))
+    rows.write.parquet(series)
+    rows.agg(F.array_sort(F.collect_set("label")).alias("names")).write.parquet(order)
+    counts = stores.read_labels(spark, series).groupBy(F.col("label").alias("name")).agg(F.count("*").alias("n"))
+    return stores.type_order(spark, order).join(counts, "name").select("code", "name", "n")
+
+
+@query("SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS day, min(o_totalprice) AS value FROM orders GROUP BY 1")
+def monthly_index_orders(spark, sf_dir):
+    """The least price of each month, written as an index text (a line a year) and read back."""
+    found = table(spark, sf_dir, "orders").withColumn("month", F.month("o_orderdate")).groupBy(F.year("o_orderdate").alias("year")).pivot("month", list(range(1, 13))).agg(F.min("o_totalprice"))
+    line = F.concat_ws("  ", "year", *[F.coalesce(F.col(str(m)), F.lit(-99.99)).cast("string") for m in range(1, 13)])
+    lines = found.agg(F.array_sort(F.collect_list(line)).alias("lines"))  # a line a year
+    path = shared_path(spark, "index")
+    lines.select(F.concat_ws("\n", F.lit("first last"), F.col("lines"), F.lit("-99.99"), F.lit("least price by month"))).coalesce(1).write.text(path)
+    return stores.read_monthly_index(spark, path)
+
+
+@query(f"WITH {ON_GRID} SELECT CAST(ts AS DATE) AS day, CAST(hour(ts) AS INT) AS hour, lat, lon, round(value / 9.80665, 6) AS value FROM steps WHERE year(ts) = 2024 AND lat BETWEEN -4 AND -1 AND lon BETWEEN 142 AND 147 AND hour(ts) IN (0, 6, 12, 18) AND level = 500")
+def sliced_year_events(spark, sf_dir):
+    found = stores.slice_year(on_grid(spark, sf_dir), 2024, (-4, -1, 142, 147), [0, 6, 12, 18], 500, to_height=True)
+    return rounded(found.select(F.to_date("time").alias("day"), F.hour("time").alias("hour"), "lat", "lon", "value"))
+
+
+@query(f"WITH {ON_GRID} SELECT CAST(ts AS DATE) AS day, level, lat, lon, round(max(value) / 9.80665, 6) AS value FROM steps GROUP BY ALL")
+def normalised_download_events(spark, sf_dir):
+    """Several steps of a day and level count as versions of one value."""
+    rows = on_grid(spark, sf_dir).select(F.date_trunc("day", "time").alias("valid_time"), F.col("level").alias("pressure_level"), F.col("lat").alias("latitude"), F.col("lon").alias("longitude"), F.col("value").alias("z"))
+    return rounded(stores.normalise_download(rows).select(F.to_date("time").alias("day"), "level", "lat", "lon", "value"))
+
+
+@query("SELECT p_partkey, p_brand, p_type FROM part WHERE p_brand IN ('Brand#2', 'Brand#3', 'Brand#4') AND p_type = 'ECONOMY'")
+def catalogue_parts(spark, sf_dir):
+    return stores.search_catalogue(table(spark, sf_dir, "part"), p_brand=["Brand#2", "Brand#3", "Brand#4"], p_type="ECONOMY").select("p_partkey", "p_brand", "p_type")
+
+
+@query(f"WITH {BOTH} SELECT day, CAST(dense_rank() OVER (ORDER BY variable, lat, lon) - 1 AS INT) AS cell, round(value / stddev_pop(value) OVER (PARTITION BY variable) * sqrt({WEIGHT}), 6) AS value FROM both_")
+def prepared_quarters(spark, sf_dir):
+    matrix, _, _ = eof.prepare(price_variables(spark, sf_dir))
+    return rounded(matrix.select("day", "cell", "value"))
+
+
+@query(f"WITH {BOTH} SELECT variable, lat, lon, round(avg(value), 4) AS value FROM both_ GROUP BY variable, lat, lon")
+def pattern_map_quarters(spark, sf_dir):
+    """The mean of the prepared matrix as a pattern: in the units of its variable it is the mean of the field."""
+    matrix, cells, scales = eof.prepare(price_variables(spark, sf_dir))
+    patterns = matrix.groupBy("cell").agg(F.avg("value").alias("loading")).withColumn("mode", F.lit(0))
+    return eof.pattern_map(patterns, cells, scales, 0).select("variable", "lat", "lon", F.round("value", 4).alias("value"))
+
+
+@query(f"""WITH {FIELD}, grid AS (SELECT day, -17.0::DOUBLE + 2 * a.range AS lat, 91.0::DOUBLE + 3 * o.range AS lon FROM (SELECT DISTINCT day FROM field), range(4) a, range(4) o),
+made AS (SELECT g.day, g.lat, g.lon, (a.value * 2 + b.value) / 6 + (c.value * 2 + d.value) / 6 AS value FROM grid g
+LEFT JOIN field a ON a.day = g.day AND a.lat = g.lat - 1 AND a.lon = g.lon - 1 LEFT JOIN field b ON b.day = g.day AND b.lat = g.lat - 1 AND b.lon = g.lon + 2
+LEFT JOIN field c ON c.day = g.day AND c.lat = g.lat + 1 AND c.lon = g.lon - 1 LEFT JOIN field d ON d.day = g.day AND d.lat = g.lat + 1 AND d.lon = g.lon + 2)
+SELECT day, CAST(dense_rank() OVER (ORDER BY lat, lon) - 1 AS INT) AS cell, round((value - avg(value) OVER (PARTITION BY lat, lon)) / 1000 * sqrt({WEIGHT}), 6) + 0.0 AS value FROM made""")
+def model_matrix_months(spark, sf_dir):
+    """Made like observations on another grid, with the mean for the annual cycle and a given scale."""
+    steps = month_field(spark, sf_dir).select(F.lit("price").alias("variable"), F.col("day").cast("timestamp").alias("time"), "lat", "lon", "value")
+    scales = spark.createDataFrame([("price", 1000.0)], "variable string, scale double")
+    matrix, _ = eof.prepare_like_observations(steps, shifted_grid(spark).filter("lat < -10 and lon < 102"), scales, harmonics=0)
+    return rounded(matrix.select("day", "cell", "value"))
+
+
+@query(f"WITH {SPECTRUM}, e AS (SELECT *, eigenvalue * sqrt(2 / (SELECT count(*) FROM embeddings)) AS error FROM summed) SELECT mode, round(eigenvalue, 6) AS eigenvalue, round(fraction, 6) AS fraction, round(cumulative, 6) AS cumulative, round(error, 6) AS error, coalesce(eigenvalue - lead(eigenvalue) OVER (ORDER BY mode) > error, false) AS separable FROM e")
+def separable_variances_embeddings(spark, sf_dir):
+    return rounded(eof.separable(eof.cumulative(variances_as_spectrum(spark, sf_dir)), table(spark, sf_dir, "embeddings").count()))
+
+
+@query(f"WITH {SPECTRUM} SELECT CAST(min(mode) + 1 AS INT) AS modes FROM summed WHERE cumulative >= 0.5")
+def modes_for_half_embeddings(spark, sf_dir):
+    return eof.modes_for(variances_as_spectrum(spark, sf_dir), 0.5)
+
+
+@query(f"WITH {CELLS}, v AS (SELECT cell, var_pop(value) AS v FROM cells GROUP BY cell) SELECT round(1 - sum(v) FILTER (cell < 3) / sum(v), 6) AS unexplained FROM v")
+def unexplained_embeddings(spark, sf_dir):
+    """The first three cells for components: what is left is the share of the others."""
+    matrix = embedding_matrix(spark, sf_dir)
+    pcs = eof.centred(matrix).filter("cell < 3").select("day", F.col("cell").alias("mode"), F.col("value").alias("pc"))
+    return rounded(eof.unexplained(matrix, pcs))
+
+
+@query(f"WITH {CELLS} SELECT day, CAST(count(*) AS INT) AS modes, round(sum(value * (cell + 1)), 6) + 0.0 AS weighted FROM cells WHERE cell < 3 GROUP BY day")
+def leading_modes_embeddings(spark, sf_dir):
+    """The three leading modes of each day as features, told by their sum in order."""
+    pcs = embedding_matrix(spark, sf_dir).select("day", F.col("cell").alias("mode"), F.col("value").alias("pc"))
+    found = clusters.as_features(pcs, "day", 3)
+    return found.select("day", F.size("features").alias("modes"), r6(F.aggregate(F.transform("features", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)).alias("weighted"))
+
+
+@query(f"WITH {DAYS}, {SEASONED} SELECT season, year, type, round(frequency, 6) AS frequency, CASE WHEN n > 0 THEN 1.0::DOUBLE END AS type_mean, n FROM yearly WHERE season = 'warm'")
+def unit_impact_orders(spark, sf_dir):
+    """An impact of one a day, so that only frequencies count."""
+    return rounded(dec.yearly_table(order_days(spark, sf_dir).withColumn("value", F.lit(1.0)), K, "warm"))
+
+
+@query(f"""WITH {DAYS}, {SEASONED}, regional AS (SELECT season, year, sum(frequency * coalesce(type_mean, 0)) AS v FROM yearly GROUP BY season, year), q AS (SELECT season, quantile_cont(v, 0.025) AS low, quantile_cont(v, 0.975) AS high FROM regional GROUP BY season)
+SELECT season, 'total' AS term, round(low, 4) AS low, round(high, 4) AS high, low <= 0 AND high >= 0 AS spans_zero FROM q""")
+def year_intervals_orders(spark, sf_dir):
+    """The middle 95 % of the years' totals, years for draws."""
+    years = dec.regional_series(price_tables(spark, sf_dir)).select("season", F.col("value").alias("total"))
+    found = dec.intervals(years, terms=("total",))
+    return found.select("season", "term", F.round("low", 4).alias("low"), F.round("high", 4).alias("high"), "spans_zero")
+
+
+@query(f"""WITH {CELLS}, {CENTRES}, {NEAREST}, c AS (SELECT n.type % 5 AS a, e.label % 5 AS b, count(*) AS n FROM nearest n JOIN embeddings e ON e.vec_id = n.day GROUP BY ALL),
+x AS (SELECT a.range AS a, b.range AS b, coalesce(n, 0) AS n FROM range(5) a CROSS JOIN range(5) b LEFT JOIN c ON c.a = a.range AND c.b = b.range),
+p AS (SELECT x0.n + x1.n + x2.n + x3.n + x4.n AS n FROM x x0, x x1, x x2, x x3, x x4 WHERE x0.a = 0 AND x1.a = 1 AND x2.a = 2 AND x3.a = 3 AND x4.a = 4
+  AND x1.b <> x0.b AND x2.b NOT IN (x0.b, x1.b) AND x3.b NOT IN (x0.b, x1.b, x2.b) AND x4.b NOT IN (x0.b, x1.b, x2.b, x3.b)) SELECT round(max(n) / (SELECT count(*) FROM embeddings), 6) AS agreement FROM p""")
+def agreement_embeddings(spark, sf_dir):
+    """Nearest centroids against labels, both by their rest modulo 5, under the best of all renamings."""
+    rows = embedding_rows(spark, sf_dir)
+    folded = lambda df: df.select("day", (F.col("type") % 5).alias("type"))
+    found = clusters.agreement(folded(clusters.assign(rows.drop("type"), label_centroids(spark, sf_dir))), folded(rows), 5)
+    return rounded(spark.createDataFrame([(float(found),)], "agreement double"))
+
+
+@query(f"""WITH RECURSIVE {DAYS}, l AS (SELECT day, min(type) AS type FROM days GROUP BY day), marked AS (SELECT *, CASE WHEN lag(type) OVER (ORDER BY day) = type THEN 0 ELSE 1 END AS new FROM l),
+numbered AS (SELECT *, sum(new) OVER (ORDER BY day) AS run FROM marked), runs AS (SELECT any_value(type) AS type, count(*) AS length FROM numbered GROUP BY run), means AS (SELECT type, avg(length) AS m FROM runs GROUP BY type),
+steps AS (SELECT type, lead(type) OVER (ORDER BY day) AS type_to FROM l),
+counted AS (SELECT CAST(a.range AS INT) AS type, CAST(b.range AS INT) AS type_to, count(s.type) AS n FROM range(5) a CROSS JOIN range(5) b LEFT JOIN steps s ON s.type = a.range AND s.type_to = b.range GROUP BY ALL),
+shares AS (SELECT type, type_to, coalesce(n / nullif(sum(n) OVER (PARTITION BY type), 0), 0) AS share FROM counted),
+walk AS (SELECT 0 AS step, type AS here, [type] AS met FROM (SELECT type FROM counted WHERE type <> type_to ORDER BY n DESC, type, type_to LIMIT 1)
+  UNION ALL SELECT w.step + 1, arg_max(c.type_to, (c.n, -c.type_to)), list_append(any_value(w.met), arg_max(c.type_to, (c.n, -c.type_to))) FROM walk w JOIN counted c ON c.type = w.here AND NOT list_contains(w.met, c.type_to) WHERE w.step < 4 GROUP BY w.step),
+place AS (SELECT here AS type, step FROM walk), turned AS (SELECT (b.step - a.step + 5) % 5 AS turn, n FROM counted c JOIN place a ON a.type = c.type JOIN place b ON b.type = c.type_to)
+SELECT (SELECT round(avg(m), 6) FROM means) AS mean_run, (SELECT round(stddev_pop(m), 6) FROM means) AS run_spread, (SELECT round(sum(share) / 5, 6) FROM shares WHERE type = type_to) AS mean_stay,
+  (SELECT round((sum(n) FILTER (turn = 1) - sum(n) FILTER (turn = 4)) / sum(n) FILTER (turn IN (1, 4)), 6) + 0.0 FROM turned) AS asymmetry""")
+def sequence_report_orders(spark, sf_dir):
+    found = sequences.sequence_report(day_labels(spark, sf_dir), K)
+    return rounded(spark.createDataFrame([tuple(float(v) for v in found.values())], ", ".join(f"{name} double" for name in found)))
