@@ -681,10 +681,10 @@ def leading_modes_embeddings(spark, sf_dir):
     return found.select("day", F.size("features").alias("modes"), r6(F.aggregate(F.transform("features", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)).alias("weighted"))
 
 
-@query(f"WITH {DAYS}, {SEASONED} SELECT season, year, type, round(frequency, 6) AS frequency, CASE WHEN n > 0 THEN 1.0::DOUBLE END AS type_mean, n FROM yearly WHERE season = 'warm'")
+@query(f"WITH {DAYS}, {SEASONED} SELECT season, year, type, round(frequency, 6) AS frequency, CASE WHEN n > 0 THEN 1.0::DOUBLE END AS type_mean, n FROM yearly WHERE season = 'cool'")
 def unit_impact_orders(spark, sf_dir):
     """An impact of one a day, so that only frequencies count."""
-    return rounded(dec.yearly_table(order_days(spark, sf_dir).withColumn("value", F.lit(1.0)), K, "warm"))
+    return rounded(dec.yearly_table(order_days(spark, sf_dir).withColumn("value", F.lit(1.0)), K, "cool"))
 
 
 @query(f"""WITH {DAYS}, {SEASONED}, regional AS (SELECT season, year, sum(frequency * coalesce(type_mean, 0)) AS v FROM yearly GROUP BY season, year), q AS (SELECT season, quantile_cont(v, 0.025) AS low, quantile_cont(v, 0.975) AS high FROM regional GROUP BY season)
