@@ -5,6 +5,7 @@ from __future__ import annotations
 from trendloom.llm.bpe import op9_bpe
 from trendloom.llm.chat import OP5_SQL, op5_chat
 from trendloom.llm.decontaminate import OP1_SQL, op1_decontaminate
+from trendloom.llm.divergence import OP13_SQL, op13_divergence
 from trendloom.llm.html_text import op7_html
 from trendloom.llm.jaccard import op10_jaccard
 from trendloom.llm.language import op2_language
@@ -24,5 +25,6 @@ QUERIES = {
     "op8_token_files": op8_token_files,
     "op9_bpe": op9_bpe,
     "op10_jaccard": op10_jaccard,
+    "op13_divergence": op13_divergence,
 }
-SQL = {"op1_decontaminate": OP1_SQL, "op5_chat": OP5_SQL}
+SQL = {"op1_decontaminate": OP1_SQL, "op5_chat": OP5_SQL, "op13_divergence": OP13_SQL}
