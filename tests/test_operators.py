@@ -105,8 +105,57 @@ def test_regridding_outside_and_beside_gaps(spark):
     grid = spark.createDataFrame([(-30.0, 141.0), (-31.0, 140.0), (-31.0, 141.0), (-40.0, 141.0)], "lat double, lon double")
     got = by(fields.regrid(field, grid), "lat", "lon")
     assert got[-30.0, 141.0].value == 5 and got[-31.0, 140.0].value == 10 and got[-31.0, 141.0].value is None and got[-40.0, 141.0].value is None
-    with pytest.raises(ValueError, match="no value"):
-        fields.regrid(field.withColumn("value", F.lit(None).cast("double")), grid)
+    for empty in (field.withColumn("value", F.lit(None).cast("double")), field.withColumn("lon", F.col("lon") + 100), field.limit(0)):
+        with pytest.raises(PySparkException, match="no value"):
+            fields.regrid(empty, grid).collect()
+
+
+def test_regridding_around_the_ring(spark):
+    """Conventions of longitude may differ between a field and a grid, and a field that goes all around has no edge."""
+    lats = [-30.0, -40.0]
+
+    def at(field_lons, grid_lons, value=lambda lon: lon % 360):
+        field = grid_field(spark, np.array([[[value(x) for x in field_lons]] * 2]), lats, field_lons)
+        grid = spark.createDataFrame([(-35.0, float(x)) for x in grid_lons], "lat double, lon double")
+        return [r.value for r in fields.regrid(field, grid).orderBy("lon").collect()]
+
+    assert at([-170, -160, -150], [195, 205]) == pytest.approx([195, 205])
+    assert at([190, 200, 210], [-165, -155]) == pytest.approx([195, 205])
+    around = list(range(0, 360, 30))
+    assert at(around, [-15, 345, 359], lambda x: 1.0 if x == 0 else 0.0) == pytest.approx([0.5, 0.5, 29 / 30])
+    assert at(range(-180, 180, 30), [345, 180], lambda x: 1.0 if x == 0 else 0.0) == pytest.approx([0.0, 0.5])
+    assert at([-10, 0, 10], [-5, 5, 355, 180], lambda x: float(x)) == [-5.0, 5.0, None, -5.0]  # by longitude: -5, 5, 180, 355
+    assert at([90, 100, 110], [85, 95, 110, 115]) == [None, 95.0, 110.0, None]
+    assert at([0, 120, 240, 360], [60, 300], lambda x: 1.0) == pytest.approx([1.0, 1.0])  # 0 and 360 are one place
+
+
+def test_nan_is_a_missing_value_in_every_operator(spark):
+    """Each operator gives the same for NaN and for null, and no NaN."""
+    values = np.arange(6 * 3 * 4, dtype=float).reshape(6, 3, 4) ** 1.3 % 17
+    values[2, 1, 1] = values[0, 0, 3] = np.nan
+    holed = grid_field(spark, values, [-30, -35, -40], [140, 142, 145, 149])
+    nulls = holed.withColumn("value", statistics.clean(F.col("value")))
+    named = lambda f: f.withColumn("variable", F.lit("p"))
+    grid = spark.createDataFrame([(a, o) for a in (-31.0, -37.5) for o in (141.0, 144.0, 147.0)], "lat double, lon double")
+    types = spark.createDataFrame([(d, i % 2) for i, d in enumerate(days(6))], "day date, type int")
+    patterns = spark.createDataFrame([(0, c, 0.5 + c) for c in range(12)], "mode int, cell int, loading double")
+    line = lambda f: f.filter("lat = -35 and lon = 142")
+    operators = [
+        lambda f: fields.regrid(f, grid), fields.gradient_wind, fields.weighted, fields.spatial_mean, fields.regional_mean, fields.standardise_cells, fields.detrend,
+        lambda f: fields.anomaly(f, 1), lambda f: fields.coarsen(f, 2), lambda f: sequences.composite(f, types, 2), lambda f: fields.variable_scales(named(f)),
+        lambda f: eof.prepare(named(f))[0], lambda f: eof.centred(eof.prepare(named(f))[0]), lambda f: eof.project(eof.prepare(named(f))[0], patterns),
+        lambda f: indices.lag_correlation(line(f)), lambda f: indices.lag_correlation(f, ["lat", "lon"]), lambda f: indices.ridge_index(f, -35.0, 1.0), lambda f: indices.sam_proxy(f, -30.0, -40.0, 1.0),
+        lambda f: indices.hot_days(line(f)), lambda f: indices.seasonal_mean(f), lambda f: indices.offset_spread(f, types, range(-1, 2))]
+    for operator in operators:
+        a, b = (sorted(map(repr, (tuple(x if not isinstance(x, float) else round(x, 9) for x in r) for r in operator(f).collect()))) for f in (holed, nulls))
+        assert a == b and a and not any("nan" in r for r in a)
+
+
+def test_wind_takes_the_next_cell_with_a_value(spark):
+    field = grid_field(spark, np.array([[[0.0, np.nan, 6.0, 8.0]]]), [-30], [140, 141, 143, 144])
+    got = by(fields.gradient_wind(field), "lon")
+    across = 111_320.0 * math.cos(math.radians(30)) * 2 * 7.2921e-5 * math.sin(math.radians(-30))
+    assert got[141.0].wind is None and got[140.0].wind == pytest.approx(2 / across) and got[143.0].wind == pytest.approx(2 / across)
 
 
 # labels
@@ -253,8 +302,8 @@ def test_spectrum_components_and_maps_against_numpy(spark, two_patterns):
     weighted = (values / values.std() * np.sqrt(np.cos(np.radians(lats)))[None, :, None])[:, ::-1].reshape(len(values), -1)  # cells by ascending latitude
     weighted = weighted - weighted.mean(0)
     u, s, vt = np.linalg.svd(weighted, full_matrices=False)
-    for most_cells in (eof.MOST_CELLS, 10):  # on the driver, and by steps over the distributed rows
-        spectrum, pcs, patterns = eof.components(matrix, 3, most_cells=most_cells)
+    for gram_side in (eof.GRAM_SIDE, 10):  # all products at once, and by steps over the distributed rows
+        spectrum, pcs, patterns = eof.components(matrix, 3, gram_side=gram_side)
         rows = spectrum.orderBy("mode").collect()
         assert np.allclose([r.eigenvalue for r in rows], (s**2 / (len(values) - 1))[:3], rtol=1e-6) and sum(r.fraction for r in rows) > 0.95
         loadings = patterns.filter("mode = 0").orderBy("cell").toPandas().loading.to_numpy()
@@ -294,7 +343,7 @@ def test_model_on_its_own_grid_is_prepared_by_the_scales_observed(spark, two_pat
     scales = spark.createDataFrame([("mslp", 2.0)], "variable string, scale double")
     steps = field.select("variable", F.explode(F.array(*[F.timestamp_add("HOUR", F.lit(h), F.col("day").cast("timestamp")) for h in (0, 6, 12, 18)])).alias("time"), "lat", "lon", (F.col("value") * 2).alias("value"))
     grid = field.select("lat", "lon").distinct().filter("lat < -21 AND lat > -59")
-    matrix, cells = eof.prepare_like_observations(steps.filter("day(time) > 0"), grid, scales, harmonics=1)
+    matrix, cells = eof.prepare_like_observations(steps.filter("day(time) > 0"), grid, scales, detrended=False, harmonics=1)
     assert cells.count() == 49
     when = np.array([d.timetuple().tm_yday for d in days(len(values))])
     terms = np.stack([np.ones(len(values)), np.cos(2 * np.pi * when / 365.25), np.sin(2 * np.pi * when / 365.25)], 1)

@@ -7,11 +7,11 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from trendloom.operators.blocks import array_block, summed
 from trendloom.operators.decompose import frequencies
 from trendloom.operators.sequences import matrix
 
@@ -32,36 +32,159 @@ def assign(rows: DataFrame, centroids: DataFrame, key: str = "day", scale: float
     return nearest.select(key, "at.type", "at.distance2")
 
 
+def squares_to(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Squared distances of rows to the centres (start, type, feature): an array (row, start, type)."""
+    flat = centres.reshape(-1, centres.shape[-1])
+    far = (x * x).sum(1)[:, None] - 2 * (x @ flat.T) + (flat * flat).sum(1)
+    return np.maximum(far, 0).reshape(len(x), *centres.shape[:2])
+
+
+def drawn_numbers(at: np.ndarray, seed: int, step: int) -> np.ndarray:
+    """Numbers between 0 and 1 that follow from a row's hash, a start's seed and the step alone, on any partitioning."""
+    with np.errstate(over="ignore"):
+        z = at.view(np.uint64) + np.uint64((seed * 1_000_003 + step + 1) & 0xFFFFFFFF) * np.uint64(0x9E3779B97F4A7C15)
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            z = (z ^ (z >> np.uint64(shift))) * np.uint64(factor)
+        return ((z ^ (z >> np.uint64(31))) >> np.uint64(11)).astype(np.float64) / 2**53
+
+
+def first_centres(rows: DataFrame, k: int, seeds: Sequence[int]) -> np.ndarray:
+    """k rows for each start, (start, type, feature): the first by chance, each further one by its squared distance to those before.
+
+    rows: (at, x). A step draws the next row of all starts in one job: the row with the least exponential number for its weight.
+    """
+    spark, centres = rows.sparkSession, None
+    for step in range(k):
+        shared = spark.sparkContext.broadcast(centres)
+
+        def draw(batches, step=step, shared=shared):
+            best = [(np.inf, None)] * len(seeds)
+            for batch in batches:
+                at, x = batch.column(0).to_numpy(), array_block(batch.column(1))
+                weight = np.ones((len(x), len(seeds))) if shared.value is None else squares_to(x, shared.value).min(2)
+                for s, seed in enumerate(seeds):
+                    with np.errstate(divide="ignore"):
+                        score = -np.log1p(-drawn_numbers(at, seed, step)) / weight[:, s]
+                    score[weight[:, s] <= 0] = np.inf  # a row that is a centre already
+                    if len(score) and score[i := int(score.argmin())] < best[s][0]:
+                        best[s] = (float(score[i]), x[i].tolist())
+            held = [(s, score, x) for s, (score, x) in enumerate(best) if x is not None]
+            yield pa.RecordBatch.from_pydict({"start": [h[0] for h in held], "score": [h[1] for h in held], "x": [h[2] for h in held]},
+                                             schema=pa.schema([("start", pa.int32()), ("score", pa.float64()), ("x", pa.list_(pa.float64()))]))
+
+        drawn = rows.mapInArrow(draw, "start int, score double, x array<double>").groupBy("start").agg(F.min(F.struct("score", "x")).alias("best"))
+        found = {r.start: r.best.x for r in drawn.collect()}  # a row a start
+        if not found and centres is None:
+            raise ValueError("no rows to partition")
+        # with fewer different rows than types, the last centre again: a type without rows
+        chosen = np.array([found[s] if s in found else centres[s, -1] for s in range(len(seeds))])[:, None]
+        centres = chosen if centres is None else np.concatenate([centres, chosen], axis=1)
+        shared.unpersist()
+    return centres
+
+
+def fit_starts(rows: DataFrame, k: int, seeds: Sequence[int], rounds: int = 300) -> tuple[np.ndarray, np.ndarray]:
+    """(centres (start, type, feature), cost of each start) of k-means from each seed over (at, x) rows.
+
+    All starts move in the same job: tasks have all centres as one array and send sums by start and type. A start that no longer
+    moves takes no further part, so the jobs are as many as the rounds of the slowest start. A type without rows stays where it is.
+    """
+    spark = rows.sparkSession
+    centres = first_centres(rows, k, seeds)
+    costs, moving, width = np.zeros(len(seeds)), np.arange(len(seeds)), centres.shape[2]
+    for _ in range(rounds + 1):
+        shared = spark.sparkContext.broadcast(centres[moving])
+
+        def start(total):
+            own = shared.value
+            n, size = own.shape[0], own.shape[0] * k
+
+            def add(batch):
+                whole = array_block(batch.column(0))
+                for at in range(0, len(whole), 2048):
+                    x = whole[at : at + 2048]
+                    far = squares_to(x, own)
+                    nearest = far.argmin(2)
+                    place = nearest + np.arange(n) * k
+                    total[:size, width] += np.bincount(place.ravel(), minlength=size)
+                    for f in range(width):
+                        total[:size, f] += np.bincount(place.ravel(), np.repeat(x[:, f], n), size)
+                    total[size:, 0] += np.take_along_axis(far, nearest[:, :, None], 2)[:, :, 0].sum(0)
+            return add
+
+        sums = summed(rows.select("x"), start, (len(moving) * (k + 1), width + 1))
+        shared.unpersist()
+        of_type = sums[: len(moving) * k].reshape(len(moving), k, width + 1)
+        costs[moving] = sums[len(moving) * k :, 0]
+        counts = of_type[:, :, width:]
+        means = np.where(counts > 0, of_type[:, :, :width] / np.maximum(counts, 1), centres[moving])
+        still = np.abs(means - centres[moving]).max((1, 2)) <= 1e-10 * max(1.0, np.abs(centres).max())
+        centres[moving[~still]] = means[~still]
+        moving = moving[~still]
+        if not len(moving):
+            break
+    return centres, costs
+
+
+def as_rows(rows: DataFrame, key: str) -> DataFrame:
+    """(at, x): a hash of the row, for draws, and its features."""
+    return rows.select(F.xxhash64(key, "features").alias("at"), F.col("features").cast("array<double>").alias("x"))
+
+
+def centroid_table(spark, centres: np.ndarray) -> DataFrame:
+    return spark.createDataFrame([(i, [float(v) for v in c]) for i, c in enumerate(centres)], "type int, centre array<double>")
+
+
 def fit_once(rows: DataFrame, k: int, seed: int, key: str = "day"):
     """(labels (key, type), centres, cost) of one start."""
-    vectors = rows.select(key, array_to_vector(F.col("features").cast("array<double>")).alias("x"))
-    model = KMeans(k=k, seed=seed, maxIter=300, featuresCol="x", predictionCol="type").fit(vectors)
-    return model.transform(vectors).select(key, "type"), model.clusterCenters(), model.summary.trainingCost
+    centres, costs = fit_starts(as_rows(rows, key), k, [seed])
+    return assign(rows, centroid_table(rows.sparkSession, centres[0]), key).select(key, "type"), centres[0], float(costs[0])
 
 
 def best_partition(rows: DataFrame, k: int, seed: int = 0, starts: int = 50, key: str = "day") -> tuple[DataFrame, DataFrame]:
-    """(labels, centroids) of the start with the least cost; types are numbered by size, largest first."""
-    rows = rows.persist()
-    labels, centres, _ = min((fit_once(rows, k, seed + s, key) for s in range(starts)), key=lambda x: x[2])
-    rows.unpersist()
-    sizes = labels.groupBy("type").count()
-    place = sizes.select("type", (F.row_number().over(Window.orderBy(F.desc("count"), "type")) - 1).alias("place"))  # a row a type
+    """(labels, centroids) of the start with the least cost, all starts fitted together; types are numbered by size, largest first."""
+    own = as_rows(rows, key).persist()
+    centres, costs = fit_starts(own, k, range(seed, seed + starts))
+    own.unpersist()
+    table = centroid_table(rows.sparkSession, centres[costs.argmin()])
+    labels = assign(rows, table, key).select(key, "type")
+    sizes = table.select("type").join(labels.groupBy("type").count(), "type", "left")
+    place = sizes.select("type", (F.row_number().over(Window.orderBy(F.desc_nulls_last("count"), "type")) - 1).alias("place"))  # a row a type
     found = labels.join(F.broadcast(place), "type").select(key, F.col("place").alias("type"))
-    table = rows.sparkSession.createDataFrame([(i, [float(v) for v in c]) for i, c in enumerate(centres)], "type int, centre array<double>")
     return found, table.join(F.broadcast(place), "type").select(F.col("place").alias("type"), "centre")
 
 
 def best_matching(counts: np.ndarray) -> float:
-    """The greatest sum over one-to-one pairings of rows with columns, by subsets of columns; for up to some 15 types."""
-    k, best = len(counts), {0: 0.0}
-    for row in counts:
-        step: dict[int, float] = {}
-        for used, total in best.items():
-            for j in range(k):
-                if not used >> j & 1 and step.get(used | 1 << j, -1.0) < total + row[j]:
-                    step[used | 1 << j] = total + row[j]
-        best = step
-    return best[(1 << k) - 1]
+    """The greatest sum over one-to-one pairings of rows with columns.
+
+    Each row is added by a shortest path over reduced costs, along which earlier pairs change over; the cost is the cube of the
+    number of types.
+    """
+    cost = counts.max() - np.asarray(counts, np.float64)
+    k = len(cost)
+    of_row, of_column, owner = np.zeros(k), np.zeros(k), np.full(k, -1)
+    for row in range(k):
+        least, came, done = np.full(k, np.inf), np.full(k, -1), np.zeros(k, bool)
+        at, reached, column = row, 0.0, -1
+        while True:
+            over = reached + cost[at] - of_row[at] - of_column
+            better = ~done & (over < least)
+            least[better], came[better] = over[better], column
+            column = int(np.where(done, np.inf, least).argmin())
+            reached, done[column] = least[column], True
+            if owner[column] < 0:
+                break
+            at = owner[column]
+        of_row[row] += reached
+        ended = done & (least <= reached)
+        taken = np.flatnonzero(ended & (owner >= 0))
+        of_row[owner[taken]] += reached - least[taken]
+        of_column[ended] -= reached - least[ended]
+        while column >= 0:  # every column on the way takes the row of the one before
+            before = came[column]
+            owner[column] = row if before < 0 else owner[before]
+            column = before
+    return float(np.asarray(counts)[owner, np.arange(k)].sum())
 
 
 def contingency(a: DataFrame, b: DataFrame, key: str = "day") -> DataFrame:

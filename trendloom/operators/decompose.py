@@ -140,7 +140,7 @@ def block_bootstrap(table: DataFrame, draws: int = 1000, block: int = 8, seed: i
 
 
 def intervals(draws: DataFrame, by: Sequence[str] = ("season",), terms: Sequence[str] = ("total", "frequency_term", "intensity_term", "cross_term")) -> DataFrame:
-    """(*by, term, low, high, spans_zero): the middle 95 % of the draws."""
+    """(*by, term, low, high, spans_zero): the middle 95 % of the draws, whose number is a parameter and bounds a group."""
     long = draws.select(*by, F.explode(F.array(*[F.struct(F.lit(t).alias("term"), F.col(t).alias("v")) for t in terms])).alias("x")).select(*by, "x.term", "x.v")
     cut = long.groupBy(*by, "term").agg(F.percentile("v", [0.025, 0.975]).alias("q"))
     return cut.select(*by, "term", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"), ((F.col("q")[0] <= 0) & (F.col("q")[1] >= 0)).alias("spans_zero"))

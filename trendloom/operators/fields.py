@@ -1,4 +1,8 @@
-"""Gridded fields in long form: (time or day, lat, lon, value), one row a cell and moment."""
+"""Gridded fields in long form: (time or day, lat, lon, value), one row a cell and moment.
+
+A field on a calendar without real dates has `calendar`, the name of it, and `day`, the number of the day in it; its steps also have
+`second`, the seconds since the start of the day. Both go through all operators here. NaN is a missing value everywhere.
+"""
 
 from __future__ import annotations
 
@@ -9,7 +13,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trendloom.functions.calendar import DEFAULT_YEAR_DAYS, shifted_day, year_length
+from trendloom.functions.calendar import DEFAULT_YEAR_DAYS, date_parts, shifted_day, year_length
+from trendloom.functions.checks import unless
 from trendloom.functions.statistics import area_weight, clean, eof_weight, intercept, slope, weighted_mean
 
 #: Standard gravity, metres per second squared; Earth's radius in metres a degree, and its rotation in radians a second.
@@ -39,7 +44,13 @@ def geopotential_height(geopotential: Column) -> Column:
 
 
 def daily_mean(field: DataFrame, keys: Sequence[str] = ("lat", "lon"), time: str = "time", shift_hours: int = 0) -> DataFrame:
-    """(day, *keys, value): partial sums before one shuffle on day and cell. Days without a step have no row."""
+    """(day, *keys, value): partial sums before one shuffle on day and cell. Days without a step have no row.
+
+    Steps with a calendar give (day, calendar, *keys, value); a shift may end on a day that no DATE has, such as 30 February.
+    """
+    if "calendar" in field.columns:
+        day = F.col("day") + F.floor((F.col("second") + 3600 * shift_hours) / 86_400)
+        return field.groupBy(day.cast("int").alias("day"), "calendar", *keys).agg(F.avg(clean(F.col("value"))).alias("value"))
     return field.groupBy(shifted_day(F.col(time), shift_hours).alias("day"), *keys).agg(F.avg(clean(F.col("value"))).alias("value"))
 
 
@@ -116,12 +127,19 @@ def _fitted(terms: list[Column]) -> Column:
     return sum((F.col("beta")[i] * t for i, t in enumerate(terms)), F.lit(0.0))
 
 
+def day_of_year(field: DataFrame) -> Column:
+    """From a column `doy`, a calendar's day, or a date."""
+    if "doy" in field.columns:
+        return F.col("doy")
+    return date_parts(F.col("day"), F.col("calendar"))["doy"] if "calendar" in field.columns else F.dayofyear("day")
+
+
 def climatology(field: DataFrame, harmonics: int = 3, keys: Sequence[str] = ("lat", "lon"), year_days: Column | float | None = None) -> DataFrame:
-    """The field with its fitted annual cycle in `climatology`. A field of a calendar without real dates has a column `doy`, the
-    day of the year, and one `calendar`, from which the length of its year follows."""
+    """The field with its fitted annual cycle in `climatology`. With a column `calendar` the
+    length of the year follows from it; the day of the year is `doy` where there is such a column, else that of `day`."""
     if year_days is None:
         year_days = year_length(F.col("calendar")) if "calendar" in field.columns else DEFAULT_YEAR_DAYS
-    terms = harmonic_terms(F.col("doy") if "doy" in field.columns else F.dayofyear("day"), harmonics, year_days)
+    terms = harmonic_terms(day_of_year(field), harmonics, year_days)
     field = field.withColumn("value", clean(F.col("value")))
     return field.join(_fit(field, terms, keys), list(keys), "left").withColumn("climatology", _fitted(terms)).drop("beta")
 
@@ -132,8 +150,8 @@ def anomaly(field: DataFrame, harmonics: int = 3, keys: Sequence[str] = ("lat",
 
 
 def detrend(field: DataFrame, keys: Sequence[str] = ("lat", "lon"), degree: int = 1) -> DataFrame:
-    """The value less its cell's polynomial in time; time counts in years from the middle of the record."""
-    x = F.unix_date("day") / DEFAULT_YEAR_DAYS
+    """The value less its cell's polynomial in time; time counts in years, of the field's calendar where it has one."""
+    x = F.col("day") / year_length(F.col("calendar")) if "calendar" in field.columns else F.unix_date("day") / DEFAULT_YEAR_DAYS
     field = field.withColumn("value", clean(F.col("value")))
     if degree == 1:
         lines = field.groupBy(*keys).agg(slope(F.col("value"), x, 2).alias("_b"), intercept(F.col("value"), x, 2).alias("_a"))
@@ -145,21 +163,45 @@ def detrend(field: DataFrame, keys: Sequence[str] = ("lat", "lon"), degree: int
 
 
 def gradient_wind(field: DataFrame, keys: Sequence[str] = ("day",)) -> DataFrame:
-    """(*keys, lat, lon, wind): the geostrophic north wind of a height field times gravity, by centred differences along each line of latitude."""
+    """(*keys, lat, lon, wind): the geostrophic north wind of a height field times gravity, by centred differences along each line of
+    latitude. A cell without a value has no wind and is no neighbour: the next cell with a value is taken, at its own distance."""
+    field = field.withColumn("value", clean(F.col("value")))
     line = Window.partitionBy(*keys, "lat").orderBy("lon")
     rise = F.coalesce(F.lead("value").over(line), F.col("value")) - F.coalesce(F.lag("value").over(line), F.col("value"))
     run = F.coalesce(F.lead("lon").over(line), F.col("lon")) - F.coalesce(F.lag("lon").over(line), F.col("lon"))
     across = METRES_A_DEGREE * F.cos(F.radians("lat"))
     turning = 2 * ROTATION * F.sin(F.radians("lat"))
-    return field.select(*keys, "lat", "lon", F.try_divide(F.try_divide(rise, run), across * turning).alias("wind"))
+    known = field.filter("value is not null").select(*keys, "lat", "lon", F.try_divide(F.try_divide(rise, run), across * turning).alias("wind"))
+    return known.unionByName(field.filter("value is null").select(*keys, "lat", "lon", F.lit(None).cast("double").alias("wind")))
+
 
+def _spans(sources: DataFrame, name: str, ring: bool) -> DataFrame:
+    """(lo, hi, from_, to_): each source coordinate with the next one, and where they lie; hi is null behind the last.
 
-def _brackets(targets: DataFrame, sources: DataFrame, name: str) -> DataFrame:
+    On a ring of 360 degrees coordinates lie at their rest by 360, so conventions may differ, and of two at one place the lesser
+    counts. The widest gap there is the outside, unless it is no wider than one and a half of the others' mean: then the ring is closed.
+    """
+    place = F.pmod(F.col(name), F.lit(360.0)) if ring else F.col(name)
+    points = sources.groupBy(place.cast("double").alias("from_")).agg(F.min(name).alias("lo"))
+    order, whole = Window.orderBy("from_"), Window.partitionBy()  # an axis, not a field
+    spans = points.select("lo", "from_", F.lead("lo").over(order).alias("hi"), F.lead("from_").over(order).alias("to_"))
+    if not ring:
+        return spans
+    first = lambda c: F.first(c).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    spans = spans.select("lo", "from_", F.coalesce("hi", first("lo")).alias("hi"), F.coalesce("to_", first("from_") + 360).alias("to_"))
+    gap = F.col("to_") - F.col("from_")
+    spans = spans.select("*", gap.alias("gap"), F.max(gap).over(whole).alias("widest"), F.count("*").over(whole).alias("n"))
+    others = F.try_divide(360 - F.col("widest"), F.col("n") - 1)
+    outside = (F.row_number().over(Window.orderBy(F.desc("gap"), "from_")) == 1) & ~F.coalesce(F.col("widest") <= 1.5 * others, F.lit(False))
+    return spans.select("lo", "from_", F.when(~outside, F.col("hi")).alias("hi"), F.when(~outside, F.col("to_")).alias("to_"))
+
+
+def _brackets(targets: DataFrame, sources: DataFrame, name: str, ring: bool = False) -> DataFrame:
     """For each target coordinate its one or two source neighbours with their linear weights; none outside the sources."""
-    spans = sources.select(F.col(name).alias("lo"), F.lead(name).over(Window.orderBy(name)).alias("hi"))  # an axis, not a field
-    spans = spans.withColumn("hi", F.coalesce("hi", "lo"))
-    held = targets.join(F.broadcast(spans), (F.col(name) >= F.col("lo")) & ((F.col(name) < F.col("hi")) | (F.col(name) == F.col("lo"))))
-    share = F.coalesce(F.try_divide(F.col(name) - F.col("lo"), F.col("hi") - F.col("lo")), F.lit(0.0))
+    place = (F.pmod(F.col(name), F.lit(360.0)) if ring else F.col(name)).cast("double")
+    at = F.explode(F.array(place, place + 360)) if ring else place  # the last span of a ring lies across 360
+    held = targets.select(name, at.alias("at")).join(F.broadcast(_spans(sources, name, ring)), (F.col("at") == F.col("from_")) | (F.col("at") > F.col("from_")) & (F.col("at") < F.col("to_")))
+    share = F.when(F.col("at") == F.col("from_"), F.lit(0.0)).otherwise((F.col("at") - F.col("from_")) / (F.col("to_") - F.col("from_")))
     sides = F.explode(F.array(F.struct(F.col("lo").alias("at"), (1 - share).alias("w")), F.struct(F.col("hi").alias("at"), share.alias("w"))))
     return held.select(name, sides.alias("side")).select(F.col(name).alias(f"to_{name}"), F.col("side.at").alias(name), F.col("side.w").alias(f"w_{name}")).filter(F.col(f"w_{name}") > 0)
 
@@ -167,18 +209,20 @@ def _brackets(targets: DataFrame, sources: DataFrame, name: str) -> DataFrame:
 def regrid(field: DataFrame, grid: DataFrame, keys: Sequence[str] = ("day",)) -> DataFrame:
     """Bilinear values at the cells of `grid` (lat, lon); null outside the field's hull and beside a missing neighbour.
 
-    Both axes are joined as small tables of neighbours, so each row of the field goes to the at most few targets it weighs in.
+    Longitudes are places on a ring: -170 and 190 are one, and a field that goes all around has no edge. Cells keep the names that
+    `grid` gives them. A result without any value is an error when it is read. Both axes are joined as small tables of neighbours,
+    so each row of the field goes to the at most few targets it weighs in.
     """
-    if field.filter(F.col("value").isNotNull()).isEmpty():
-        raise ValueError("the field has no value")
-    axes = [_brackets(grid.select(n).distinct(), field.select(n).distinct(), n) for n in ("lat", "lon")]
+    field = field.withColumn("value", clean(F.col("value")))
+    axes = [_brackets(grid.select(n).distinct(), field.select(n).distinct(), n, ring=n == "lon") for n in ("lat", "lon")]
     spread = field.join(F.broadcast(axes[0]), "lat").join(F.broadcast(axes[1]), "lon").withColumn("w", F.col("w_lat") * F.col("w_lon"))
     made = spread.groupBy(*keys, F.col("to_lat").alias("lat"), F.col("to_lon").alias("lon")).agg(
         F.when(F.abs(F.sum(F.when(F.col("value").isNotNull(), F.col("w"))) - 1) < 1e-9, F.sum(F.col("value") * F.col("w"))).alias("value"))
     frame = field.select(*keys).distinct().join(grid.select("lat", "lon").distinct(), how="cross")  # a row a cell of the result; Spark sends the smaller side
-    return frame.join(made, [*keys, "lat", "lon"], "left")
+    known = made.agg(F.count("value").alias("known"))
+    return unless(frame.join(made, [*keys, "lat", "lon"], "left"), known, F.col("known") == 0, "the regridded field has no value: its domain and that of the grid do not meet")
 
 
 def weighted(field: DataFrame) -> DataFrame:
     """Values times the root of the area weight."""
-    return field.withColumn("value", F.col("value") * eof_weight(F.col("lat")))
+    return field.withColumn("value", clean(F.col("value")) * eof_weight(F.col("lat")))

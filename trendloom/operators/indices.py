@@ -4,20 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trendloom.functions.calendar import half_year, in_season, season_name, season_year
+from trendloom.functions.quantiles import exact_quantiles
 from trendloom.functions.statistics import clean, correlation, slope
+from trendloom.operators.scan import in_parts, with_previous
+from trendloom.session import Workspace
 
-def everything() -> WindowSpec:
-    """Of a yearly or daily series, which has a row a year or day."""
-    return Window.partitionBy()
 
-
-
-def zscore(value: Column) -> Column:
-    return F.try_divide(value - F.avg(value).over(everything()), F.stddev_pop(value).over(everything()))
+def zscores(series: DataFrame, name: str = "value") -> DataFrame:
+    """(day, name): the value less the mean of the whole series, by its standard deviation; both are summed in all tasks."""
+    own = series.select("day", clean(F.col("value")).alias("value"))
+    whole = own.agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd"))
+    return own.join(F.broadcast(whole), how="cross").select("day", F.try_divide(F.col("value") - F.col("mean"), F.col("sd")).alias(name))  # one row
 
 
 def band_mean(field: DataFrame, centre: float, half_width: float) -> DataFrame:
@@ -30,12 +31,12 @@ def band_mean(field: DataFrame, centre: float, half_width: float) -> DataFrame:
 
 def sam_proxy(field: DataFrame, north: float = -40.0, south: float = -60.0, half_width: float = 2.5) -> DataFrame:
     """(day, value): the standardised northern band less the standardised southern one."""
-    a, b = (band_mean(field, c, half_width).select("day", zscore(F.col("value")).alias(n)) for c, n in ((north, "north"), (south, "south")))
+    a, b = (zscores(band_mean(field, c, half_width), n) for c, n in ((north, "north"), (south, "south")))
     return a.join(b, "day").select("day", (F.col("north") - F.col("south")).alias("value"))
 
 
 def ridge_index(field: DataFrame, centre: float = -37.5, half_width: float = 5.0) -> DataFrame:
-    return band_mean(field, centre, half_width).select("day", zscore(F.col("value")).alias("value"))
+    return zscores(band_mean(field, centre, half_width))
 
 
 def seasonal_mean(index: DataFrame, season: str | None = None) -> DataFrame:
@@ -124,14 +125,23 @@ def best_offset(spreads: DataFrame) -> DataFrame:
 
 
 def hot_days(series: DataFrame, percentile: float = 90.0, by_half: bool = True) -> DataFrame:
-    """(day, value, hot): 1 where the value is over the percentile of its half-year, or of the whole series."""
+    """(day, value, hot): 1 where the value is over the percentile of its half-year, or of the whole series. The percentile is exact,
+    by rank, and no task holds the values of a half."""
     half = half_year(F.col("day")) if by_half else F.lit("all")
     rows = series.select("day", clean(F.col("value")).alias("value")).withColumn("half", half)
-    limits = rows.groupBy("half").agg(F.percentile("value", percentile / 100).alias("limit_"))
+    limits = exact_quantiles(rows, ["half"], [percentile / 100]).select("half", F.col("quantile").alias("limit_"))
     return rows.join(F.broadcast(limits), "half").select("day", "value", (F.col("value") > F.col("limit_")).cast("int").alias("hot"))  # two rows
 
 
 def lag_correlation(series: DataFrame, by: Sequence[str] = (), at: str = "day") -> DataFrame:
-    """(*by, r): the correlation of each value with the next."""
-    rows = series.select(*by, "value", F.lead("value").over(Window.partitionBy(*by).orderBy(at)).alias("next"))
-    return rows.groupBy(*by).agg(correlation(F.col("value"), F.col("next")).alias("r"))
+    """(*by, r): the correlation of each value with the next, over pairs of which neither is missing.
+
+    Without `by` all rows are one series, which is dealt out in stretches; with it, a series is a task's, and many are spread.
+    """
+    value = clean(F.col("value")).alias("value")
+    if by:
+        rows = series.select(*by, at, value).select(*by, "value", F.lead("value").over(Window.partitionBy(*by).orderBy(at)).alias("next"))
+        return rows.groupBy(*by).agg(correlation(F.col("value"), F.col("next")).alias("r"))
+    with Workspace(series.sparkSession, "lags") as space:
+        rows = with_previous(in_parts(series.select(at, value), [at], space), [at], ["value"])
+        return space.finish(rows.agg(correlation(F.col("_previous.value"), F.col("value")).alias("r")))

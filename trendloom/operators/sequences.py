@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from trendloom.functions.statistics import clean
 from trendloom.operators.decompose import codes
+from trendloom.operators.scan import in_parts, with_previous, with_running_sum
+from trendloom.session import Workspace
 
 
 def composite(field: DataFrame, labels: DataFrame, k: int) -> DataFrame:
@@ -32,8 +34,16 @@ def seasonal_counts(labels: DataFrame, k: int) -> DataFrame:
 def run_lengths(labels: DataFrame, series: Sequence[str] = (), at: str = "day") -> DataFrame:
     """(*series, type, start, length) of each longest run of one type, by the order of rows; gaps in time don't end it.
 
-    Without `series` all rows are one sequence, a row a day; give the columns that tell sequences apart to spread them.
+    Without `series` all rows are one sequence, which is dealt out in stretches; with the columns that tell sequences apart, a
+    sequence is a task's, and many are spread.
     """
+    if not series:
+        with Workspace(labels.sparkSession, "runs") as space:
+            parts = with_previous(in_parts(labels.select(at, "type"), [at], space), [at], ["type"])
+            changed = F.when(F.col("_previous").isNull() | ~F.col("type").eqNullSafe(F.col("_previous.type")), 1).otherwise(0)
+            marked = space.written(parts.select("_part", at, "type", changed.alias("changed")), "marked")
+            runs = with_running_sum(marked, [at], F.col("changed"), "run")
+            return space.finish(runs.groupBy("run").agg(F.first("type").alias("type"), F.min(at).alias("start"), F.count("*").alias("length")).drop("run"))
     order = Window.partitionBy(*series).orderBy(at)
     changed = (~F.col("type").eqNullSafe(F.lag("type").over(order)) | (F.row_number().over(order) == 1)).cast("int")
     runs = labels.select(*series, at, "type", changed.alias("changed")).withColumn("run", F.sum("changed").over(order))
@@ -48,8 +58,13 @@ def persistence(labels: DataFrame, k: int, series: Sequence[str] = (), at: str =
 
 def transitions(labels: DataFrame, k: int, normalise: bool = False, series: Sequence[str] = (), at: str = "day") -> DataFrame:
     """(type, type_to, n), dense; with normalise n is the share of its row, 0 in an empty row."""
-    step = labels.select("type", F.lead("type").over(Window.partitionBy(*series).orderBy(at)).alias("type_to")).filter("type_to is not null")
-    found = step.groupBy("type", "type_to").agg(F.count("*").alias("n"))
+    if series:
+        step = labels.select("type", F.lead("type").over(Window.partitionBy(*series).orderBy(at)).alias("type_to")).filter("type_to is not null")
+        found = step.groupBy("type", "type_to").agg(F.count("*").alias("n"))
+    else:  # one long sequence, in stretches
+        with Workspace(labels.sparkSession, "steps") as space:
+            step = with_previous(in_parts(labels.select(at, "type"), [at], space), [at], ["type"]).filter("_previous is not null and type is not null")
+            found = space.finish(step.groupBy(F.col("_previous.type").alias("type"), F.col("type").alias("type_to")).agg(F.count("*").alias("n")))
     types = codes(labels.sparkSession, k)
     frame = types.join(F.broadcast(types.select(F.col("type").alias("type_to"))), how="cross")
     dense = frame.join(found, ["type", "type_to"], "left").select("type", "type_to", F.coalesce("n", F.lit(0)).alias("n"))
