@@ -4,9 +4,11 @@ import datetime as dt
 import textwrap
 
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from trendloom import config
+from trendloom.functions.calendar import date_text
 from trendloom.sources import stores
 
 
@@ -23,7 +25,7 @@ def test_years_are_written_read_and_missing_ones_named(spark, field, tmp_path):
         stores.read_years(spark, path, 1979, 1982)
     stores.write_years(field.filter("year(time) = 1980"), path)  # adds a year, leaves the others
     assert stores.read_years(spark, path, 1979, 1981).count() == field.count()
-    stores.write_years(field.filter("year(time) = 1980 AND lat < -30"), path)
+    stores.write_years(field.filter("year(time) = 1980 AND lat < -30"), path, replace=True)
     with pytest.raises(ValueError, match="grid differs .* 1980"):
         stores.read_years(spark, path, 1979, 1981)
     spark.range(1).selectExpr("1979 AS year", "0.0 AS other").write.partitionBy("year").parquet(str(tmp_path / "odd"))
@@ -66,7 +68,8 @@ def test_monthly_index_stops_at_the_first_odd_line(spark, tmp_path):
     got = {r.day: r.value for r in stores.read_monthly_index(spark, str(path)).collect()}
     assert len(got) == 22 and got[dt.date(1950, 12, 1)] == pytest.approx(26.11) and dt.date(1951, 1, 1) not in got and dt.date(1953, 1, 1) not in got
     path.write_text("no data here\nnor here")
-    assert stores.read_monthly_index(spark, str(path)).collect() == []
+    with pytest.raises(PySparkException, match="no data rows"):
+        stores.read_monthly_index(spark, str(path)).collect()
 
 
 def test_catalogues_and_balanced_ensembles(spark):
@@ -136,3 +139,60 @@ def test_bands_meet_without_overlap():
     tropics, subtropics, midlatitudes, southeast = (b.box for b in config.BANDS)
     assert tropics.south == subtropics.north and subtropics.south == midlatitudes.north and (southeast.west, southeast.east) == (140, 150)
     assert [b.season for b in config.BANDS] == ["warm", "all", "cool", "cool"]
+
+
+def test_a_killed_run_goes_on_and_a_complete_year_is_left_as_it_is(spark, field, tmp_path, monkeypatch):
+    path = str(tmp_path / "mslp")
+    moved, real = [], stores.move
+
+    def dies_at_the_second_year(session, a, b):
+        if len(moved) == 1:
+            raise KeyboardInterrupt
+        moved.append(b)
+        real(session, a, b)
+
+    monkeypatch.setattr(stores, "move", dies_at_the_second_year)
+    with pytest.raises(KeyboardInterrupt):
+        stores.write_years(field, path)
+    monkeypatch.setattr(stores, "move", real)
+    assert stores.complete_years(spark, path) == [1979]
+    assert sorted(r.year for r in spark.read.parquet(path).select("year").distinct().collect()) == [1979]  # what is not shown yet isn't read
+    half = tmp_path / "mslp" / "year=1980"  # a folder that no ledger knows is no year
+    half.mkdir()
+    (half / "part-0.parquet").write_bytes(b"torn")
+    before = {f: f.stat().st_mtime_ns for f in (tmp_path / "mslp" / "year=1979").iterdir()}
+    changed = field.withColumn("value", F.col("value") + F.when(F.year("time") == 1979, 1000).otherwise(0))
+    assert stores.write_years(changed, path, years_at_once=1) == [1980, 1981]
+    assert {f: f.stat().st_mtime_ns for f in (tmp_path / "mslp" / "year=1979").iterdir()} == before
+    assert stores.complete_years(spark, path) == [1979, 1980, 1981] and not (tmp_path / "mslp" / "_staging").exists()
+    assert stores.read_years(spark, path, 1979, 1981).count() == field.count() and stores.write_years(changed, path) == []
+    assert stores.write_years(changed.filter("year(time) = 1979"), path, replace=True) == [1979]
+    assert spark.read.parquet(path).filter("year = 1979").agg(F.min("value")).first()[0] > 100_000
+
+
+def test_index_texts_end_with_the_years_of_their_first_line(spark, tmp_path):
+    path = tmp_path / "index.txt"
+    path.write_text("1950 1951\n" + "".join(f"{y} " + " ".join(["1.5"] * 12) + "\n" for y in (1950, 1951, 1952)))
+    assert stores.read_monthly_index(spark, str(path)).count() == 24
+
+
+def test_a_model_is_loaded_in_its_own_calendar(spark, tmp_path):
+    rows = [(m, y, t + 0.25, a, o, 1.0 * (m == "r1") * (y == 1990)) for m in ("r1", "r2") for y in (1990, 1991) for t in (58.0, 59.0) for a in (-30.0, -35.0) for o in (140.0, 145.0)]
+    spark.createDataFrame(rows, "member_id string, dcpp_init_year int, time double, latitude double, longitude double, psl double").write.parquet(str(tmp_path / "a"))
+    times = [(dt.datetime(2000, 1, 1, 6), -30.0, 140.0, float("nan"))]
+    spark.createDataFrame(times, "time timestamp, lat double, lon double, psl double").write.parquet(str(tmp_path / "b"))
+    catalogue = spark.createDataFrame([("A", "historical", "mon", str(tmp_path / "a"), "days since 1850-01-01", "360_day"), ("B", "historical", "mon", str(tmp_path / "b"), None, None), ("B", "historical", "day", str(tmp_path / "b"), None, None)],
+                                      "source_id string, experiment_id string, table_id string, path string, units string, calendar string")
+    steps = stores.load_model(catalogue, "A", "historical", "psl")
+    assert steps.columns == ["day", "second", "calendar", "lat", "lon", "value"] and steps.count() == 8 and stores.calendar_of(steps) == "360_day"
+    assert {r.value for r in steps.collect()} == {1.0} and {r.second for r in steps.collect()} == {21_600}
+    assert {r[0] for r in steps.select(date_text(F.col("day"), F.col("calendar"))).collect()} == {"1850-02-29", "1850-02-30"}
+    moments = stores.load_model(catalogue, "B", "historical", "psl", table_id="day")
+    assert moments.columns == ["time", "lat", "lon", "value"] and moments.first().value is None and stores.calendar_of(moments) == "standard"
+    with pytest.raises(KeyError, match="2 models"):
+        stores.load_model(catalogue, "A", "ssp585", "psl")
+    with pytest.raises(ValueError, match="more than one"):
+        stores.load_model(catalogue, "B", "historical", "psl")
+    with pytest.raises(KeyError, match="no column tas"):
+        stores.load_model(catalogue, "A", "historical", "tas")
+    assert stores.decoded_steps(spark.createDataFrame([(None, 1.0)], "time double, value double"), "days since 1850-01-01", "noleap").count() == 0

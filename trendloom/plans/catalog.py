@@ -12,7 +12,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from trendloom.functions import calendar
 from trendloom.functions.calendar import shifted_day
+from trendloom.functions.quantiles import exact_quantiles
 from trendloom.functions.statistics import area_weight, eof_weight
 from trendloom.operators import clusters, eof, fields, indices, labels, sequences
 from trendloom.operators import decompose as dec
@@ -163,9 +165,16 @@ def frequencies_orders(spark, sf_dir):
     return rounded(dec.frequencies(order_days(spark, sf_dir), 6))
 
 
-@query(f"WITH {DAYS}, {SEASONED} SELECT season, year, type, round(regr_intercept(frequency, year) OVER w + regr_slope(frequency, year) OVER w * year, 6) + 0.0 AS freq_fit, round(frequency - (regr_intercept(frequency, year) OVER w + regr_slope(frequency, year) OVER w * year), 6) + 0.0 AS freq_residual FROM yearly WHERE season = 'all' WINDOW w AS (PARTITION BY season, type)")
+def _line(y: str) -> str:
+    return f"CASE WHEN regr_count({y}, year) OVER w >= 3 THEN regr_intercept({y}, year) OVER w + regr_slope({y}, year) OVER w * year END"
+
+
+@query(f"""WITH {DAYS}, {SEASONED}, fits AS (SELECT *, {_line("frequency")} AS freq_fit, {_line("type_mean")} AS mean_fit FROM yearly WINDOW w AS (PARTITION BY season, type))
+SELECT season, year, type, round(freq_fit, 6) + 0.0 AS freq_fit, round(frequency - freq_fit, 6) + 0.0 AS freq_residual, round(mean_fit, 4) + 0.0 AS mean_fit, round(type_mean - mean_fit, 4) + 0.0 AS mean_residual FROM fits""")
 def fitted_lines_orders(spark, sf_dir):
-    return rounded(dec.fitted_lines(price_table(spark, sf_dir)).select("season", "year", "type", "freq_fit", "freq_residual"))
+    found = dec.fitted_lines(price_tables(spark, sf_dir))
+    means = [(F.round(c, 4) + F.lit(0.0)).alias(c) for c in ("mean_fit", "mean_residual")]
+    return found.select("season", "year", "type", r6("freq_fit").alias("freq_fit"), r6("freq_residual").alias("freq_residual"), *means)
 
 
 @query()
@@ -457,15 +466,23 @@ def index_correlation_orders(spark, sf_dir):
     return rounded(dec.index_correlation(price_tables(spark, sf_dir), price_index(spark, sf_dir)))
 
 
-@query(f"""WITH {SHARED}, {REST}, cut AS (SELECT season, year, type, greatest(frequency - b * (x - centre), 0) AS raw, type_mean - bm * (x - centre) AS type_mean FROM fitted),
-rest AS (SELECT season, year, type, raw / sum(raw) OVER (PARTITION BY season, year) AS frequency, type_mean FROM cut),
-totals AS (SELECT 'before' AS of, season, year, sum(frequency * coalesce(type_mean, 0)) AS v FROM yearly GROUP BY season, year UNION ALL SELECT 'after', season, year, sum(frequency * coalesce(type_mean, 0)) FROM rest GROUP BY season, year),
-t AS (SELECT season, regr_slope(v, year) FILTER (of = 'before') AS before, regr_slope(v, year) FILTER (of = 'after') AS after FROM totals GROUP BY season)
-SELECT season, 'total' AS term, round(before, 6) + 0.0 AS before, round(after, 6) + 0.0 AS after, round(CASE WHEN abs(before) > 1e-12 THEN 100 * after / before END, 6) + 0.0 AS kept, before * after < 0 AS sign_flips FROM t""")
+TERMS = ("total", "frequency_term", "intensity_term", "cross_term")
+
+
+@query(f"""WITH {SHARED}, {REST}, cut AS (SELECT season, year, type, greatest(frequency - b * (x - centre), 0) AS raw, type_mean - coalesce(bm, 0) * (x - centre) AS type_mean FROM fitted),
+both_ AS (SELECT 'before' AS of, season, year, type, frequency, type_mean FROM yearly UNION ALL SELECT 'after', season, year, type, raw / sum(raw) OVER (PARTITION BY season, year), type_mean FROM cut),
+totals AS (SELECT of, season, regr_slope(v, year) AS total FROM (SELECT of, season, year, sum(frequency * coalesce(type_mean, 0)) AS v FROM both_ GROUP BY ALL) GROUP BY of, season),
+trends AS (SELECT of, season, type, CASE WHEN regr_count(frequency, year) >= 3 THEN regr_slope(frequency, year) END AS f, CASE WHEN regr_count(type_mean, year) >= 3 THEN regr_slope(type_mean, year) END AS m,
+  avg(frequency) AS mf, avg(type_mean) AS mm FROM both_ GROUP BY of, season, type),
+summed AS (SELECT of, season, total, coalesce(sum(f * mm), 0) AS frequency_term, coalesce(sum(mf * m), 0) AS intensity_term, coalesce(sum(f * m), 0) AS cross_term FROM totals JOIN trends USING (of, season) GROUP BY of, season, total),
+long AS (UNPIVOT summed ON total, frequency_term, intensity_term, cross_term INTO NAME term VALUE v),
+t AS (SELECT season, term, any_value(v) FILTER (of = 'before') AS before, any_value(v) FILTER (of = 'after') AS after FROM long GROUP BY season, term)
+SELECT season, term, round(before, 6) + 0.0 AS before, round(after, 6) + 0.0 AS after, round(CASE WHEN abs(before) > 1e-12 THEN 100 * after / before END, 4) + 0.0 AS kept, before * after < 0 AS sign_flips FROM t""")
 def kept_without_index_orders(spark, sf_dir):
     tables = price_tables(spark, sf_dir)
     after = dec.decompose(indices.remove_index(tables, price_index(spark, sf_dir), least_years=5))
-    return rounded(dec.kept_after_removal(dec.decompose(tables), after, terms=("total",)))
+    found = dec.kept_after_removal(dec.decompose(tables), after)
+    return found.select("season", "term", r6("before").alias("before"), r6("after").alias("after"), (F.round("kept", 4) + F.lit(0.0)).alias("kept"), "sign_flips")
 
 
 @query(f"""WITH {CELLS}, {CENTRES}, {NEAREST}, d AS (SELECT abs(coalesce(f, 0) - coalesce(g, 0)) AS d FROM (SELECT type, count(*) / (SELECT count(*) FROM embeddings) AS f FROM nearest GROUP BY type) FULL JOIN
@@ -498,9 +515,9 @@ def looked_up_orders(spark, sf_dir):
     return rounded(labels.look_up(daily_prices(spark, sf_dir), day_labels(spark, sf_dir)))
 
 
-@query(f"""WITH {CELLS}, f AS (SELECT stddev_samp(value) AS s, stddev_pop(value) AS p FROM cells WHERE cell = 0) SELECT day, cell AS mode, round(value / s, 6) + 0.0 AS pc, round(p / s, 6) AS ratio FROM cells, f WHERE cell < 3""")
+@query(f"""WITH {CELLS}, f AS (SELECT stddev_samp(value) AS s, stddev_pop(value) AS p FROM cells WHERE cell = 0) SELECT day, cell AS mode, round(value / s, 6) + 0.0 AS pc, round(p / s, 6) AS ratio FROM cells, f""")
 def scaled_components_embeddings(spark, sf_dir):
-    pcs = embedding_matrix(spark, sf_dir).select("day", F.col("cell").alias("mode"), F.col("value").alias("pc")).filter("mode < 3")
+    pcs = embedding_matrix(spark, sf_dir).select("day", F.col("cell").alias("mode"), F.col("value").alias("pc"))
     return rounded(eof.scaled_pcs(pcs).join(F.broadcast(eof.amplitude_ratio(pcs, pcs)), how="cross").select("day", "mode", "pc", "ratio"))  # one row
 
 
@@ -606,7 +623,7 @@ def monthly_index_orders(spark, sf_dir):
     line = F.concat_ws("  ", "year", *[F.coalesce(F.col(str(m)), F.lit(-99.99)).cast("string") for m in range(1, 13)])
     lines = found.agg(F.array_sort(F.collect_list(line)).alias("lines"))  # a line a year
     path = shared_path(spark, "index")
-    lines.select(F.concat_ws("\n", F.lit("first last"), F.col("lines"), F.lit("-99.99"), F.lit("least price by month"))).coalesce(1).write.text(path)
+    lines.select(F.concat_ws("\n", F.lit("1990 2010"), F.col("lines"), F.lit("-99.99"), F.lit("least price by month"))).coalesce(1).write.text(path)
     return stores.read_monthly_index(spark, path)
 
 
@@ -651,7 +668,7 @@ def model_matrix_months(spark, sf_dir):
     """Made like observations on another grid, with the mean for the annual cycle and a given scale."""
     steps = month_field(spark, sf_dir).select(F.lit("price").alias("variable"), F.col("day").cast("timestamp").alias("time"), "lat", "lon", "value")
     scales = spark.createDataFrame([("price", 1000.0)], "variable string, scale double")
-    matrix, _ = eof.prepare_like_observations(steps, shifted_grid(spark).filter("lat < -10 and lon < 102"), scales, harmonics=0)
+    matrix, _ = eof.prepare_like_observations(steps, shifted_grid(spark).filter("lat < -10 and lon < 102"), scales, detrended=False, harmonics=0)
     return rounded(matrix.select("day", "cell", "value"))
 
 
@@ -721,3 +738,63 @@ SELECT (SELECT round(avg(m), 6) FROM means) AS mean_run, (SELECT round(stddev_po
 def sequence_report_orders(spark, sf_dir):
     found = sequences.sequence_report(day_labels(spark, sf_dir), K)
     return rounded(spark.createDataFrame([tuple(float(v) for v in found.values())], ", ".join(f"{name} double" for name in found)))
+
+
+@query(f"""WITH {FIELD}, moved AS (SELECT day, lat, lon - 94 AS lon, value FROM field), grid AS (SELECT DISTINCT day, g.lat, o.lon FROM field, (SELECT -18.0::DOUBLE + 2 * range AS lat FROM range(5)) g, (VALUES (357.5::DOUBLE), (359.0), (0.5), (4.0), (180.0)) o(lon)),
+near_ AS (SELECT *, CASE WHEN lon > 180 THEN lon - 360 ELSE lon END AS x FROM grid), sides AS (SELECT *, floor((x + 4) / 3) * 3 - 4 AS lo FROM near_)
+SELECT s.day, s.lat, s.lon, round(CASE WHEN s.x = s.lo THEN a.value WHEN s.x < 8 THEN a.value + (b.value - a.value) * (s.x - s.lo) / 3 END, 6) AS value
+FROM sides s LEFT JOIN moved a ON a.day = s.day AND a.lat = s.lat AND a.lon = s.lo LEFT JOIN moved b ON b.day = s.day AND b.lat = s.lat AND b.lon = s.lo + 3""")
+def regridded_across_greenwich_months(spark, sf_dir):
+    """A field from 4 west to 8 east, counted from -180, asked at places that count from 0 to 360."""
+    field = month_field(spark, sf_dir).withColumn("lon", F.col("lon") - 94)
+    lats = spark.range(5).select((-18.0 + 2 * F.col("id")).alias("lat"))
+    places = spark.createDataFrame([(357.5,), (359.0,), (0.5,), (4.0,), (180.0,)], "lon double")
+    return rounded(fields.regrid(field, lats.join(places, how="cross")))
+
+
+@query(f"""WITH {FIELD}, steps AS (SELECT (year(day) - 1970) * 360 + (month(day) - 1) * 30 + 28 + 1 AS day, lat, lon, value FROM field),
+t AS (SELECT *, 2 * pi() * (day % 360 + 1) / 360 AS angle, day / 360.0::DOUBLE AS x FROM steps),
+m AS (SELECT lat, lon, count(*) AS n, sum(cos(angle)) AS c, sum(sin(angle)) AS s, sum(cos(angle) * cos(angle)) AS cc, sum(cos(angle) * sin(angle)) AS cs, sum(sin(angle) * sin(angle)) AS ss,
+  sum(value) AS y, sum(value * cos(angle)) AS yc, sum(value * sin(angle)) AS ys FROM t GROUP BY lat, lon),
+d AS (SELECT *, n * (cc * ss - cs * cs) - c * (c * ss - cs * s) + s * (c * cs - cc * s) AS det FROM m),
+b AS (SELECT lat, lon, (y * (cc * ss - cs * cs) - c * (yc * ss - cs * ys) + s * (yc * cs - cc * ys)) / det AS b0, (n * (yc * ss - cs * ys) - y * (c * ss - cs * s) + s * (c * ys - yc * s)) / det AS b1,
+  (n * (cc * ys - yc * cs) - c * (c * ys - yc * s) + y * (c * cs - cc * s)) / det AS b2 FROM d),
+anomalies AS (SELECT day, lat, lon, x, value - (b0 + b1 * cos(angle) + b2 * sin(angle)) AS value FROM t JOIN b USING (lat, lon)),
+lines AS (SELECT lat, lon, regr_slope(value, x) AS slope, regr_intercept(value, x) AS start FROM anomalies GROUP BY lat, lon),
+made AS (SELECT day, dense_rank() OVER (ORDER BY lat, lon) - 1 AS cell, (value - start - slope * x) / 1000 * sqrt({WEIGHT}) AS value FROM anomalies JOIN lines USING (lat, lon)),
+flat AS (SELECT day, cell, value - avg(value) OVER (PARTITION BY cell) AS value FROM made)
+SELECT printf('%04d-%02d-%02d', 1970 + day // 360, day % 360 // 30 + 1, day % 30 + 1) AS date, CAST(p.range AS INT) AS mode,
+  round(sum(value * ((cell * (p.range + 1)) % 7 - 3)), 3) + 0.0 AS pc FROM flat, range(3) p GROUP BY day, p.range""")
+def model_components_months(spark, sf_dir):
+    """A model on years of 360 days, from its time axis to its components: the evening of the 29th of each month, which a shift by six
+    hours makes the 30th, in February too; cycle and trend taken out, by observed scales."""
+    first = calendar.date_number(F.year("day"), F.month("day"), F.lit(29), F.lit("360_day"))
+    axis = F.col("first").cast("double") - calendar.date_number(F.lit(1850), F.lit(1), F.lit(1), F.lit("360_day")) + 0.75
+    steps = month_field(spark, sf_dir).withColumn("first", first).select(F.lit("price").alias("variable"), axis.alias("time"), "lat", "lon", "value")
+    steps = stores.decoded_steps(steps, "days since 1850-01-01", "360_day").withColumns({"day": F.col("day") + F.floor((F.col("second") + 21_600) / 86_400).cast("int"), "second": F.lit(0)})
+    scales = spark.createDataFrame([("price", 1000.0)], "variable string, scale double")
+    matrix, cells = eof.prepare_like_observations(steps, steps.select("lat", "lon").distinct(), scales, harmonics=1)
+    modes = cells.select("cell", F.explode(F.array(*[F.lit(m) for m in range(3)])).alias("mode"))
+    patterns = modes.select("mode", "cell", ((F.col("cell") * (F.col("mode") + 1)) % 7 - 3).cast("double").alias("loading"))
+    found = eof.project(matrix, patterns)
+    return found.select(calendar.date_text(F.col("day"), F.lit("360_day")).alias("date"), "mode", (F.round("pc", 3) + F.lit(0.0)).alias("pc"))
+
+
+@query("""SELECT type, p.p AS probability, round(CASE p.p WHEN 0.025 THEN a WHEN 0.5 THEN b WHEN 0.9 THEN c ELSE d END, 6) AS quantile FROM (
+  SELECT CAST(substr(o_orderpriority, 1, 1) AS INT) - 1 AS type, quantile_cont(o_totalprice, 0.025) AS a, quantile_cont(o_totalprice, 0.5) AS b, quantile_cont(o_totalprice, 0.9) AS c, max(o_totalprice) AS d FROM orders GROUP BY 1),
+  (VALUES (0.025::DOUBLE), (0.5::DOUBLE), (0.9::DOUBLE), (1.0::DOUBLE)) p(p)""")
+def price_quantiles_orders(spark, sf_dir):
+    return rounded(exact_quantiles(order_days(spark, sf_dir), ["type"], [0.025, 0.5, 0.9, 1.0]))
+
+
+@query("""WITH series AS (SELECT event_id, CAST((SELECT count(DISTINCT o.event_type) FROM events o WHERE o.event_type < e.event_type) AS INT) AS type FROM events e),
+marked AS (SELECT *, CASE WHEN lag(type) OVER (ORDER BY event_id) = type THEN 0 ELSE 1 END AS new FROM series), numbered AS (SELECT *, sum(new) OVER (ORDER BY event_id) AS run FROM marked)
+SELECT any_value(type) AS type, min(event_id) AS start, count(*) AS length FROM numbered GROUP BY run""")
+def long_run_lengths_events(spark, sf_dir):
+    """All events as one sequence, in stretches."""
+    return sequences.run_lengths(user_events(spark, sf_dir), at="event_id")
+
+
+@query("""WITH s AS (SELECT value, lead(value) OVER (ORDER BY event_id) AS next FROM events) SELECT round(corr(value, next), 6) + 0.0 AS r FROM s""")
+def long_lag_correlation_events(spark, sf_dir):
+    return rounded(indices.lag_correlation(table(spark, sf_dir, "events"), at="event_id"))

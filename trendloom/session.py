@@ -56,8 +56,34 @@ def write_to(df: DataFrame, path: str) -> DataFrame:
 
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a folder of any file system that Spark reaches."""
+    where, system = _file_system(spark, path)
+    system.delete(where, True)
+
+
+def _file_system(spark: SparkSession, path: str):
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """What stands in a folder of any file system that Spark reaches; nothing if there is no such folder."""
+    where, system = _file_system(spark, path)
+    return sorted(f.getPath().getName() for f in system.listStatus(where)) if system.exists(where) else []
+
+
+def move(spark: SparkSession, path: str, to: str) -> None:
+    """Renames a folder; an error if it can't be."""
+    where, system = _file_system(spark, path)
+    target = spark._jvm.org.apache.hadoop.fs.Path(to)
+    system.mkdirs(target.getParent())
+    if not system.rename(where, target):
+        raise OSError(f"{path} could not become {to}")
+
+
+def mark(spark: SparkSession, path: str) -> None:
+    """An empty file."""
+    where, system = _file_system(spark, path)
+    system.create(where, True).close()
 
 
 class Workspace:

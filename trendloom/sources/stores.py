@@ -7,17 +7,49 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trendloom.functions.calendar import decoded_time, known_calendar
+from trendloom.functions.checks import unless
 from trendloom.functions.statistics import clean
 from trendloom.operators.fields import at_hours, geopotential_height, in_box
+from trendloom.session import mark, move, names_in, remove
 
 FIELD = "time timestamp, lat double, lon double, value double"
 
 
-def write_years(field: DataFrame, path: str, time: str = "time", mode: str = "overwrite") -> None:
-    """Partitions by year; with dynamic overwrite only the years in the field are replaced, and Spark's committer shows a
-    year only when it is complete."""
+#: Beside the years of a store: a file for each that is complete, and what a run has written and not yet shown.
+LEDGER, STAGING = "_complete", "_staging"
+
+
+def complete_years(spark: SparkSession, path: str) -> list[int]:
+    """The years that a store has in whole, by its ledger."""
+    return [int(name) for name in names_in(spark, f"{path}/{LEDGER}") if name.isdigit()]
+
+
+def write_years(field: DataFrame, path: str, time: str = "time", replace: bool = False, years_at_once: int = 8) -> list[int]:
+    """Writes a field by year and returns the years written. A year that is complete already is left as it is, unless `replace`.
+
+    Years go in groups of years_at_once, one job each, into a folder that readers don't see; then each year's folder is renamed
+    into its place and noted in the ledger. So a run that is killed leaves whole years, or none of a year, and the next run goes
+    on with those that the ledger lacks: what stands in the place of one is replaced. One run at a time may write to a store.
+    """
+    spark = field.sparkSession
     rows = field.withColumn("year", F.year(time))
-    rows.repartition("year", F.pmod(F.xxhash64("lat", "lon"), F.lit(16))).write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("year").parquet(path)
+    remove(spark, f"{path}/{STAGING}")  # of a run that was killed
+    done = [] if replace else complete_years(spark, path)
+    ledger = spark.createDataFrame([(y,) for y in done], "year int")
+    rows = rows.join(F.broadcast(ledger), "year", "left_anti")  # a row a year
+    todo = sorted(r[0] for r in rows.select("year").distinct().collect() if r[0] is not None)
+    for at in range(0, len(todo), years_at_once):
+        group = todo[at : at + years_at_once]
+        own = rows.filter(F.col("year").isin(group))
+        own.repartition("year", F.pmod(F.xxhash64("lat", "lon"), F.lit(16))).write.partitionBy("year").parquet(f"{path}/{STAGING}")
+        for year in group:
+            remove(spark, f"{path}/{LEDGER}/{year}")
+            remove(spark, f"{path}/year={year}")
+            move(spark, f"{path}/{STAGING}/year={year}", f"{path}/year={year}")
+            mark(spark, f"{path}/{LEDGER}/{year}")
+        remove(spark, f"{path}/{STAGING}")
+    return todo
 
 
 def read_years(spark: SparkSession, path: str, start: int, end: int) -> DataFrame:
@@ -91,15 +123,20 @@ def request(variable: str, year: int, hours: Sequence[int], box: tuple[float, fl
 
 
 def read_monthly_index(spark: SparkSession, path: str, missing_below: float = -90.0) -> DataFrame:
-    """(day, value) from a text of a first line, then lines of a year and twelve values, up to the first line that is not one.
+    """(day, value) from a text of a first line with the first and last year, then lines of a year and twelve values, up to the
+    first line that is not one or whose year lies outside (without two years in the first line any year will do).
 
-    Values under missing_below are left out. The file has a line a year, so it is numbered as a whole.
+    Values under missing_below are left out. A file without a line of values is an error when it is read. The file has a line a
+    year, so it is numbered as a whole.
     """
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("at", "line")).filter("at > 0")
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("at", "line"))
     parts = lines.select("at", F.split(F.trim("line"), r"\s+").alias("p"))
-    good = (F.size("p") == 13) & F.col("p")[0].try_cast("int").between(1800, 2200) & F.forall("p", lambda x: x.try_cast("double").isNotNull())
+    span = parts.filter("at = 0").select(F.coalesce(F.col("p")[0].try_cast("int"), F.lit(1)).alias("first"), F.coalesce(F.try_element_at("p", F.lit(2)).try_cast("int"), F.lit(9999)).alias("last"))
+    parts = parts.filter("at > 0").join(F.broadcast(span), how="cross")  # one row
+    good = (F.size("p") == 13) & F.col("p")[0].try_cast("int").between(F.col("first"), F.col("last")) & F.forall("p", lambda x: x.try_cast("double").isNotNull())
     first_bad = parts.filter(~F.coalesce(good, F.lit(False))).agg(F.coalesce(F.min("at"), F.lit(1 << 30)).alias("stop"))
     kept = parts.join(F.broadcast(first_bad), how="cross").filter(F.col("at") < F.col("stop"))  # one row
+    kept = unless(kept, kept.agg(F.count("*").alias("n")), F.col("n") == 0, f"no data rows in {path}")
     months = kept.select(F.col("p")[0].cast("int").alias("year"), F.posexplode(F.slice("p", 2, 12)).alias("m", "v"))
     return months.select(F.make_date("year", F.col("m") + 1, F.lit(1)).alias("day"), F.col("v").cast("double").alias("value")).filter(F.col("value") >= missing_below)
 
@@ -127,6 +164,46 @@ def exactly_one(catalogue: DataFrame, **wanted):
     return rows[0]
 
 
+def decoded_steps(rows: DataFrame, units: str, calendar: str | None = None) -> DataFrame:
+    """rows with (day, second, calendar) in place of their numeric `time`, which counts in `units` (`days since 1850-01-01`) in the
+    calendar named, or in that of a column `calendar`. A row whose time is missing has no day and is left out."""
+    name = known_calendar(F.col("calendar") if calendar is None else F.lit(calendar))
+    moment = decoded_time(F.col("time").cast("double"), units, F.col("calendar"))
+    rows = rows.filter("time is not null").withColumn("calendar", name).withColumn("_at", moment)
+    rest = [c for c in rows.columns if c not in ("time", "calendar", "_at", "day", "second")]
+    return rows.select(F.col("_at.day").alias("day"), F.col("_at.second").alias("second"), "calendar", *rest)
+
+
+def load_model(catalogue: DataFrame, source_id: str, experiment_id: str, variable: str = "value", **wanted) -> DataFrame:
+    """The steps of one model and experiment: (day, second, calendar, lat, lon, value), or (time, lat, lon, value) if its times are moments.
+
+    catalogue: a row a store with source_id, experiment_id and path, and for times that are numbers units and calendar (null: the
+    standard one); `wanted` names further columns. No row, or more than one, is an error. Of several members, then of several
+    starting years of a forecast, the first in order is taken. Coordinates may be called latitude and longitude.
+    """
+    try:
+        row = exactly_one(catalogue, source_id=source_id, experiment_id=experiment_id, **wanted).asDict()
+    except KeyError:
+        models = catalogue.select("source_id").distinct().count()
+        raise KeyError(f"{source_id} has no {experiment_id}; the catalogue has {models} models") from None
+    rows = catalogue.sparkSession.read.parquet(row["path"])
+    if variable not in rows.columns:
+        raise KeyError(f"{row['path']} has no column {variable}")
+    for axis in ("member_id", "dcpp_init_year"):
+        if axis in rows.columns:
+            rows = rows.join(F.broadcast(rows.agg(F.min(axis).alias(axis))), axis).drop(axis)  # one row
+    for old, new in (("latitude", "lat"), ("longitude", "lon")):
+        if old in rows.columns and new not in rows.columns:
+            rows = rows.withColumnRenamed(old, new)
+    rows = rows.select("time", F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"), clean(F.col(variable)).alias("value"))
+    return rows if dict(rows.dtypes)["time"].startswith("timestamp") else decoded_steps(rows, row["units"], row.get("calendar") or "standard")
+
+
+def calendar_of(steps: DataFrame) -> str:
+    """The calendar of a model's steps; `standard` for moments."""
+    return steps.select("calendar").first()[0] if "calendar" in steps.columns else "standard"
+
+
 def read_labels(spark: SparkSession, path: str, column: str = "label") -> DataFrame:
     """(ts, label) of a published label series."""
     rows = spark.read.parquet(path)
@@ -162,7 +239,7 @@ COMPOSITES = ("maps", "seasonal_counts", "transitions", "runs")
 
 def write_anomalies(field: DataFrame, work: str, variable: str) -> None:
     """The daily anomalies (day, lat, lon, value) of a variable, by year; replaces what was there."""
-    write_years(field, f"{tagged(work, 'anomalies')}/{variable}", "day")
+    write_years(field, f"{tagged(work, 'anomalies')}/{variable}", "day", replace=True)
 
 
 def read_anomalies(spark: SparkSession, work: str, variable: str) -> DataFrame:
