@@ -44,9 +44,14 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/trendloom-{uuid.uuid4().hex}/{name}"
 
 
+#: The workspaces that are open, the innermost last.
+_open: list[Workspace] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Cuts lineage: writes df as Parquet in the shared folder and reads it back, so a lost executor costs no recomputation."""
-    return write_to(df, shared_path(df.sparkSession, name))
+    """Cuts lineage: writes df as Parquet in the shared folder and reads it back, so a lost executor costs no recomputation. While a
+    Workspace is open the table is one of its own, and goes with it."""
+    return _open[-1].written(df, name) if _open else write_to(df, shared_path(df.sparkSession, name))
 
 
 def write_to(df: DataFrame, path: str) -> DataFrame:
@@ -89,7 +94,8 @@ def mark(spark: SparkSession, path: str) -> None:
 class Workspace:
     """The intermediate tables of one run of an operator: `written` in a folder of their own, which goes when the run ends.
 
-    The result has to be written outside of it before that, by `finish`; a run that fails deletes its folder too.
+    The result has to be written outside of it before that, by `finish`, which puts it in the workspace that encloses this one, if
+    any; a run that fails deletes its folder too.
     """
 
     def __init__(self, spark: SparkSession, name: str):
@@ -97,10 +103,12 @@ class Workspace:
         self.tables: list[tuple[DataFrame, str]] = []
 
     def __enter__(self) -> Workspace:
+        _open.append(self)
         return self
 
     def __exit__(self, *failed) -> None:
-        remove(self.spark, self.folder)
+        _open.remove(self)
+        remove(self.spark, self.folder.rsplit("/", 1)[0])
 
     def written(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.folder}/{len(self.tables)}-{name}"
@@ -119,4 +127,5 @@ class Workspace:
                 remove(self.spark, path)
 
     def finish(self, df: DataFrame) -> DataFrame:
-        return written(df, self.name)
+        at = _open.index(self)
+        return _open[at - 1].written(df, self.name) if at else write_to(df, shared_path(self.spark, self.name))
