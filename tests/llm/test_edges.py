@@ -142,3 +142,33 @@ def test_factors_learn_a_pair_that_neither_term_shows():
     machine = toxicity.fit_machine(rows, labels, epochs=40)
     z = lambda ids: machine.bias + machine.weights[ids].sum() + 0.5 * ((machine.factors[ids].sum(0) ** 2).sum() - (machine.factors[ids] ** 2).sum())
     assert z([0, 2, 3]) > 0 > max(z([0, 2]), z([0, 3]), z([0]))
+
+
+def tables_left(spark):
+    import os
+
+    from trendloom.session import shared_root
+
+    root = shared_root(spark).removeprefix("file:")
+    return {d for d in os.listdir(root) if d.startswith("trendloom-")}
+
+
+def test_tables_made_on_the_way_are_gone_at_the_end(spark, sf):
+    """Each query leaves the one table that its result reads, at most, and the pipeline the input of its last stage."""
+    import corpus_pipeline
+    from trendloom.llm import queries
+
+    for name, query in {**queries.QUERIES, "pipeline": corpus_pipeline.run}.items():
+        before = tables_left(spark)
+        query(spark, sf)
+        assert len(tables_left(spark) - before) <= (2 if name == "op8_token_files" else 1), name  # files, and the list of them
+
+
+def test_stages_keep_columns_whose_names_are_used_inside(spark, sf):
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(30)
+    docs = docs.withColumns({"_row": F.lit("mine"), "at": F.lit(1.5), "digest": F.col("doc_id") + 1})
+    kept = corpus_pipeline.near_duplicates(spark, docs, sf)
+    assert kept.columns == docs.columns and {r._row for r in kept.collect()} == {"mine"} and all(r.digest == r.doc_id + 1 for r in kept.collect())

@@ -69,15 +69,30 @@ def brute_force_kept(texts):
         if text:
             ratios.setdefault((script, band), []).append(round(1000 * whole))
             ratios.setdefault((script, CHUNKS), []).extend(chunks)
+    import numpy as np
+
+    def typical(band):
+        return float(np.interp(np.log(max(LENGTHS[band], 256)), np.log([x for x, _ in bands.typical]), [y for _, y in bands.typical]))
+
     limits = {}
     for script in range(3):
         for band in range(CHUNKS, len(LENGTHS)):
-            found = sorted(ratios.get((script, band), []))
-            if len(found) < 40:
-                limits[script, band] = bands.wide_chunks if band == CHUNKS else [x[1:] for x in bands.wide if LENGTHS[band] >= x[0]][-1]
-            else:
-                q1, q3 = (found[-(-len(found) * q // 4) - 1] / 1000 for q in (1, 3))
-                limits[script, band] = q1 - max(2 * (q3 - q1), 0.02), q3 + max(3 * (q3 - q1), 0.02)
+            values, weights, missing = list(ratios.get((script, band), [])), [1.0] * len(ratios.get((script, band), [])), 40.0 - len(ratios.get((script, band), []))
+            for d in range(1, len(LENGTHS)):
+                ring = [(r + round(1000 * (typical(band) - typical(b)))) for b in (band - d, band + d) if 1 <= b < len(LENGTHS) and band > 0 for r in ratios.get((script, b), [])]
+                if ring and missing > 0:
+                    share = min(1.0, missing / len(ring))
+                    values, weights, missing = values + ring, weights + [share] * len(ring), missing - share * len(ring)
+            wide = bands.wide_chunks if band == CHUNKS else [x[1:] for x in bands.wide if LENGTHS[band] >= x[0]][-1]
+            missing = max(missing, 0) / 40
+            if not values:
+                limits[script, band] = wide
+                continue
+            order = np.argsort(values, kind="stable")
+            sums = np.cumsum(np.array(weights)[order])
+            q1, q3 = (values[order[np.searchsorted(sums, q * sums[-1] - 1e-7)]] / 1000 for q in (0.25, 0.75))
+            own = q1 - max(2 * (q3 - q1), 0.02), q3 + max(3 * (q3 - q1), 0.02)
+            limits[script, band] = tuple((1 - missing) * x + missing * y for x, y in zip(own, wide))
 
     def kept(text):
         words = re.findall(r"[^\x20\x09-\x0D]+", text)
@@ -93,11 +108,26 @@ def brute_force_kept(texts):
     return {i: kept(t) for i, t in texts.items()}
 
 
-def test_quality_verdict_of_every_text(spark, docs, sf):
-    want = brute_force_kept({d["doc_id"]: d["text"] or "" for d in docs})
+@pytest.mark.parametrize("folder", ["sf0.001", "sf0.01"])
+def test_quality_verdict_of_every_text(spark, folder):
+    sf = f"/root/testdata/{folder}"
+    want = brute_force_kept({d["doc_id"]: d["text"] or "" for d in table(sf, "documents")})
     assert {r["doc_id"]: r["kept"] for r in rows_of(spark, sf, "op4_quality")} == want
 
 
+def test_quality_limits_change_gradually():
+    """A text more or less never moves a limit far, from none to beyond a full band."""
+    from trendloom.llm.quality import CompressionBands, band_limits
+
+    bands, before = CompressionBands(), None
+    for n in range(90):
+        counts = {(0, 6): [(495 + i % 12, 1) for i in range(n)], (0, 7): [(480, 10), (484, 10), (489, 10)]}
+        now = band_limits(counts, 0, 6, bands)
+        assert before is None or max(abs(a - b) for a, b in zip(now, before)) < 0.05
+        before = now
+    assert band_limits({(0, 6): [(500, 40)]}, 0, 6, bands) == band_limits({(0, 6): [(500, 40)], (0, 5): [(900, 500)]}, 0, 6, bands)
+
+
 def test_quality_counts(spark, sf, docs):
     texts = {d["doc_id"]: d["text"] or "" for d in docs}
     rows = rows_of(spark, sf, "op4_quality")

@@ -13,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections import defaultdict
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from trendloom.llm.common import ALNUM, id_text, keep_rows, map_texts, worker_state
 from trendloom.llm.shingles import ShingleHasher
-from trendloom.session import written
+from trendloom.session import Workspace
 
 PAIR_SCHEMA = "doc_id long, item long, n_item_shingles long, n_shared long, containment double"
 _TABLE_BITS = 20
@@ -93,7 +94,6 @@ def distinct_items(items: DataFrame, item_id_col: str, item_text_col: str) -> tu
     own = items.select(items[item_id_col].cast("long").alias("doc_id"), items[item_text_col].cast("string").alias("text"))
     make = lambda: lambda ids, texts: {"item_id": ids, "words": [" ".join(item_words(t)) for t in texts]}
     rows = map_texts(own, "item_id long, words string", make).filter("words != ''").withColumn("item", F.xxhash64("words"))
-    rows = written(rows, "items")
     return rows.groupBy("item").agg(F.min("words").alias("words")), rows.select("item", "item_id")
 
 
@@ -136,7 +136,9 @@ def contained_items(docs: DataFrame, items: DataFrame, threshold: float = 0.8, w
     spark = docs.sparkSession
     distinct, ids = distinct_items(items, item_id_col, item_text_col)
     texts, found = id_text(docs, id_col, text_col), spark.createDataFrame([], PAIR_SCHEMA)
-    for block in item_blocks(spark, distinct, block_items, block_bytes):
+    with Workspace(spark, "items") as space:  # the blocks are with the tasks before it goes
+        blocks = item_blocks(spark, space.written(distinct, "distinct"), block_items, block_bytes)
+    for block in blocks:
 
         def make(index_of=index_of_worker(block, width, threshold)):
             index = index_of()
@@ -154,17 +156,34 @@ def contained_items(docs: DataFrame, items: DataFrame, threshold: float = 0.8, w
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.8, width: int = 5, text_col: str = "text", item_id_col: str = "item_id",
                       item_text_col: str = "text", block_items: int = 100_000, block_bytes: int = 32_000_000) -> DataFrame:
-    """The rows whose text contains no item, all columns; each row by its own text. Between two blocks of items the rows that
-    are left are written, so that a worker holds one index at a time."""
+    """The rows whose text contains no item, all columns; each row by its own text.
+
+    One block of items, the usual case, is one pass that drops rows where they are read. More blocks are a pass each that tells
+    the digests of the texts to drop, whose rows one join then takes out; the texts are never written again, and a worker
+    holds one index at a time.
+    """
+    spark = docs.sparkSession
     distinct, _ = distinct_items(items, item_id_col, item_text_col)
-    for n, block in enumerate(item_blocks(docs.sparkSession, distinct, block_items, block_bytes)):
+    with Workspace(spark, "items") as space:
+        blocks = item_blocks(spark, space.written(distinct, "distinct"), block_items, block_bytes)
+    bad = []
+    for block in blocks:
 
-        def make(index_of=index_of_worker(block, width, threshold)):
+        def holds(index_of=index_of_worker(block, width, threshold)):
             index = index_of()
-            return lambda texts: [not index.search(t, first_only=True) for t in texts]
+            return lambda texts: [index.search(t, first_only=True) for t in texts]
+
+        if len(blocks) == 1:
+            return keep_rows(docs, lambda holds=holds: (lambda texts, find=holds(): [not x for x in find(texts)]), text_col)
+
+        def digests(holds=holds):
+            find = holds()
+            return lambda ids, texts: {"digest": [hashlib.sha256(t.encode("utf-8", "surrogatepass")).digest() for t, x in zip(texts, find(texts)) if x]}
 
-        docs = keep_rows(written(docs, "left") if n else docs, make, text_col)
-    return docs
+        bad.append(map_texts(docs.select(F.lit(None).cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")), "digest binary", digests))
+    if not bad:
+        return docs
+    return docs.join(reduce(DataFrame.unionByName, bad).distinct(), F.unhex(F.sha2(docs[text_col], 256)) == F.col("digest"), "left_anti")
 
 
 def op1_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -146,27 +146,32 @@ def prefix_trie(steps: DataFrame, conversations: DataFrame) -> DataFrame:
     conversations that end at the node. Without a conversation there is no node.
     """
     with Workspace(conversations.sparkSession, "trie") as space:
-        paths = space.written(prefixes(steps, conversations), "prefixes")
-        # the parent and the words follow from the digest: as keys they cost no sort, as minima they would
-        nodes = paths.groupBy("depth", "digest", "parent", "words").agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n_convs"))
-        upwards = Window.partitionBy("conv_id").orderBy(F.desc("depth"))
-        nodes = space.written(nodes.select(
-            "digest", "parent", "depth", "conv_id", "n_convs", (F.row_number().over(upwards) == 1).alias("bottom"), F.lead("depth").over(upwards).isNull().alias("top"),
-            F.sum((F.col("n_convs") - 1) * F.col("words")).over(upwards.rowsBetween(Window.unboundedPreceding, 0)).alias("saved")), "nodes")
-        tops = nodes.filter("top and parent is not null")
-        attached = space.written(tops.groupBy("parent").agg(F.count("*").alias("n_attached")), "attached")
-        by_digest = attached.select(F.col("parent").alias("digest"), "n_attached")
-        ends = nodes.filter("bottom").join(by_digest, "digest", "left").select("conv_id", F.col("n_attached").isNull().cast("long").alias("leaf"))
-        runs = nodes.groupBy("conv_id").agg(F.min("depth").alias("first_depth"), F.max("saved").alias("run_saved")).join(ends, "conv_id")
-        # a run's leaf counts in all nodes of its conversation's path, its sum in those above the run
-        above = paths.select("conv_id", "depth", "digest").join(runs, "conv_id").groupBy("digest").agg(
-            F.sum("leaf").alias("n_leaves"), F.sum(F.when(F.col("depth") < F.col("first_depth"), F.col("run_saved")).otherwise(0)).alias("saved_below"))
-        rows = nodes.join(above, "digest").join(by_digest, "digest", "left").join(list_digests(paths.filter("last")), "digest", "left").join(parents_of(tops, nodes, attached), "digest", "left")
-        own = F.when(~F.col("top"), F.col("conv_id"))
-        return space.finish(rows.select(
-            "digest", "conv_id", "depth", F.coalesce(own, "parent_conv_id").alias("parent_conv_id"), "n_convs",
-            (F.when(F.col("bottom"), 0).otherwise(1) + F.coalesce("n_attached", F.lit(0))).cast("long").alias("n_children"), "n_leaves",
-            (F.col("saved") + F.col("saved_below")).alias("saved_tokens"), F.coalesce("ends_sha256", F.lit(EMPTY.hex())).alias("ends_sha256")))
+        return space.finish(nodes_of(steps, conversations, space))
+
+
+def nodes_of(steps: DataFrame, conversations: DataFrame, space: Workspace) -> DataFrame:
+    """What prefix_trie returns, not yet written; its own tables stand in `space`."""
+    paths = space.written(prefixes(steps, conversations), "prefixes")
+    # the parent and the words follow from the digest: as keys they cost no sort, as minima they would
+    nodes = paths.groupBy("depth", "digest", "parent", "words").agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n_convs"))
+    upwards = Window.partitionBy("conv_id").orderBy(F.desc("depth"))
+    nodes = space.written(nodes.select(
+        "digest", "parent", "depth", "conv_id", "n_convs", (F.row_number().over(upwards) == 1).alias("bottom"), F.lead("depth").over(upwards).isNull().alias("top"),
+        F.sum((F.col("n_convs") - 1) * F.col("words")).over(upwards.rowsBetween(Window.unboundedPreceding, 0)).alias("saved")), "nodes")
+    tops = nodes.filter("top and parent is not null")
+    attached = space.written(tops.groupBy("parent").agg(F.count("*").alias("n_attached")), "attached")
+    by_digest = attached.select(F.col("parent").alias("digest"), "n_attached")
+    ends = nodes.filter("bottom").join(by_digest, "digest", "left").select("conv_id", F.col("n_attached").isNull().cast("long").alias("leaf"))
+    runs = nodes.groupBy("conv_id").agg(F.min("depth").alias("first_depth"), F.max("saved").alias("run_saved")).join(ends, "conv_id")
+    # a run's leaf counts in all nodes of its conversation's path, its sum in those above the run
+    above = paths.select("conv_id", "depth", "digest").join(runs, "conv_id").groupBy("digest").agg(
+        F.sum("leaf").alias("n_leaves"), F.sum(F.when(F.col("depth") < F.col("first_depth"), F.col("run_saved")).otherwise(0)).alias("saved_below"))
+    rows = nodes.join(above, "digest").join(by_digest, "digest", "left").join(list_digests(paths.filter("last")), "digest", "left").join(parents_of(tops, nodes, attached), "digest", "left")
+    own = F.when(~F.col("top"), F.col("conv_id"))
+    return rows.select(
+        "digest", "conv_id", "depth", F.coalesce(own, "parent_conv_id").alias("parent_conv_id"), "n_convs",
+        (F.when(F.col("bottom"), 0).otherwise(1) + F.coalesce("n_attached", F.lit(0))).cast("long").alias("n_children"), "n_leaves",
+        (F.col("saved") + F.col("saved_below")).alias("saved_tokens"), F.coalesce("ends_sha256", F.lit(EMPTY.hex())).alias("ends_sha256"))
 
 
 def conversation_trie(conversations: DataFrame, shared_every: int | None = None, shared_starts: int = 4) -> DataFrame:
@@ -177,11 +182,10 @@ def conversation_trie(conversations: DataFrame, shared_every: int | None = None,
     """
     steps = turn_steps(conversations)
     ids = conversations.select(conversations["conv_id"].cast("long").alias("conv_id")).filter("conv_id is not null").distinct()
-    if shared_every:
-        with Workspace(conversations.sparkSession, "steps") as space:
-            steps = space.written(steps, "steps")
-            return prefix_trie(with_shared_starts(steps, ids, shared_every, shared_starts), ids)
-    return prefix_trie(steps, ids)
+    with Workspace(conversations.sparkSession, "trie") as space:
+        if shared_every:
+            steps = with_shared_starts(space.written(steps, "steps"), ids, shared_every, shared_starts)
+        return space.finish(nodes_of(steps, ids, space))
 
 
 def op12_prefix_trie(spark, sf_dir: str) -> DataFrame:

@@ -9,10 +9,10 @@ ratios of all documents: what lies far outside the middle half of its length and
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right
+import math
+from bisect import bisect_right
 from collections import Counter
 from dataclasses import dataclass
-from itertools import accumulate
 
 import xxhash
 import zstandard
@@ -38,9 +38,12 @@ class CompressionBands:
     """How limits are learned for each script and length band, and once a script for chunks of chunk_bytes.
 
     From ratios with quartiles q1 and q3 the limits are q1 - below * (q3 - q1) and q3 + above * (q3 - q1), and at least
-    `margin` from the quartile. Equal texts count once. With under `least` ratios the limits are those of `wide`, (least
-    bytes, lowest ratio, highest ratio), or wide_chunks. A text with more than max_bad_chunks of its chunks outside is
-    rejected.
+    `margin` from the quartile. Equal texts count once. A text with more than max_bad_chunks of its chunks outside is rejected.
+
+    A band with fewer than `enough` ratios is filled up to that weight: by its neighbours on both sides, nearest first, each
+    only as far as it is needed and moved by what a typical ratio changes from there to here; and what is still missing then is
+    the weight of `wide`, (least bytes, lowest ratio, highest ratio), or wide_chunks, in the limits. So limits change
+    gradually with the number of texts, and a full band knows nothing of others. Texts under 256 bytes have no neighbours.
     """
 
     wide: tuple[tuple[int, float, float], ...] = ((0, 0.20, 1.60), (256, 0.25, 0.90), (1024, 0.22, 0.75), (4096, 0.18, 0.68), (32768, 0.12, 0.65))
@@ -50,9 +53,17 @@ class CompressionBands:
     below: float = 2.0
     above: float = 3.0
     margin: float = 0.02
-    least: int = 40
+    enough: int = 40
+    typical: tuple[tuple[int, float], ...] = ((256, 0.65), (1024, 0.52), (4096, 0.46), (16384, 0.42), (65536, 0.39))
     level: int = 3
 
+    def typical_ratio(self, band: int) -> float:
+        """Of texts of a band's least bytes, between the points of `typical` by the logarithm of the length."""
+        size, points = max(LENGTHS[band], self.typical[0][0]), self.typical
+        at = min(bisect_right(points, (size, 2.0)), len(points) - 1)
+        (a, x), (b, y) = points[at - 1], points[at]
+        return x + (y - x) * min(1.0, math.log(size / a) / math.log(b / a))
+
 
 class RatioMeter:
     def __init__(self, bands: CompressionBands):
@@ -82,18 +93,36 @@ def learned_limits(measured: DataFrame, bands: CompressionBands) -> Limits:
     counts: dict[tuple[int, int], list[tuple[int, int]]] = {}  # a row a thousandth at most
     for script, band, r, n in each.groupBy("script", "x.band", "x.r").count().collect():
         counts.setdefault((script, band), []).append((r, n))
-    limits = {}
-    for script in range(len(SCRIPTS) + 1):
-        for band in range(CHUNKS, len(LENGTHS)):
-            found = sorted(counts.get((script, band), []))
-            total = sum(n for _, n in found)
-            if total < bands.least:
-                limits[script, band] = bands.wide_chunks if band == CHUNKS else next(x[1:] for x in reversed(bands.wide) if LENGTHS[band] >= x[0])
-                continue
-            upto = list(accumulate(n for _, n in found))
-            q1, q3 = (found[bisect_left(upto, total * q)][0] / 1000 for q in (0.25, 0.75))
-            limits[script, band] = (q1 - max(bands.below * (q3 - q1), bands.margin), q3 + max(bands.above * (q3 - q1), bands.margin))
-    return limits
+    return {(script, band): band_limits(counts, script, band, bands) for script in range(len(SCRIPTS) + 1) for band in range(CHUNKS, len(LENGTHS))}
+
+
+def band_limits(counts: dict[tuple[int, int], list[tuple[int, int]]], script: int, band: int, bands: CompressionBands) -> tuple[float, float]:
+    """The limits of one band, from the numbers of ratios in thousandths of all bands."""
+    found: Counter = Counter()
+    missing = float(bands.enough)
+    for ring in range(len(LENGTHS) if band > 0 else 1):
+        around = [b for b in {band - ring, band + ring} if b == band or 0 < b < len(LENGTHS)]
+        n = sum(x for b in around for _, x in counts.get((script, b), []))
+        share = min(1.0, missing / n) if ring and n else 1.0
+        for b in around:
+            move = round(1000 * (bands.typical_ratio(band) - bands.typical_ratio(b))) if ring else 0
+            for r, x in counts.get((script, b), []):
+                found[r + move] += x * share
+        missing -= n * share
+        if missing <= 0:
+            break
+    low, high = bands.wide_chunks if band == CHUNKS else next(x[1:] for x in reversed(bands.wide) if LENGTHS[band] >= x[0])
+    missing = max(missing, 0.0) / bands.enough
+    if missing == 1:
+        return low, high
+    total, upto, quartiles = sum(found.values()), 0.0, []
+    for r in sorted(found):
+        upto += found[r]
+        while len(quartiles) < 2 and upto >= total * (0.25, 0.75)[len(quartiles)] - 1e-9:
+            quartiles.append(r / 1000)
+    q1, q3 = quartiles
+    own = q1 - max(bands.below * (q3 - q1), bands.margin), q3 + max(bands.above * (q3 - q1), bands.margin)
+    return own[0] + missing * (low - own[0]), own[1] + missing * (high - own[1])
 
 
 def learn_limits(docs: DataFrame, bands: CompressionBands = CompressionBands(), id_col: str = "doc_id", text_col: str = "text") -> Limits:
