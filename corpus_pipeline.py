@@ -38,13 +38,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Rows are told apart by a number of their own, so rows that share an id, or have none, are compared as any others.
     """
-    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    row = next(x for x in ("_row" + "_" * n for n in range(len(docs.columns) + 1)) if x.lower() not in map(str.lower, docs.columns))
+    rows = written(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
     with Workspace(spark, "copies") as space:
-        found = space.written(jaccard_components(rows, NEAR_WIDTH, NEAR_PERCENT, id_col="_row").withColumnRenamed("doc_id", "_row"), "components")
-        own = found.join(rows.select("_row", "doc_id"), "_row")
-        first = own.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("x"))
-        gone = space.finish(found.select("_row").join(first.select(F.col("x._row").alias("_row")), "_row", "left_anti"))
-    return rows.join(gone, "_row", "left_anti").select(*docs.columns)
+        found = space.written(jaccard_components(rows, NEAR_WIDTH, NEAR_PERCENT, id_col=row).withColumnRenamed("doc_id", "at"), "components")
+        own = found.join(rows.select(F.col(row).alias("at"), "doc_id"), "at")
+        first = own.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "at")).alias("x"))
+        gone = space.finish(found.select("at").join(first.select(F.col("x.at").alias("at")), "at", "left_anti"))
+    return rows.join(gone, F.col(row) == gone["at"], "left_anti").select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -71,11 +72,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages; of the tables made on the way only the last stage's input stays, which the result reads."""
     docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         path = shared_path(spark, name)
-        docs = write_to(stage(spark, docs, sf_dir), path)
+        with Workspace(spark, f"{name}-run"):  # a stage's own tables go when its result stands
+            docs = write_to(stage(spark, docs, sf_dir), path)
         if before:
-            remove(spark, before)
+            remove(spark, before.rsplit("/", 1)[0])
         before = path
     return STAGES[-1][1](spark, docs, sf_dir)
