@@ -222,48 +222,74 @@ def mean_agreement(x: np.ndarray, k: int, seeds: int, seed: int) -> float:
     return float(np.mean([best_matching(counts(a, b)) / len(x) for i, a in enumerate(found) for b in found[i + 1 :]]))
 
 
-def classifiability_of(series: DataFrame, ks: Sequence[int], seeds: int = 20, seed: int = 0, by: Sequence[str] = ("surrogate",), at: str = "at") -> DataFrame:
-    """(*by, k, score): the mean agreement between partitions from single starts of each series (*by, at, mode, pc), for each k.
-
-    One group is a series and a k: a row a day and mode, as the recurrence that makes a surrogate has to be run in order too.
+#: Numbers of a series that is sent to tasks, at most: 256 MB.
+MOST_NUMBERS = 1 << 25
+
+
+def series_of(pcs: DataFrame, at: str = "at") -> np.ndarray:
+    """(at, mode, pc) as an array of days in order by modes, on the driver; more than MOST_NUMBERS are an error, as a task has to hold a
+    series of days."""
+    n = pcs.count()
+    if n > MOST_NUMBERS:
+        raise ValueError(f"a series of {n} numbers is more than the {MOST_NUMBERS} that a task takes; give fewer modes")
+    found = pcs.select(F.col(at).alias("at"), "mode", "pc").toPandas()
+    return found.pivot(index="at", columns="mode", values="pc").sort_index().to_numpy()
+
+
+def red_series(x: np.ndarray, mode: int, copy: int, seed: int) -> np.ndarray:
+    """A series with the variance and lag-1 correlation of x, whose shocks follow from seed, copy and mode alone."""
+    rng = np.random.default_rng([seed, copy, mode])
+    sd = x.std(ddof=1) if len(x) > 1 else 0.0
+    r = float(np.clip(np.corrcoef(x[:-1], x[1:])[0, 1], -0.99, 0.99)) if len(x) > 2 and sd else 0.0
+    out = np.empty(len(x))
+    shocks = rng.normal(0, 1, len(x)) * sd * np.sqrt(1 - r * r)
+    out[0] = rng.normal(0, 1) * sd
+    for i in range(1, len(x)):
+        out[i] = r * out[i - 1] + shocks[i]
+    return out
+
+
+def classifiability_of(spark, x: np.ndarray, ks: Sequence[int], surrogates: int = 0, seeds: int = 20, seed: int = 0) -> DataFrame:
+    """(surrogate, k, score): the mean agreement between partitions from single starts, of x (days by modes) as surrogate -1 and of
+    each of its red-noise surrogates, for each k.
+
+    The series goes to every task once; a task is a surrogate and a k, and makes the surrogate itself, so no series is shuffled.
     """
-    grid = series.sparkSession.createDataFrame([(int(k),) for k in ks], "k int")
-    types = dict(series.dtypes)
+    shared = spark.sparkContext.broadcast(x)
+    cases = [(s, int(k)) for s in range(-1, surrogates) for k in ks]
+    grid = spark.createDataFrame(cases, "surrogate int, k int").repartition(max(1, len(cases)))
 
-    def score(group: pd.DataFrame) -> pd.DataFrame:
-        x, k = group.pivot(index=at, columns="mode", values="pc").to_numpy(), int(group["k"].iloc[0])
-        return pd.DataFrame([{**{b: group[b].iloc[0] for b in by}, "k": k, "score": mean_agreement(x, k, seeds, seed)}])
+    def score(parts):
+        for part in parts:
+            out = []
+            for copy, k in zip(part["surrogate"], part["k"]):
+                own = shared.value if copy < 0 else np.stack([red_series(shared.value[:, m], m, int(copy), seed) for m in range(shared.value.shape[1])], 1)
+                out.append((copy, k, mean_agreement(own, int(k), seeds, seed)))
+            yield pd.DataFrame(out, columns=["surrogate", "k", "score"])
 
-    return series.join(F.broadcast(grid), how="cross").groupBy(*by, "k").applyInPandas(score, ", ".join(f"{b} {types[b]}" for b in by) + ", k int, score double")
+    return grid.mapInPandas(score, "surrogate int, k int, score double")
 
 
 def classifiability(pcs: DataFrame, k: int, seeds: int = 20, seed: int = 0, at: str = "at") -> float:
     """The mean agreement between partitions of pcs (at, mode, pc) from single starts."""
-    return classifiability_of(pcs.withColumn("surrogate", F.lit(-1)), [k], seeds, seed, at=at).first()["score"]
+    return classifiability_of(pcs.sparkSession, series_of(pcs, at), [k], 0, seeds, seed).first()["score"]
 
 
 def red_noise(pcs: DataFrame, surrogates: int, seed: int = 0) -> DataFrame:
     """(surrogate, at, mode, pc): series with the variance and lag-1 correlation of each mode of pcs (at, mode, pc).
 
-    One group is a mode of a surrogate: a series of days, whose recurrence has to be run in order.
+    One group is a mode: a series of days, whose recurrence has to be run in order; it gives the mode of each surrogate in turn.
     """
-    copies = pcs.sparkSession.range(surrogates).select(F.col("id").cast("int").alias("surrogate"))
-    rows = pcs.join(F.broadcast(copies), how="cross")  # a row a surrogate
 
-    def make(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("at")
-        x, mode, copy = group["pc"].to_numpy(), int(group["mode"].iloc[0]), int(group["surrogate"].iloc[0])
-        rng = np.random.default_rng([seed, copy, mode])
-        sd = x.std(ddof=1) if len(x) > 1 else 0.0
-        r = float(np.clip(np.corrcoef(x[:-1], x[1:])[0, 1], -0.99, 0.99)) if len(x) > 2 and sd else 0.0
-        out = np.empty(len(x))
-        shocks = rng.normal(0, 1, len(x)) * sd * np.sqrt(1 - r * r)
-        out[0] = rng.normal(0, 1) * sd
-        for i in range(1, len(x)):
-            out[i] = r * out[i - 1] + shocks[i]
-        return group.assign(pc=out)[["surrogate", "at", "mode", "pc"]]
+    def make(group: pa.Table) -> pa.Table:
+        group = group.sort_by("at")
+        x, mode = group["pc"].to_numpy(), int(group["mode"][0].as_py())
+        made = np.concatenate([red_series(x, mode, copy, seed) for copy in range(surrogates)]) if surrogates else np.empty(0)
+        return pa.table({"surrogate": pa.array(np.repeat(np.arange(surrogates, dtype=np.int32), len(x))), "at": pa.array(np.tile(group["at"].to_numpy(), surrogates)),
+                         "mode": pa.array(np.full(len(made), mode, np.int32)), "pc": pa.array(made)})
 
-    return rows.select("surrogate", "at", "mode", "pc").groupBy("surrogate", "mode").applyInPandas(make, "surrogate int, at long, mode int, pc double")
+    own = pcs.select(F.col("at").cast("long").alias("at"), F.col("mode").cast("int").alias("mode"), F.col("pc").cast("double").alias("pc"))
+    return own.groupBy("mode").applyInArrow(make, "surrogate int, at long, mode int, pc double")
 
 
 def as_features(pcs: DataFrame, key: str = "at", n_modes: int | None = None) -> DataFrame:
@@ -276,9 +302,8 @@ def as_features(pcs: DataFrame, key: str = "at", n_modes: int | None = None) ->
 def sweep(pcs: DataFrame, ks: Sequence[int], seeds: int = 20, surrogates: int = 50, seed: int = 0, n_modes: int | None = None) -> DataFrame:
     """(k, observed, surrogate_mean, surrogate_p95, scores, margin, exceeds) for each k: how well the starts agree on pcs (at,
     mode, pc) against red noise with the same variances and lag-1 correlations. All k and surrogates are one Spark job."""
-    own = (pcs if n_modes is None else pcs.filter(F.col("mode") < n_modes)).select(F.col("at").cast("long").alias("at"), F.col("mode").cast("int").alias("mode"), "pc")
-    every = own.withColumn("surrogate", F.lit(-1)).unionByName(red_noise(own, surrogates, seed))
-    scores = classifiability_of(every, ks, seeds, seed)
+    own = pcs if n_modes is None else pcs.filter(F.col("mode") < n_modes)
+    scores = classifiability_of(pcs.sparkSession, series_of(own), ks, surrogates, seeds, seed)
     noise = F.col("surrogate") >= 0
     found = scores.groupBy("k").agg(
         F.max(F.when(~noise, F.col("score"))).alias("observed"), F.avg(F.when(noise, F.col("score"))).alias("surrogate_mean"),

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from trendloom.functions.checks import unless
 from trendloom.functions.statistics import clean, eof_weight
 from trendloom.operators.blocks import array_block, keyed_blocks, rows_a_batch, summed
 from trendloom.operators.fields import anomaly, coarsen, daily_mean, detrend, regrid, variable_scales
@@ -23,12 +24,11 @@ SPARE_MODES, CYCLE_BLOCKS, MOST_CYCLES, RESIDUAL = 10, 4, 60, 1e-12
 LOADING_BYTES = 256 << 20
 
 
-def check_same_keys(field: DataFrame) -> None:
-    """An error unless all variables have the same days and cells, told by one sum over the keys of each."""
+def with_same_keys(field: DataFrame) -> DataFrame:
+    """The field; reading it is an error unless all variables have the same days and cells, told by one sum over the keys of each."""
     key = F.xxhash64("day", F.col("lat").cast("double"), F.col("lon").cast("double")).cast("decimal(38,0)")
-    sums = field.groupBy("variable").agg(F.sum(key).alias("keys"), F.count("*").alias("n")).collect()  # a row a variable
-    if len({(r.keys, r.n) for r in sums}) > 1:
-        raise ValueError(f"the variables {', '.join(sorted(r.variable for r in sums))} differ in their days or cells")
+    sums = field.groupBy("variable").agg(F.sum(key).alias("keys"), F.count("*").alias("n")).agg(F.count_distinct("keys", "n").alias("kinds"))
+    return unless(field, sums, F.col("kinds") > 1, "the variables differ in their days or cells")
 
 
 def prepare_like_observations(steps: DataFrame, grid: DataFrame, scales: DataFrame, factor: int = 1, detrended: bool = True, harmonics: int = 3) -> tuple[DataFrame, DataFrame]:
@@ -50,8 +50,7 @@ def prepare(field: DataFrame, factor: int = 1, scales: DataFrame | None = None)
     matrix: (day, cell, value); cells: (cell, variable, lat, lon) in order of variable, latitude and longitude. Without scales
     (variable, scale) the field's own are taken. Variables that differ in their days or cells are an error.
     """
-    check_same_keys(field)
-    field = coarsen(field, factor, ("variable", "day"))
+    field = coarsen(with_same_keys(field), factor, ("variable", "day"))
     scales = variable_scales(field) if scales is None else scales
     cells = field.select("variable", "lat", "lon").distinct()
     cells = cells.withColumn("cell", F.row_number().over(Window.orderBy("variable", "lat", "lon")) - 1)  # a row a cell

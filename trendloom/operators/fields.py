@@ -32,11 +32,9 @@ def at_hours(field: DataFrame, hours: Sequence[int], time: str = "time") -> Data
 
 
 def between_days(rows: DataFrame, start: str, end: str, day: str = "day") -> DataFrame:
-    """Both ends included; an error if nothing is left."""
+    """Both ends included; reading it is an error if nothing is left."""
     kept = rows.filter(F.to_date(day).between(F.lit(start).cast("date"), F.lit(end).cast("date")))
-    if kept.isEmpty():
-        raise ValueError(f"no rows between {start} and {end}")
-    return kept
+    return unless(kept, kept.agg(F.count("*").alias("n")), F.col("n") == 0, f"no rows between {start} and {end}")
 
 
 def geopotential_height(geopotential: Column) -> Column:
@@ -92,9 +90,8 @@ def standardise_cells(field: DataFrame) -> DataFrame:
 def variable_scales(field: DataFrame) -> DataFrame:
     """(variable, scale): one standard deviation over all moments and cells of a variable."""
     scales = field.groupBy("variable").agg(F.stddev_pop(clean(F.col("value"))).alias("scale"))
-    if not scales.filter("scale is null or scale = 0").isEmpty():
-        raise ValueError("a variable without variance cannot be standardised")
-    return scales
+    fails = F.raise_error(F.concat(F.lit("a variable without variance cannot be standardised: "), F.coalesce("variable", F.lit("null")))).cast("double")
+    return scales.select("variable", F.when(F.col("scale") > 0, F.col("scale")).otherwise(fails).alias("scale"))
 
 
 def harmonic_terms(day_of_year: Column, harmonics: int, year_days: Column | float = DEFAULT_YEAR_DAYS) -> list[Column]:

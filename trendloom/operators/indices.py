@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trendloom.functions.calendar import half_year, in_season, season_name, season_year
+from trendloom.functions.checks import unless
 from trendloom.functions.quantiles import exact_quantiles
 from trendloom.functions.statistics import clean, correlation, slope
 from trendloom.operators.scan import in_parts, with_previous
@@ -24,9 +25,8 @@ def zscores(series: DataFrame, name: str = "value") -> DataFrame:
 def band_mean(field: DataFrame, centre: float, half_width: float) -> DataFrame:
     """(day, value): the mean over each line of latitude in a band, then over the lines."""
     rows = field.filter(F.abs(F.col("lat") - centre) <= half_width)
-    if rows.isEmpty():
-        raise ValueError(f"no cell within {half_width} degrees of {centre}")
-    return rows.groupBy("day", "lat").agg(F.avg(clean(F.col("value"))).alias("value")).groupBy("day").agg(F.avg("value").alias("value"))
+    means = rows.groupBy("day", "lat").agg(F.avg(clean(F.col("value"))).alias("value")).groupBy("day").agg(F.avg("value").alias("value"))
+    return unless(means, means.agg(F.count("*").alias("n")), F.col("n") == 0, f"no cell within {half_width} degrees of {centre}")
 
 
 def sam_proxy(field: DataFrame, north: float = -40.0, south: float = -60.0, half_width: float = 2.5) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trendloom.functions.checks import unless
+
 
 def regime(label: Column) -> Column:
     """What stands before the first dash."""
@@ -39,22 +41,18 @@ def load_labels(rows: DataFrame, grouping: str, order: Sequence[str] | None = No
     out = encode(by_day(rows, shift_days=shift_days), order).select("day", "type")
     if start or end:
         out = out.filter(F.col("day").between(F.lit(start or "0001-01-01").cast("date"), F.lit(end or "9999-12-31").cast("date")))
-        if out.isEmpty():
-            raise ValueError("no label in the period")
+        out = unless(out, out.agg(F.count("*").alias("n")), F.col("n") == 0, "no label in the period")
     return out
 
 
 def align_to(rows: DataFrame, reference: DataFrame, day: str = "day") -> DataFrame:
     """The rows on days that the reference has; an error if there is none."""
     kept = rows.join(reference.select(day).distinct(), day, "left_semi")
-    if kept.isEmpty():
-        raise ValueError("the series share no day")
-    return kept
+    return unless(kept, kept.agg(F.count("*").alias("n")), F.col("n") == 0, "the series share no day")
 
 
 def look_up(impact: DataFrame, labels: DataFrame, day: str = "day") -> DataFrame:
     """(day, type, value) where every day of the impact has to have a label."""
-    missing = impact.select(day).distinct().join(labels.select(day), day, "left_anti")
-    if not missing.isEmpty():
-        raise KeyError(f"days without a label, the first {missing.agg(F.min(day)).first()[0]}")
-    return impact.join(labels.select(day, "type"), day).select(day, "type", "value")
+    known = labels.select(day, "type", F.lit(True).alias("_known"))
+    fails = F.raise_error(F.concat(F.lit("a day without a label: "), F.coalesce(F.col(day).cast("string"), F.lit("null"))))
+    return impact.join(known, day, "left").select(day, F.when(F.col("_known"), F.col("type")).otherwise(fails.cast(dict(labels.dtypes)["type"])).alias("type"), "value")

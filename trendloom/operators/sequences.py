@@ -16,9 +16,10 @@ from trendloom.session import Workspace
 
 def composite(field: DataFrame, labels: DataFrame, k: int) -> DataFrame:
     """(type, lat, lon, value): the mean field of each type, dense over the codes; a day of the field without a label is an error."""
-    if not field.select("day").distinct().join(labels, "day", "left_anti").isEmpty():
-        raise ValueError("the field has days without a label")
-    found = field.join(labels.select("day", "type"), "day").groupBy("type", "lat", "lon").agg(F.avg(clean(F.col("value"))).alias("value"))
+    known = labels.select("day", F.col("type").alias("_type"), F.lit(True).alias("_known"))
+    fails = F.raise_error(F.concat(F.lit("a day of the field without a label: "), F.coalesce(F.col("day").cast("string"), F.lit("null")))).cast(dict(labels.dtypes)["type"])
+    own = field.join(known, "day", "left").withColumn("type", F.when(F.col("_known"), F.col("_type")).otherwise(fails))
+    found = own.groupBy("type", "lat", "lon").agg(F.avg(clean(F.col("value"))).alias("value"))
     frame = field.select("lat", "lon").distinct().join(F.broadcast(codes(field.sparkSession, k)), how="cross")
     return frame.join(found, ["type", "lat", "lon"], "left").select("type", "lat", "lon", "value")
 
