@@ -110,3 +110,19 @@ def test_html_keeps_articles_whole(spark, sf):
         article = re.search(r"<article>(.*?)(?:</article>|$)", pages[r.page_id]["html"], re.S)[1]
         blocks = [" ".join(html_lib.unescape(re.sub(r"<br>", " ", re.sub(r"</?(?:b|i|a|em|strong|span)\b[^>]*>", "", b))).split()) for b in re.split(r"</?(?:p|h1|h2|ul|li|div)\b[^>]*>", article)]
         assert r.text == "\n".join(b for b in blocks if b) and r.n_chars == len(r.text)
+
+
+@pytest.mark.parametrize("html,want", [
+    ('<article><p class="share price">The share price rose.</p></article>', "The share price rose."),
+    ('<article><div class="related work">Others did this before.</div></article>', "Others did this before."),
+    ('<article><section class="login">How to log in safely.</section><p>End.</p></article>', "How to log in safely.\nEnd."),
+    ('<article><p>Text.</p><div class="related"><a href="a">One story</a><a href="b">Another</a> by us</div><p>More.</p></article>', "Text.\nMore."),
+    ('<article><p>Text.</p><div class="share"><ul><li><a>Mail</a></li><li><a>Post</a></li></ul></div></article>', "Text."),
+    ('<article><p>Text.</p><div class="share"><a>x</a></article>', "Text."),
+    ('<article><p>Text.</p><div class="comments"><p>First!</p></div></article>', "Text."),
+    ('<div class="related">Outside of it.</div><article><p>Text.</p></article>', "Text."),
+    ('<p class="ad">A paragraph is no container.</p>', "A paragraph is no container."),
+    ('<div class="ad">Buy.</div><p>Text.</p>', "Text."),
+])
+def test_class_words_need_a_container_and_in_an_article_links(html, want):
+    assert html_text.main_text(html_text.page_lines(html), set()) == want

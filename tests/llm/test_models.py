@@ -1,0 +1,101 @@
+"""op2 and op6 against plain versions: what is learned is counted again, and every text is scored again without the library's scorers."""
+
+import math
+import zlib
+from collections import Counter
+
+import numpy as np
+import pyarrow.parquet as pq
+import pytest
+import regex
+
+from trendloom.llm import language, queries, toxicity
+
+LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
+
+
+def table(sf, name):
+    return pq.read_table(f"{sf}/{name}.parquet").to_pylist()
+
+
+@pytest.fixture(scope="module")
+def docs(sf):
+    return table(sf, "documents")
+
+
+def test_what_a_language_is_learned_from(spark, sf, docs):
+    """Words and n-grams of all documents outside the fold, counted in Python; on sf0.001 no vocabulary is cut."""
+    model = language.learn_outside_fold(spark.read.parquet(f"{sf}/documents.parquet"))
+    own = [(d["lang"], LETTERS.findall((d["text"] or "").lower())) for d in docs if zlib.crc32(str(d["doc_id"]).encode()) % 5]
+    langs = sorted({x for x, _ in own})
+    assert model.languages == langs
+    words = {x: Counter(w for lang, ws in own if lang == x for w in ws) for x in langs}
+    assert max(map(len, words.values())) <= 25_000
+    everyone = sorted(set().union(*words.values()))
+    assert model.words == everyone
+    totals = np.array([sum(words[x].values()) for x in langs])
+    want = np.array([[math.log((words[x][w] + 0.5) / (t + 0.5 * len(everyone))) for x, t in zip(langs, totals)] for w in everyone])
+    assert np.allclose(model.word_scores, want, atol=1e-4)
+    grams = {x: Counter() for x in langs}
+    for x in langs:
+        for w, n in words[x].items():
+            padded = f" {w} "
+            for size in range(1, 6):
+                for k in range(len(padded) - size + 1):
+                    if padded[k : k + size].strip():
+                        grams[x][padded[k : k + size]] += n
+    kept = {x: {g for g, _ in sorted(grams[x].items(), key=lambda y: (-y[1], y[0].encode()))[:25_000]} for x in langs}
+    assert set(model.grams) == set().union(*kept.values())
+    for i, g in list(enumerate(model.grams))[::97]:
+        size = len(g)
+        of_size = [h for h in model.grams if len(h) == size]
+        for j, x in enumerate(langs):
+            total = sum(n for h, n in grams[x].items() if len(h) == size)
+            assert model.gram_scores[i, j] == pytest.approx(math.log(((grams[x][g] if g in kept[x] else 0) + 0.5) / (total + 0.5 * len(of_size))), abs=1e-4)
+
+
+def test_every_language_score_again(spark, sf, docs):
+    model = language.learn_outside_fold(spark.read.parquet(f"{sf}/documents.parquet"))
+    words, grams = ({w: s.astype(float) for w, s in zip(names, scores)} for names, scores in ((model.words, model.word_scores), (model.grams, model.gram_scores)))
+
+    def of_word(w):
+        if w in words:
+            return words[w]
+        padded = f" {w} "
+        for order in range(min(5, len(padded)), 0, -1):
+            if found := [grams[padded[k : k + order]] for k in range(len(padded) - order + 1) if padded[k : k + order] in grams]:
+                return np.mean(found, axis=0)
+        return np.zeros(len(model.languages))
+
+    got = {r.doc_id: r for r in queries.QUERIES["op2_language"](spark, sf).collect()}
+    for d in docs:
+        own, r = LETTERS.findall((d["text"] or "").lower()), got[d["doc_id"]]
+        if not own:
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        total = np.sum([of_word(w) for w in own], axis=0)
+        margin = (total - total.max()) * min(len(own), 50) / len(own)
+        assert r.lang_pred == model.languages[int(total.argmax())] and r.score == pytest.approx(1 / np.exp(margin).sum(), abs=1e-3)
+
+
+def test_every_toxicity_score_again(spark):
+    """Weights and all pairs of factors, pair by pair."""
+    from pyspark.sql import functions as F
+
+    from trendloom.llm.common import crc_residue
+
+    sf = "/root/testdata/sf0.01"
+    rows, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = toxicity.learn_toxicity(rows, labels.filter(crc_residue(F.col("doc_id"), 3) != 1))
+    assert np.abs(model.weights).max() > 0 and np.abs(model.factors).max() > 0
+    hasher, got = toxicity.TermHasher(), {r.doc_id: r for r in queries.QUERIES["op6_toxicity"](spark, sf).collect()}
+    docs = table(sf, "documents")
+    assert set(got) == {d["doc_id"] for d in docs}
+    for d in docs:
+        ids = [i for i in hasher.buckets(d["text"]) if model.weights[i] or model.factors[i].any()]
+        z = model.bias + sum(float(model.weights[i]) for i in ids)
+        v = [model.factors[i].astype(float) for i in ids]
+        z += sum(float(v[i] @ v[j]) for i in range(len(v)) for j in range(i + 1, len(v)))
+        want = 1 / (1 + math.exp(-max(-30, min(30, z))))
+        r = got[d["doc_id"]]
+        assert r.score == pytest.approx(want, abs=1e-3) and r.predicted == (r.score >= 0.7) and r.held_out == (zlib.crc32(str(d["doc_id"]).encode()) % 3 == 1)

@@ -43,7 +43,10 @@ def test_language_on_held_out_documents(spark, sf, docs):
     assert all(0 <= r["score"] <= 1 for r in rows)
 
 
-def test_token_counts_are_the_library_s(spark, sf, docs):
+@pytest.mark.parametrize("folder", ["sf0.001", "sf0.01"])
+def test_token_counts_are_the_library_s(spark, folder):
+    sf = f"/root/testdata/{folder}"
+    docs = table(sf, "documents")
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
@@ -172,7 +175,10 @@ def test_toxicity_on_held_out_documents(spark):
     assert sum((h > x) + (h == x) / 2 for h in high for x in low) >= 0.93 * len(high) * len(low)
 
 
-def test_token_files_hold_the_library_s_ids(spark, sf, docs):
+@pytest.mark.parametrize("folder", ["sf0.001", "sf0.01"])
+def test_token_files_hold_the_library_s_ids(spark, folder):
+    sf = f"/root/testdata/{folder}"
+    docs = table(sf, "documents")
     from tokenizers import Tokenizer
 
     tokenizer, start = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), 0
@@ -185,7 +191,10 @@ def test_token_files_hold_the_library_s_ids(spark, sf, docs):
         start += len(ids)
 
 
-def test_bpe_is_tiktoken_s(spark, sf, docs):
+@pytest.mark.parametrize("folder", ["sf0.001", "sf0.01"])
+def test_bpe_is_tiktoken_s(spark, folder):
+    sf = f"/root/testdata/{folder}"
+    docs = table(sf, "documents")
     from trendloom.llm.bpe import load_ranks
 
     import tiktoken

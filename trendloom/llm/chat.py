@@ -38,7 +38,7 @@ def enumerate_paths(messages: DataFrame, space: Workspace) -> DataFrame:
     """(conv_id, leaf, msg_id, dist) for every leaf and each message on the way to its root, dist links above the leaf.
 
     messages: (conv_id, msg_id, parent_id), msg_id unique in its conversation. A parent that does not exist makes its
-    child a root. Paths that run into a circle of parents are left out, as they have no root.
+    child a root. In a circle of parents the message with the smallest id is the root.
     """
     nodes = messages.select("conv_id", "msg_id", "parent_id")
     real = nodes.join(nodes.select("conv_id", F.col("msg_id").alias("parent_id")), ["conv_id", "parent_id"], "left_semi")
@@ -56,12 +56,31 @@ def enumerate_paths(messages: DataFrame, space: Workspace) -> DataFrame:
         parts.append(space.written(further, f"paths-{2**k}"))
         twice = links.select("conv_id", F.col("msg_id").alias("above"), F.col("above").alias("top"))
         up = links.join(twice, ["conv_id", "above"]).select("conv_id", "msg_id", F.col("top").alias("above"))
+    if not up.isEmpty():  # someone is further above than a conversation has messages
+        return enumerate_paths(without_circles(nodes, most, space), space)
     paths = space.together(*parts)
     roots = nodes.join(real.select("conv_id", "msg_id"), ["conv_id", "msg_id"], "left_anti").select("conv_id", "msg_id")
     rooted = paths.join(roots, ["conv_id", "msg_id"], "left_semi").select("conv_id", "leaf")
     return paths.join(rooted, ["conv_id", "leaf"], "left_semi")
 
 
+def without_circles(nodes: DataFrame, most: int, space: Workspace) -> DataFrame:
+    """(conv_id, msg_id, parent_id) where the smallest message of each circle has no parent.
+
+    Links that double the distance they span, each with the smallest id on its way, go on until they are longer than any
+    circle: what stands above then is in a circle, and a message of one has met all of it.
+    """
+    links = nodes.filter("parent_id is not null").select("conv_id", "msg_id", F.col("parent_id").alias("above"), F.least("msg_id", "parent_id").alias("least"))
+    for k in range(math.ceil(math.log2(most)) + 1 if most > 1 else 1):
+        links = space.written(links, f"around-{2**k}")
+        twice = links.select("conv_id", F.col("msg_id").alias("above"), F.col("above").alias("top"), F.col("least").alias("further"))
+        links = links.join(twice, ["conv_id", "above"]).select("conv_id", "msg_id", F.col("top").alias("above"), F.least("least", "further").alias("least"))
+    links = space.written(links, "around")
+    inside = links.select("conv_id", F.col("above").alias("msg_id")).distinct()
+    first = links.join(inside, ["conv_id", "msg_id"], "left_semi").filter("msg_id = least").select("conv_id", "msg_id", F.lit(True).alias("cut"))
+    return space.written(nodes.join(first, ["conv_id", "msg_id"], "left").select("conv_id", "msg_id", F.when(F.col("cut").isNull(), F.col("parent_id")).alias("parent_id")), "cut")
+
+
 def one_row_a_message(messages: DataFrame) -> DataFrame:
     """Of rows with the same conv_id and msg_id the first in order of parent_id, role, text and score."""
     rest = [c for c in messages.columns if c not in ("conv_id", "msg_id")]
@@ -72,7 +91,7 @@ def format_paths(messages: DataFrame, paths_per_conversation: int | None = None,
     """(conv_id, leaf, path_rank, formatted) for each chosen path of each conversation.
 
     messages: conv_id, msg_id, parent_id, role, text, score; other columns are not read. A null role or text counts as
-    empty, a null score as 0. Paths rank by their summed score, then by length, longest first, then by leaf. Rows with
+    empty, a null score as 0. A circle of parents is broken at its smallest msg_id. Paths rank by their summed score, then by length, longest first, then by leaf. Rows with
     a null conv_id or msg_id have no place in a tree and are left out; an empty table gives none. Of rows that repeat a
     msg_id of their conversation one counts (one_row_a_message); ids_are_unique says that there are none. One conversation
     is one output string, so a path has to fit in a row.

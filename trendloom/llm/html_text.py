@@ -7,7 +7,7 @@ Two rules of structure stand beside this: what a page marks as its article or ma
 articles may quote each other; and what it marks as chrome (menus, footers, adverts, forms, scripts, comments and so on)
 goes even where no neighbour shares it.
 
-Only hashes of lines are dealt by ranges of URLs; a page's whole lines stay where they are, but for pages with lines to delete.
+Each page is taken apart once. Only hashes of lines are dealt by ranges of URLs; a page's lines wait for the numbers of those that go.
 """
 
 from __future__ import annotations
@@ -36,10 +36,15 @@ CHROME = frozenset("""nav footer aside form script style noscript template ifram
 head menu search noembed noframes xmp audio video map""".split())
 MAIN = frozenset("article main".split())
 CHROME_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar".split())
-CHROME_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|adsense|sponsor(?:ed)?|promo|banner|cookies?|consent|gdpr|notice|notification|popup|modal|overlay|"
-    r"sidebar|side-bar|menu|nav|navbar|navigation|breadcrumbs?|comments?|commentlist|disqus|respond|repl(?:y|ies)|share|sharing|social|newsletter|subscribe|"
-    r"footer|masthead|related|recommended|widget|toolbar|pagination|skip-link|login|signup)(?:$|[\s_-])", re.I)
+#: Elements whose class and id count, and the words in them that mark chrome: some everywhere, some only outside of the marked
+#: article or where most of the text is links, for an article may be about a share price or related work.
+CONTAINERS = frozenset("div section ul ol dl table center details figure".split())
+_named = lambda words: re.compile(rf"(?:^|[\s_-])(?:{words})(?:$|[\s_-])", re.I)
+CHROME_NAMES = _named(
+    "ads?|adverts?|advertisement|advertising|adsense|sponsor(?:ed)?|cookies?|consent|gdpr|popup|modal|overlay|sidebar|side-bar|navbar|breadcrumbs?|"
+    "comments?|commentlist|disqus|newsletter|subscribe|masthead|pagination|skip-link")
+OFTEN_CHROME_NAMES = _named(
+    "promo|banner|notice|notification|menu|nav|navigation|respond|repl(?:y|ies)|share|sharing|social|footer|related|recommended|widget|toolbar|login|signup")
 
 _TAG = re.compile(r"<(?:(!--)|([!?])|(/?)([A-Za-z][^\s/>]*))")
 _STOP = re.compile("[>\"']")
@@ -50,16 +55,25 @@ _RAW_END = {name: re.compile(rf"</{name}(?![^\s/>])", re.I) for name in RAW}
 CHROME_ZONE, OUTSIDE, MAIN_ZONE = 0, 1, 2
 
 
-def is_chrome(name: str, attributes: str, in_main: bool) -> bool:
+def is_chrome(name: str, attributes: str, in_main: bool) -> bool | None:
+    """Whether an element's own marks make it chrome; None if they do where most of its text is links."""
     if name in CHROME or name == "header" and not in_main:
         return True
     if not attributes or name in ("body", "html") or name in MAIN:
         return False
+    often = False
     for kind, a, b, c in _ATTRIBUTE.findall(attributes):
         value = a or b or c
-        if value.lower() in CHROME_ROLES if kind.lower() == "role" else CHROME_NAMES.search(value):
-            return True
-    return bool(_HIDDEN.search(attributes))
+        if kind.lower() == "role":
+            if value.lower() in CHROME_ROLES:
+                return True
+        elif name in CONTAINERS:
+            if CHROME_NAMES.search(value):
+                return True
+            often = often or bool(OFTEN_CHROME_NAMES.search(value))
+    if _HIDDEN.search(attributes):
+        return True
+    return (None if in_main else True) if often else False
 
 
 class Tokens:
@@ -120,21 +134,37 @@ def page_lines(html: str) -> list[tuple[int, str]]:
     """(zone, text) of each block with text, in page order. A line break counts as white space; an article or main element
     opens even inside chrome that was left open, except scripts and the like."""
     lines: list[tuple[int, str]] = []
+    linked: list[int] = []  # of each line, its characters inside links
     words: list[str] = []
-    stack: list[tuple[str, int]] = []  # open elements that set a zone, with the zone around them
+    stack: list[tuple[str, int, int]] = []  # open elements that set a zone: the zone around, and the first line if links decide, else -1
     names: Counter = Counter()  # of the stack
-    zone = OUTSIDE
+    zone, in_link, in_links = OUTSIDE, False, 0
 
     def flush():
+        nonlocal in_links
         text = " ".join(html_lib.unescape("".join(words)).split())
         if text:
             lines.append((zone, text))
+            linked.append(in_links)
         words.clear()
+        in_links = 0
+
+    def close(opened: int):
+        """Ends the open elements from a place of the stack on."""
+        for _, _, first in stack[opened:]:
+            if first >= 0 and 2 * sum(linked[first:]) >= sum(len(t) for _, t in lines[first:]):
+                lines[first:] = [(CHROME_ZONE, t) for _, t in lines[first:]]
+        names.subtract(x[0] for x in stack[opened:])
+        del stack[opened:]
 
     for text, name, attributes, closing in Tokens(html):
         if name is None:
             words.append(text)
+            if in_link:
+                in_links += len(text)
             continue
+        if name == "a":
+            in_link = not closing
         if name in RAW and not closing:
             if name in BLOCK:
                 flush()
@@ -147,24 +177,24 @@ def page_lines(html: str) -> list[tuple[int, str]]:
             if names[name]:
                 opened = next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name)
                 zone = stack[opened][1]
-                names.subtract(x[0] for x in stack[opened:])
-                del stack[opened:]
+                close(opened)
             continue
         if name in BLOCK:
             flush()
         if name in VOID or attributes.endswith("/"):
             continue
-        inner = zone
+        inner, first = zone, -1
         if name in MAIN and not any(names[x] for x in ("noscript", "template", "svg")):
             inner = MAIN_ZONE if zone != CHROME_ZONE or any(names[x] for x in ("nav", "head", "header", "div", "menu", "form")) else zone
-        elif zone != CHROME_ZONE and is_chrome(name, attributes, zone == MAIN_ZONE):
-            inner = CHROME_ZONE
-        if inner != zone or names[name]:
+        elif zone != CHROME_ZONE and (told := is_chrome(name, attributes, zone == MAIN_ZONE)) is not False:
+            inner, first = (zone, 0) if told is None else (CHROME_ZONE, -1)
+        if inner != zone or first == 0 or names[name]:
             flush()
-            stack.append((name, zone))
+            stack.append((name, zone, len(lines) if first == 0 else -1))
             names[name] += 1
             zone = inner
     flush()
+    close(0)
     return lines
 
 
@@ -257,29 +287,32 @@ def common_start(a: str, b: str) -> int:
     return n
 
 
-#: A page as its neighbours see it: `at` is its row's key, `same` a hash of its lines.
-DIGEST = "at long, host string, path string, page_id long, same long, zones binary, hashes array<long>"
+#: A page as its neighbours see it: `at` is its row's key, `same` a hash of its lines; and with the lines that are not chrome.
+DIGEST = ["at", "host", "path", "page_id", "same", "zones", "hashes"]
+TAKEN_APART = "at long, host string, path string, page_id long, url string, same long, zones binary, hashes array<long>, text string"
 
 
-def line_digests(rows: DataFrame) -> DataFrame:
-    """DIGEST of each row (at, host, path, page_id, html) with a host."""
-    schema = pa.schema([("at", pa.int64()), ("host", pa.string()), ("path", pa.string()), ("page_id", pa.int64()), ("same", pa.int64()), ("zones", pa.binary()), ("hashes", pa.list_(pa.int64()))])
+def taken_apart(rows: DataFrame) -> DataFrame:
+    """TAKEN_APART of each row (at, host, path, page_id, url, html); hashes only of pages with a host, as others have no neighbour."""
+    schema = pa.schema([("at", pa.int64()), ("host", pa.string()), ("path", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("same", pa.int64()),
+                        ("zones", pa.binary()), ("hashes", pa.list_(pa.int64())), ("text", pa.string())])
     signed = lambda data: xxhash.xxh3_64_intdigest(data) - (1 << 63)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
-                part, same, zones, hashes = batch.slice(k, 256), [], [], []
-                for html in part.column(4).to_pylist():
+                part, same, zones, hashes, texts = batch.slice(k, 256), [], [], [], []
+                for host, html in zip(part.column(1).to_pylist(), part.column(5).to_pylist()):
                     lines = page_lines(html or "")
                     zones.append(bytes(z for z, _ in lines))
-                    hashes.append([signed(t) for _, t in lines])
+                    hashes.append([signed(t) for _, t in lines] if host else [])
                     content = [h for (z, _), h in zip(lines, hashes[-1]) if z != CHROME_ZONE]
                     same.append(signed(np.array(content, "<i8").tobytes()))
-                yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(same, pa.int64()), pa.array(zones, pa.binary()), pa.array(hashes, pa.list_(pa.int64()))], schema=schema)
+                    texts.append(main_text(lines, set()))
+                yield pa.RecordBatch.from_arrays([*part.columns[:5], pa.array(same, pa.int64()), pa.array(zones, pa.binary()), pa.array(hashes, pa.list_(pa.int64())), pa.array(texts, pa.string())], schema=schema)
         give_back_memory()
 
-    return rows.select("at", "host", "path", "page_id", "html").mapInArrow(run, DIGEST)
+    return rows.select("at", "host", "path", "page_id", "url", "html").mapInArrow(run, TAKEN_APART)
 
 
 def with_edges(dealt: DataFrame) -> DataFrame:
@@ -386,28 +419,33 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     address = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)([^?#]*)"
     hosted = rows.withColumns({"host": F.lower(F.regexp_extract("url", address, 1)), "path": F.regexp_extract("url", address, 2)})
     with Workspace(pages.sparkSession, "html") as space:
-        digests = space.written(line_digests(hosted.filter("host != ''")), "digests")
-        dealt = digests.repartitionByRange("host", "path", "page_id", "at").withColumn("part", F.spark_partition_id())
+        apart = space.written(taken_apart(hosted), "apart")
+        dealt = apart.filter("host != ''").select(*DIGEST).repartitionByRange("host", "path", "page_id", "at").withColumn("part", F.spark_partition_id())
         dealt = space.written(dealt, "dealt")
-        space.drop(digests)
         # a row of numbers a page that has lines to delete; Spark broadcasts the table if it is small, and else sorts both
-        deleted = space.finish(shared_with_neighbour(with_edges(dealt)).groupBy("at").agg(F.first("deleted").alias("deleted")))
-    return texts_of(rows.join(deleted, "at", "left"))
+        deleted = shared_with_neighbour(with_edges(dealt)).groupBy("at").agg(F.first("deleted").alias("deleted"))
+        deleted = space.written(deleted, "deleted")
+        return space.finish(texts_of(apart.select("at", "page_id", "url", "zones", "text").join(deleted, "at", "left")))
 
 
 def texts_of(rows: DataFrame) -> DataFrame:
+    """The result for (page_id, url, zones, text, deleted) rows: `deleted` counts all lines of a page, `text` has those that are not chrome."""
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64()), ("n_template", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
-                deleted = part.column(3).to_pylist()
-                texts = [main_text(page_lines(html or ""), set(d or ())) for html, d in zip(part.column(2).to_pylist(), deleted)]
+                part, texts = batch.slice(k, 256), []
+                deleted = part.column(4).to_pylist()
+                for zones, text, gone in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), deleted):
+                    if gone:
+                        at = [i for i, z in enumerate(zones) if z != CHROME_ZONE]
+                        text = main_text(list(zip([OUTSIDE] * len(at), text.split("\n"))), {i for i, x in enumerate(at) if x in set(gone)})
+                    texts.append(text)
                 yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64()), pa.array((len(d or ()) for d in deleted), pa.int64())], schema=schema)
         give_back_memory()
 
-    return rows.select("page_id", "url", "html", "deleted").mapInArrow(run, "page_id long, url string, text string, n_chars long, n_template long")
+    return rows.select("page_id", "url", "zones", "text", "deleted").mapInArrow(run, "page_id long, url string, text string, n_chars long, n_template long")
 
 
 def op7_html(spark, sf_dir: str) -> DataFrame:
