@@ -1,9 +1,9 @@
 """Days of calendars that no DATE can hold, from a model's time axis to its components."""
 
 import datetime as dt
-import itertools
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -84,12 +84,10 @@ def model_steps(spark, name, years=3, amplitude=5.0, trend=0.4, steps=(0, 21_600
     lats, lons = [-20.0, -30.0, -40.0], [140.0, 145.0, 150.0, 155.0]
     per, rng = LENGTHS[name], np.random.default_rng(4)
     a = rng.normal(size=years * per)
-    rows = []
-    for i in range(years * per):
-        cycle = amplitude * np.sin(2 * np.pi * (i % per + 1) / per) + trend * i / per
-        for (y, lat), (x, lon), s in itertools.product(enumerate(lats), enumerate(lons), steps):
-            rows.append(("mslp", i, s, name, lat, lon, float(1013.0 + cycle + 2 * np.cos(2 * np.pi * s / 86_400) + a[i] * (y - 1) * (1 + 0.1 * x))))
-    return spark.createDataFrame(rows, "variable string, day int, second int, calendar string, lat double, lon double, value double"), a
+    i, s, y, x = (v.ravel() for v in np.meshgrid(np.arange(years * per), steps, range(3), range(4), indexing="ij"))
+    value = 1013.0 + amplitude * np.sin(2 * np.pi * (i % per + 1) / per) + trend * i / per + 2 * np.cos(2 * np.pi * s / 86_400) + a[i] * (y - 1) * (1 + 0.1 * x)
+    table = pa.table({"variable": ["mslp"] * len(i), "day": i.astype(np.int32), "second": s.astype(np.int32), "calendar": [name] * len(i), "lat": np.array(lats)[y], "lon": np.array(lons)[x], "value": value})
+    return spark.createDataFrame(table), a
 
 
 @pytest.mark.parametrize("name", ["360_day", "noleap", "all_leap"])
