@@ -425,6 +425,7 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
         # a row of numbers a page that has lines to delete; Spark broadcasts the table if it is small, and else sorts both
         deleted = shared_with_neighbour(with_edges(dealt)).groupBy("at").agg(F.first("deleted").alias("deleted"))
         deleted = space.written(deleted, "deleted")
+        space.drop(dealt)
         return space.finish(texts_of(apart.select("at", "page_id", "url", "zones", "text").join(deleted, "at", "left")))
 
 
