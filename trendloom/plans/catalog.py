@@ -18,7 +18,7 @@ from trendloom.functions.quantiles import exact_quantiles
 from trendloom.functions.statistics import area_weight, eof_weight
 from trendloom.operators import clusters, eof, fields, indices, labels, sequences
 from trendloom.operators import decompose as dec
-from trendloom.session import shared_path
+from trendloom.session import Workspace, shared_path
 from trendloom.sources import stores
 
 K = 5
@@ -773,11 +773,14 @@ def model_components_months(spark, sf_dir):
     steps = month_field(spark, sf_dir).withColumn("first", first).select(F.lit("price").alias("variable"), axis.alias("time"), "lat", "lon", "value")
     steps = stores.decoded_steps(steps, "days since 1850-01-01", "360_day").withColumns({"day": F.col("day") + F.floor((F.col("second") + 21_600) / 86_400).cast("int"), "second": F.lit(0)})
     scales = spark.createDataFrame([("price", 1000.0)], "variable string, scale double")
-    matrix, cells = eof.prepare_like_observations(steps, steps.select("lat", "lon").distinct(), scales, harmonics=1)
-    modes = cells.select("cell", F.explode(F.array(*[F.lit(m) for m in range(3)])).alias("mode"))
-    patterns = modes.select("mode", "cell", ((F.col("cell") * (F.col("mode") + 1)) % 7 - 3).cast("double").alias("loading"))
-    found = eof.project(matrix, patterns)
-    return found.select(calendar.date_text(F.col("day"), F.lit("360_day")).alias("date"), "mode", (F.round("pc", 3) + F.lit(0.0)).alias("pc"))
+    with Workspace(spark, "model") as space:  # the matrix is read several times
+        steps = space.written(steps, "steps")
+        matrix, cells = eof.prepare_like_observations(steps, steps.select("lat", "lon").distinct(), scales, harmonics=1)
+        matrix, cells = space.written(matrix, "matrix"), space.written(cells, "cells")
+        modes = cells.select("cell", F.explode(F.array(*[F.lit(m) for m in range(3)])).alias("mode"))
+        patterns = modes.select("mode", "cell", ((F.col("cell") * (F.col("mode") + 1)) % 7 - 3).cast("double").alias("loading"))
+        found = eof.project(matrix, patterns)
+        return space.finish(found.select(calendar.date_text(F.col("day"), F.lit("360_day")).alias("date"), "mode", (F.round("pc", 3) + F.lit(0.0)).alias("pc")))
 
 
 @query("""SELECT type, p.p AS probability, round(CASE p.p WHEN 0.025 THEN a WHEN 0.5 THEN b WHEN 0.9 THEN c ELSE d END, 6) AS quantile FROM (
