@@ -104,20 +104,22 @@ def remove_index(table: DataFrame, index: DataFrame, least_years: int = 10) -> D
     return rows.select("season", "year", "type", share.alias("frequency"), "type_mean", "n")
 
 
-def offset_spread(impact: DataFrame, labels: DataFrame, offsets: Sequence[int]) -> DataFrame:
+def offset_spread(impact: DataFrame, labels: DataFrame, offsets: Sequence[int], least: int = 2) -> DataFrame:
     """(offset, spread, gap): how far the means of the types lie apart when labels are moved by so many days.
 
     The spread is the standard deviation of the means weighted by their days, the gap greatest less least; null under
-    two types. Days are summed first, so the offsets multiply days and not rows.
+    `least` types. Days are summed first, so the offsets multiply days and not rows. Squares are of what the means differ from
+    their centre: as differences of squares a spread of 0 would come out as some 1e-7.
     """
     daily = impact.groupBy(F.to_date("day").alias("day")).agg(F.sum(clean(F.col("value"))).alias("total"), F.count(clean(F.col("value"))).alias("n"))
     moved = labels.select("day", "type").withColumn("offset", F.explode(F.array(*[F.lit(o) for o in offsets])))
     moved = moved.select(F.date_add("day", F.col("offset")).alias("day"), "type", "offset")
     means = daily.join(moved, "day").groupBy("offset", "type").agg(F.sum("total").alias("total"), F.sum("n").alias("n")).filter("n > 0").withColumn("m", F.col("total") / F.col("n"))
-    mean = F.sum(F.col("m") * F.col("n")) / F.sum("n")
-    square = F.sum(F.col("m") * F.col("m") * F.col("n")) / F.sum("n")
-    many = F.count("*") >= 2
-    return means.groupBy("offset").agg(F.when(many, F.sqrt(F.greatest(square - mean * mean, F.lit(0.0)))).alias("spread"), F.when(many, F.max("m") - F.min("m")).alias("gap"))
+    of_offset = Window.partitionBy("offset")  # a row a type
+    means = means.withColumn("apart", F.col("m") - F.sum("total").over(of_offset) / F.sum("n").over(of_offset))
+    many = F.count("*") >= least
+    spread = F.sqrt(F.sum(F.col("n") * F.col("apart") * F.col("apart")) / F.sum("n"))
+    return means.groupBy("offset").agg(F.when(many, spread).alias("spread"), F.when(many, F.max("m") - F.min("m")).alias("gap"))
 
 
 def best_offset(spreads: DataFrame) -> DataFrame:
