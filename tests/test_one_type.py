@@ -1,12 +1,13 @@
 """Queries over label series against their SQL where every day has the same type, as in larger tables with many orders a day."""
 
 import datetime as dt
+import math
 
 import duckdb
 import pandas as pd
 import pytest
 
-from trendloom.operators import indices
+from trendloom.operators import indices, sequences
 from trendloom.plans import catalog
 
 DAYS = [dt.date(1996, 1, 1) + dt.timedelta(days=i) for i in range(30)]
@@ -25,7 +26,7 @@ def one_type(tmp_path_factory):
     return folder, con
 
 
-@pytest.mark.parametrize("name", ["best_offset_shipments", "offset_spread_shipments"])
+@pytest.mark.parametrize("name", ["best_offset_shipments", "offset_spread_shipments", "sequence_report_orders"])
 def test_rows(spark, one_type, name):
     folder, con = one_type
     got = catalog.QUERIES[name](spark, folder).toPandas()
@@ -33,6 +34,13 @@ def test_rows(spark, one_type, name):
     pd.testing.assert_frame_equal(got.sort_values(list(got.columns), ignore_index=True), want.sort_values(list(got.columns), ignore_index=True), check_dtype=False, rtol=0, atol=2e-6)
 
 
+def test_a_report_without_turns(spark, one_type):
+    found = catalog.QUERIES["sequence_report_orders"](spark, one_type[0]).first()
+    assert math.isnan(found.asymmetry) and math.isnan(one_type[1].execute(catalog.SQL["sequence_report_orders"]).fetchone()[3])
+    labels = spark.createDataFrame([(d, 0) for d in DAYS], "day date, type int")
+    assert sequences.sequence_report(labels, 5)["asymmetry"] == 0.0
+
+
 def test_means_that_are_alike_have_a_spread_of_0(spark, one_type):
     impact = spark.read.parquet(f"{one_type[0]}/lineitem.parquet").selectExpr("l_shipdate AS day", "l_quantity AS value")
     labels = spark.createDataFrame([(d, 0) for d in DAYS], "day date, type int")

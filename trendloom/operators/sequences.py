@@ -93,19 +93,20 @@ def cyclic_order(steps: np.ndarray) -> list[int]:
     return walk
 
 
-def cyclic_asymmetry(table: DataFrame, order: Sequence[int]) -> DataFrame:
-    """(asymmetry): steps forward less steps back around the cycle, over both; 0 without such steps."""
+def cyclic_asymmetry(table: DataFrame, order: Sequence[int], without: float = 0.0) -> DataFrame:
+    """(asymmetry): steps forward less steps back around the cycle, over both; `without` where there are no such steps."""
     k, place = len(order), {t: i for i, t in enumerate(order)}
     at = F.create_map(*[F.lit(x) for pair in place.items() for x in pair])
     turn = F.pmod(at[F.col("type_to")] - at[F.col("type")], F.lit(k))
     ahead, back = (F.coalesce(F.sum(F.when((turn == t) & (F.col("type") != F.col("type_to")), F.col("n"))), F.lit(0)) for t in (1, k - 1))
     if k == 2:
         back = F.lit(0)
-    return table.agg(F.coalesce(F.try_divide(ahead - back, ahead + back), F.lit(0.0)).cast("double").alias("asymmetry"))
+    return table.agg(F.coalesce(F.try_divide(ahead - back, ahead + back), F.lit(without)).cast("double").alias("asymmetry"))
 
 
-def sequence_report(labels: DataFrame, k: int) -> dict[str, float]:
+def sequence_report(labels: DataFrame, k: int, without: float = 0.0) -> dict[str, float]:
+    """Mean runs and their spread over the types, the mean share of days that stay, and the asymmetry, `without` where nothing turns."""
     table = transitions(labels, k)
     shares, runs = matrix(transitions(labels, k, normalise=True), k), [r.mean_run for r in persistence(labels, k).collect() if r.mean_run is not None]
     order = cyclic_order(matrix(table, k))
-    return {"mean_run": float(np.mean(runs)), "run_spread": float(np.std(runs)), "mean_stay": float(np.trace(shares) / k), "asymmetry": cyclic_asymmetry(table, order).first()[0]}
+    return {"mean_run": float(np.mean(runs)), "run_spread": float(np.std(runs)), "mean_stay": float(np.trace(shares) / k), "asymmetry": cyclic_asymmetry(table, order, without).first()[0]}
