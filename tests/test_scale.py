@@ -115,6 +115,33 @@ def test_jobs_grow_with_rounds_and_not_with_starts(spark):
     assert jobs[1] <= 4 * jobs[0]
 
 
+def test_a_round_is_one_stage_on_all_cores(spark):
+    x = np.random.default_rng(9).normal(size=(400, 2))
+    sc = spark.sparkContext
+    sc.setJobGroup("rounds", "")
+    clusters.fit_starts(clusters.as_rows(features(spark, x, partitions=1), "day"), 3, range(2))
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    tracker = sc.statusTracker()
+    last = tracker.getJobInfo(max(tracker.getJobIdsForGroup("rounds")))
+    ran = [info.numCompletedTasks for info in map(tracker.getStageInfo, last.stageIds) if info and info.numCompletedTasks]
+    assert ran == [sc.defaultParallelism]
+
+
+def test_sums_of_a_step_and_of_many_tasks(spark):
+    rng = np.random.default_rng(10)
+    x, centres = rng.normal(size=(500, 3)), rng.normal(size=(6, 4, 3))
+    centres[0, 3] = centres[0, 1]  # a tie goes to the lower type
+    sums, counts, costs = next(clusters.step_sums([(None, x[:123]), (None, x[123:])], centres))
+    for s, own in enumerate(centres):
+        far = ((x[:, None] - own) ** 2).sum(2)
+        types = far.argmin(1)
+        assert costs[s] == pytest.approx(far.min(1).sum())
+        assert counts[s, :, 0].tolist() == np.bincount(types, minlength=4).tolist()
+        assert np.allclose(sums[s], [x[types == t].sum(0) for t in range(4)])
+    sc, n = spark.sparkContext, 2 * clusters.MOST_AT_ONCE
+    assert clusters.merged(sc.parallelize(range(n), n), lambda a, b: a + b) == sum(range(n))
+
+
 def test_fewer_rows_than_types(spark):
     labels, table = clusters.best_partition(features(spark, [[0.0], [0.0], [5.0]]), 4, starts=2)
     found = {r.day: r.type for r in labels.collect()}

@@ -8,13 +8,17 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import RDD, StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trendloom.operators.blocks import array_block, summed
+from trendloom.operators.blocks import array_block
 from trendloom.operators.decompose import frequencies
 from trendloom.operators.sequences import matrix
 
+#: Rows and numbers of a block in a step of k-means, and values that the driver brings together at once.
+BLOCK_ROWS, BLOCK_NUMBERS, MOST_AT_ONCE = 2048, 1 << 18, 64
+
 
 def assign(rows: DataFrame, centroids: DataFrame, key: str = "day", scale: float = 1.0) -> DataFrame:
     """(key, type, distance2) for each row (key, features): the nearest of the centroids (type, centre), the lowest type at a tie.
@@ -48,81 +52,103 @@ def drawn_numbers(at: np.ndarray, seed: int, step: int) -> np.ndarray:
         return ((z ^ (z >> np.uint64(31))) >> np.uint64(11)).astype(np.float64) / 2**53
 
 
-def first_centres(rows: DataFrame, k: int, seeds: Sequence[int]) -> np.ndarray:
+def dealt(rows: DataFrame) -> RDD:
+    """The rows (at, x) as pairs of arrays (hashes, features), dealt evenly to the cores: steps pass over blocks, not over lists of numbers."""
+
+    def pack(batches):
+        for batch in batches:
+            at, x = batch.column(0).to_numpy(), array_block(batch.column(1))
+            size = max(1, min(BLOCK_ROWS, BLOCK_NUMBERS // max(x.shape[1], 1)))
+            cuts = range(0, len(x), size)
+            yield pa.RecordBatch.from_pydict({"at": [at[c : c + size].tobytes() for c in cuts], "x": [x[c : c + size].tobytes() for c in cuts]}, schema=pa.schema([("at", pa.binary()), ("x", pa.binary())]))
+
+    def unpack(row):
+        at = np.frombuffer(row.at, np.int64)
+        return at, np.frombuffer(row.x, np.float64).reshape(len(at), -1)
+
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores).mapInArrow(pack, "at binary, x binary").rdd.map(unpack)
+
+
+def merged(parts: RDD, merge):
+    """One value a task, brought together on the driver, by way of tasks where they are many."""
+    return parts.treeReduce(merge, 1 if parts.getNumPartitions() <= MOST_AT_ONCE else 2)
+
+
+def first_centres(blocks: RDD, k: int, seeds: Sequence[int]) -> np.ndarray:
     """k rows for each start, (start, type, feature): the first by chance, each further one by its squared distance to those before.
 
-    rows: (at, x). A step draws the next row of all starts in one job: the row with the least exponential number for its weight.
+    A step draws the next row of all starts in one job: the row with the least exponential number for its weight.
     """
-    spark, centres = rows.sparkSession, None
+    if not blocks.getNumPartitions():  # a plan that is known to have no rows
+        raise ValueError("no rows to partition")
+    centres = None
     for step in range(k):
-        shared = spark.sparkContext.broadcast(centres)
 
-        def draw(batches, step=step, shared=shared):
-            best = [(np.inf, None)] * len(seeds)
-            for batch in batches:
-                at, x = batch.column(0).to_numpy(), array_block(batch.column(1))
-                weight = np.ones((len(x), len(seeds))) if shared.value is None else squares_to(x, shared.value).min(2)
+        def draw(part, step=step, centres=centres):
+            best = {}
+            for at, x in part:
+                weight = np.ones((len(x), len(seeds))) if centres is None else squares_to(x, centres).min(2)
                 for s, seed in enumerate(seeds):
                     with np.errstate(divide="ignore"):
                         score = -np.log1p(-drawn_numbers(at, seed, step)) / weight[:, s]
                     score[weight[:, s] <= 0] = np.inf  # a row that is a centre already
-                    if len(score) and score[i := int(score.argmin())] < best[s][0]:
+                    if score[i := int(score.argmin())] < best.get(s, (np.inf,))[0]:
                         best[s] = (float(score[i]), x[i].tolist())
-            held = [(s, score, x) for s, (score, x) in enumerate(best) if x is not None]
-            yield pa.RecordBatch.from_pydict({"start": [h[0] for h in held], "score": [h[1] for h in held], "x": [h[2] for h in held]},
-                                             schema=pa.schema([("start", pa.int32()), ("score", pa.float64()), ("x", pa.list_(pa.float64()))]))
+            yield best
 
-        drawn = rows.mapInArrow(draw, "start int, score double, x array<double>").groupBy("start").agg(F.min(F.struct("score", "x")).alias("best"))
-        found = {r.start: r.best.x for r in drawn.collect()}  # a row a start
+        drawn = merged(blocks.mapPartitions(draw), lambda a, b: {s: min(own[s] for own in (a, b) if s in own) for s in a.keys() | b.keys()})
+        found = {s: x for s, (_, x) in drawn.items()}  # a row a start
         if not found and centres is None:
             raise ValueError("no rows to partition")
         # with fewer different rows than types, the last centre again: a type without rows
         chosen = np.array([found[s] if s in found else centres[s, -1] for s in range(len(seeds))])[:, None]
         centres = chosen if centres is None else np.concatenate([centres, chosen], axis=1)
-        shared.unpersist()
     return centres
 
 
+def step_sums(part, own: np.ndarray):
+    """(sums of the features by (start, type), counts, costs by start) of the blocks of a task, each row by its nearest of `own` centres
+    (start, type, feature), the lowest type at a tie."""
+    n, k, width = own.shape
+    flat = own.transpose(1, 0, 2).reshape(k * n, width)  # a type's starts side by side
+    norms = (flat * flat).sum(1)
+    sums, counts, costs = np.zeros((k * n, width)), np.zeros(k * n), np.zeros(n)
+    for _, x in part:
+        far = np.maximum((x * x).sum(1)[:, None] - 2 * (x @ flat.T) + norms, 0).reshape(len(x), k, n)
+        least, nearest = far[:, 0].copy(), np.zeros((len(x), n), np.int32)
+        for t in range(1, k):
+            nearest[far[:, t] < least] = t
+            np.minimum(least, far[:, t], out=least)
+        chosen = (nearest[:, None] == np.arange(k, dtype=np.int32)[:, None]).astype(np.float64).reshape(len(x), k * n)
+        sums += chosen.T @ x
+        counts += chosen.sum(0)
+        costs += least.sum(0)
+    by_start = lambda a: a.reshape(k, n, -1).transpose(1, 0, 2)
+    yield by_start(sums), by_start(counts), costs
+
+
 def fit_starts(rows: DataFrame, k: int, seeds: Sequence[int], rounds: int = 300) -> tuple[np.ndarray, np.ndarray]:
     """(centres (start, type, feature), cost of each start) of k-means from each seed over (at, x) rows.
 
-    All starts move in the same job: tasks have all centres as one array and send sums by start and type. A start that no longer
+    All starts move in the same job: tasks have all centres as one array and give sums by start and type. A start that no longer
     moves takes no further part, so the jobs are as many as the rounds of the slowest start. A type without rows stays where it is.
     """
-    spark = rows.sparkSession
-    centres = first_centres(rows, k, seeds)
-    costs, moving, width = np.zeros(len(seeds)), np.arange(len(seeds)), centres.shape[2]
-    for _ in range(rounds + 1):
-        shared = spark.sparkContext.broadcast(centres[moving])
-
-        def start(total):
-            own = shared.value
-            n, size = own.shape[0], own.shape[0] * k
-
-            def add(batch):
-                whole = array_block(batch.column(0))
-                for at in range(0, len(whole), 2048):
-                    x = whole[at : at + 2048]
-                    far = squares_to(x, own)
-                    nearest = far.argmin(2)
-                    place = nearest + np.arange(n) * k
-                    total[:size, width] += np.bincount(place.ravel(), minlength=size)
-                    for f in range(width):
-                        total[:size, f] += np.bincount(place.ravel(), np.repeat(x[:, f], n), size)
-                    total[size:, 0] += np.take_along_axis(far, nearest[:, :, None], 2)[:, :, 0].sum(0)
-            return add
-
-        sums = summed(rows.select("x"), start, (len(moving) * (k + 1), width + 1))
-        shared.unpersist()
-        of_type = sums[: len(moving) * k].reshape(len(moving), k, width + 1)
-        costs[moving] = sums[len(moving) * k :, 0]
-        counts = of_type[:, :, width:]
-        means = np.where(counts > 0, of_type[:, :, :width] / np.maximum(counts, 1), centres[moving])
-        still = np.abs(means - centres[moving]).max((1, 2)) <= 1e-10 * max(1.0, np.abs(centres).max())
-        centres[moving[~still]] = means[~still]
-        moving = moving[~still]
-        if not len(moving):
-            break
+    blocks = dealt(rows).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        centres = first_centres(blocks, k, seeds)
+        costs, moving = np.zeros(len(seeds)), np.arange(len(seeds))
+        for _ in range(rounds + 1):
+            own = centres[moving]
+            sums, counts, costs[moving] = merged(blocks.mapPartitions(lambda part, own=own: step_sums(part, own)), lambda a, b: tuple(x + y for x, y in zip(a, b)))
+            means = np.where(counts > 0, sums / np.maximum(counts, 1), own)
+            still = np.abs(means - own).max((1, 2)) <= 1e-10 * max(1.0, np.abs(centres).max())
+            centres[moving[~still]] = means[~still]
+            moving = moving[~still]
+            if not len(moving):
+                break
+    finally:
+        blocks.unpersist()
     return centres, costs
 
 
@@ -143,9 +169,7 @@ def fit_once(rows: DataFrame, k: int, seed: int, key: str = "day"):
 
 def best_partition(rows: DataFrame, k: int, seed: int = 0, starts: int = 50, key: str = "day") -> tuple[DataFrame, DataFrame]:
     """(labels, centroids) of the start with the least cost, all starts fitted together; types are numbered by size, largest first."""
-    own = as_rows(rows, key).persist()
-    centres, costs = fit_starts(own, k, range(seed, seed + starts))
-    own.unpersist()
+    centres, costs = fit_starts(as_rows(rows, key), k, range(seed, seed + starts))
     table = centroid_table(rows.sparkSession, centres[costs.argmin()])
     labels = assign(rows, table, key).select(key, "type")
     sizes = table.select("type").join(labels.groupBy("type").count(), "type", "left")
