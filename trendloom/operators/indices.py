@@ -109,7 +109,7 @@ def offset_spread(impact: DataFrame, labels: DataFrame, offsets: Sequence[int],
 
     The spread is the standard deviation of the means weighted by their days, the gap greatest less least; null under
     `least` types. Days are summed first, so the offsets multiply days and not rows. Squares are of what the means differ from
-    their centre: as differences of squares a spread of 0 would come out as some 1e-7.
+    their centre: as differences of squares a spread of 0 may come out as some 1e-7.
     """
     daily = impact.groupBy(F.to_date("day").alias("day")).agg(F.sum(clean(F.col("value"))).alias("total"), F.count(clean(F.col("value"))).alias("n"))
     moved = labels.select("day", "type").withColumn("offset", F.explode(F.array(*[F.lit(o) for o in offsets])))
